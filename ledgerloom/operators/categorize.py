@@ -14,10 +14,18 @@ PROVENANCE = ("dict", "manual", "regex")
 
 
 def match_rules(name: Column, rules: list[Rule]) -> Column:
-    """Category of the first rule found anywhere in the name, else null."""
+    """Category of the first rule found anywhere in the name, else null.
+
+    The name is bound once, so however the optimizer moves this it is not worked out per rule, and
+    any number of rules stays below the size limit of generated code.
+    """
     if not rules:
         return F.lit(None).cast("string")
-    return F.coalesce(*[F.when(name.rlike(rule.pattern), F.lit(rule.category)) for rule in rules])
+
+    def first_hit(bound: Column) -> Column:
+        return F.coalesce(*[F.when(bound.rlike(rule.pattern), F.lit(rule.category)) for rule in rules])
+
+    return F.get(F.transform(F.array(name), first_hit), F.lit(0))
 
 
 def usable_labels(labels: DataFrame, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
