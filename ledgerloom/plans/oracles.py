@@ -202,7 +202,7 @@ def status(accounts: str, pool: int, cycles: str) -> str:
         f"CAST(COALESCE(sum(-amount_cents) FILTER ({n} AND ({BUCKET}) = '{b}'), 0) AS BIGINT) AS net_{b.lower()}_cents"
         for b in ("Income", "Transfers", "Fixed", "Groceries", "FoodDelivery", "Other"))
     return f"""status0 AS (
- SELECT {accounts} cycle_start, cycle_source, next_payday, date_diff('day', DATE '2001-06-30', next_payday) AS days_left, {sums},
+ SELECT {accounts} cycle_start, cycle_source, next_payday, CAST(date_diff('day', DATE '2001-06-30', next_payday) AS INTEGER) AS days_left, {sums},
   count(*) FILTER (amount_cents >= 3000000 AND category = 'Uncategorized') AS inflow_count,
   CAST(COALESCE(sum(amount_cents) FILTER (amount_cents >= 3000000 AND category = 'Uncategorized'), 0) AS BIGINT) AS inflow_cents
  FROM {cycles} GROUP BY ALL),

@@ -8,14 +8,29 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerloom.config import (
-    DEFAULT_TAXONOMY, GRACE_DAYS, INFLOW_EXCLUDE_CENTS, PAYDAY_DAY, REPORT_WINDOW_DAYS, Bill, Taxonomy,
+    DEFAULT_TAXONOMY, GRACE_DAYS, INFLOW_EXCLUDE_CENTS, PAYDAY_DAY, REPORT_WINDOW_DAYS, Bill, Rule, Taxonomy,
 )
 from ledgerloom.functions.dates import trailing
 from ledgerloom.operators import bills as bill_ops
 from ledgerloom.operators import cycle, recon, recurring, spend
-from ledgerloom.sources.tables import write_table
+from ledgerloom.operators.categorize import categorize, categorized
+from ledgerloom.sources.tables import keep, write_table
+
+
+def prepared_ledger(ledger: DataFrame, labels: DataFrame | None, overrides: DataFrame | None,
+                    rules: list[Rule], name: str, fallback: str,
+                    taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
+    """The categorized ledger as a written table, so a dozen reports do not repeat its joins.
+
+    The merchant table is written first: its file size tells Spark whether it may be broadcast.
+    """
+    dims = ledger.filter(F.col("merchant_key").isNotNull()).groupBy("merchant_key").agg(
+        F.min("booking_date").alias("first_seen"))
+    merchants = keep(categorize(dims, labels, rules, taxonomy), f"{name}-merchants", fallback)
+    return keep(categorized(ledger, merchants, overrides, taxonomy), f"{name}-ledger", fallback)
 
 
 def monthly_report(ledger: DataFrame, as_of: date, keys: list[str] = spend.KEYS,

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.sources.feed import numbered
+
 # Header names by field, in order of preference, compared trimmed and in lower case.
 ALIASES = {
     "account": ("posted account", "account", "masked account"),
@@ -63,16 +65,12 @@ def _read_layout(spark: SparkSession, paths: list[str], header: str, utf8: bool,
         text = F.col(f"c{position}")
         return text if utf8 else from_latin1(text)
 
-    # Splits of a file keep their byte offset, and full splits are read alone by a task, so offset
-    # plus row count orders the rows of a file and never repeats.
-    order = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(
-        F.lit((1 << 33) - 1))
-    return raw.select(
+    return numbered(raw.select(
         *[cell(at.get(name)).alias(name) for name in ALIASES],
         F.array(*[F.coalesce(cell(i), F.lit("")) for i in at["descriptions"]]).cast("array<string>")
         .alias("descriptions"),
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_path").alias("batch_id"),
-        order.alias("batch_ord"))
+        F.col("_metadata.file_block_start").alias("block_start")))
 
 
 def from_latin1(text: Column) -> Column:

@@ -28,7 +28,14 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 def shared_folder(spark: SparkSession, fallback: str | Path) -> str:
     """The folder the cluster names for checkpoints; the fallback serves only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = named or str(fallback)
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or str(fallback)
+
+
+def keep(df: DataFrame, name: str, fallback: str | Path) -> DataFrame:
+    """Write an intermediate result that several jobs read, and go on from the written table.
+
+    The table outlives lost executors, cuts the lineage and gives the planner real sizes.
+    """
+    path = f"{shared_folder(df.sparkSession, fallback)}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,7 +23,7 @@ from ledgerloom.operators.labels import authorized
 from ledgerloom.operators.policy import policy_alerts, unsent
 from ledgerloom.operators.spend import KEYS
 from ledgerloom.plans.shapes import first_per_key
-from ledgerloom.sources.feed import stream_feed
+from ledgerloom.sources.feed import numbered, stream_feed
 from ledgerloom.sources.tables import read_table, write_table
 
 
@@ -66,7 +66,7 @@ def start_ingest(spark: SparkSession, source: str, paths: Paths, currency: str =
 
     A file is never split over micro-batches, so numbering repeats per file is stable over replays.
     """
-    return _run(stream_feed(spark, source), lambda df, _: ingest_batch(df, paths, currency, names),
+    return _run(stream_feed(spark, source), lambda df, _: ingest_batch(numbered(df), paths, currency, names),
                 paths.checkpoint_ingest)
 
 
