@@ -22,7 +22,7 @@ LABEL_EVENTS = _schema(
     event_id=_S, actor_id=_S, scope=_S, txn_id=_S, merchant_key=_S, category=_S, ts=_TS
 )
 ALERT_LOG = _schema(
-    kind=_S, account_id=_S, subject_id=_S, policy=_S, period_key=_S, text=_S, created_at=_TS
+    kind=_S, account_id=_S, subject_id=_S, policy=_S, period_key=_S, text=_S, created_at=_TS, stream_batch=_L
 )
 PAYDAY_OVERRIDE = _schema(account_id=_S, cycle_month=_D, actual_date=_D, ts=_TS)
 SOURCE_CURSOR = _schema(account_id=_S, high_water=_D, coverage_start=_D)

@@ -88,7 +88,7 @@ def alert_batch(fresh: DataFrame, batch_id: int, paths: Paths, categorize: Calla
     rows = alerts.select(
         F.lit("policy_alert").alias("kind"), *keys, F.col("id").alias("subject_id"), "policy",
         F.col("month").alias("period_key"), "text", F.current_timestamp().alias("created_at"))
-    log = read_table(spark, paths.alert_log, schema.ALERT_LOG.add("stream_batch", "long"))
+    log = read_table(spark, paths.alert_log, schema.ALERT_LOG)
     earlier = log.filter(F.col("stream_batch") != batch_id)
     write_table(unsent(rows, earlier).withColumn("stream_batch", F.lit(batch_id).cast("long")),
                 paths.alert_log, "overwrite", ["stream_batch"])
