@@ -12,8 +12,10 @@ def parse_cents(text: Column) -> Column:
     Accepts a euro sign, blanks, a sign and proper thousands groups; at most two decimals.
     """
     clean = F.regexp_replace(text, r"(?U)^\s+|\s+$|[€ ]", "")
-    digits = F.regexp_replace(F.regexp_extract(clean, _AMOUNT, 0), ",", "")
-    return (digits.try_cast("decimal(18,2)") * 100).cast("long")
+    digits = F.replace(F.regexp_substr(clean, F.lit(_AMOUNT)), F.lit(","), F.lit(""))
+    # Two zeros more and two decimals kept without their point: cents, with no decimal arithmetic.
+    cents = F.regexp_replace(F.concat(digits, F.lit("00")), r"\.([0-9]{2})[0-9]*$", "$1")
+    return cents.try_cast("long")
 
 
 def format_eur(cents: Column) -> Column:

@@ -12,7 +12,7 @@ from ledgerloom.config import (
 )
 from ledgerloom.functions.dates import day_in_month, iso_date, month_bounds, month_start, shift_month
 from ledgerloom.functions.money import whole_div
-from ledgerloom.operators.spend import KEYS, _sum_if, dated, is_held_out, net_bucket, spent
+from ledgerloom.operators.spend import KEYS, sum_if, dated, is_held_out, net_bucket, spent
 from ledgerloom.plans.shapes import first_per_key
 
 
@@ -140,19 +140,22 @@ def account_status(ledger: DataFrame, as_of: date, pool_cents: int, day: int = P
         *keys, "booking_date", "amount_cents", net_bucket(threshold, taxonomy).alias("_bucket"),
         is_held_out(threshold, taxonomy).alias("_held"))
     daily = marked.groupBy(*keys, "booking_date").agg(
-        *[_sum_if(F.col("_bucket") == b, spent()).alias(name) for b, name in names.items()],
+        *[sum_if(F.col("_bucket") == b, spent()).alias(name) for b, name in names.items()],
         F.count_if("_held").alias("inflow_count"),
-        _sum_if(F.col("_held"), F.col("amount_cents")).alias("inflow_cents"),
+        sum_if(F.col("_held"), F.col("amount_cents")).alias("inflow_cents"),
     )
     measures = [*names.values(), "inflow_count", "inflow_cents"]
     bounds = cycles_around(accounts if accounts is not None else recent, as_of, day, overrides, keys)
+    about = ["cycle_start", "cycle_source", "next_payday", "days_left"]
     if keys:
-        in_cycle = bounds.join(daily, list(keys), "left")
+        counted = F.col("booking_date") >= F.col("cycle_start")
+        status = bounds.join(daily, list(keys), "left").groupBy(*keys, *about).agg(
+            *[sum_if(counted, F.col(m)).alias(m) for m in measures])
     else:
-        in_cycle = bounds.join(daily, F.col("booking_date") >= F.col("cycle_start"), "left")
-    counted = F.col("booking_date") >= F.col("cycle_start")
-    status = in_cycle.groupBy(*keys, "cycle_start", "cycle_source", "next_payday", "days_left").agg(
-        *[_sum_if(counted, F.col(m)).alias(m) for m in measures])
+        one = {name: bounds.select(name).scalar() for name in about}
+        status = daily.filter(F.col("booking_date") >= one["cycle_start"]).agg(
+            *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures]).select(
+                *[value.alias(name) for name, value in one.items()], *measures)
     discretionary = sum((F.col(names[b]) for b in taxonomy.discretionary), F.lit(0))
     status = status.withColumns({
         "pool_cents": F.lit(pool_cents).cast("long"), "discretionary_cents": discretionary,

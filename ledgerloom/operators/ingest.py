@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import iso_date, month_key, parse_date
@@ -14,7 +14,9 @@ from ledgerloom.functions.money import parse_cents
 from ledgerloom.functions.names import DEFAULT_NAME_RULES, NameRules
 from ledgerloom.operators.merchants import with_merchant_key
 from ledgerloom.operators.spend import KEYS
-from ledgerloom.plans.shapes import BLOCK_ROWS, block_of, first_per_key
+from ledgerloom.plans.shapes import (
+    BLOCK_ROWS, HOT_ROWS, block_of, compute_once, first_per_key, running_totals,
+)
 
 # States of a settled feed record, and the sources a ledger row may name.
 BOOKED = ("BOOK", "BOOKED")
@@ -52,33 +54,40 @@ def map_statements(df: DataFrame, account_map: Mapping[str, str] | DataFrame | N
     Checks run in a fixed order, so a zero row with a bad date is skipped and not rejected. Reads
     account, date, debit, credit, type, currency and `descriptions` (array); all text.
     """
-    kind = F.lower(F.trim(F.coalesce("type", F.lit(""))))
-    debit, credit = (F.trim(F.coalesce(c, F.lit(""))) for c in ("debit", "credit"))
-    labelled = df.withColumn("account_label", F.trim(F.coalesce("account", F.lit(""))))
-    rows = map_accounts(labelled, account_map or {}).withColumns({
-        "_pending": kind.rlike("pending|authori[sz]"),
-        "_blank": (debit == "") & (credit == ""),
-        "_debit": F.when(debit == "", 0).otherwise(F.abs(parse_cents(debit))),
-        "_credit": F.when(credit == "", 0).otherwise(F.abs(parse_cents(credit))),
-        "_currency": F.coalesce(F.nullif(F.upper(F.trim("currency")), F.lit("")), F.lit(currency)),
-        "booking_date": parse_date(F.col("date")),
-    }).withColumn("amount_cents", (F.col("_credit") - F.col("_debit")).cast("long"))
+    def cell(name: str) -> Column:
+        return F.trim(F.coalesce(name, F.lit("")))
+
+    def size(text: Column) -> Column:
+        return F.when(text == "", 0).otherwise(F.abs(parse_cents(text)))
+
     parts = F.filter(F.transform("descriptions", lambda x: F.trim(x)), lambda x: x != "")
-    text = F.nullif(F.concat_ws(" ", parts), F.lit(""))
+    mapped = map_accounts(df.withColumn("account_label", cell("account")), account_map or {})
+    parsed = compute_once(mapped, {
+        "_pending": F.lower("type").rlike("pending|authori[sz]"),
+        "_blank": (cell("debit") == "") & (cell("credit") == ""),
+        "_cents": (size(cell("credit")) - size(cell("debit"))).cast("long"),
+        "_currency": F.upper(cell("currency")),
+        "booking_date": parse_date(F.col("date")),
+        "_text": F.concat_ws(" ", parts),
+    })
+    cents, day = F.col("_cents"), F.col("booking_date")
+    money = F.when(F.col("_currency") == "", currency).otherwise(F.col("_currency"))
     verdict = _verdict([
         ("skip", "pending", F.col("_pending")),
         ("skip", "no_amount", F.col("_blank")),
-        ("reject", "bad_amount", F.col("amount_cents").isNull()),
-        ("skip", "zero_amount", F.col("amount_cents") == 0),
+        ("reject", "bad_amount", cents.isNull()),
+        ("skip", "zero_amount", cents == 0),
         ("reject", "no_account", F.col("account_id") == ""),
-        ("reject", "foreign_currency", F.col("_currency") != currency),
-        ("reject", "bad_date", F.col("booking_date").isNull()),
+        ("reject", "foreign_currency", money != currency),
+        ("reject", "bad_date", day.isNull()),
     ])
-    return rows.withColumns({
-        "status": verdict["status"], "reason": verdict["reason"], "currency": F.col("_currency"),
-        "id": F.lit(None).cast("string"), "value_date": F.lit(None).cast("date"),
-        "merchant_raw": text, "description": text, "source": F.lit("csv"),
-    }).drop("_pending", "_blank", "_debit", "_credit", "_currency", "account_label")
+    text = F.nullif(F.col("_text"), F.lit(""))
+    return parsed.select(
+        *[c for c in df.columns if c != "currency"], "account_id", "booking_date",
+        cents.alias("amount_cents"), money.alias("currency"), verdict["status"].alias("status"),
+        verdict["reason"].alias("reason"), F.lit(None).cast("string").alias("id"),
+        F.lit(None).cast("date").alias("value_date"), text.alias("merchant_raw"), text.alias("description"),
+        F.lit("csv").alias("source"))
 
 
 def map_feed(feed: DataFrame, currency: str = "EUR") -> DataFrame:
@@ -91,26 +100,27 @@ def map_feed(feed: DataFrame, currency: str = "EUR") -> DataFrame:
         F.from_json("remittance_information", "array<string>"), F.array("remittance_information"))
     parts = F.filter(F.transform(remittance, lambda x: F.trim(x)), lambda x: x != "")
     text = F.nullif(F.trim(F.concat_ws(" ", parts)), F.lit(""))
-    party = F.when(sign * size < 0, F.col("creditor.name")).otherwise(F.col("debtor.name"))
     money = F.upper(F.coalesce(F.nullif(F.col("transaction_amount.currency"), F.lit("")), F.lit("EUR")))
-    parsed = iso_date(day)
+    kept = [c for c in feed.columns if c in ("account_id", "file_path", "batch_id", "batch_ord")]
+    raw = F.to_json(F.struct(*sorted(c for c in feed.columns if c not in kept)))
+    parsed = compute_once(feed, {
+        "_size": size, "_sign": sign, "_dated": day.isNotNull(), "_day": iso_date(day), "_money": money, "_text": text})
+    signed = F.col("_sign") * F.col("_size")
+    party = F.when(signed < 0, F.col("creditor.name")).otherwise(F.col("debtor.name"))
     verdict = _verdict([
         ("skip", "not_booked", ~is_booked(F.col("status"))),
-        ("skip", "no_date", day.isNull()),
-        ("reject", "bad_amount", size.isNull()),
-        ("reject", "no_direction", sign.isNull()),
-        ("reject", "foreign_currency", money != currency),
-        ("reject", "bad_date", parsed.isNull()),
+        ("skip", "no_date", ~F.col("_dated")),
+        ("reject", "bad_amount", F.col("_size").isNull()),
+        ("reject", "no_direction", F.col("_sign").isNull()),
+        ("reject", "foreign_currency", F.col("_money") != currency),
+        ("reject", "bad_date", F.col("_day").isNull()),
     ])
-    kept = [c for c in feed.columns if c in ("account_id", "file_path", "batch_id", "batch_ord")]
-    return feed.select(
-        *kept, F.nullif("entry_reference", F.lit("")).alias("id"), parsed.alias("booking_date"),
-        iso_date(F.col("value_date")).alias("value_date"),
-        (sign * size).cast("long").alias("amount_cents"), money.alias("currency"),
-        F.coalesce(F.nullif(party, F.lit("")), text).alias("merchant_raw"), text.alias("description"),
-        F.lit("api").alias("source"), verdict["status"].alias("status"), verdict["reason"].alias("reason"),
-        F.to_json(F.struct(*sorted(c for c in feed.columns if c not in kept))).alias("raw"),
-    )
+    return parsed.select(
+        *kept, F.nullif("entry_reference", F.lit("")).alias("id"), F.col("_day").alias("booking_date"),
+        iso_date(F.col("value_date")).alias("value_date"), signed.cast("long").alias("amount_cents"),
+        F.col("_money").alias("currency"), F.coalesce(F.nullif(party, F.lit("")), "_text").alias("merchant_raw"),
+        F.col("_text").alias("description"), F.lit("api").alias("source"), verdict["status"].alias("status"),
+        verdict["reason"].alias("reason"), raw.alias("raw"))
 
 
 def _verdict(checks: list[tuple[str, str, Column]]) -> Column:
@@ -163,12 +173,11 @@ def rejected(df: DataFrame) -> DataFrame:
 
 
 def assign_ids(df: DataFrame, batch: str = "batch_id", position: str = "batch_ord",
-               block_rows: int = BLOCK_ROWS) -> DataFrame:
+               block_rows: int = BLOCK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Bank reference, else a hash of the booking; identical rows of one batch are numbered.
 
     Numbers restart per batch, so reading a file again gives the same ids. One booking repeated a
-    huge number of times is numbered block by block: the rows are shuffled by booking and block, and
-    only bookings that reach into a later block get their starting number from the block counts.
+    huge number of times is numbered block by block (see `running_totals`).
     """
     text = booking_text(*(F.col(c) for c in ("booking_date", "amount_cents", "merchant_raw", "account_id")))
     referenced = F.nullif(F.col("id"), F.lit(""))
@@ -176,17 +185,9 @@ def assign_ids(df: DataFrame, batch: str = "batch_id", position: str = "batch_or
         "_booking": F.coalesce(F.concat(F.lit("ref|"), referenced), F.sha2(text, 256)),
         "_block": block_of(F.col(position), block_rows),
     })
-    by = [batch, "_booking"]
-    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        rows.filter(referenced.isNull()).groupBy(*by, "_block").agg(F.count("*").alias("_n"))
-        .withColumn("_start", F.sum("_n").over(earlier))
-        .filter(F.col("_start") > 0).drop("_n")
-    )
-    within = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(position)) - 1
-    numbered = rows.withColumn("_within", within).join(starts, [*by, "_block"], "left")
-    occurrence = F.coalesce("_start", F.lit(0)) + F.col("_within")
-    return numbered.withColumn("id", F.coalesce(referenced, booking_id(text, occurrence))).select(*df.columns)
+    numbered = running_totals(rows, ["_booking", batch], ["_block"], [position], {"_nth": F.lit(1)}, hot_rows)
+    given = F.when(F.col("_nth") == 1, F.col("_booking")).otherwise(booking_id(text, F.col("_nth") - 1))
+    return numbered.withColumn("id", F.coalesce(referenced, given)).select(*df.columns)
 
 
 def append_new(ledger: DataFrame, batch: DataFrame, hashed_months: list[str] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from ledgerloom.functions.money import format_eur, ordinal
 from ledgerloom.functions.names import display_name
 from ledgerloom.operators.categorize import bucket_of
 from ledgerloom.operators.spend import KEYS, dated, is_held_out, spent
-from ledgerloom.plans.shapes import BLOCK_ROWS, block_of, running_totals
+from ledgerloom.plans.shapes import BLOCK_ROWS, HOT_ROWS, block_of, running_totals
 
 
 def policy_condition(policy: Policy, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> Column:
@@ -45,11 +45,11 @@ def match_policies(ledger: DataFrame, policies: list[Policy],
 
 def policy_progress(ledger: DataFrame, policies: list[Policy], keys: list[str] = KEYS,
                     threshold: int = INFLOW_EXCLUDE_CENTS, block_rows: int = BLOCK_ROWS,
-                    taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
+                    hot_rows: int = HOT_ROWS, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
     """Month-to-date net spend and charge number of every matching row, the row included.
 
-    Order is booking date, then insertion. A busy account's month is cut by day, batch and block of
-    rows, so no task holds all of it.
+    Order is booking date, then insertion. The month of a very busy account is cut by day, batch and
+    block of rows, so no task holds all of it.
     """
     kept = ledger.filter(~is_held_out(threshold, taxonomy)).select(
         "id", *keys, "booking_date", "batch_id", "batch_ord", "amount_cents", "merchant_raw",
@@ -62,13 +62,14 @@ def policy_progress(ledger: DataFrame, policies: list[Policy], keys: list[str] =
         matched, by=[*keys, "ord", "month"], block=["booking_date", "batch_id", "block"],
         order=["batch_ord", "id"],
         totals={"mtd_cents": spent(), "charge_number": F.when(F.col("amount_cents") < 0, 1).otherwise(0)},
+        hot_rows=hot_rows,
     ).drop("block")
 
 
 def policy_alerts(ledger: DataFrame, policies: list[Policy], as_of: date | None = None,
                   new_ids: DataFrame | None = None, keys: list[str] = KEYS,
                   threshold: int = INFLOW_EXCLUDE_CENTS, block_rows: int = BLOCK_ROWS,
-                  taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
+                  hot_rows: int = HOT_ROWS, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
     """New outflows whose first matching policy is over its cap at that point of the month.
 
     The first match alone decides; a later policy never fires for the row, though its running total
@@ -77,7 +78,7 @@ def policy_alerts(ledger: DataFrame, policies: list[Policy], as_of: date | None
     """
     if as_of is not None:
         ledger = dated(ledger, *month_bounds(as_of)[:2])
-    over = policy_progress(ledger, policies, keys, threshold, block_rows, taxonomy).filter(
+    over = policy_progress(ledger, policies, keys, threshold, block_rows, hot_rows, taxonomy).filter(
         F.col("is_first") & (F.col("amount_cents") < 0) & (F.col("mtd_cents") > F.col("cap_cents")))
     if new_ids is not None:
         over = over.join(new_ids.select("id"), "id", "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import DEFAULT_TAXONOMY, RESIDUAL_GATE_CENTS, Taxonomy
 from ledgerloom.functions.dates import month_key, month_start
 from ledgerloom.functions.money import whole_div
-from ledgerloom.operators.spend import KEYS, _sum_if, dated, spent
+from ledgerloom.operators.spend import KEYS, sum_if, dated, spent
 
 
 def reconciliation(ledger: DataFrame, start: date, end: date, keys: list[str] = KEYS,
@@ -30,13 +30,13 @@ def reconciliation(ledger: DataFrame, start: date, end: date, keys: list[str] =
     transfers = [c for b in taxonomy.non_spend_buckets if b != taxonomy.income_bucket
                  for c in taxonomy.in_bucket(b)]
     months = dated(ledger, start, end).groupBy(*keys, month_start(F.col("booking_date")).alias("_first")).agg(
-        _sum_if(into & non_spend, cents).alias("inflows_cents"),
-        _sum_if(out & fixed, spent()).alias("fixed_cents"),
-        _sum_if(out & ~fixed & ~non_spend & ~unknown, spent()).alias("variable_cents"),
-        _sum_if(out & unknown, spent()).alias("uncategorized_cents"),
-        _sum_if(out & category.isin(*transfers), spent()).alias("transfers_out_cents"),
-        _sum_if(into & ~non_spend, cents).alias("refunds_in_cents"),
-        _sum_if(out & category.isin(*taxonomy.income), spent()).alias("income_out_cents"),
+        sum_if(into & non_spend, cents).alias("inflows_cents"),
+        sum_if(out & fixed, spent()).alias("fixed_cents"),
+        sum_if(out & ~fixed & ~non_spend & ~unknown, spent()).alias("variable_cents"),
+        sum_if(out & unknown, spent()).alias("uncategorized_cents"),
+        sum_if(out & category.isin(*transfers), spent()).alias("transfers_out_cents"),
+        sum_if(into & ~non_spend, cents).alias("refunds_in_cents"),
+        sum_if(out & category.isin(*taxonomy.income), spent()).alias("income_out_cents"),
         F.sum(cents).alias("net_cents"),
         F.min("booking_date").alias("_lo"), F.max("booking_date").alias("_hi"),
     )
@@ -68,7 +68,7 @@ def budget_baseline(recon: DataFrame, configured_cents: int | None = None,
     """Monthly budget: the configured one, else the mean spend of the full months, else zero."""
     full = F.col("full_month")
     spend = F.col("fixed_cents") + F.col("variable_cents") + F.col("uncategorized_cents")
-    sums = recon.groupBy(*keys).agg(F.count_if(full).alias("_n"), _sum_if(full, spend).alias("_sum"))
+    sums = recon.groupBy(*keys).agg(F.count_if(full).alias("_n"), sum_if(full, spend).alias("_sum"))
     if configured_cents:
         budget, source = F.lit(configured_cents).cast("long"), F.lit("configured")
     else:

@@ -67,7 +67,7 @@ def trailing(ledger: DataFrame, as_of: date, days: int) -> DataFrame:
     return dated(ledger, as_of - timedelta(days=days), as_of)
 
 
-def _sum_if(condition: Column, value: Column) -> Column:
+def sum_if(condition: Column, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
 
 
@@ -130,7 +130,7 @@ def size_bands(ledger: DataFrame, start: date, end: date, keys: list[str] = KEYS
     wide = _gross_rows(ledger, start, end, keys, taxonomy).groupBy(*keys).agg(*[
         agg for i, (_, low, high) in enumerate(bands)
         for agg in (F.count_if(within(low, high)).alias(f"n{i}"),
-                    _sum_if(within(low, high), F.col("_spent")).alias(f"s{i}"))
+                    sum_if(within(low, high), F.col("_spent")).alias(f"s{i}"))
     ])
     return expand(wide, keys, [
         {"band": F.lit(label), "count": F.col(f"n{i}"), "total_cents": F.col(f"s{i}")}
@@ -149,7 +149,7 @@ def weekday_profile(ledger: DataFrame, start: date, end: date, keys: list[str] =
     on = [F.col("_spent").isNotNull() & (F.col("_day") == i) for i in range(7)]
     wide = rows.groupBy(*keys).agg(*[
         agg for i in range(7)
-        for agg in (F.count_if(on[i]).alias(f"n{i}"), _sum_if(on[i], F.col("_spent")).alias(f"s{i}"))
+        for agg in (F.count_if(on[i]).alias(f"n{i}"), sum_if(on[i], F.col("_spent")).alias(f"s{i}"))
     ])
     wide = wide.withColumns({
         "weekday_cents": sum((F.col(f"s{i}") for i in range(1, 5)), F.col("s0")),
@@ -210,7 +210,7 @@ def _net_rows(ledger: DataFrame, start: date, end: date, keys: list[str], thresh
 
 def _bucket_sums(where: Column, taxonomy: Taxonomy, prefix: str = "b") -> list[Column]:
     """One conditional sum per bucket over the rows that satisfy `where`."""
-    return [_sum_if(where & (F.col("_bucket") == b), spent()).alias(f"{prefix}{i}")
+    return [sum_if(where & (F.col("_bucket") == b), spent()).alias(f"{prefix}{i}")
             for i, b in enumerate(taxonomy.buckets)]
 
 
@@ -232,7 +232,7 @@ def unlabeled_inflows(ledger: DataFrame, start: date, end: date, keys: list[str]
     held = is_held_out(threshold, taxonomy)
     return dated(ledger, start, end).groupBy(*keys).agg(
         F.count_if(held).alias("inflow_count"),
-        _sum_if(held, F.col("amount_cents")).alias("inflow_cents"))
+        sum_if(held, F.col("amount_cents")).alias("inflow_cents"))
 
 
 def month_over_month(ledger: DataFrame, as_of: date, keys: list[str] = KEYS,
@@ -269,8 +269,8 @@ def month_surplus(ledger: DataFrame, keys: list[str] = KEYS, month: date | None
         ledger = dated(ledger, *month_bounds(month)[:2])
     income = (F.col("amount_cents") > 0) & F.col("category").isin(*taxonomy.income)
     sums = ledger.groupBy(*keys, month_key(F.col("booking_date")).alias("month")).agg(
-        _sum_if(income, F.col("amount_cents")).alias("income_cents"),
-        _sum_if(is_net(threshold, taxonomy), spent()).alias("spend_cents"))
+        sum_if(income, F.col("amount_cents")).alias("income_cents"),
+        sum_if(is_net(threshold, taxonomy), spent()).alias("spend_cents"))
     return sums.withColumn("surplus_cents", F.col("income_cents") - F.col("spend_cents"))
 
 

@@ -10,7 +10,9 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1 << 17
+BLOCK_ROWS = 1 << 20
+HOT_ROWS = 1 << 22
+SLOTS = 1 << 20
 
 
 def block_of(position: Column, rows: int = BLOCK_ROWS) -> Column:
@@ -19,27 +21,40 @@ def block_of(position: Column, rows: int = BLOCK_ROWS) -> Column:
 
 
 def running_totals(df: DataFrame, by: list[str], block: list[str], order: list[str],
-                   totals: Mapping[str, Column]) -> DataFrame:
-    """Running sums inside `by`, row included, without sending a whole group to one task.
-
-    `block` names columns that cut each group into consecutive pieces along `order`. Rows are
-    shuffled by group and block, so a hot group spreads over as many tasks as it has blocks. The
-    sums before each block come from a table holding one pre-aggregated row per block, and are
-    joined back on the partitioning the rows already have. `by` and `block` hold no nulls.
+                   totals: Mapping[str, Column], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Running sums inside `by`, row included, without sending a hot group to one task.
+
+    Groups are hashed to a fixed number of slots and the rows per slot counted, mostly map-side. That
+    table has at most SLOTS rows however large the data, so it is safe to broadcast. Groups in a slot
+    of up to `hot_rows` rows are summed by one window over one shuffle. Groups in a fuller slot are cut
+    along `block`, columns that divide a group into consecutive pieces along `order`: each piece is a
+    window of its own, and the sums of the pieces before it, one aggregated row per piece, are joined
+    back on the partitioning the rows already have. Without hot groups that side is empty and the
+    adaptive planner drops the join. `by` and `block` hold no nulls.
     """
-    inner = Window.partitionBy(*by, *block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*by).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    slotted = df.withColumn("_slot", F.pmod(F.xxhash64(*by), F.lit(SLOTS)))
+    hot = (
+        slotted.groupBy("_slot").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+        .select("_slot", F.lit(True).alias("_hot"))
+    )
+    pieces = [f"_piece{i}" for i in range(len(block))]
+    rows = slotted.join(F.broadcast(hot), "_slot", "left").withColumns(
+        {piece: F.when(F.col("_hot"), F.col(column)) for piece, column in zip(pieces, block)})
     before = {name: f"{name}__before" for name in totals}
+    earlier = Window.partitionBy(*by).orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(*by, *block)
+        rows.filter("_hot").groupBy(*by, *pieces)
         .agg(*[F.sum(value).alias(name) for name, value in totals.items()])
-        .select(*by, *block, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(b)
-                               for n, b in before.items()])
+        .select(*by, *pieces, *[F.sum(n).over(earlier).alias(b) for n, b in before.items()])
     )
-    rows = df.select("*", *[F.sum(value).over(inner).alias(name) for name, value in totals.items()])
+    within = (
+        Window.partitionBy(*by, *pieces).orderBy(*block, *order)
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    summed = rows.select("*", *[F.sum(value).over(within).alias(name) for name, value in totals.items()])
     return (
-        rows.join(offsets, [*by, *block], "inner")
-        .withColumns({name: F.col(name) + F.col(b) for name, b in before.items()})
+        summed.join(offsets, [*by, *pieces], "left")
+        .withColumns({name: F.col(name) + F.coalesce(F.col(b), F.lit(0)) for name, b in before.items()})
         .select(*df.columns, *totals)
     )
 
@@ -67,6 +82,17 @@ def expand(df: DataFrame, carry: Iterable[str], rows: Iterable[Mapping[str, Colu
     return df.select(*carry, F.inline(F.array(*items)))
 
 
+def compute_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add costly columns so that they are worked out once per row.
+
+    The optimizer copies plain expressions into every filter and column that uses them. Columns that
+    come out of a generator stay where they are, so text is parsed once however often the result is
+    tested later. Filters on these columns are therefore not pushed into the scan.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def with_total(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Add the per-key total of `value`; the totals are aggregated map-side and joined on the keys."""
     if not keys:

@@ -73,12 +73,13 @@ def test_same_day_rows_keep_their_insertion_order(ledger_of):
     assert [(a.id, a.charge_number) for a in fired(df)] == [("t-1", 2), ("t-2", 3)]
 
 
-@pytest.mark.parametrize("block_rows", [1, 2, 7, 1_000_000])
-def test_running_totals_do_not_depend_on_the_block_size(spark, block_rows):
-    df = spark.range(300).select(
-        (F.col("id") % 3).alias("k"), F.expr("id div 100").alias("day"), F.col("id").alias("pos"),
+@pytest.mark.parametrize(("block_rows", "hot_rows"), [(1, 0), (7, 0), (7, 110), (7, 1_000), (1_000_000, 0)])
+def test_running_totals_do_not_depend_on_the_cut(spark, block_rows, hot_rows):
+    df = spark.range(300).select(  # group 0 has 200 rows, group 1 has 100
+        F.when(F.col("id") % 3 == 2, 0).otherwise(F.col("id") % 3).alias("k"), F.expr("id div 100").alias("day"), F.col("id").alias("pos"),
         ((F.col("id") * 37) % 11 - 5).alias("v")).withColumn("block", block_of(F.col("pos"), block_rows))
-    got = running_totals(df, ["k"], ["day", "block"], ["pos"], {"s": F.col("v"), "n": F.when(F.col("v") < 0, 1).otherwise(0)})
+    sums = {"s": F.col("v"), "n": F.when(F.col("v") < 0, 1).otherwise(0)}
+    got = running_totals(df, ["k"], ["day", "block"], ["pos"], sums, hot_rows)
     whole = Window.partitionBy("k").orderBy("day", "pos").rowsBetween(Window.unboundedPreceding, 0)
     want = df.select("pos", F.sum("v").over(whole).alias("s"), F.sum(F.when(F.col("v") < 0, 1).otherwise(0)).over(whole).alias("n"))
     assert rows_of(got, "pos", "s", "n") == rows_of(want)
@@ -86,7 +87,7 @@ def test_running_totals_do_not_depend_on_the_block_size(spark, block_rows):
 
 def test_block_size_does_not_change_alerts(ledger_of):
     df = food(ledger_of, *[(1 + i // 10, -700) for i in range(60)])
-    assert [tuple(a) for a in fired(df, block_rows=3)] == [tuple(a) for a in fired(df)]
+    assert [tuple(a) for a in fired(df, block_rows=3, hot_rows=5)] == [tuple(a) for a in fired(df)]
 
 
 def test_watermark_and_log(ledger_of, spark):

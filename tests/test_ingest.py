@@ -142,7 +142,7 @@ def test_ids(spark):
 @pytest.mark.parametrize("block_rows", [1, 3, 1_000_000])
 def test_ids_of_a_hot_booking_in_small_blocks(spark, block_rows):
     rows = [(None, -350, "CAFE") if i % 3 else (None, -i, "OTHER") for i in range(100)]
-    got = ingest.assign_ids(batch_of(spark, rows), block_rows=block_rows)
+    got = ingest.assign_ids(batch_of(spark, rows), block_rows=block_rows, hot_rows=10)
     assert rows_of(got, "id") == rows_of(ingest.assign_ids(batch_of(spark, rows)), "id")
     assert got.select("id").distinct().count() == 100
 
