@@ -82,9 +82,9 @@ def from_latin1(text: Column) -> Column:
 def read_statements(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     """All statement files under `path` as text columns with file and row order.
 
-    Files are grouped by header and encoding; each group is one CSV scan with a fixed schema. Only
-    these groups, with their file lists, come to the driver, as any file listing does. A file that
-    is not UTF-8 throughout is read as Windows-1252 throughout. Set `multi_line` when quoted fields
+    Files are grouped by header and encoding; each group is one CSV scan with a fixed schema and no
+    shuffle. Only the names of the files come to the driver, which lists them for any scan anyway;
+    rows never do. A file that is not UTF-8 throughout is read as Windows-1252 throughout. Set `multi_line` when quoted fields
     contain line breaks; such files are not split.
     """
     groups = (

@@ -37,7 +37,16 @@ def daily_spend_stream(df: DataFrame, ts: str = "booking_ts", keys: list[str] =
 
 def weekly_spend_stream(df: DataFrame, ts: str = "booking_ts", keys: list[str] = KEYS, delay: str = "5 days",
                         taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
-    """Gross spend of the seven days ending with each day."""
+    """Gross spend of the seven days ending with each day.
+
+    On a table the rows are summed per day first, so only daily sums are spread over the seven days
+    they count for.
+    """
+    if not df.isStreaming:
+        days = daily_spend_stream(df, ts, keys, delay, taxonomy)
+        ends = F.explode(F.sequence("day", F.date_add("day", 6), F.expr("interval 1 day")))
+        return days.withColumn("day", ends).groupBy(*keys, "day").agg(
+            F.sum("spend_cents").alias("spend_cents"), F.sum("txns").alias("txns"))
     weeks = _windowed(df, F.window(ts, "7 days", "1 day"), ts, keys, delay, taxonomy)
     return weeks.select(*keys, F.date_sub(F.to_date("_w.end"), 1).alias("day"), "spend_cents", "txns")
 
