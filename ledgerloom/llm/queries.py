@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, decontam, tokenfiles
+from ledgerloom.llm import bpe, contentsort, decontam, simhash, tokenfiles
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,9 +19,25 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf, "documents"), bpe.default_path())
 
 
+def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf, "documents"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return contentsort.exact_duplicates(_table(spark, sf, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return tokenfiles.token_digests(_table(spark, sf, "documents"), bpe.default_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op9_token_files)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op4_simhash, op7_exact_dedup, op9_token_files)}
+ORACLES: dict[str, str] = {
+    "op7_exact_dedup": """
+WITH rows AS (SELECT doc_id, coalesce(length(text), 0) AS n_chars,
+  regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
+ranked AS (SELECT *, row_number() OVER same AS place, first_value(doc_id) OVER same AS keep_id,
+  count(*) OVER (PARTITION BY norm) AS group_size FROM rows
+  WINDOW same AS (PARTITION BY norm ORDER BY n_chars DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM ranked""",
+}
