@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, contentsort, decontam, simhash, tokenfiles
+from ledgerloom.llm import bpe, contentsort, decontam, linerun, sharding, simhash, tokenfiles
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,10 +19,18 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf, "documents"), bpe.default_path())
 
 
+def op3_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.assign_shards(_table(spark, sf, "documents")).drop("row_no")
+
+
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return linerun.line_digests(_table(spark, sf, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return contentsort.exact_duplicates(_table(spark, sf, "documents"))
 
@@ -31,8 +39,10 @@ def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return tokenfiles.token_digests(_table(spark, sf, "documents"), bpe.default_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op4_simhash, op7_exact_dedup, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_sharding, op4_simhash, op6_line_dedup, op7_exact_dedup, op9_token_files)}
 ORACLES: dict[str, str] = {
+    "op3_sharding": sharding.ORACLE,
+    "op6_line_dedup": linerun.ORACLE,
     "op7_exact_dedup": """
 WITH rows AS (SELECT doc_id, coalesce(length(text), 0) AS n_chars,
   regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
