@@ -207,6 +207,10 @@ def covered(spans: DataFrame, key: str = "row_no") -> DataFrame:
     )
 
 
+def _verdict(n_hit: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= F.col("n_words"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -227,4 +231,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return joined.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+        _verdict(n_hit).alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs`, with their own columns, that are not contaminated."""
+    kept = saved(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*docs.columns).alias("doc")), "documents")
+    counts, spans = hit_spans(kept.select("row_no", "doc.doc_id", "doc.text"), benchmark)
+    bad = counts.join(covered(spans), "row_no").filter(_verdict(F.col("n_hit"))).select("row_no")
+    return kept.join(bad, "row_no", "left_anti").select("doc.*")

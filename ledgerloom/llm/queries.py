@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, contentsort, decontam, linerun, sharding, simhash, tokenfiles
+from ledgerloom.llm import bpe, contentsort, decontam, linerun, passages, quality, sharding, simhash, tokenfiles, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return linerun.line_digests(_table(spark, sf, "documents"))
 
@@ -35,11 +39,21 @@ def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return contentsort.exact_duplicates(_table(spark, sf, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return tokenfiles.token_digests(_table(spark, sf, "documents"), bpe.default_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_sharding, op4_simhash, op6_line_dedup, op7_exact_dedup, op9_token_files)}
+def op10_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_decontamination, op2_bpe, op3_sharding, op4_simhash, op5_quality, op6_line_dedup, op7_exact_dedup,
+    op8_toxicity, op9_token_files, op10_passages)}
 ORACLES: dict[str, str] = {
     "op3_sharding": sharding.ORACLE,
     "op6_line_dedup": linerun.ORACLE,

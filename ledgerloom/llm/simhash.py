@@ -59,9 +59,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                                          ["row_no", "doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """row_no, doc_id and fp (the fingerprint's bits as a long) of every row; null texts count as empty."""
-    return numbered(docs, ["doc_id", "text"]).mapInArrow(in_tasks(_fingerprints), "row_no long, doc_id long, fp long")
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """row_no, doc_id and fp (the fingerprint's bits as a long) of rows with a text; null counts as empty."""
+    return rows.select("row_no", "doc_id", "text").mapInArrow(in_tasks(_fingerprints), "row_no long, doc_id long, fp long")
 
 
 def _segment(fp: Column, place: int) -> Column:
@@ -125,21 +125,34 @@ def print_links(prints: DataFrame) -> DataFrame:
     return pairs.distinct().unionByName(bucket_links(members, within_budget))
 
 
+def print_components(rows: DataFrame, first: Column) -> DataFrame:
+    """fp and `lowest`: the smallest value of `first` among all rows of the fingerprint's component."""
+    prints = saved(rows.groupBy("fp").agg(F.min(first).alias("first")), "prints")
+    linked = components(print_links(prints.select("fp"))).withColumnRenamed("node", "fp")
+    named = saved(prints.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
+    lowest = named.groupBy("component").agg(F.min("first").alias("lowest"))
+    return named.join(lowest, "component").select("fp", "lowest")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id it is linked to.
 
     Rows with equal fingerprints are one node, so copies cost nothing. Texts without words have fingerprint
     zero. A row without an id takes part; its component_id is null only if no linked row has an id.
     """
-    rows = saved(fingerprints(docs), "fingerprints")
-    return rows.join(print_components(rows), "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = saved(fingerprints(numbered(docs, ["doc_id", "text"])), "fingerprints")
+    return rows.join(print_components(rows, F.col("doc_id")), "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("lowest").alias("component_id"))
 
 
-def print_components(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """fp and component_id: the smallest `id_column` among all rows of the component."""
-    prints = saved(rows.groupBy("fp").agg(F.min(id_column).alias("first")), "prints")
-    linked = components(print_links(prints.select("fp"))).withColumnRenamed("node", "fp")
-    named = prints.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return named.join(lowest, "component").select("fp", "component_id")
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, with their own columns, that come first in their component.
+
+    First is the smallest doc_id, rows without an id last and rows that share an id by their place. All texts
+    without words are one group.
+    """
+    kept = saved(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*docs.columns).alias("doc")), "documents")
+    rows = saved(fingerprints(kept.select("row_no", "doc.doc_id", "doc.text")), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")
+    stay = print_components(rows, place).select(F.col("lowest.row_no").alias("row_no")).distinct()
+    return kept.join(stay, "row_no", "left_semi").select("doc.*")
