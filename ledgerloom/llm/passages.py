@@ -93,7 +93,6 @@ class Paragraphs:
             for row in range(ROWS_PER_BAND):
                 key = mixed(key * GRAM_STEP + values[band * ROWS_PER_BAND + row])
             self.keys[:, band] = key
-        # The content is told by the sum of the shingles, each spread with its place in the paragraph.
         self.words = words
 
     def _smallest(self, number: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -197,6 +196,8 @@ def similar(group: pa.Table, threshold: float) -> np.ndarray:
     linked = np.zeros((n, n), bool)
     for member in range(n):
         runs = run_of[offsets[member]:offsets[member + 1]]
+        if not len(runs):
+            continue
         met = np.concatenate([owners[a:b] for a, b in zip(change[runs], run_ends[runs])])
         common = np.bincount(met, minlength=n)
         linked[member] = common >= threshold * (sizes[member] + sizes - common) - 1e-9
@@ -221,7 +222,7 @@ def repeated_passages(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFr
 
     A paragraph goes where its component occurs in a document before, by doc_id (a missing id last, rows that
     share an id by their place). Overlapping and touching paragraphs of a document make one passage; passages under
-    `min_passage` words stay. keep_id is the document that keeps the first paragraph of the passage.
+    `min_passage` words stay. keep_id is the first document that keeps a paragraph of the passage.
     Repeats inside one document, null and short texts give no rows.
     """
     texts = docs.select("doc_id", "text")
@@ -245,7 +246,7 @@ def repeated_passages(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFr
     passages = islands.groupBy("row_no", "island").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"),
         F.min("start_byte").alias("start_byte"), F.max("stop_byte").alias("stop_byte"),
-        F.min_by("keep", F.struct("start", "stop"))["doc_id"].alias("keep_id"))
+        F.min("keep")["doc_id"].alias("keep_id"))
     return passages.withColumn("n_words", (F.col("stop") - F.col("start")).cast("long")) \
         .filter(F.col("n_words") >= min_passage) \
         .select("doc_id", "start", "stop", "start_byte", "stop_byte", "n_words", "keep_id")
