@@ -26,7 +26,8 @@ from ledgerloom.llm.shared import chunked, in_tasks, list_array, text_buffer
 # The pattern of byte-level pre-tokenizers of this family.
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
-CACHED_PIECES = 400_000
+CACHED_PIECES = 300_000
+CACHED_FRAGMENTS = 50_000
 NAIVE_BYTES = 48
 DECODED_ROWS = 256
 
@@ -135,7 +136,7 @@ class Vocabulary:
                 for fragment in self.fragments(word.encode()):
                     known = words.get(fragment)
                     if known is None:
-                        if len(words) >= CACHED_PIECES:
+                        if len(words) >= CACHED_FRAGMENTS:
                             words.clear()
                         known = words[fragment] = self.merged(fragment)
                     found += known
@@ -179,10 +180,28 @@ def certain_cuts(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes chunks of texts piece by piece; `fill` turns unseen pieces into little-endian id bytes."""
+    """Encodes chunks of texts piece by piece; `fill` turns unseen pieces into little-endian id bytes.
+
+    Known pieces live in two generations: when the younger is full it becomes the older, and pieces met
+    again move up, so rare pieces are forgotten and frequent ones stay.
+    """
 
     def __init__(self, inside: np.ndarray, fill: Callable[[list[bytes]], Iterable[bytes]]):
-        self.inside, self.fill, self.known = inside, fill, {}
+        self.inside, self.fill = inside, fill
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        if len(self.known) + len(pieces) > CACHED_PIECES:
+            self.known, self.older = {}, self.known
+        missing = []
+        for piece in pieces:
+            ids = self.older.get(piece)
+            if ids is None:
+                missing.append(piece)
+            else:
+                self.known[piece] = ids
+        self.known.update(zip(missing, self.fill(missing)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the offsets of each text's ids."""
@@ -192,19 +211,19 @@ class Encoder:
         mark[offsets] = True
         mark[-1] = True
         bounds = np.flatnonzero(mark)
-        raw, ends = data.tobytes(), bounds.tolist()
-        pieces = [raw[a:b] for a, b in zip(ends, ends[1:])]
+        # 0xFF is in no UTF-8 text, so it can part the pieces.
+        pieces = np.insert(data, bounds[1:-1], 0xFF).tobytes().split(b"\xff") if len(data) else []
         done = list(map(self.known.get, pieces))
         if None in done:
-            missing = list({piece for piece, ids in zip(pieces, done) if ids is None})
-            if len(self.known) + len(missing) > CACHED_PIECES:
-                self.known.clear()
-                missing = list(set(pieces))
-            self.known.update(zip(missing, self.fill(missing)))
+            unseen = {piece for piece, ids in zip(pieces, done) if ids is None}
+            if len(self.known) + len(unseen) > CACHED_PIECES:
+                unseen = set(pieces)
+            self._learn(unseen)
             done = list(map(self.known.__getitem__, pieces))
-        sizes = np.fromiter(map(len, done), np.int64, len(done)) >> 2
-        totals = np.concatenate([[0], np.cumsum(sizes)])
-        return np.frombuffer(b"".join(done), np.uint32), totals[np.searchsorted(bounds, offsets)]
+        places = np.searchsorted(bounds, offsets).tolist()
+        texts = [b"".join(done[a:b]) for a, b in zip(places, places[1:])]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) >> 2
+        return np.frombuffer(b"".join(texts), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
 
 
 @cache

@@ -69,25 +69,24 @@ class Model:
         """
         if self.step == self.rebuild_at:
             self._rebuild()
-        self.pair = ((self.previous.view(np.uint32) * PAIR_A) ^ (self.last.view(np.uint32) * PAIR_B)) >> PAIR_SHIFT
-        self.one, self.two = self.after_one[self.last], self.after_two[self.pair]
+        self.pair = (((self.previous.view(np.uint32) * PAIR_A) ^ (self.last.view(np.uint32) * PAIR_B)) >> PAIR_SHIFT).view(np.int32)
+        self.one, self.two = self.after_one.take(self.last), self.after_two.take(self.pair)
         self.guess_one, self.guess_two = self.one >> 4, self.two >> 4
         self.sure_one, self.sure_two = self.one & SURE, self.two & SURE
         self.bin = (self.sure_two << 4) | self.sure_one
         share = self.outcomes / self.outcomes.sum(axis=1, keepdims=True)
-        mass = (share[:, 1:3] * ((1 << TOTAL_BITS) - (1 << BASE_BITS))).astype(np.int64)
-        self.mass_two, self.mass_one = mass[self.bin, 0], mass[self.bin, 1]
-        self.guessed = self.mass_two + self.mass_one
+        mass = (share[:, 1:3].T * ((1 << TOTAL_BITS) - (1 << BASE_BITS))).astype(np.int64)
+        self.mass_two, self.guessed = mass[0].take(self.bin), mass.sum(axis=0).take(self.bin)
         self.rest = (1 << TOTAL_BITS) - self.guessed
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of the ids within the total."""
         self.right_two, self.right_one = ids == self.guess_two, ids == self.guess_one
-        start = (self.rest * self.base[ids]) >> BASE_BITS
-        width = ((self.rest * self.base[ids + 1]) >> BASE_BITS) - start
+        start = (self.rest * self.base.take(ids)) >> BASE_BITS
+        width = ((self.rest * self.base.take(ids + 1)) >> BASE_BITS) - start
         start += self.guessed
         np.copyto(start, self.mass_two, where=self.right_one)
-        np.copyto(width, self.mass_one, where=self.right_one)
+        np.copyto(width, self.guessed - self.mass_two, where=self.right_one)
         np.copyto(start, 0, where=self.right_two)
         np.copyto(width, self.mass_two, where=self.right_two)
         return start, width
@@ -96,7 +95,7 @@ class Model:
         """The ids whose intervals hold the places. The quotient is exact: it has under 53 bits."""
         over = place - self.guessed
         base = ((np.maximum(over, 0) + 1) << BASE_BITS) - 1
-        found = self.inverse[(base / self.rest).astype(np.int32)]
+        found = self.inverse.take((base / self.rest).astype(np.int64))
         np.copyto(found, self.guess_one, where=over < 0)
         np.copyto(found, self.guess_two, where=place < self.mass_two)
         return found

@@ -44,7 +44,7 @@ def _library_encoder(path: str) -> tuple[Encoder, int]:
     """Encodes unseen pieces with the tokenizers library, laid end to end as one text.
 
     Pieces meet at certain cuts, so the ids of the joined text are the ids of the pieces one after the
-    other; where two pieces do not meet at a certain cut, a new text begins.
+    other; where two pieces do not meet at a certain cut, and after 256 of them, a new text begins.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -63,11 +63,12 @@ def _library_encoder(path: str) -> tuple[Encoder, int]:
         cut = np.zeros(len(raw) + 1, bool)
         if len(raw) > 2:
             cut[certain_cuts(data, vocab.inside)] = True
+        cut[ends[255::256]] = False
         breaks = ends[~cut[ends]]
         starts = np.concatenate([[0], breaks])
         texts = [raw[a:b].decode() for a, b in zip(starts.tolist(), breaks.tolist())]
         ids = np.concatenate([np.array(e.ids, np.uint32)
-                              for e in tokenizer.encode_batch(texts, add_special_tokens=False)] or [[]]).astype(np.uint32)
+                              for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] or [[]]).astype(np.uint32)
         places = np.searchsorted(np.cumsum(sizes[ids]), ends, "left") + 1
         places = np.where(ends == 0, 0, places)
         packed = ids.tobytes()
