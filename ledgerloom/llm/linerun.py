@@ -9,6 +9,8 @@ later; longer repeats are deleted whole because their runs overlap.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ RUN = GRAM + WINDOW - 1
 BLANKS = " \t\r"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, with the value worked out once however often it is used, in lambdas above all."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _starts(hashes: Column, length: int) -> Column:
     """Positions (from 1) at which `length` neighbours begin."""
     last = F.size(hashes) - (length - 1)
@@ -31,23 +38,21 @@ def fingerprints(lines: Column) -> Column:
 
     A run has its content hash and the numbers of its lines in the text. Equal minima of a window count as the first.
     """
-    marked = F.transform(lines, lambda line, i: F.struct(
-        i.alias("line"), F.trim(line, F.lit(BLANKS)).alias("text")))
-    marked = F.filter(marked, lambda x: x["text"] != "")
+    marked = F.filter(F.transform(lines, lambda line, i: F.struct(
+        i.alias("line"), F.trim(line, F.lit(BLANKS)).alias("text"))), lambda x: x["text"] != "")
     hashed = F.transform(marked, lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["text"]).alias("h")))
 
-    def with_hashes(seq: Column) -> Column:
-        hashes = F.transform(seq, lambda x: x["h"])
-        grams = F.transform(_starts(hashes, GRAM), lambda i: F.xxhash64(F.slice(hashes, i, GRAM)))
-        runs = F.transform(_starts(hashes, RUN), lambda i: F.struct(
-            F.array_min(F.slice(grams, i, WINDOW)).alias("fp"),
-            (i + F.array_position(F.slice(grams, i, WINDOW), F.array_min(F.slice(grams, i, WINDOW))) - 1).alias("at"),
+    def runs(seq: Column, hashes: Column, grams: Column) -> Column:
+        return F.transform(_starts(hashes, RUN), lambda i: once(F.slice(grams, i, WINDOW), lambda window: F.struct(
+            F.array_min(window).alias("fp"), (i + F.array_position(window, F.array_min(window)) - 1).alias("at"),
             F.xxhash64(F.slice(hashes, i, RUN), F.lit(1)).alias("content"),
-            F.transform(F.slice(seq, i, RUN), lambda x: x["line"]).alias("lines")))
-        return runs
+            F.transform(F.slice(seq, i, RUN), lambda x: x["line"]).alias("lines"))))
 
-    # One element, so that what is worked out once is not worked out again for every use.
-    return F.flatten(F.transform(F.array(hashed), with_hashes))
+    def grams_of(hashes: Column) -> Column:
+        return F.transform(_starts(hashes, GRAM), lambda i: F.xxhash64(F.slice(hashes, i, GRAM)))
+
+    return once(hashed, lambda seq: once(F.transform(seq, lambda x: x["h"]), lambda hashes: once(
+        grams_of(hashes), lambda grams: runs(seq, hashes, grams))))
 
 
 def repeated_lines(rows: DataFrame) -> DataFrame:
@@ -77,10 +82,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     deleted = repeated_lines(kept.select("row_no", F.col("doc.doc_id").alias("doc_id"), "runs"))
     joined = kept.select("row_no", "doc").join(deleted, "row_no", "left")
     text = F.col("doc.text")
-    all_lines = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("deleted"))
-    cut = F.when(F.col("deleted").isNull(), text).otherwise(
-        F.array_join(F.transform(F.array_sort(left), lambda i: F.get(all_lines, i)), "\n"))
+
+    def rest(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("deleted"))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    cut = F.when(F.col("deleted").isNull(), text).otherwise(once(F.split(text, "\n"), rest))
     n_lines = F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1)
     return joined.select(
         *[(cut if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
