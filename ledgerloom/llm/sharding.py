@@ -87,9 +87,9 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, folder: str, limit: int = SHARD_BYTES) -> None:
-    """Write the documents as one folder of Parquet files per shard. Extra columns are kept."""
-    kept = saved(docs.withColumn("doc", F.struct("*")).select("doc", "doc.doc_id", "doc.text")
-                 .withColumn("place", F.monotonically_increasing_id()), "documents")
+    """Write the documents as one folder of Parquet files per shard. Extra columns are kept, but for one named shard."""
+    fields = [c for c in docs.columns if c != "shard"]
+    kept = saved(docs.select(F.struct(*fields).alias("doc"), "text", F.monotonically_increasing_id().alias("place")), "documents")
     shards = assign_shards(kept.select(F.col("place").alias("doc_id"), "text"), limit)
     joined = kept.join(shards.select(F.col("doc_id").alias("place"), F.concat(F.lit("s"), "shard").alias("shard")), "place")
     joined.select("doc.*", "shard").repartition("shard").write.partitionBy("shard").parquet(folder)
