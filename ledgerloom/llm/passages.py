@@ -1,15 +1,18 @@
 """Repeated passages across documents by MinHash banding of paragraphs.
 
-Paragraphs are stretches of at least MIN_WORDS words inside a line, from one sentence start to a later
-sentence end. They overlap: one begins at every sentence, and also where the hash of a word says so, so a
-passage set into other text holds whole paragraphs wherever it stands. Of two that begin next to each other the one with the
-smaller MinHash is kept, so a passage with two whole paragraphs shares one with its copies.
-
-Bands of MinHash values are tuned for a recall at the threshold. Bands met once are dropped by a count that
-combines before the shuffle; the texts are then read again for the paragraphs that remain, which spares
-storing all of them. Paragraphs with the same words are one class; classes that share a band are verified
-by the exact Jaccard index of their five-word shingles, and linked classes form components. The
-document with the smallest id keeps a component's passage.
+A paragraph is a line of at least MIN_WORDS words. Bands of MinHash values are tuned for a recall at the
+threshold. Paragraphs with the same words are one class; classes that share a band are verified by the
+exact Jaccard index of their five-word shingles, and linked classes form components. The document with
+the smallest id keeps a component's passage.
+
+A passage may also be set into a longer line. Lines over INSET_WORDS words therefore have inner paragraphs as
+well: stretches of at least MIN_WORDS words from one sentence start to a later sentence end (the hash of a word may
+also end a sentence, so text without marks is cut too). They overlap, one beginning at every sentence, so a
+passage has whole ones wherever it stands. Inner paragraphs match by equal words; their one band is
+their content.
+
+Bands met once are dropped by a count that combines before the shuffle; the texts are then read again for
+the paragraphs that remain, which spares storing all of them.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ from ledgerloom.llm.shared import chunked, in_tasks, saved, text_buffer
 SHINGLE = 5
 THRESHOLD = 0.8
 MIN_WORDS = 25
+INSET_WORDS = 40
 MIN_PASSAGE = 30
 ROWS_PER_BAND = 2
 RECALL = 0.95
-EXTRA_STARTS = 16
+EXTRA_STARTS = 8
 FILTER_BITS = 26
+BACK_STEP = np.uint64(pow(int(GRAM_STEP), -1, 1 << 64))
 SENTENCE_ENDS = np.frombuffer(b".!?", np.uint8)
 FACTORS = np.random.Generator(np.random.PCG64(23)).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -51,49 +56,64 @@ BANDS = bands_for(THRESHOLD, RECALL)
 
 
 class Paragraphs:
-    """All kept paragraphs of a chunk of texts."""
+    """All paragraphs of a chunk of texts: whole lines first, then the inner ones."""
 
     def __init__(self, texts: pa.Array):
         data, offsets = text_buffer(texts)
-        lower, begin, end, firsts = words_of(data, offsets)
-        self.begin, self.end, self.firsts, self.offsets = begin, end, firsts, offsets
-        words = word_hashes(lower, begin, end)
+        lower, self.begin, self.end, self.firsts = words_of(data, offsets)
+        self.offsets = offsets
+        words = word_hashes(lower, self.begin, self.end)
         n = len(words)
-        line = np.concatenate([[0], np.cumsum(data == 0x0A)])[begin] if n else np.zeros(0, np.int64)
+        line = np.concatenate([[0], np.cumsum(data == 0x0A)])[self.begin]
         last = np.ones(n, bool)
         last[:-1] = line[1:] != line[:-1]
-        last[firsts[(firsts > 0) & (firsts <= n)] - 1] = True
+        last[self.firsts[(self.firsts > 0) & (self.firsts <= n)] - 1] = True
         line_ends = np.flatnonzero(last) + 1
-        following = np.append(data, 0)[end] if n else np.zeros(0, np.uint8)
-        closing = last | np.isin(following, SENTENCE_ENDS) | (words % np.uint64(EXTRA_STARTS) == 0)
-        ends = np.flatnonzero(closing) + 1
-        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else np.zeros(0, np.int64)
-        line_end = line_ends[np.searchsorted(line_ends, starts, "right")] if n else starts
-        starts, line_end = (x[line_end - starts >= MIN_WORDS] for x in (starts, line_end))
-        stops = ends[np.minimum(np.searchsorted(ends, starts + MIN_WORDS), max(len(ends) - 1, 0))] if n else starts
-        same_line = line_end[1:] == line_end[:-1]
-        final = np.append(~same_line, True)[: len(starts)]
-        stops = np.where(final, line_end, stops)
+        line_starts = np.concatenate([[0], line_ends[:-1]])[: len(line_ends)]
+        long = line_ends - line_starts >= MIN_WORDS
+        self._hash(words)
+        closing = last | np.isin(np.append(data, 0)[self.end], SENTENCE_ENDS) | (words % np.uint64(EXTRA_STARTS) == 0)
+        inner = self._inner(np.flatnonzero(closing) + 1, line_ends)
+        self.starts = np.concatenate([line_starts[long], inner[0]])
+        self.stops = np.concatenate([line_ends[long], inner[1]])
+        self._bands(int(long.sum()))
+
+    def _hash(self, words: np.ndarray) -> None:
+        """Hashes of the shingles, and running sums from which a stretch of words gets its hash."""
+        n = len(words)
         grams = np.zeros(max(n - SHINGLE + 1, 0), np.uint64)
         for place in range(SHINGLE):
             grams = grams * GRAM_STEP + words[place: place + len(grams)]
         self.grams = mixed(grams)
-        first_values = self._smallest(0, starts, stops)
-        less = first_values[:-1] <= first_values[1:]
-        kept = np.zeros(len(starts), bool)
-        kept[:-1] |= same_line & less
-        kept[1:] |= same_line & ~less
-        alone = final & np.concatenate([[True], ~same_line])[: len(starts)]
-        kept |= alone
-        self.starts, self.stops = starts[kept], stops[kept]
-        values = [first_values[kept]] + [self._smallest(i, self.starts, self.stops) for i in range(1, BANDS * ROWS_PER_BAND)]
-        self.keys = np.empty((len(self.starts), BANDS), np.uint64)
+        powers = np.cumprod(np.full(n, GRAM_STEP, np.uint64))
+        self.back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, BACK_STEP, np.uint64))])
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * powers, dtype=np.uint64)])
+
+    def _inner(self, ends: np.ndarray, line_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
+        place = np.searchsorted(line_ends, starts, "right")
+        bounds = np.concatenate([[0], line_ends])
+        line_end = bounds[place + 1] if len(starts) else starts
+        fits = (line_end - starts >= MIN_WORDS) & (line_end - bounds[place] > INSET_WORDS)
+        starts, line_end = starts[fits], line_end[fits]
+        stops = ends[np.searchsorted(ends, starts + MIN_WORDS)] if len(starts) else starts
+        same_line = line_end[1:] == line_end[:-1]
+        final = np.append(~same_line, True)[: len(starts)]
+        stops = np.where(final, line_end, stops)
+        return starts, stops
+
+    def _bands(self, lines: int) -> None:
+        """Keys of all paragraphs; inner ones have a single key."""
+        n = len(self.starts)
+        self.keys, self.valid = np.zeros((n, BANDS), np.uint64), np.zeros((n, BANDS), bool)
+        self.valid[:lines], self.valid[lines:, 0] = True, True
         for band in range(BANDS):
-            key = np.full(len(self.starts), band + 1, np.uint64)
+            key = np.full(lines, band + 1, np.uint64)
             for row in range(ROWS_PER_BAND):
-                key = mixed(key * GRAM_STEP + values[band * ROWS_PER_BAND + row])
-            self.keys[:, band] = key
-        self.words = words
+                smallest = self._smallest(band * ROWS_PER_BAND + row, self.starts[:lines], self.stops[:lines])
+                key = mixed(key * GRAM_STEP + smallest)
+            self.keys[:lines, band] = key
+        self.keys[lines:, 0] = mixed(self.contents(np.arange(lines, n)) + np.uint64(BANDS + 1))
 
     def _smallest(self, number: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         if not len(starts):
@@ -104,12 +124,8 @@ class Paragraphs:
 
     def contents(self, which: np.ndarray) -> np.ndarray:
         """A hash of the words of the chosen paragraphs in their order."""
-        sums = np.zeros(len(which), np.uint64)
-        starts, sizes = self.starts[which], self.stops[which] - self.starts[which]
-        for place in range(int(sizes.max()) if len(which) else 0):
-            more = np.flatnonzero(sizes > place)
-            sums[more] = sums[more] * GRAM_STEP + self.words[starts[more] + place]
-        return mixed(sums + sizes.astype(np.uint64))
+        starts, stops = self.starts[which], self.stops[which]
+        return mixed((self.sums[stops] - self.sums[starts]) * self.back[starts] + (stops - starts).astype(np.uint64))
 
     def rows(self, which: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.firsts, self.starts[which], "right") - 1
@@ -135,8 +151,8 @@ def bitmap_of(rows: DataFrame, column: str) -> np.ndarray:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in chunked(batches, "text", 1 << 20):
-        keys = Paragraphs(piece.column("text")).keys.ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+        found = Paragraphs(piece.column("text"))
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys[found.valid].view(np.int64))], ["key"])
 
 
 def _units(shared: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +160,7 @@ def _units(shared: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
     row_base = TaskContext.get().partitionId() << 33
     for piece in chunked(batches, "text", 1 << 20):
         found = Paragraphs(piece.column("text"))
-        hit = in_bitmap(found.keys, shared)
+        hit = in_bitmap(found.keys, shared) & found.valid
         which = np.flatnonzero(hit.any(axis=1))
         rows = found.rows(which)
         keys = [k[h].view(np.int64) for k, h in zip(found.keys[which], hit[which])]
@@ -167,7 +183,7 @@ def _shingles(shared: np.ndarray, wanted: np.ndarray, batches: Iterator[pa.Recor
     """content and sorted distinct shingles of the paragraphs whose content is in `wanted`, once per chunk."""
     for piece in chunked(batches, "text", 1 << 20):
         found = Paragraphs(piece.column("text"))
-        which = np.flatnonzero(in_bitmap(found.keys, shared).any(axis=1))
+        which = np.flatnonzero((in_bitmap(found.keys, shared) & found.valid).any(axis=1))
         contents = found.contents(which)
         contents, places = np.unique(contents, return_index=True)
         mine = in_bitmap(contents, wanted)
