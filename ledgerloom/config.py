@@ -11,6 +11,9 @@ import re
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
+from pyspark.errors import PySparkException
+from pyspark.sql import SparkSession
+
 # Category names, bucket names and the roll-up must match for equal results.
 CATEGORIES = (
     "Rent", "Utilities", "Groceries", "Dining", "FoodDelivery", "Coffee/Snacks", "Transport",
@@ -81,9 +84,14 @@ DEFAULT_TAXONOMY = Taxonomy()
 
 
 def _check_pattern(pattern: str, what: str) -> None:
+    """Hold a pattern against the engine that will run it; without a session only against Python's."""
     try:
-        re.compile(pattern)
-    except (re.error, TypeError) as exc:
+        session = SparkSession.getActiveSession() if isinstance(pattern, str) else None
+        if session is None:
+            re.compile(pattern)
+        else:
+            session.sql("SELECT '' RLIKE :pattern", args={"pattern": pattern}).collect()
+    except (re.error, TypeError, PySparkException) as exc:
         raise ValueError(f"{what}: bad pattern {pattern!r}: {exc}") from None
 
 

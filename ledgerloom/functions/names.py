@@ -32,22 +32,19 @@ class NameRules:
     places: tuple[str, ...] = PLACES
     codes: tuple[str, ...] = TRAILING_CODES
 
+    def __post_init__(self) -> None:
+        if any(" " in place for place in self.places):
+            raise ValueError("a place is one word")
+
     @property
     def prefix_pattern(self) -> str:
+        """Any number of prefixes with something after each. Possessive, so long names need no stack."""
         forms = [rf"{_any(self.starred)}\s*\*\s*", rf"{_any(self.glued)}\s*", rf"{_any(self.spaced)}\s+"]
-        return rf"^(?:{'|'.join(forms)})+(?=\S)"
+        return rf"^(?:(?:{'|'.join(forms)})(?=\S))++"
 
     @property
-    def tail_pattern(self) -> str:
-        """Everything after the part to keep.
-
-        A code may go whenever one token stays, a place only when two stay. So either the kept part
-        is one token followed by a code, or it is the shortest run of two or more tokens after
-        which everything is a code or a place.
-        """
-        code = f"(?:{'|'.join(self.codes)})"
-        either = f"(?:{code}|{_any(self.places)})"
-        return rf"(?U)^(?:(\S+) {code}(?: {either})*|(\S+ \S+(?: \S+)*?)(?: {either})+)$"
+    def code_pattern(self) -> str:
+        return rf"(?U)^(?:{'|'.join(self.codes)})$"
 
 
 DEFAULT_NAME_RULES = NameRules()
@@ -81,5 +78,17 @@ def merchant_key(raw: Column, rules: NameRules = DEFAULT_NAME_RULES) -> Column:
     """Stable lookup key of a merchant name; empty for null or blank. Applying it twice changes nothing."""
     name = F.regexp_replace(upper_collapsed(F.coalesce(raw, F.lit(""))), _ANNOTATION, "$1")
     bare = F.regexp_replace(name, rules.prefix_pattern, "")
-    kept = F.regexp_replace(bare, rules.tail_pattern, "$1$2")
+    kept = F.get(F.transform(F.array(F.split(bare, " ")), lambda tokens: _without_tail(tokens, rules)), 0)
     return F.when(kept.rlike("[A-Z]"), kept).otherwise(name)
+
+
+def _without_tail(tokens: Column, rules: NameRules) -> Column:
+    """The tokens before the codes and places at the end, in one pass over them.
+
+    A code may go whenever one token stays, a place only when two stay.
+    """
+    def may_go(token: Column, before: Column) -> Column:
+        return (before > 0) & token.rlike(rules.code_pattern) | (before > 1) & token.isin(*rules.places)
+
+    stay = F.array_max(F.transform(tokens, lambda t, i: F.when(may_go(t, i), 0).otherwise(i + 1)))
+    return F.array_join(F.slice(tokens, 1, stay), " ")

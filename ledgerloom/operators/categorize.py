@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import COVERAGE_WINDOW_DAYS, DEFAULT_TAXONOMY, Rule, Taxonomy
+from ledgerloom.plans.shapes import with_accounts
 
 # How a label came about.
 PROVENANCE = ("dict", "manual", "regex")
@@ -109,8 +110,11 @@ def with_bucket(categorized_ledger: DataFrame, taxonomy: Taxonomy = DEFAULT_TAXO
 
 def coverage(categorized_ledger: DataFrame, as_of: date, days: int = COVERAGE_WINDOW_DAYS,
              keys: list[str] = ("account_id",), until: date | None = None,
-             taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
-    """Share of recent rows, and of their absolute value, that carry a real category."""
+             taxonomy: Taxonomy = DEFAULT_TAXONOMY, accounts: DataFrame | None = None) -> DataFrame:
+    """Share of recent rows, and of their absolute value, that carry a real category.
+
+    Both are 100 where there is no row, also for those of `accounts` that have none.
+    """
     rows = categorized_ledger.filter(F.col("booking_date") >= F.lit(as_of - timedelta(days=days)))
     if until is not None:
         rows = rows.filter(F.col("booking_date") <= F.lit(until))
@@ -126,7 +130,7 @@ def coverage(categorized_ledger: DataFrame, as_of: date, days: int = COVERAGE_WI
     def share(part: str, whole: str) -> Column:
         return F.when(F.col(whole) == 0, 100.0).otherwise(F.try_divide(100.0 * F.col(part), F.col(whole)))
 
-    return totals.select(
+    return with_accounts(totals, accounts, keys).select(
         *keys, "window_txns",
         share("_known", "window_txns").alias("count_pct"),
         share("_known_value", "_value").alias("value_pct"),

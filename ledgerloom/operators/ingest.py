@@ -15,7 +15,7 @@ from ledgerloom.functions.names import DEFAULT_NAME_RULES, NameRules
 from ledgerloom.operators.merchants import with_merchant_key
 from ledgerloom.operators.spend import KEYS
 from ledgerloom.plans.shapes import (
-    BLOCK_ROWS, HOT_ROWS, block_of, compute_once, first_per_key, running_totals,
+    BLOCK_ROWS, HOT_ROWS, block_of, compute_once, first_per_key, not_stored, running_totals,
 )
 
 # States of a settled feed record, and the sources a ledger row may name.
@@ -91,7 +91,11 @@ def map_statements(df: DataFrame, account_map: Mapping[str, str] | DataFrame | N
 
 
 def map_feed(feed: DataFrame, currency: str = "EUR") -> DataFrame:
-    """Bank-feed records to ledger columns with `status` and `reason`, as for statements."""
+    """Bank-feed records to ledger columns with `status` and `reason`, as for statements.
+
+    A line that is no record (`_corrupt_record`) is rejected as unreadable and keeps its text as `raw`.
+    """
+    broken = F.col("_corrupt_record") if "_corrupt_record" in feed.columns else F.lit(None).cast("string")
     direction = F.upper(F.coalesce("credit_debit_indicator", F.lit("")))
     size = F.abs(parse_cents(F.coalesce("transaction_amount.amount", F.lit(""))))
     sign = F.when(direction == "DBIT", -1).when(direction == "CRDT", 1)
@@ -102,16 +106,19 @@ def map_feed(feed: DataFrame, currency: str = "EUR") -> DataFrame:
     text = F.nullif(F.trim(F.concat_ws(" ", parts)), F.lit(""))
     money = F.upper(F.coalesce(F.nullif(F.col("transaction_amount.currency"), F.lit("")), F.lit("EUR")))
     kept = [c for c in feed.columns if c in ("account_id", "file_path", "batch_id", "batch_ord")]
-    raw = F.to_json(F.struct(*sorted(c for c in feed.columns if c not in kept)))
+    fields = sorted(c for c in feed.columns if c not in (*kept, "_corrupt_record"))
+    raw = F.coalesce(broken, F.to_json(F.struct(*fields)))
     parsed = compute_once(feed, {
         "_size": size, "_sign": sign, "_dated": day.isNotNull(), "_day": iso_date(day), "_money": money, "_text": text})
     signed = F.col("_sign") * F.col("_size")
     party = F.when(signed < 0, F.col("creditor.name")).otherwise(F.col("debtor.name"))
     verdict = _verdict([
+        ("reject", "unreadable", broken.isNotNull()),
         ("skip", "not_booked", ~is_booked(F.col("status"))),
         ("skip", "no_date", ~F.col("_dated")),
         ("reject", "bad_amount", F.col("_size").isNull()),
         ("reject", "no_direction", F.col("_sign").isNull()),
+        ("reject", "no_account", F.trim(F.coalesce("account_id", F.lit(""))) == ""),
         ("reject", "foreign_currency", F.col("_money") != currency),
         ("reject", "bad_date", F.col("_day").isNull()),
     ])
@@ -164,6 +171,15 @@ def validate(df: DataFrame, currency: str = "EUR") -> DataFrame:
     })
 
 
+def checked(df: DataFrame, currency: str = "EUR") -> DataFrame:
+    """Mapped rows held to the row contract: what was accepted and breaks it becomes a reject."""
+    contract = validate(df.select("*", F.struct("status", "reason").alias("_was")), currency)
+    ok = F.col("_was.status") == "ok"
+    return contract.withColumns({
+        "status": F.when(ok, F.col("status")).otherwise(F.col("_was.status")),
+        "reason": F.when(ok, F.col("reason")).otherwise(F.col("_was.reason"))}).select(*df.columns)
+
+
 def accepted(df: DataFrame) -> DataFrame:
     return df.filter(F.col("status") == "ok").drop("status", "reason")
 
@@ -193,23 +209,27 @@ def assign_ids(df: DataFrame, batch: str = "batch_id", position: str = "batch_or
 def append_new(ledger: DataFrame, batch: DataFrame, hashed_months: list[str] | None = None) -> DataFrame:
     """Rows of `batch` whose id the ledger does not hold; of repeats in the batch the first one.
 
-    Copies of an id are pruned to one per task before the shuffle. Of the ledger only ids are read.
-    When all ids are hashes the date is part of them, so passing the batch's months lets the scan
+    Copies of an id are pruned to one per task before the shuffle. Of the ledger only ids are read, and
+    only those the batch asks for are kept (see `not_stored`). When all ids are hashes the date is part of them, so passing the batch's months lets the scan
     skip every other partition.
     """
     held = ledger
     if hashed_months is not None:
         held = held.filter(F.col("booking_month").isin(*hashed_months))
     fresh = first_per_key(batch, ["id"], [F.col("batch_id"), F.col("batch_ord")])
-    return fresh.join(held.select("id"), "id", "left_anti").select(*batch.columns)
+    return not_stored(fresh, held, ["id"]).select(*batch.columns)
 
 
 def to_ledger(rows: DataFrame, loaded_at: Column, names: NameRules = DEFAULT_NAME_RULES) -> DataFrame:
-    """Stored form of accepted rows: merchant key computed once here, month for partitioning."""
+    """Stored form of accepted rows: merchant key computed once here, month for partitioning.
+
+    The stored batch id starts with the load time, so batches sort in the order they came whatever their files are called.
+    """
+    batch = F.concat_ws("|", F.date_format(loaded_at, "yyyy-MM-dd HH:mm:ss.SSSSSS"), "batch_id")
     keyed = with_merchant_key(rows, names)
     return keyed.select(
         "id", "account_id", "booking_date", "value_date", "amount_cents", "currency", "merchant_raw",
-        "merchant_key", "description", "source", "batch_id", "batch_ord", loaded_at.alias("inserted_at"),
+        "merchant_key", "description", "source", batch.alias("batch_id"), "batch_ord", loaded_at.alias("inserted_at"),
         month_key(F.col("booking_date")).alias("booking_month"))
 
 
@@ -233,7 +253,7 @@ def quarantine(bad: DataFrame, existing: DataFrame | None, payload: list[str] |
     once = first_per_key(rows, ["fingerprint"], [F.col("reason"), F.col("account_id")])
     if existing is None:
         return once
-    return once.join(existing.select("fingerprint"), "fingerprint", "left_anti").select(*rows.columns)
+    return not_stored(once, existing, ["fingerprint"]).select(*rows.columns)
 
 
 def quarantine_summary(quarantined: DataFrame) -> DataFrame:
@@ -254,13 +274,20 @@ def clip_boundary(api_ledger: DataFrame, cursor: DataFrame | None, keys: list[st
 
 
 def clip_overlap(statements: DataFrame, boundary: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Add `clipped`: the statement row lies on or after the date its account's feed covers."""
+    """Add `clipped`: the statement row lies on or after the date its account's feed covers.
+
+    Where rows carry a `status`, those that were ok and are clipped get the status clipped, as the audit counts it.
+    """
     if keys:
         rows = statements.join(boundary, list(keys), "left")
     else:
         rows = statements.withColumn("clip_before", boundary.scalar())
-    return rows.withColumn("clipped", F.coalesce(
+    rows = rows.withColumn("clipped", F.coalesce(
         F.col("booking_date") >= F.col("clip_before"), F.lit(False))).drop("clip_before")
+    if "status" not in rows.columns:
+        return rows
+    return rows.withColumn("status", F.when(
+        F.col("clipped") & (F.col("status") == "ok"), "clipped").otherwise(F.col("status")))
 
 
 def advance_cursor(cursor: DataFrame, batch: DataFrame, pulls: DataFrame) -> DataFrame:

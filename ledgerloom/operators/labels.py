@@ -15,19 +15,20 @@ def resolve_labels(requests: DataFrame, ledger: DataFrame, taxonomy: Taxonomy =
     """Find the transaction each request means and say how that went.
 
     `requests` has request_id, actor_id, ref, category, ts. A reference is the exact,
-    case-sensitive start of an id. The lengths in use are looked up first (at most one per possible
-    length), so ids join on the whole reference and an ambiguous one is counted map-side, never
-    paired with every row that starts alike.
+    case-sensitive start of an id. Ids are first held against the references' first characters, which
+    lets nearly all of the ledger go; the rest are cut to the lengths in use with those characters and
+    join on the whole reference, so an ambiguous one is counted map-side. Building this runs no job.
     """
     ref = F.trim("ref")
     wanted = requests.withColumns({"ref": ref, "_category": resolve_category(F.col("category"), taxonomy)})
     refs = wanted.filter(F.length("ref") >= MIN_REF_CHARS).select("ref").distinct()
-    lengths = sorted(row[0] for row in refs.select(F.length("ref")).distinct().collect())
-    starts = F.array(*[
-        F.when(F.length("id") >= n, F.substring("id", 1, n)) for n in lengths
-    ]) if lengths else F.array().cast("array<string>")
+    begin = F.substring("ref", 1, MIN_REF_CHARS)
+    begins = refs.groupBy(begin.alias("_begin")).agg(F.collect_set(F.length("ref")).alias("_lengths"))
+    reached = F.filter("_lengths", lambda n: n <= F.length("id"))
     found = (
-        ledger.select("id", "merchant_key", F.explode(F.array_compact(starts)).alias("ref"))
+        ledger.select("id", "merchant_key", F.substring("id", 1, MIN_REF_CHARS).alias("_begin")).join(begins, "_begin")
+        .select("id", "merchant_key", F.explode(reached).alias("_n"))
+        .select("id", "merchant_key", F.substring(F.col("id"), F.lit(1), F.col("_n")).alias("ref"))
         .join(refs, "ref")
         .groupBy("ref").agg(F.count("*").alias("_hits"),
                             F.min(F.struct("id", "merchant_key")).alias("_hit"))

@@ -13,7 +13,7 @@ from ledgerloom.functions.money import format_eur, ordinal
 from ledgerloom.functions.names import display_name
 from ledgerloom.operators.categorize import bucket_of
 from ledgerloom.operators.spend import KEYS, dated, is_held_out, spent
-from ledgerloom.plans.shapes import BLOCK_ROWS, HOT_ROWS, block_of, running_totals
+from ledgerloom.plans.shapes import BLOCK_ROWS, HOT_ROWS, block_of, not_stored, running_totals
 
 
 def policy_condition(policy: Policy, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> Column:
@@ -104,4 +104,4 @@ def new_since(ledger: DataFrame, mark: str | None) -> DataFrame:
 
 def unsent(alerts: DataFrame, alert_log: DataFrame, on: list[str] = ("kind", "subject_id")) -> DataFrame:
     """Alerts not in the log yet."""
-    return alerts.join(alert_log.select(*on).distinct(), list(on), "left_anti")
+    return not_stored(alerts, alert_log, list(on))

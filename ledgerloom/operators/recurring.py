@@ -61,7 +61,8 @@ def _day_gaps() -> Column:
 
 
 def detect_recurring(ledger: DataFrame, as_of: date, limits: RecurringLimits = RecurringLimits(),
-                     keys: list[str] = KEYS, until: date | None = None) -> DataFrame:
+                     keys: list[str] = KEYS, until: date | None = None,
+                     merchants: DataFrame | None = None) -> DataFrame:
     """Merchants charging a steady amount at a monthly or weekly rhythm that have not stopped.
 
     Pass one reduces each merchant to counts, moments and its set of distinct dates, which cannot
@@ -69,12 +70,16 @@ def detect_recurring(ledger: DataFrame, as_of: date, limits: RecurringLimits = R
     their number is needed. Medians come from those small arrays. Pass two fetches the amounts of
     the merchants that are left: a median gap of a day or more means at most about two charges per
     calendar day, so their exact median is over a bounded list too.
+
+    `first_seen` is when the merchant was first seen at all, refunds included: from the table of
+    `merchants` (merchant_key, first_seen) where one is passed, else from the ledger's rows of the
+    merchants that are left.
     """
     charges = _charges(ledger, until)
     by = [*keys, "merchant_key"]
     stats = charges.groupBy(*by).agg(
         F.count("*").alias("occurrences"), F.avg(spent()).alias("_mean"), F.stddev_pop(spent()).alias("_sd"),
-        F.min("booking_date").alias("first_seen"), F.max("booking_date").alias("_last"),
+        F.max("booking_date").alias("_last"),
         F.array_sort(F.collect_set("booking_date")).alias("_days"),
     ).filter((F.col("occurrences") >= limits.min_occurrences)
              & (F.col("_sd") / F.col("_mean") < limits.amount_cv_max))
@@ -93,12 +98,18 @@ def detect_recurring(ledger: DataFrame, as_of: date, limits: RecurringLimits = R
         "period": period, "next_expected": F.date_add("_last", F.col("interval_days")),
     }).filter(F.col("period").isNotNull()
               & (F.col("next_expected") >= F.date_sub(F.lit(as_of), F.col("interval_days"))))
-    live = live.select(*by, "period", "interval_days", "next_expected", "first_seen", "occurrences")
+    live = live.select(*by, "period", "interval_days", "next_expected", "occurrences")
     amounts = (
         charges.select(*by, spent().alias("_spend")).join(live.select(*by), by)
         .groupBy(*by).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _spend)").cast("long")
                           .alias("amount_cents"))
     )
+    if merchants is None:
+        rows = ledger if until is None else ledger.filter(F.col("booking_date") <= F.lit(until))
+        seen = rows.join(live.select(*by), by, "left_semi").groupBy(*by).agg(F.min("booking_date").alias("first_seen"))
+        live = live.join(seen, by)
+    else:
+        live = live.join(merchants.select("merchant_key", "first_seen"), "merchant_key", "left")
     per_year = F.when(F.col("period") == "monthly", 12).otherwise(52)
     return live.join(amounts, by).withColumn("annualized_cents", F.col("amount_cents") * per_year)
 

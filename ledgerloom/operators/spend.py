@@ -17,7 +17,7 @@ from ledgerloom.config import (
 )
 from ledgerloom.functions.dates import month_bounds, month_key, month_start, shift_month
 from ledgerloom.operators.categorize import bucket_of
-from ledgerloom.plans.shapes import expand, top_per_key, with_total
+from ledgerloom.plans.shapes import expand, top_per_key, with_accounts
 
 KEYS = ("account_id",)
 
@@ -95,7 +95,7 @@ def category_pareto(ledger: DataFrame, start: date, end: date, keys: list[str] =
     upto = whole.orderBy(F.desc("spend_cents"), "category").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("spend_cents").over(whole)
     return by_category.withColumns({
-        "pct": _share("spend_cents", total),
+        "rank": F.row_number().over(whole.orderBy(F.desc("spend_cents"), "category")), "pct": _share("spend_cents", total),
         "running": F.sum("spend_cents").over(upto),
     }).withColumn("cum_pct", _share("running", total)).drop("running")
 
@@ -111,18 +111,23 @@ def merchant_pareto(ledger: DataFrame, start: date, end: date, keys: list[str] =
         .groupBy(*keys, F.coalesce("merchant_key", F.lit("(unlinked)")).alias("merchant"), "category")
         .agg(F.sum(spent()).alias("spend"), F.count("*").alias("n"))
     )
-    by_merchant = by_category.groupBy(*keys, "merchant").agg(
+    # The total of a key is one more row of the same aggregation, ranked before its merchants.
+    sums = by_category.groupingSets([[*keys, "merchant"], [*keys]], *keys, "merchant").agg(
+        F.grouping("merchant").alias("_whole"),
         F.min_by("category", F.struct(-F.col("n"), "category")).alias("category"),
         F.sum("spend").alias("spend_cents"), F.sum("n").alias("txns"),
     )
-    totals = with_total(by_merchant, list(keys), "spend_cents", "_total")
-    ranked = top_per_key(totals, list(keys), [F.desc("spend_cents"), F.col("merchant")], top)
-    return ranked.withColumn("pct", _share("spend_cents", F.col("_total"))).drop("_total")
+    ranked = top_per_key(sums, list(keys), [F.desc("_whole"), F.desc("spend_cents"), F.col("merchant")], top + 1)
+    total = F.max(F.when(F.col("_whole") == 1, F.col("spend_cents"))).over(Window.partitionBy(*keys))
+    return (
+        ranked.withColumn("_total", total).filter("_whole = 0")
+        .withColumns({"rank": F.col("rank") - 1, "pct": _share("spend_cents", F.col("_total"))}).drop("_total", "_whole")
+    )
 
 
 def size_bands(ledger: DataFrame, start: date, end: date, keys: list[str] = KEYS, bands=SIZE_BANDS,
-               taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
-    """Count and total of gross spend per size band, every band present."""
+               taxonomy: Taxonomy = DEFAULT_TAXONOMY, accounts: DataFrame | None = None) -> DataFrame:
+    """Count and total of gross spend per size band, every band present, for every one of `accounts`."""
     def within(low: int, high: int | None) -> Column:
         inside = F.col("_spent") >= low
         return inside if high is None else inside & (F.col("_spent") < high)
@@ -132,7 +137,7 @@ def size_bands(ledger: DataFrame, start: date, end: date, keys: list[str] = KEYS
         for agg in (F.count_if(within(low, high)).alias(f"n{i}"),
                     sum_if(within(low, high), F.col("_spent")).alias(f"s{i}"))
     ])
-    return expand(wide, keys, [
+    return expand(with_accounts(wide, accounts, keys), keys, [
         {"band": F.lit(label), "count": F.col(f"n{i}"), "total_cents": F.col(f"s{i}")}
         for i, (label, _, _) in enumerate(bands)
     ])
@@ -143,7 +148,7 @@ DAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
 
 def weekday_profile(ledger: DataFrame, start: date, end: date, keys: list[str] = KEYS,
-                    taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
+                    taxonomy: Taxonomy = DEFAULT_TAXONOMY, accounts: DataFrame | None = None) -> DataFrame:
     """Gross spend per weekday, every day present, with the weekday and weekend totals alongside."""
     rows = _gross_rows(ledger, start, end, keys, taxonomy).withColumn("_day", F.weekday("booking_date"))
     on = [F.col("_spent").isNotNull() & (F.col("_day") == i) for i in range(7)]
@@ -151,7 +156,7 @@ def weekday_profile(ledger: DataFrame, start: date, end: date, keys: list[str] =
         agg for i in range(7)
         for agg in (F.count_if(on[i]).alias(f"n{i}"), sum_if(on[i], F.col("_spent")).alias(f"s{i}"))
     ])
-    wide = wide.withColumns({
+    wide = with_accounts(wide, accounts, keys).withColumns({
         "weekday_cents": sum((F.col(f"s{i}") for i in range(1, 5)), F.col("s0")),
         "weekend_cents": F.col("s5") + F.col("s6"),
     })
@@ -196,9 +201,11 @@ def burn_rate(ledger: DataFrame, start: date, end: date, budget_cents: int, keys
 
 
 def spend_total(ledger: DataFrame, start: date, end: date, keys: list[str] = KEYS,
-                taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
-    return gross_spend(ledger, start, end, taxonomy).groupBy(*keys).agg(
+                taxonomy: Taxonomy = DEFAULT_TAXONOMY, accounts: DataFrame | None = None) -> DataFrame:
+    """Number and sum of gross outflows; zero for those of `accounts` that have none."""
+    sums = gross_spend(ledger, start, end, taxonomy).groupBy(*keys).agg(
         F.count("*").alias("txns"), F.coalesce(F.sum(spent()), F.lit(0)).alias("spend_cents"))
+    return with_accounts(sums, accounts, keys)
 
 
 def _net_rows(ledger: DataFrame, start: date, end: date, keys: list[str], threshold: int,
@@ -215,11 +222,11 @@ def _bucket_sums(where: Column, taxonomy: Taxonomy, prefix: str = "b") -> list[C
 
 
 def spend_by_bucket(ledger: DataFrame, start: date, end: date, keys: list[str] = KEYS,
-                    threshold: int = INFLOW_EXCLUDE_CENTS,
-                    taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
-    """Net spend per bucket, every bucket present."""
+                    threshold: int = INFLOW_EXCLUDE_CENTS, taxonomy: Taxonomy = DEFAULT_TAXONOMY,
+                    accounts: DataFrame | None = None) -> DataFrame:
+    """Net spend per bucket, every bucket present, for every one of `accounts`."""
     rows = _net_rows(ledger, start, end, keys, threshold, taxonomy)
-    wide = rows.groupBy(*keys).agg(*_bucket_sums(F.lit(True), taxonomy))
+    wide = with_accounts(rows.groupBy(*keys).agg(*_bucket_sums(F.lit(True), taxonomy)), accounts, keys)
     return expand(wide, keys, [
         {"bucket": F.lit(b), "net_cents": F.col(f"b{i}")} for i, b in enumerate(taxonomy.buckets)
     ])
@@ -262,24 +269,30 @@ def month_over_month(ledger: DataFrame, as_of: date, keys: list[str] = KEYS,
 
 
 def month_surplus(ledger: DataFrame, keys: list[str] = KEYS, month: date | None = None,
-                  threshold: int = INFLOW_EXCLUDE_CENTS,
-                  taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
-    """Income less net spend, for one month or for all months in one pass."""
-    if month is not None:
-        ledger = dated(ledger, *month_bounds(month)[:2])
+                  threshold: int = INFLOW_EXCLUDE_CENTS, taxonomy: Taxonomy = DEFAULT_TAXONOMY,
+                  accounts: DataFrame | None = None) -> DataFrame:
+    """Income less net spend, for one month or for all months in one pass.
+
+    For one month the answer is zero where nothing was booked: of the whole ledger without keys, and of every
+    one of `accounts`.
+    """
     income = (F.col("amount_cents") > 0) & F.col("category").isin(*taxonomy.income)
-    sums = ledger.groupBy(*keys, month_key(F.col("booking_date")).alias("month")).agg(
-        sum_if(income, F.col("amount_cents")).alias("income_cents"),
-        sum_if(is_net(threshold, taxonomy), spent()).alias("spend_cents"))
+    measures = [sum_if(income, F.col("amount_cents")).alias("income_cents"),
+                sum_if(is_net(threshold, taxonomy), spent()).alias("spend_cents")]
+    if month is None:
+        sums = ledger.groupBy(*keys, month_key(F.col("booking_date")).alias("month")).agg(*measures)
+    else:
+        sums = with_accounts(dated(ledger, *month_bounds(month)[:2]).groupBy(*keys).agg(*measures), accounts, keys)
+        sums = sums.select(*keys, F.lit(f"{month:%Y-%m}").alias("month"), "income_cents", "spend_cents")
     return sums.withColumn("surplus_cents", F.col("income_cents") - F.col("spend_cents"))
 
 
 def surplus_vs_target(ledger: DataFrame, as_of: date, keys: list[str] = KEYS,
                       target_cents: int = SURPLUS_TARGET_CENTS, threshold: int = INFLOW_EXCLUDE_CENTS,
-                      taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
-    """Surplus of the last completed month against the target."""
+                      taxonomy: Taxonomy = DEFAULT_TAXONOMY, accounts: DataFrame | None = None) -> DataFrame:
+    """Surplus of the last completed month against the target, for every one of `accounts`."""
     last_month = shift_month(month_bounds(as_of)[0], -1)
-    return month_surplus(ledger, keys, last_month, threshold, taxonomy).withColumns({
+    return month_surplus(ledger, keys, last_month, threshold, taxonomy, accounts).withColumns({
         "target_cents": F.lit(target_cents).cast("long"),
         "met": F.col("surplus_cents") >= target_cents,
     })

@@ -80,7 +80,7 @@ def feed_map(spark, sf):
 
 def booked_rows(spark, sf):
     rows = ingest.booked(star.feed_rows(spark, sf))
-    return rows.groupBy(F.coalesce("status", F.lit("none")).alias("status")).agg(F.count("*").alias("rows"))
+    return rows.select("batch_ord", F.coalesce("status", F.lit("none")).alias("status"))
 
 
 def row_contract(spark, sf):
@@ -99,7 +99,7 @@ def row_contract(spark, sf):
 
 def currency_gate(spark, sf):
     feed = star.feed_rows(spark, sf).select(F.col("transaction_amount.currency").alias("currency"), "batch_ord")
-    return ingest.currency_gate(feed).groupBy("status", "reason").agg(F.count("*").alias("rows"))
+    return ingest.currency_gate(feed).select("batch_ord", "status", "reason")
 
 
 def account_labels(spark, sf):
@@ -127,6 +127,30 @@ def row_ids(spark, sf):
         "id", "booking_date", "amount_cents", "merchant_raw", "account_id", "batch_id")
 
 
+def row_ids_hot(spark, sf):
+    """The numbering of `row_ids` with every group cut into blocks, and rows without a batch."""
+    repeats = _repeats(spark, sf).withColumn("batch_id", F.nullif(F.col("batch_id"), F.lit("N")))
+    return ingest.assign_ids(repeats, block_rows=5_000, hot_rows=1).select(
+        "id", "booking_date", "amount_cents", "merchant_raw", "account_id", "batch_id")
+
+
+def feed_rejects(spark, sf):
+    """Feed records without an account, and lines that are no record, as they go to quarantine."""
+    kind, rows = F.col("debtor.name"), star.feed_rows(spark, sf)
+    broken = F.when(F.col("batch_ord") % 7 == 0, F.concat(F.lit('{"account_id": "'), F.col("batch_ord").cast("string")))
+    feed = rows.withColumns({
+        "_corrupt_record": broken, "account_id": F.when(kind.startswith("purchase"), F.lit(" ")).otherwise(F.col("account_id"))})
+    mapped = ingest.checked(ingest.map_feed(feed))
+    return ingest.rejected(mapped).select("batch_ord", "reason", F.when(F.col("reason") == "unreadable", F.col("raw")).alias("raw"))
+
+
+def long_names(spark, sf):
+    """Whole document texts taken as merchant names, with codes and places at the end."""
+    raw = F.concat(F.lit("POS "), F.replace(F.coalesce("text", F.lit("")), F.lit("ß"), F.lit("ss")), F.lit(" 123 CORK D2"))
+    key = merchant_key(raw)
+    return star.table(spark, sf, "documents").select("doc_id", F.length(key).alias("key_chars"), F.md5(key).alias("key_md5"))
+
+
 def _keyed_lines(spark, sf):
     return star.table(spark, sf, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"),
@@ -202,6 +226,8 @@ def next_pull(spark, sf):
 
 def ingest_counts(spark, sf):
     mapped = ingest.map_statements(star.statement_rows(spark, sf))
+    feed = mapped.filter(F.col("booking_date") >= F.lit(date(2000, 1, 1)))
+    mapped = ingest.clip_overlap(mapped, ingest.clip_boundary(feed.filter("status = 'ok'"), None))
     good = ingest.accepted(mapped).withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
     first = ingest.first_per_key(good, ["id"], [F.col("batch_ord"), F.col("file_path"), F.col("l_partkey")])
     return ingest.ingest_audit(mapped, first)
@@ -209,8 +235,7 @@ def ingest_counts(spark, sf):
 
 def combined_sources(spark, sf):
     both = ingest.combine(star.sales_ledger(spark, sf).drop("merchant_key"), star.income_ledger(spark, sf))
-    return both.groupBy("batch_id").agg(
-        F.count("*").alias("rows"), F.count("merchant_key").alias("keyed"), F.sum("amount_cents").alias("cents"))
+    return both.select("batch_id", "id", "account_id", "merchant_key", "amount_cents")
 
 
 # ── merchants and categories ──────────────────────────────────────────────────
@@ -312,7 +337,7 @@ def bucket_rollup(spark, sf):
 
 
 def category_coverage(spark, sf):
-    return _rounded(cat.coverage(_household(spark, sf), AS_OF), "count_pct", "value_pct")
+    return _rounded(cat.coverage(_household(spark, sf), AS_OF, accounts=star.accounts(spark, sf)), "count_pct", "value_pct")
 
 
 def category_coverage_whole(spark, sf):
@@ -367,7 +392,7 @@ def name_lookup(spark, sf):
         F.when(F.col("event_type") == "view", " MISC. ").when(F.col("event_type") == "click", "coffee/SNACKS")
         .when(F.col("event_type") == "error", "food delivery").when(F.col("event_type") == "signup", "other")
         .otherwise("fixed").alias("name"))
-    return cat.resolve_names(typed).groupBy("name", "category", "bucket").agg(F.count("*").alias("rows"))
+    return cat.resolve_names(typed)
 
 
 # ── spend ─────────────────────────────────────────────────────────────────────
@@ -401,11 +426,11 @@ def merchant_pareto_whole(spark, sf):
 
 
 def size_bands(spark, sf):
-    return spend.size_bands(star.event_ledger(spark, sf), date(2024, 1, 1), EVENTS_AS_OF)
+    return spend.size_bands(star.event_ledger(spark, sf), date(2024, 1, 1), EVENTS_AS_OF, accounts=star.accounts(spark, sf))
 
 
 def weekday_profile(spark, sf):
-    return spend.weekday_profile(_household(spark, sf), *WINDOW)
+    return spend.weekday_profile(_household(spark, sf), *WINDOW, accounts=star.accounts(spark, sf))
 
 
 def daily_spend(spark, sf):
@@ -417,11 +442,11 @@ def burn_rate(spark, sf):
 
 
 def spend_totals(spark, sf):
-    return spend.spend_total(_household(spark, sf), *WINDOW)
+    return spend.spend_total(_household(spark, sf), *WINDOW, accounts=star.accounts(spark, sf))
 
 
 def bucket_spend(spark, sf):
-    return spend.spend_by_bucket(_household(spark, sf), *WINDOW, threshold=THRESHOLD)
+    return spend.spend_by_bucket(_household(spark, sf), *WINDOW, threshold=THRESHOLD, accounts=star.accounts(spark, sf))
 
 
 def held_inflows(spark, sf):
@@ -437,7 +462,7 @@ def month_surplus(spark, sf):
 
 
 def surplus_target(spark, sf):
-    return spend.surplus_vs_target(_household(spark, sf), AS_OF, threshold=THRESHOLD)
+    return spend.surplus_vs_target(_household(spark, sf), AS_OF, threshold=THRESHOLD, accounts=star.accounts(spark, sf))
 
 
 def bucket_breakdown(spark, sf):
@@ -530,7 +555,8 @@ def account_status_whole(spark, sf):
 
 
 def weekly_plan(spark, sf):
-    status = cycle.account_status(_household(spark, sf), AS_OF, POOL_CENTS, threshold=THRESHOLD)
+    status = cycle.account_status(_household(spark, sf), AS_OF, POOL_CENTS, threshold=THRESHOLD,
+                                  accounts=star.accounts(spark, sf))
     return cycle.weekly_plan(status).select(
         "account_id", "days_left", "weeks_left", "remaining_cents", "week_budget_cents", "weekly_rail_cents", "light")
 
@@ -547,6 +573,15 @@ def policy_progress(spark, sf):
         "batch_ord", "account_id", "ord", "mtd_cents", "charge_number")
 
 
+def policy_progress_hot(spark, sf):
+    """The running totals of `policy_progress` with every group cut, and rows without an account or a batch."""
+    rows = star.event_ledger(spark, sf).withColumns({
+        "account_id": F.when(F.col("batch_ord") % 3 != 0, F.col("account_id")),
+        "batch_id": F.when(F.col("batch_ord") % 2 == 0, F.col("batch_id"))})
+    return policy.policy_progress(rows, POLICIES, threshold=1_000, block_rows=50, hot_rows=1).select(
+        "batch_ord", "account_id", "ord", "mtd_cents", "charge_number")
+
+
 def policy_alerts(spark, sf):
     return policy.policy_alerts(star.event_ledger(spark, sf), POLICIES, threshold=1_000)
 
@@ -591,6 +626,13 @@ def bill_alerts(spark, sf):
     return bill_ops.bill_alerts(_bill_state(spark, sf))
 
 
+def bill_alerts_unsent(spark, sf):
+    """Bill alerts that a log of all late ones, and of a half of the others, lacks."""
+    alerts = bill_ops.bill_alerts(_bill_state(spark, sf))
+    log = alerts.filter((F.col("kind") == "late") | F.col("account_id").cast("long").bitwiseAND(1).cast("boolean"))
+    return policy.unsent(alerts, log, ["account_id", "period_key"]).select("account_id", "bill", "kind", "due", "period_key")
+
+
 def bill_checklist(spark, sf):
     return bill_ops.bill_checklist(_bill_state(spark, sf))
 
@@ -654,7 +696,7 @@ QUERIES = {
     f.__name__: f for f in (
         money_parse, date_parse, statement_map, feed_map, booked_rows, row_contract, currency_gate, account_labels,
         row_ids, append_once, quarantine_rows, quarantine_counts, clip_dates, clip_statements,
-        clip_statements_whole, cursor_advance, next_pull, ingest_counts, combined_sources,
+        clip_statements_whole, row_ids_hot, feed_rejects, long_names, cursor_advance, next_pull, ingest_counts, combined_sources,
         merchant_names, merchant_dimension, name_collisions, stale_labels, rule_matches, label_validity, cascade,
         cascade_counts, effective_categories, bucket_rollup, category_coverage, category_coverage_whole,
         relabel_requests, relabel_events, latest_labels, latest_overrides, single_overrides, name_lookup,
@@ -663,8 +705,8 @@ QUERIES = {
         held_inflows, month_over_month, month_surplus, surplus_target, bucket_breakdown, weekly_digest, top_movers,
         top_spends, latest_in_category, reconciliation, reconciliation_whole, gate_verdict, budget_baseline,
         payday_months, payday_calendar, pay_cycles, cycle_spend, safe_to_spend, account_status,
-        account_status_whole, weekly_plan, policy_matches, policy_progress, policy_alerts, policy_alerts_whole,
-        alerts_unsent, rows_since_mark, current_dues, bill_matches, bill_alerts, bill_checklist, charge_gaps,
+        account_status_whole, weekly_plan, policy_matches, policy_progress, policy_progress_hot, policy_alerts, policy_alerts_whole,
+        alerts_unsent, rows_since_mark, current_dues, bill_matches, bill_alerts, bill_alerts_unsent, bill_checklist, charge_gaps,
         recurring_charges, recurring_totals, daily_windows, weekly_windows, deduped_events, emitted_once,
         secret_shapes, secret_flags, pattern_hits, redacted_texts,
     )

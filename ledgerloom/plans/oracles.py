@@ -15,6 +15,9 @@ LONG = "booking_date BETWEEN DATE '1999-01-15' AND DATE '2001-06-30'"
 EVENTS = "booking_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-25'"
 
 
+ACCOUNTS = "SELECT CAST(c_custkey AS VARCHAR) AS account_id FROM customer"
+
+
 def net(threshold: int) -> str:
     return (f"category NOT IN ('Income','Transfers') AND NOT "
             f"(amount_cents >= {threshold} AND category = 'Uncategorized')")
@@ -37,13 +40,14 @@ sales AS (
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN named ON l_partkey = p_partkey),
 income AS (
  SELECT 'order-' || o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS account_id, CAST(o_orderdate AS DATE) AS booking_date,
-  CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'F' THEN -1 ELSE 1 END
-   * CAST(round(o_totalprice * 100) AS BIGINT) AS amount_cents,
-  CASE WHEN o_orderpriority = '1-URGENT' THEN 'SALARY' ELSE 'HOUSE TRANSFER' END AS merchant_raw,
-  CASE WHEN o_orderpriority = '1-URGENT' THEN 'SALARY' ELSE 'HOUSE TRANSFER' END AS merchant_key,
-  CASE WHEN o_orderpriority = '1-URGENT' THEN 'Income' ELSE 'Transfers' END AS category,
+  CASE WHEN o_orderpriority = '2-HIGH' THEN -(CAST(round(o_totalprice * 100) AS BIGINT) // 1000)
+   WHEN o_orderpriority[1:1] IN ('4', '5') AND o_orderstatus = 'F' THEN -CAST(round(o_totalprice * 100) AS BIGINT)
+   ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS amount_cents,
+  CASE o_orderpriority[1:1] WHEN '1' THEN 'SALARY' WHEN '2' THEN 'BANK FEE' WHEN '3' THEN 'BONUS' ELSE 'HOUSE TRANSFER' END AS merchant_raw,
+  CASE o_orderpriority[1:1] WHEN '1' THEN 'SALARY' WHEN '2' THEN 'BANK FEE' WHEN '3' THEN 'BONUS' ELSE 'HOUSE TRANSFER' END AS merchant_key,
+  CASE o_orderpriority[1:1] WHEN '1' THEN 'Income' WHEN '2' THEN 'Fees' WHEN '3' THEN 'Income' ELSE 'Transfers' END AS category,
   'income' AS batch_id, o_orderkey AS batch_ord
- FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')),
+ FROM orders),
 hh AS (SELECT * FROM sales UNION ALL BY NAME SELECT * FROM income)"""
 
 EVENT = """ev AS (
@@ -259,9 +263,10 @@ ch AS (SELECT account_id, merchant_key, booking_date, -amount_cents AS spend,
   date_diff('day', lag(booking_date) OVER (PARTITION BY account_id, merchant_key ORDER BY booking_date, batch_ord), booking_date) AS gap
  FROM ev WHERE amount_cents < 0),
 med AS (
- SELECT account_id, merchant_key, count(*) AS occurrences, min(booking_date) AS first_seen, max(booking_date) AS last_day,
+ SELECT account_id, merchant_key, count(*) AS occurrences, max(booking_date) AS last_day,
   stddev_pop(spend) / avg(spend) AS cv, quantile_disc(spend, 0.5) AS amount_cents, quantile_disc(gap, 0.5) AS interval_days
  FROM ch GROUP BY ALL),
+seen AS (SELECT account_id, merchant_key, min(booking_date) AS first_seen FROM ev GROUP BY ALL),
 dev AS (
  SELECT c.account_id, c.merchant_key, quantile_disc(abs(gap - interval_days), 0.5) AS mad
  FROM ch c JOIN med m ON c.account_id = m.account_id AND c.merchant_key = m.merchant_key WHERE gap IS NOT NULL GROUP BY ALL),
@@ -270,6 +275,7 @@ rec AS (
   CAST(interval_days AS INTEGER) AS interval_days, CAST(last_day + CAST(interval_days AS INTEGER) AS DATE) AS next_expected, first_seen, occurrences, amount_cents,
   amount_cents * CASE WHEN interval_days BETWEEN 28 AND 32 THEN 12 ELSE 52 END AS annualized_cents
  FROM med m JOIN dev d ON m.account_id = d.account_id AND m.merchant_key = d.merchant_key
+ JOIN seen s ON m.account_id = s.account_id AND m.merchant_key = s.merchant_key
  WHERE occurrences >= 3 AND cv < 1.2 AND mad <= 3 AND (interval_days BETWEEN 28 AND 32 OR interval_days BETWEEN 2 AND 8)
   AND last_day + CAST(interval_days AS INTEGER) >= DATE '2024-01-25' - CAST(interval_days AS INTEGER))"""
 
@@ -307,7 +313,8 @@ def pareto(keys: str, window: str) -> str:
     return f"""WITH {HOUSEHOLD},
 c AS (SELECT {head}category, CAST(sum(-amount_cents) AS BIGINT) AS spend_cents, count(*) AS txns
  FROM hh WHERE {GROSS} AND {window} GROUP BY ALL)
-SELECT *, round(100.0::DOUBLE * spend_cents / sum(spend_cents) OVER ({part}), 6) AS pct,
+SELECT *, row_number() OVER ({part}ORDER BY spend_cents DESC, category) AS rank,
+ round(100.0::DOUBLE * spend_cents / sum(spend_cents) OVER ({part}), 6) AS pct,
  round(100.0::DOUBLE * sum(spend_cents) OVER ({part}ORDER BY spend_cents DESC, category ROWS UNBOUNDED PRECEDING)
   / sum(spend_cents) OVER ({part}), 6) AS cum_pct FROM c"""
 
@@ -325,10 +332,10 @@ SELECT *, CAST(row_number() OVER ({part}ORDER BY spend_cents DESC, merchant) AS
 QUALIFY row_number() OVER ({part}ORDER BY spend_cents DESC, merchant) <= {top}"""
 
 
-def bucket_table(source: str, window: str, threshold: int) -> str:
+def bucket_table(source: str, window: str, threshold: int, accounts: str = "") -> str:
     """Net spend per account and bucket with zero rows, as a relation."""
     return f"""(SELECT a.account_id, b.bucket, CAST(COALESCE(s, 0) AS BIGINT) AS cents
- FROM (SELECT DISTINCT account_id FROM {source}) a CROSS JOIN {BUCKET_ROWS}
+ FROM ({accounts or f"SELECT DISTINCT account_id FROM {source}"}) a CROSS JOIN {BUCKET_ROWS}
  LEFT JOIN (SELECT account_id, {BUCKET} AS bucket, sum(-amount_cents) AS s FROM {source}
   WHERE {window} AND {net(threshold)} GROUP BY ALL) x ON x.account_id = a.account_id AND x.bucket = b.bucket)"""
 
@@ -378,7 +385,7 @@ SELECT event_id AS batch_ord, CASE WHEN value > 1 THEN 'ref-' || event_id END AS
  CASE WHEN status_in = 'PDNG' THEN 'not_booked' WHEN booking_text IS NULL THEN 'no_date' WHEN size IS NULL THEN 'bad_amount'
   WHEN sign IS NULL THEN 'no_direction' WHEN currency <> 'EUR' THEN 'foreign_currency'
   WHEN TRY_CAST(booking_text AS DATE) IS NULL THEN 'bad_date' END AS reason FROM fd2""",
-    "booked_rows": f"WITH {FEED} SELECT COALESCE(status_in, 'none') AS status, count(*) AS rows FROM fd WHERE COALESCE(status_in, '') <> 'PDNG' GROUP BY ALL",
+    "booked_rows": f"WITH {FEED} SELECT event_id AS batch_ord, COALESCE(status_in, 'none') AS status FROM fd WHERE COALESCE(status_in, '') <> 'PDNG'",
     "row_contract": """WITH r AS (
  SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity <> 3 THEN CAST(round(l_extendedprice * 100) AS BIGINT) END AS amount_cents,
   CASE WHEN l_quantity <> 7 THEN CAST(l_shipdate AS DATE) END AS booking_date,
@@ -387,10 +394,18 @@ SELECT event_id AS batch_ord, CASE WHEN value > 1 THEN 'ref-' || event_id END AS
 v AS (SELECT *, CASE WHEN amount_cents IS NULL THEN 'bad_amount' WHEN booking_date IS NULL THEN 'bad_date'
  WHEN source = 'manual' THEN 'bad_source' WHEN account_id = '' THEN 'no_account' END AS reason FROM r)
 SELECT *, CASE WHEN reason IS NULL THEN 'ok' ELSE 'reject' END AS status FROM v""",
-    "currency_gate": f"""WITH {FEED} SELECT CASE WHEN currency = 'EUR' THEN 'ok' ELSE 'reject' END AS status,
- CASE WHEN currency <> 'EUR' THEN 'foreign_currency' END AS reason, count(*) AS rows FROM fd GROUP BY ALL""",
+    "currency_gate": f"""WITH {FEED} SELECT event_id AS batch_ord, CASE WHEN currency = 'EUR' THEN 'ok' ELSE 'reject' END AS status,
+ CASE WHEN currency <> 'EUR' THEN 'foreign_currency' END AS reason FROM fd""",
     "account_labels": """SELECT o_orderkey, o_orderpriority AS account_label,
  CASE WHEN o_orderpriority < '4' THEN 'acc-' || o_orderpriority[1:1] ELSE o_orderpriority END AS account_id FROM orders""",
+    "feed_rejects": f"""WITH {FEED}, r AS (
+SELECT event_id AS batch_ord, CASE WHEN event_id % 7 = 0 THEN 'unreadable' WHEN status_in = 'PDNG' OR booking_text IS NULL THEN NULL
+  WHEN size IS NULL THEN 'bad_amount' WHEN sign IS NULL THEN 'no_direction' WHEN event_type = 'purchase' THEN 'no_account'
+  WHEN currency <> 'EUR' THEN 'foreign_currency' WHEN TRY_CAST(booking_text AS DATE) IS NULL THEN 'bad_date' END AS reason,
+ CASE WHEN event_id % 7 = 0 THEN '{{"account_id": "' || event_id END AS raw FROM fd2)
+SELECT * FROM r WHERE reason IS NOT NULL""",
+    "long_names": f"""WITH dt AS (SELECT doc_id, 'POS ' || replace(COALESCE(text, ''), 'ß', 'ss') || ' 123 CORK D2' AS merchant_raw FROM documents), {keyed("dt")}
+SELECT doc_id, CAST(length(key) AS INTEGER) AS key_chars, md5(key) AS key_md5 FROM keyed""",
     "row_ids": """WITH r AS (
  SELECT CASE WHEN l_linestatus = 'O' AND l_linenumber = 7 THEN 'bank-' || l_orderkey END AS ref,
   CAST(date_trunc('month', l_shipdate) AS DATE) AS booking_date, -CAST(l_quantity * 100 AS BIGINT) AS amount_cents,
@@ -399,6 +414,16 @@ SELECT *, CASE WHEN reason IS NULL THEN 'ok' ELSE 'reject' END AS status FROM v"
  FROM lineitem JOIN part ON l_partkey = p_partkey),
 n AS (SELECT *, concat_ws('|', booking_date, amount_cents, COALESCE(merchant_raw, ''), account_id) AS base,
  row_number() OVER (PARTITION BY ref IS NULL, batch_id, booking_date, amount_cents, COALESCE(merchant_raw, ''), account_id ORDER BY o) - 1 AS occ FROM r)
+SELECT COALESCE(ref, sha256(CASE WHEN occ > 0 THEN base || '|' || occ ELSE base END)) AS id, booking_date, amount_cents, merchant_raw,
+ account_id, batch_id FROM n""",
+    "row_ids_hot": """WITH r AS (
+ SELECT CASE WHEN l_linestatus = 'O' AND l_linenumber = 7 THEN 'bank-' || l_orderkey END AS ref,
+  CAST(date_trunc('month', l_shipdate) AS DATE) AS booking_date, -CAST(l_quantity * 100 AS BIGINT) AS amount_cents,
+  CASE WHEN p_brand <> 'Brand#13' THEN split_part(p_name, ' ', -1) END AS merchant_raw, l_linestatus AS account_id,
+  nullif(l_returnflag, 'N') AS batch_id, l_orderkey * 8 + l_linenumber AS o
+ FROM lineitem JOIN part ON l_partkey = p_partkey),
+n AS (SELECT *, concat_ws('|', booking_date, amount_cents, COALESCE(merchant_raw, ''), account_id) AS base,
+ row_number() OVER (PARTITION BY ref IS NULL, batch_id, booking_date, amount_cents, COALESCE(merchant_raw, ''), account_id ORDER BY o) - 1 AS occ FROM r)
 SELECT COALESCE(ref, sha256(CASE WHEN occ > 0 THEN base || '|' || occ ELSE base END)) AS id, booking_date, amount_cents, merchant_raw,
  account_id, batch_id FROM n""",
     "append_once": """WITH r AS (
@@ -430,13 +455,15 @@ SELECT COALESCE(cur.account_id, pull.account_id) AS account_id,
 FROM cur FULL JOIN pull ON cur.account_id = pull.account_id LEFT JOIN seen ON seen.account_id = COALESCE(cur.account_id, pull.account_id)""",
     "next_pull": f"WITH {CURSOR} SELECT *, CAST(high_water - 5 AS DATE) AS since FROM cur",
     "ingest_counts": f"""WITH {STATEMENT},
-f AS (SELECT file_path FROM verdict WHERE v = 'ok' QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY batch_ord, file_path, l_partkey) = 1),
+b AS (SELECT account, min(day) AS d FROM verdict WHERE v = 'ok' AND day >= DATE '2000-01-01' GROUP BY ALL),
+clip AS (SELECT verdict.* REPLACE (CASE WHEN v = 'ok' AND day >= d THEN 'clipped' ELSE v END AS v) FROM verdict LEFT JOIN b ON verdict.account = b.account),
+f AS (SELECT file_path FROM clip WHERE v = 'ok' QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY batch_ord, file_path, l_partkey) = 1),
 n AS (SELECT file_path, count(*) AS c FROM f GROUP BY ALL),
 s AS (SELECT file_path, count(*) FILTER (v = 'ok') AS submitted, count(*) FILTER (v LIKE 'skip%') AS skipped,
- count(*) FILTER (v LIKE 'reject%') AS quarantined, CAST(0 AS BIGINT) AS clipped FROM verdict GROUP BY ALL)
+ count(*) FILTER (v LIKE 'reject%') AS quarantined, count(*) FILTER (v = 'clipped') AS clipped FROM clip GROUP BY ALL)
 SELECT s.*, COALESCE(c, 0) AS new, submitted - COALESCE(c, 0) AS duplicate FROM s LEFT JOIN n ON s.file_path = n.file_path""",
-    "combined_sources": f"""WITH {HOUSEHOLD} SELECT batch_id, count(*) AS rows, count(*) FILTER (batch_id = 'income') AS keyed,
- CAST(sum(amount_cents) AS BIGINT) AS cents FROM hh GROUP BY batch_id""",
+    "combined_sources": f"""WITH {HOUSEHOLD} SELECT batch_id, id, account_id,
+ CASE WHEN batch_id = 'income' THEN merchant_key END AS merchant_key, amount_cents FROM hh""",
     # ── merchants and categories ──
     "merchant_names": f"""WITH {DRESSED}, {keyed("dressed")}
 SELECT p_partkey, p_size, merchant_raw, key AS merchant_key, trim(split_part(merchant_raw, '{{', 1)) AS shown,
@@ -455,10 +482,11 @@ SELECT merchant_key, count(*) AS names, min(name) AS first_name, max(name) AS la
 e AS (SELECT id, s.merchant_key, CASE WHEN abs(amount_cents) > 9500000 THEN 'Dates' ELSE COALESCE(c.category, 'Uncategorized') END AS category
  FROM sales s LEFT JOIN casc c ON s.merchant_key = c.merchant_key) SELECT *, {BUCKET} AS bucket FROM e""",
     "bucket_rollup": f"WITH {HOUSEHOLD} SELECT {BUCKET} AS bucket, category, count(*) AS rows, CAST(sum(amount_cents) AS BIGINT) AS cents FROM hh GROUP BY ALL",
-    "category_coverage": f"""WITH {HOUSEHOLD} SELECT account_id, count(*) AS window_txns,
- round(100.0::DOUBLE * count(*) FILTER (category <> 'Uncategorized') / count(*), 6) AS count_pct,
- round(100.0::DOUBLE * COALESCE(sum(abs(amount_cents)) FILTER (category <> 'Uncategorized'), 0) / sum(abs(amount_cents)), 6) AS value_pct
-FROM hh WHERE booking_date >= DATE '2001-06-30' - 90 GROUP BY account_id""",
+    "category_coverage": f"""WITH {HOUSEHOLD}, r AS (SELECT * FROM hh WHERE booking_date >= DATE '2001-06-30' - 90)
+SELECT a.account_id, count(r.id) AS window_txns,
+ COALESCE(round(100.0::DOUBLE * count(r.id) FILTER (category <> 'Uncategorized') / NULLIF(count(r.id), 0), 6), 100) AS count_pct,
+ COALESCE(round(100.0::DOUBLE * COALESCE(sum(abs(amount_cents)) FILTER (category <> 'Uncategorized'), 0) / NULLIF(sum(abs(amount_cents)), 0), 6), 100) AS value_pct
+FROM ({ACCOUNTS} UNION SELECT account_id FROM r) a LEFT JOIN r ON r.account_id = a.account_id GROUP BY a.account_id""",
     "category_coverage_whole": f"""WITH {HOUSEHOLD} SELECT count(*) AS window_txns,
  round(100.0::DOUBLE * count(*) FILTER (category <> 'Uncategorized') / count(*), 6) AS count_pct,
  round(100.0::DOUBLE * sum(abs(amount_cents)) FILTER (category <> 'Uncategorized') / sum(abs(amount_cents)), 6) AS value_pct
@@ -472,9 +500,9 @@ QUALIFY row_number() OVER (PARTITION BY merchant_key ORDER BY turn DESC, event_i
 QUALIFY row_number() OVER (PARTITION BY txn_id ORDER BY turn DESC, event_id DESC) = 1""",
     "single_overrides": f"""WITH {REQUESTS} SELECT request_id || '|txn' AS event_id, actor_id, 'txn' AS scope, txn_id, NULL::VARCHAR AS merchant_key, 'Dates' AS category
 FROM resolved WHERE length(ref) >= 6 AND txn_id IS NOT NULL AND ref IN (SELECT ref FROM found WHERE hits = 1)""",
-    "name_lookup": """SELECT * FROM (SELECT CASE event_type WHEN 'view' THEN ' MISC. ' WHEN 'click' THEN 'coffee/SNACKS' WHEN 'error' THEN 'food delivery'
+    "name_lookup": """SELECT event_id, CASE event_type WHEN 'view' THEN ' MISC. ' WHEN 'click' THEN 'coffee/SNACKS' WHEN 'error' THEN 'food delivery'
  WHEN 'signup' THEN 'other' ELSE 'fixed' END AS name, CASE event_type WHEN 'click' THEN 'Coffee/Snacks' WHEN 'signup' THEN 'Other' END AS category,
- CASE event_type WHEN 'view' THEN 'Other' WHEN 'error' THEN 'FoodDelivery' WHEN 'purchase' THEN 'Fixed' END AS bucket, count(*) AS rows FROM events GROUP BY ALL)""",
+ CASE event_type WHEN 'view' THEN 'Other' WHEN 'error' THEN 'FoodDelivery' WHEN 'purchase' THEN 'Fixed' END AS bucket FROM events""",
     # ── spend ──
     "gross_spend": f"WITH {HOUSEHOLD} SELECT id, account_id, booking_date, amount_cents, category FROM hh WHERE {GROSS} AND {WINDOW}",
     "net_scope": f"WITH {HOUSEHOLD} SELECT id, booking_date, amount_cents, category FROM hh WHERE {net(3_000_000)} AND {WINDOW}",
@@ -485,11 +513,11 @@ FROM resolved WHERE length(ref) >= 6 AND txn_id IS NOT NULL AND ref IN (SELECT r
     "merchant_pareto_whole": merchant_pareto("", 25),
     "size_bands": f"""WITH {EVENT}, bands AS (SELECT * FROM (VALUES ('<€5', 0, 500), ('€5–15', 500, 1500), ('€15–40', 1500, 4000),
  ('€40–100', 4000, 10000), ('>€100', 10000, 9223372036854775807)) b(band, lo, hi)),
-a AS (SELECT DISTINCT account_id FROM ev WHERE {EVENTS}), g AS (SELECT * FROM ev WHERE {EVENTS} AND {GROSS})
+a AS (SELECT account_id FROM ev WHERE {EVENTS} UNION {ACCOUNTS}), g AS (SELECT * FROM ev WHERE {EVENTS} AND {GROSS})
 SELECT a.account_id, band, count(g.id) AS count, CAST(COALESCE(sum(-amount_cents), 0) AS BIGINT) AS total_cents
 FROM a CROSS JOIN bands LEFT JOIN g ON g.account_id = a.account_id AND -amount_cents >= lo AND -amount_cents < hi GROUP BY a.account_id, band""",
     "weekday_profile": f"""WITH {HOUSEHOLD}, days AS (SELECT * FROM (VALUES ('Mon', 1), ('Tue', 2), ('Wed', 3), ('Thu', 4), ('Fri', 5), ('Sat', 6), ('Sun', 7)) d(day, n)),
-a AS (SELECT DISTINCT account_id FROM hh WHERE {WINDOW}), g AS (SELECT * FROM hh WHERE {WINDOW} AND {GROSS}),
+a AS (SELECT account_id FROM hh WHERE {WINDOW} UNION {ACCOUNTS}), g AS (SELECT * FROM hh WHERE {WINDOW} AND {GROSS}),
 p AS (SELECT a.account_id, day, n, count(g.id) AS txns, CAST(COALESCE(sum(-amount_cents), 0) AS BIGINT) AS spend_cents
  FROM a CROSS JOIN days LEFT JOIN g ON g.account_id = a.account_id AND isodow(booking_date) = n GROUP BY ALL)
 SELECT account_id, day, txns, spend_cents, n >= 6 AS weekend,
@@ -505,9 +533,10 @@ SELECT days.account_id, strftime(days.m, '%Y-%m') AS month, CAST(day(days.bookin
  CAST(sum(COALESCE(s, 0)) OVER (PARTITION BY days.account_id, days.m ORDER BY days.booking_date) AS BIGINT) AS cumulative_cents,
  round(10000000.0::DOUBLE * (day(days.booking_date) - 1) / (n - 1), 6) AS even_spend_cents
 FROM days JOIN line ON line.account_id = days.account_id LEFT JOIN d ON d.account_id = days.account_id AND d.booking_date = days.booking_date""",
-    "spend_totals": f"WITH {HOUSEHOLD} SELECT account_id, count(*) AS txns, CAST(sum(-amount_cents) AS BIGINT) AS spend_cents FROM hh WHERE {GROSS} AND {WINDOW} GROUP BY ALL",
-    "bucket_spend": f"""WITH {HOUSEHOLD} SELECT account_id, bucket, cents AS net_cents FROM {bucket_table("hh", WINDOW, 3_000_000)} x
-WHERE account_id IN (SELECT account_id FROM hh WHERE {WINDOW})""",
+    "spend_totals": f"""WITH {HOUSEHOLD}, g AS (SELECT * FROM hh WHERE {GROSS} AND {WINDOW})
+SELECT a.account_id, count(g.id) AS txns, CAST(COALESCE(sum(-amount_cents), 0) AS BIGINT) AS spend_cents
+FROM ({ACCOUNTS} UNION SELECT account_id FROM g) a LEFT JOIN g ON g.account_id = a.account_id GROUP BY a.account_id""",
+    "bucket_spend": f"""WITH {HOUSEHOLD} SELECT account_id, bucket, cents AS net_cents FROM {bucket_table("hh", WINDOW, 3_000_000, f"SELECT account_id FROM hh WHERE {WINDOW} UNION {ACCOUNTS}")} x""",
     "held_inflows": f"""WITH {HOUSEHOLD} SELECT account_id, count(*) FILTER (amount_cents >= 3000000 AND category = 'Uncategorized') AS inflow_count,
  CAST(COALESCE(sum(amount_cents) FILTER (amount_cents >= 3000000 AND category = 'Uncategorized'), 0) AS BIGINT) AS inflow_cents FROM hh WHERE {LONG} GROUP BY ALL""",
     "month_over_month": f"""WITH {HOUSEHOLD},
@@ -521,10 +550,11 @@ FROM x WHERE prev_cents <> 0 OR curr_cents <> 0""",
  CAST(COALESCE(sum(amount_cents) FILTER (amount_cents > 0 AND category = 'Income'), 0) AS BIGINT) AS income_cents,
  CAST(COALESCE(sum(-amount_cents) FILTER ({net(3_000_000)}), 0) AS BIGINT) AS spend_cents FROM hh GROUP BY ALL)
 SELECT *, income_cents - spend_cents AS surplus_cents FROM x""",
-    "surplus_target": f"""WITH {HOUSEHOLD}, x AS (SELECT account_id, '2001-05' AS month,
+    "surplus_target": f"""WITH {HOUSEHOLD}, m AS (SELECT * FROM hh WHERE booking_date BETWEEN DATE '2001-05-01' AND DATE '2001-05-31'),
+x AS (SELECT a.account_id, '2001-05' AS month,
  CAST(COALESCE(sum(amount_cents) FILTER (amount_cents > 0 AND category = 'Income'), 0) AS BIGINT) AS income_cents,
- CAST(COALESCE(sum(-amount_cents) FILTER ({net(3_000_000)}), 0) AS BIGINT) AS spend_cents FROM hh
- WHERE booking_date BETWEEN DATE '2001-05-01' AND DATE '2001-05-31' GROUP BY account_id)
+ CAST(COALESCE(sum(-amount_cents) FILTER ({net(3_000_000)}), 0) AS BIGINT) AS spend_cents
+ FROM ({ACCOUNTS} UNION SELECT account_id FROM m) a LEFT JOIN m ON m.account_id = a.account_id GROUP BY a.account_id)
 SELECT *, income_cents - spend_cents AS surplus_cents, CAST(100000 AS BIGINT) AS target_cents, income_cents - spend_cents >= 100000 AS met FROM x""",
     "bucket_breakdown": f"""WITH {HOUSEHOLD} SELECT account_id, category, CAST(sum(-amount_cents) AS BIGINT) AS gross_cents FROM hh
 WHERE amount_cents < 0 AND ({BUCKET}) = 'Other' AND booking_date BETWEEN DATE '2001-06-01' AND DATE '2001-06-30' GROUP BY ALL""",
@@ -575,7 +605,7 @@ now AS (SELECT DATE '2001-06-23' AS cycle_start, 'scheduled' AS cycle_source, DA
 {status("", 3_600_000_000, "now")} SELECT *, CAST(0 AS BIGINT) AS quarantined FROM status""",
     "weekly_plan": f"""WITH {HOUSEHOLD},
 now AS (SELECT a.account_id, DATE '2001-06-23' AS cycle_start, 'scheduled' AS cycle_source, DATE '2001-07-23' AS next_payday, amount_cents, category
- FROM (SELECT DISTINCT account_id FROM hh WHERE booking_date BETWEEN DATE '2001-04-01' AND DATE '2001-06-30') a
+ FROM ({ACCOUNTS}) a
  LEFT JOIN hh h ON h.account_id = a.account_id AND h.booking_date BETWEEN DATE '2001-06-23' AND DATE '2001-06-30'),
 {status("account_id, ", 9_000_000, "now")}
 SELECT account_id, days_left, CAST(4 AS BIGINT) AS weeks_left, remaining_cents, greatest(0, remaining_cents // 4) AS week_budget_cents,
@@ -585,6 +615,9 @@ SELECT account_id, days_left, CAST(4 AS BIGINT) AS weeks_left, remaining_cents,
 h AS (SELECT batch_ord, ord, policy, CAST(cap_cents AS BIGINT) AS cap_cents FROM ev JOIN pol ON (ord = 0 AND category = 'FoodDelivery')
  OR (ord = 1 AND merchant_key IN ('VIEW HOUSE', 'PURCHASE HOUSE')) OR (ord = 2 AND ({BUCKET}) = 'Other'))
 SELECT *, ord = min(ord) OVER (PARTITION BY batch_ord) AS is_first FROM h""",
+    "policy_progress_hot": f"""WITH {POLICIES.replace("pol AS (", "ev2 AS (SELECT * REPLACE (CASE WHEN batch_ord % 3 <> 0 THEN account_id END AS account_id), batch_ord % 2 = 0 AS batched FROM ev), pol AS (", 1).replace("FROM ev ", "FROM ev2 ", 1).replace("month FROM ev", "month FROM ev2", 1)},
+{progress().replace("ORDER BY booking_date, batch_ord", "ORDER BY booking_date, batched, batch_ord")}
+SELECT batch_ord, account_id, ord, mtd_cents, charge_number FROM prog""",
     "policy_progress": f"WITH {POLICIES}, {progress()} SELECT batch_ord, account_id, ord, mtd_cents, charge_number FROM prog",
     "policy_alerts": f"""WITH {POLICIES}, {progress()} SELECT id, account_id, booking_date, strftime(month, '%Y-%m') AS month, policy, CAST(cap_cents AS BIGINT) AS cap_cents,
  amount_cents, mtd_cents, charge_number, merchant_raw || ': ' || {EUR.format("(-amount_cents)")} || ', ' || {ORDINAL.format("charge_number")} || ' charge this month. '
@@ -604,6 +637,9 @@ SELECT account_id, bill, kind, due, paid_on, paid_cents, CAST(expected_cents AS
  CASE kind WHEN 'drift' THEN bill || ' came to ' || {EUR.format("paid_cents")} || ' instead of about ' || {EUR.format("expected_cents")}
   ELSE bill || ' has not been paid, ' || days_past_due || ' days after ' || due END AS text, bill || '|' || due || '|' || kind AS period_key
 FROM x WHERE kind IS NOT NULL""",
+    "bill_alerts_unsent": f"""WITH {BILLS},
+x AS (SELECT *, CASE WHEN paid_on IS NOT NULL AND NOT paid_cents BETWEEN low_cents AND high_cents THEN 'drift' WHEN overdue THEN 'late' END AS kind FROM state)
+SELECT account_id, bill, kind, due, bill || '|' || due || '|' || kind AS period_key FROM x WHERE kind = 'drift' AND CAST(account_id AS BIGINT) % 2 = 0""",
     "bill_checklist": f"""WITH {BILLS} SELECT account_id, bill, due, CASE WHEN paid_on IS NOT NULL THEN 'paid' WHEN overdue THEN 'overdue' ELSE 'pending' END AS status,
  paid_on, paid_cents FROM state""",
     "charge_gaps": f"WITH {RECURRING} SELECT account_id, merchant_key, CAST(gap AS INTEGER) AS gap_days, count(*) AS times FROM ch WHERE gap IS NOT NULL GROUP BY ALL",

@@ -49,6 +49,7 @@ def monthly_report(ledger: DataFrame, as_of: date, keys: list[str] = spend.KEYS,
         "size_bands": spend.size_bands(ledger, start, end, keys, taxonomy=taxonomy),
         "weekday_profile": spend.weekday_profile(ledger, start, end, keys, taxonomy),
         "daily_spend": spend.daily_spend(ledger, start, end, keys, taxonomy),
+        "burn_rate": spend.burn_rate(ledger, start, end, budget_cents or 0, keys, taxonomy=taxonomy),
         "reconciliation": months,
         "gate_verdict": recon.gate_verdict(months, keys),
         "budget": recon.budget_baseline(months, budget_cents, keys),

@@ -6,6 +6,7 @@ Each keeps the work of one task bounded even when a single key owns a large shar
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ def running_totals(df: DataFrame, by: list[str], block: list[str], order: list[s
     along `block`, columns that divide a group into consecutive pieces along `order`: each piece is a
     window of its own, and the sums of the pieces before it, one aggregated row per piece, are joined
     back on the partitioning the rows already have. Without hot groups that side is empty and the
-    adaptive planner drops the join. `by` and `block` hold no nulls.
+    adaptive planner drops the join. Nulls in `by` and `block` are values like any other: they group, sort
+    first and are joined null-safe.
     """
     slotted = df.withColumn("_slot", F.pmod(F.xxhash64(*by), F.lit(SLOTS)))
     hot = (
@@ -45,7 +47,8 @@ def running_totals(df: DataFrame, by: list[str], block: list[str], order: list[s
     offsets = (
         rows.filter("_hot").groupBy(*by, *pieces)
         .agg(*[F.sum(value).alias(name) for name, value in totals.items()])
-        .select(*by, *pieces, *[F.sum(n).over(earlier).alias(b) for n, b in before.items()])
+        .select(*[F.col(c).alias(f"{c}__at") for c in (*by, *pieces)],
+                *[F.sum(n).over(earlier).alias(b) for n, b in before.items()])
     )
     within = (
         Window.partitionBy(*by, *pieces).orderBy(*block, *order)
@@ -53,12 +56,28 @@ def running_totals(df: DataFrame, by: list[str], block: list[str], order: list[s
     )
     summed = rows.select("*", *[F.sum(value).over(within).alias(name) for name, value in totals.items()])
     return (
-        summed.join(offsets, [*by, *pieces], "left")
+        summed.join(offsets, same(summed, offsets, {c: f"{c}__at" for c in (*by, *pieces)}), "left")
         .withColumns({name: F.col(name) + F.coalesce(F.col(b), F.lit(0)) for name, b in before.items()})
         .select(*df.columns, *totals)
     )
 
 
+def same(left: DataFrame, right: DataFrame, columns: Mapping[str, str]) -> Column:
+    """Join condition: the columns of `left` equal the named ones of `right`, null equal to null."""
+    return reduce(Column.__and__, (left[a].eqNullSafe(right[b]) for a, b in columns.items()))
+
+
+def not_stored(new: DataFrame, stored: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of `new` whose key is not in `stored`.
+
+    Of a large store only the keys that the new rows ask for get past its scan: with few new rows the store is
+    filtered by a broadcast and never shuffled. Which way is taken is left to Spark's size check.
+    """
+    asked = new.select(*on).distinct()
+    held = stored.select(*on).join(asked, list(on), "left_semi").distinct()
+    return new.join(held, list(on), "left_anti").select(*new.columns)
+
+
 def first_per_key(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
     """One row per key, the first in `order`. Spark prunes each map task to one row per key first."""
     return top_per_key(df, key, order, 1).drop("rank")
@@ -93,6 +112,18 @@ def compute_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
+def with_accounts(sums: DataFrame, accounts: DataFrame | None, keys: Iterable[str]) -> DataFrame:
+    """Add the accounts that have no row in `sums`, with zero in every number.
+
+    Without a table of accounts, or without keys, `sums` stays as it is. Accounts missing in the table are kept.
+    """
+    keys = list(keys)
+    if accounts is None or not keys:
+        return sums
+    return accounts.select(*keys).distinct().join(sums, keys, "full").fillna(
+        0, [c for c in sums.columns if c not in keys])
+
+
 def with_total(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Add the per-key total of `value`; the totals are aggregated map-side and joined on the keys."""
     if not keys:

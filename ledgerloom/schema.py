@@ -26,9 +26,14 @@ ALERT_LOG = _schema(
 )
 PAYDAY_OVERRIDE = _schema(account_id=_S, cycle_month=_D, actual_date=_D, ts=_TS)
 SOURCE_CURSOR = _schema(account_id=_S, high_water=_D, coverage_start=_D)
+CURSOR_LOG = _schema(account_id=_S, high_water=_D, coverage_start=_D, stream_batch=_L)
+INGEST_AUDIT = _schema(
+    file_path=_S, submitted=_L, skipped=_L, quarantined=_L, clipped=_L, new=_L, duplicate=_L, loaded_at=_TS
+)
 
 # One bank-feed record. `remittance_information` is read as text because banks send either a
-# string or an array of strings; sources.feed turns both into an array.
+# string or an array of strings; sources.feed turns both into an array. `_corrupt_record` is the line itself
+# where it is no record.
 FEED = T.StructType([
     T.StructField("account_id", _S),
     T.StructField("entry_reference", _S),
@@ -40,4 +45,5 @@ FEED = T.StructType([
     T.StructField("creditor", _schema(name=_S)),
     T.StructField("debtor", _schema(name=_S)),
     T.StructField("remittance_information", _S),
+    T.StructField("_corrupt_record", _S),
 ])

@@ -80,17 +80,20 @@ def categorized_sales(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def income_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """Urgent orders as salary, low-priority ones as transfers in or, when final, out."""
-    price, salary = cents(F.col("o_totalprice")), F.col("o_orderpriority") == "1-URGENT"
-    rows = table(spark, folder, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "5-LOW")).select(
+    """Every order as a booking that is no sale: salaries, fees, bonuses, and transfers in or, when final, out."""
+    price, kind = cents(F.col("o_totalprice")), F.substring("o_orderpriority", 1, 1)
+
+    def named(first: str, second: str, third: str, other: str) -> Column:
+        return F.when(kind == "1", first).when(kind == "2", second).when(kind == "3", third).otherwise(other)
+
+    name = named("SALARY", "BANK FEE", "BONUS", "HOUSE TRANSFER")
+    amount = F.when(kind == "2", -F.call_function("div", price, F.lit(1000))).when(
+        kind.isin("4", "5") & (F.col("o_orderstatus") == "F"), -price).otherwise(price)
+    return table(spark, folder, "orders").select(
         F.concat(F.lit("order-"), "o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("account_id"),
-        F.to_date("o_orderdate").alias("booking_date"),
-        F.when(~salary & (F.col("o_orderstatus") == "F"), -price).otherwise(price).alias("amount_cents"),
-        F.when(salary, "SALARY").otherwise("HOUSE TRANSFER").alias("merchant_raw"),
-        F.when(salary, "SALARY").otherwise("HOUSE TRANSFER").alias("merchant_key"),
-        F.when(salary, "Income").otherwise("Transfers").alias("category"),
+        F.to_date("o_orderdate").alias("booking_date"), amount.alias("amount_cents"), name.alias("merchant_raw"),
+        name.alias("merchant_key"), named("Income", "Fees", "Income", "Transfers").alias("category"),
         F.lit("income").alias("batch_id"), F.col("o_orderkey").alias("batch_ord"))
-    return rows
 
 
 def household_ledger(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,6 +101,11 @@ def household_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return categorized_sales(spark, folder).unionByName(income_ledger(spark, folder))
 
 
+def accounts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every customer, with or without a booking."""
+    return table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("account_id"))
+
+
 def event_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Events as small bookings of their user; sign-ups and tiny values flow in."""
     value, kind = cents(F.col("value")), F.col("event_type")

@@ -1,12 +1,14 @@
-"""Statement CSV files of any known layout."""
+"""Statement CSV files of any known layout.
 
-from __future__ import annotations
+Files are read as lines by one text scan, whatever their number and layouts. Each file's header and encoding are
+reduced to one row, its field positions are worked out there, and the rows meet them in a join. Nothing
+about single files reaches the driver.
+"""
 
-import csv
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerloom.sources.feed import numbered
 
@@ -22,55 +24,18 @@ ALIASES = {
 }
 DESCRIPTIONS = ("description1", "description2", "description3", "description")
 REQUIRED = ("account", "date", "debit", "credit")
-MAX_LAYOUTS = 1_000
-
 
-def resolve_header(cells: list[str]) -> dict[str, int | list[int]]:
-    """Position of each field in a header; fails on a missing required one and shows the header."""
-    places = {}
-    for position, cell in enumerate(cells):
-        places[cell.strip().lower()] = position
-    found = {name: next((places[a] for a in aliases if a in places), None) for name, aliases in ALIASES.items()}
-    missing = [name for name in REQUIRED if found[name] is None]
-    if missing:
-        raise ValueError(f"statement header lacks {missing}; header found: {cells}")
-    return {**{name: at for name, at in found.items() if at is not None},
-            "descriptions": [places[d] for d in DESCRIPTIONS if d in places]}
+# A cell is quoted, with quotes doubled inside, or plain, up to the next comma; a record ends at a line break
+# outside quotes. Possessive, so long cells need no stack.
+CELL = r'("(?:[^"]|"")*+"|[^,]*+),'
+RECORD = r'((?:[^"\n]|"(?:[^"]|"")*+")++)'
 
 
-def file_profiles(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Per file its header line and whether all of it is valid UTF-8.
-
-    Files are read as lines, which splits large ones, and reduced map-side to a row per file.
-    """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file_path"), "value",
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
-    return lines.groupBy("file_path").agg(
-        F.min_by("value", "place").alias("header"),
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
-
-
-def _read_layout(spark: SparkSession, paths: list[str], header: str, utf8: bool, multi_line: bool) -> DataFrame:
-    cells = next(csv.reader([header.lstrip("﻿")]))
-    at = resolve_header(cells)
-    raw = spark.read.csv(
-        paths, header=True, multiLine=multi_line, encoding="UTF-8" if utf8 else "ISO-8859-1", escape='"',
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=True,
-        schema=T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(cells))]))
-
-    def cell(position: int | None) -> Column:
-        if position is None:
-            return F.lit(None).cast("string")
-        text = F.col(f"c{position}")
-        return text if utf8 else from_latin1(text)
-
-    return numbered(raw.select(
-        *[cell(at.get(name)).alias(name) for name in ALIASES],
-        F.array(*[F.coalesce(cell(i), F.lit("")) for i in at["descriptions"]]).cast("array<string>")
-        .alias("descriptions"),
-        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_path").alias("batch_id"),
-        F.col("_metadata.file_block_start").alias("block_start")))
+def cells_of(line: Column) -> Column:
+    """The cells of a CSV record, unquoted."""
+    ended = F.concat(F.regexp_replace(line, "\r$", ""), F.lit(","))
+    return F.transform(F.regexp_extract_all(ended, F.lit(CELL), F.lit(1)), lambda cell: F.when(
+        cell.startswith('"'), F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))).otherwise(cell))
 
 
 def from_latin1(text: Column) -> Column:
@@ -79,25 +44,51 @@ def from_latin1(text: Column) -> Column:
     return F.translate(text, "".join(map(chr, codes)), bytes(codes).decode("cp1252"))
 
 
+def _records(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
+    """Records as text with their file and order."""
+    meta = [F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_path").alias("batch_id")]
+    if not multi_line:
+        return numbered(spark.read.text(path).select(
+            F.col("value").alias("line"), *meta, F.col("_metadata.file_block_start").alias("block_start")))
+    files = spark.read.text(path, wholetext=True).select("value", *meta)
+    return files.select(
+        "file_path", "batch_id", F.posexplode(F.regexp_extract_all("value", F.lit(RECORD), F.lit(1))).alias("batch_ord", "line")
+    ).withColumn("batch_ord", F.col("batch_ord").cast("long"))
+
+
+def file_profiles(records: DataFrame) -> DataFrame:
+    """Per file: where its header is, whether all of it is UTF-8, and the position of each field in it."""
+    first = records.groupBy("file_path").agg(
+        F.min("batch_ord").alias("header_at"), F.min_by("line", "batch_ord").alias("header"),
+        F.bool_and(F.is_valid_utf8("line")).alias("utf8"))
+    names = F.transform(cells_of(F.regexp_replace("header", "^\ufeff", "")), lambda cell: F.lower(F.trim(cell)))
+
+    def place(*aliases: str) -> Column:
+        return F.coalesce(*[F.nullif(F.array_position(F.col("names"), alias), F.lit(0)) for alias in aliases]).cast("int")
+
+    descriptions = F.array_compact(F.array(*[place(name) for name in DESCRIPTIONS]))
+    return first.withColumn("names", names).select(
+        F.col("file_path").alias("profile_of"), "header_at", "header", "utf8",
+        *[place(*aliases).alias(f"at_{field}") for field, aliases in ALIASES.items()], descriptions.alias("at_descriptions"))
+
+
 def read_statements(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     """All statement files under `path` as text columns with file and row order.
 
-    Files are grouped by header and encoding; each group is one CSV scan with a fixed schema and no
-    shuffle. Only the names of the files come to the driver, which lists them for any scan anyway;
-    rows never do. A file that is not UTF-8 throughout is read as Windows-1252 throughout. Set `multi_line` when quoted fields
-    contain line breaks; such files are not split.
+    A file that is not UTF-8 throughout is read as Windows-1252 throughout. A header that lacks a required
+    field fails the read and is shown. Set `multi_line` when quoted fields contain line breaks; each such file is
+    then one row of the scan, so its size is bounded by what a task can hold. Empty files give no rows.
     """
-    groups = (
-        file_profiles(spark, path).groupBy("header", "utf8")
-        .agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("header", "utf8")
-        .limit(MAX_LAYOUTS + 1).collect()
-    )
-    if not groups:
-        raise ValueError(f"{path}: no statement rows, not even a header")
-    if len(groups) > MAX_LAYOUTS:
-        raise ValueError(f"{path}: more than {MAX_LAYOUTS} different headers; these are not statements")
-    layouts = [_read_layout(spark, g["files"], g["header"], g["utf8"], multi_line) for g in groups]
-    merged = layouts[0]
-    for layout in layouts[1:]:
-        merged = merged.unionByName(layout, allowMissingColumns=True)
-    return merged
+    records = _records(spark, path, multi_line)
+    profiles = file_profiles(records)
+    rows = records.join(profiles, records["file_path"] == profiles["profile_of"]).filter(
+        (F.col("batch_ord") > F.col("header_at")) & (F.trim("line") != ""))
+    text = F.when(F.col("utf8"), F.col("line")).otherwise(from_latin1(F.decode(F.col("line").cast("binary"), "ISO-8859-1")))
+    lacking = F.concat(F.lit("statement header lacks a required field; header found: "), F.col("header"))
+    complete = F.concat(*[F.col(f"at_{field}").isNull().cast("string") for field in REQUIRED]) == "false" * len(REQUIRED)
+    cells = F.when(complete, cells_of(text)).otherwise(F.raise_error(lacking).cast("array<string>"))
+    parsed = rows.select("*", F.explode(F.array(cells)).alias("cells"))
+    return parsed.select(
+        *[F.get("cells", F.col(f"at_{field}") - 1).alias(field) for field in ALIASES],
+        F.transform("at_descriptions", lambda at: F.coalesce(F.get("cells", at - 1), F.lit(""))).alias("descriptions"),
+        "file_path", "batch_id", "batch_ord")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +29,22 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def shared_folder(spark: SparkSession, fallback: str | Path) -> str:
-    """The folder the cluster names for checkpoints; the fallback serves only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or str(fallback)
+    """The folder the cluster names for checkpoints. The fallback serves a local session only: on a cluster
+    a folder of one machine would be missing on the others."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return str(fallback)
 
 
 def keep(df: DataFrame, name: str, fallback: str | Path) -> DataFrame:
     """Write an intermediate result that several jobs read, and go on from the written table.
 
-    The table outlives lost executors, cuts the lineage and gives the planner real sizes.
+    The table outlives lost executors, cuts the lineage and gives the planner real sizes. Every call writes a
+    table of its own, so a result of an earlier run stays readable.
     """
-    path = f"{shared_folder(df.sparkSession, fallback)}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    path = f"{shared_folder(df.sparkSession, fallback)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,23 +8,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom import schema
-from ledgerloom.config import DEFAULT_TAXONOMY, INFLOW_EXCLUDE_CENTS, Policy, Taxonomy
+from ledgerloom.config import DEFAULT_TAXONOMY, INFLOW_EXCLUDE_CENTS, Bill, Policy, Taxonomy
 from ledgerloom.functions.names import DEFAULT_NAME_RULES, NameRules
+from ledgerloom.operators.bills import bill_alerts, bill_state
 from ledgerloom.operators.ingest import (
-    accepted, append_new, assign_ids, map_feed, quarantine, rejected, to_ledger,
+    accepted, advance_cursor, append_new, assign_ids, checked, clip_boundary, clip_overlap, ingest_audit, map_feed,
+    map_statements, quarantine, rejected, to_ledger,
 )
 from ledgerloom.operators.labels import authorized
 from ledgerloom.operators.policy import policy_alerts, unsent
 from ledgerloom.operators.spend import KEYS
-from ledgerloom.plans.shapes import first_per_key
+from ledgerloom.plans.shapes import first_per_key, not_stored
 from ledgerloom.sources.feed import numbered, stream_feed
-from ledgerloom.sources.tables import read_table, write_table
+from ledgerloom.sources.statements import read_statements
+from ledgerloom.sources.tables import keep, read_table, write_table
 
 
 @dataclass(frozen=True)
@@ -37,19 +41,41 @@ class Paths:
         return f"{self.root}/{name}"
 
 
+def source_cursor(spark: SparkSession, paths: Paths, before: int | None = None) -> DataFrame:
+    """Where each account stands, from the log of all batches, or of those before one.
+
+    A cursor never goes back, so the state is a maximum and a minimum over the log.
+    """
+    log = read_table(spark, paths.cursor_log, schema.CURSOR_LOG)
+    if before is not None:
+        log = log.filter(F.col("stream_batch") < before)
+    return log.groupBy("account_id").agg(F.max("high_water").alias("high_water"), F.min("coverage_start").alias("coverage_start"))
+
+
+def _log_cursor(rows: DataFrame, batch_id: int, paths: Paths) -> None:
+    """Advance the cursor by the accepted rows of a batch; the first batch of an account starts its coverage."""
+    held = source_cursor(rows.sparkSession, paths, batch_id)
+    pulls = rows.groupBy("account_id").agg(F.min("booking_date").alias("since")).withColumn("truncated", F.lit(False))
+    moved = advance_cursor(held, rows, pulls).join(pulls.select("account_id"), "account_id", "left_semi")
+    write_table(moved.withColumn("stream_batch", F.lit(batch_id).cast("long")), paths.cursor_log, "overwrite", ["stream_batch"])
+
+
 def ingest_batch(batch: DataFrame, paths: Paths, currency: str = "EUR",
-                 names: NameRules = DEFAULT_NAME_RULES) -> None:
-    """Map, number, dedupe and store one micro-batch; bad rows go to quarantine."""
+                 names: NameRules = DEFAULT_NAME_RULES, batch_id: int = 0) -> None:
+    """Map, check, number, dedupe and store one micro-batch; bad rows go to quarantine, the cursor moves on."""
     spark = batch.sparkSession
-    mapped = map_feed(batch, currency).persist()
+    mapped = checked(map_feed(batch, currency), currency).persist()
+    good = to_ledger(assign_ids(accepted(mapped)), F.current_timestamp(), names).persist()
     try:
-        good = to_ledger(assign_ids(accepted(mapped)), F.current_timestamp(), names)
+        good.count()  # so that Spark knows how little a batch asks of the ledger
         stored = read_table(spark, paths.ledger, schema.LEDGER)
         write_table(append_new(stored, good), paths.ledger, "append", ["booking_month"])
         held = read_table(spark, paths.quarantine, schema.QUARANTINE)
         bad = quarantine(rejected(mapped), held, seen_at=F.current_timestamp())
         write_table(bad, paths.quarantine, "append")
+        _log_cursor(good, batch_id, paths)
     finally:
+        good.unpersist()
         mapped.unpersist()
 
 
@@ -66,24 +92,63 @@ def start_ingest(spark: SparkSession, source: str, paths: Paths, currency: str =
 
     A file is never split over micro-batches, so numbering repeats per file is stable over replays.
     """
-    return _run(stream_feed(spark, source), lambda df, _: ingest_batch(numbered(df), paths, currency, names),
+    return _run(stream_feed(spark, source), lambda df, n: ingest_batch(numbered(df), paths, currency, names, n),
                 paths.checkpoint_ingest)
 
 
+def load_statements(spark: SparkSession, source: str, paths: Paths, account_map: dict[str, str] | DataFrame | None = None,
+                    currency: str = "EUR", names: NameRules = DEFAULT_NAME_RULES, multi_line: bool = False) -> None:
+    """Load statement files as one batch: read, map, check, clip against the feed, number, store, quarantine, audit.
+
+    Loading the same files again stores nothing and audits every row as a duplicate. What was stored by this load is
+    read back from the ledger by its batch ids, so the audit does not depend on cached rows.
+    """
+    loaded_at = F.lit(datetime.now(timezone.utc).replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp")
+    stored = read_table(spark, paths.ledger, schema.LEDGER)
+    boundary = clip_boundary(stored.filter(F.col("source") == "api"), source_cursor(spark, paths))
+    read = read_statements(spark, source, multi_line)
+    staged = keep(clip_overlap(checked(map_statements(read, account_map, currency), currency), boundary), "staged", paths.work)
+    good = to_ledger(assign_ids(accepted(staged).drop("clipped")), loaded_at, names)
+    write_table(append_new(stored, good), paths.ledger, "append", ["booking_month"])
+    held = read_table(spark, paths.quarantine, schema.QUARANTINE)
+    bad = quarantine(rejected(staged), held, ["account", "date", "debit", "credit", "descriptions"], loaded_at)
+    write_table(bad, paths.quarantine, "append")
+    batches = good.select("batch_id").distinct()
+    new = read_table(spark, paths.ledger, schema.LEDGER).join(batches, "batch_id", "left_semi").select(
+        F.regexp_replace("batch_id", r"^[^|]*\|", "").alias("file_path"))
+    audit = ingest_audit(staged, new).withColumn("loaded_at", loaded_at)
+    write_table(audit.select(*schema.INGEST_AUDIT.fieldNames()), paths.ingest_audit, "append")
+
+
+def send_bill_alerts(ledger: DataFrame, bills: list[Bill], as_of: date, paths: Paths, accounts: DataFrame,
+                     keys: list[str] = KEYS, **options) -> None:
+    """Write the bill alerts of a day that no earlier day has written: once for each bill, due date and kind.
+
+    Running a day again replaces what it wrote.
+    """
+    state = bill_state(ledger, bills, as_of, accounts=accounts, keys=keys, **options)
+    rows = bill_alerts(state, keys).select(
+        F.concat(F.lit("bill_"), "kind").alias("kind"), *keys, F.col("bill").alias("subject_id"),
+        F.lit(None).cast("string").alias("policy"), "period_key", "text", F.current_timestamp().alias("created_at"))
+    day = as_of.toordinal()
+    log = read_table(ledger.sparkSession, paths.bill_log, schema.ALERT_LOG).filter(F.col("stream_batch") != day)
+    write_table(unsent(rows, log, [*keys, "period_key"]).withColumn("stream_batch", F.lit(day).cast("long")),
+                paths.bill_log, "overwrite", ["stream_batch"])
+
+
 def alert_batch(fresh: DataFrame, batch_id: int, paths: Paths, categorize: Callable[[DataFrame], DataFrame],
                 policies: list[Policy], keys: list[str] = KEYS, threshold: int = INFLOW_EXCLUDE_CENTS,
-                taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> None:
+                taxonomy: Taxonomy = DEFAULT_TAXONOMY, as_of: date | None = None) -> None:
     """Alerts for newly stored rows.
 
     The running totals are recomputed for the accounts and months the new rows touch, so a row that
-    arrives late gets the total at its own place and rows after it do not fire again.
+    arrives late gets the total at its own place and rows after it do not fire again. The months reach the
+    scan of the ledger as partitions pruned by the join. With `as_of` only that month is judged.
     """
     spark = fresh.sparkSession
     touched = fresh.select(*keys, "booking_month").distinct()
-    months = [row[0] for row in fresh.select("booking_month").distinct().collect()]
-    ledger = read_table(spark, paths.ledger, schema.LEDGER).filter(F.col("booking_month").isin(months))
-    around = ledger.join(touched, [*keys, "booking_month"], "left_semi")
-    alerts = policy_alerts(categorize(around), policies, new_ids=fresh.select("id").distinct(), keys=keys,
+    around = read_table(spark, paths.ledger, schema.LEDGER).join(touched, [*keys, "booking_month"], "left_semi")
+    alerts = policy_alerts(categorize(around), policies, as_of, new_ids=fresh.select("id").distinct(), keys=keys,
                            threshold=threshold, taxonomy=taxonomy)
     rows = alerts.select(
         F.lit("policy_alert").alias("kind"), *keys, F.col("id").alias("subject_id"), "policy",
@@ -96,11 +161,12 @@ def alert_batch(fresh: DataFrame, batch_id: int, paths: Paths, categorize: Calla
 
 def start_alerts(spark: SparkSession, paths: Paths, categorize: Callable[[DataFrame], DataFrame],
                  policies: list[Policy], keys: list[str] = KEYS,
-                 threshold: int = INFLOW_EXCLUDE_CENTS, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> StreamingQuery:
+                 threshold: int = INFLOW_EXCLUDE_CENTS, taxonomy: Taxonomy = DEFAULT_TAXONOMY,
+                 as_of: date | None = None) -> StreamingQuery:
     """Evaluate caps on ledger rows stored since the last run."""
     stream = spark.readStream.schema(schema.LEDGER).parquet(paths.ledger)
-    return _run(stream, lambda df, n: alert_batch(df, n, paths, categorize, policies, keys, threshold, taxonomy),
-                paths.checkpoint_alerts)
+    return _run(stream, lambda df, n: alert_batch(df, n, paths, categorize, policies, keys, threshold, taxonomy,
+                                                    as_of), paths.checkpoint_alerts)
 
 
 def baseline_alerts(spark: SparkSession, paths: Paths) -> StreamingQuery:
@@ -113,8 +179,7 @@ def label_batch(batch: DataFrame, actors: DataFrame, paths: Paths) -> None:
     """Store the label events of authorized senders, each event once."""
     known = read_table(batch.sparkSession, paths.label_events, schema.LABEL_EVENTS)
     once = first_per_key(authorized(batch, actors), ["event_id"], [F.col("ts")])
-    write_table(once.join(known.select("event_id"), "event_id", "left_anti").select(*known.columns),
-                paths.label_events, "append")
+    write_table(not_stored(once, known, ["event_id"]).select(*known.columns), paths.label_events, "append")
 
 
 def start_labels(spark: SparkSession, source: str, actors: DataFrame, paths: Paths) -> StreamingQuery:

@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from ledgerloom.config import DEFAULT_TAXONOMY, Taxonomy
 from ledgerloom.functions.dates import iso_week_key
 from ledgerloom.operators.spend import KEYS, is_gross, spent
+from ledgerloom.plans.shapes import first_per_key
 
 
 def dedupe_stream(df: DataFrame, delay: str = "5 days", ts: str = "booking_ts", key: str = "id") -> DataFrame:
     """Drop repeats of an id that arrive within the delay; the state kept is bounded by it.
 
-    On a table all repeats are dropped. Ingest itself dedupes exactly against the stored ids.
+    On a table the first copy in the order of time and then of all other columns stays. Ingest itself
+    dedupes exactly against the stored ids.
     """
     if df.isStreaming:
         return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
-    return df.dropDuplicates([key])
+    others = [c for c in df.columns if c not in (ts, key)]
+    return first_per_key(df, [key], [c for c in (ts, *others) if c in df.columns])
 
 
 def _windowed(df: DataFrame, window, ts: str, keys: list[str], delay: str, taxonomy: Taxonomy) -> DataFrame:

@@ -1,4 +1,8 @@
-from datetime import date
+"""Caps and bills over drawn bookings, held against the definitions told in plain Python."""
+
+import random
+from collections import defaultdict
+from datetime import date, timedelta
 
 import pytest
 from conftest import rows_of
@@ -6,72 +10,73 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.config import Bill, Policy
-from ledgerloom.operators import bills, policy
-from ledgerloom.plans.shapes import block_of, running_totals
-
-FOOD = [Policy("food", 15_000, bucket="FoodDelivery")]
-
-
-def food(ledger_of, *rows):
-    return ledger_of([(f"2026-07-{day:02d}", "BIKE FOOD", cents, "FoodDelivery") for day, cents in rows])
-
-
-def fired(df, policies=FOOD, **options):
-    return policy.policy_alerts(df, policies, **options).orderBy("booking_date", "id").collect()
-
+from ledgerloom.operators import bills, ingest, policy
+from ledgerloom.plans.shapes import block_of, not_stored, running_totals
 
-def test_fires_when_the_cap_is_crossed(ledger_of):
-    alerts = fired(food(ledger_of, (1, -6_000), (2, -6_000), (3, -6_000)))
-    assert [a.id for a in alerts] == ["t-2"]
-    text = alerts[0].text
-    assert "3rd" in text and "€180.00" in text and "€150.00" in text and "€2,160.00 a year" in text
+CAPS = [Policy("lanterns", 21_000, pattern="^LANTERN"), Policy("meals", 9_000, bucket="FoodDelivery"),
+        Policy("gifts", 4_000, sub_label="Gifts")]
+HOLD = 30_000
 
 
-def test_refunds_net_and_never_fire(ledger_of, spark):
-    assert not fired(food(ledger_of, (1, -6_000), (2, -6_000), (3, 6_000), (4, -6_000)))
-    again = fired(food(ledger_of, (1, -6_000), (2, -6_000), (3, 6_000), (4, -6_000), (5, -6_000)))
-    assert [(a.id, a.charge_number, a.mtd_cents) for a in again] == [("t-4", 4, 18_000)]
-    refund_only = spark.createDataFrame([("t-1",)], "id string")
-    assert not fired(food(ledger_of, (1, -20_000), (2, 1_000)), new_ids=refund_only)
+def drawn(seed, n=160):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        day = date(2032, 1, 25) + timedelta(days=rng.randrange(45))
+        cents = rng.choice([-1, -1, -1, 1]) * rng.randrange(1, 4_000) * rng.choice([1, 1, 12])
+        rows.append((day.isoformat(), rng.choice(["LANTERN INN", "TIDE", "Lantern Co"]), cents,
+                     rng.choice(["FoodDelivery", "Gifts", "Uncategorized", "Rent"])))
+    return rows
 
 
-def test_only_new_rows_fire(ledger_of, spark):
-    df = food(ledger_of, (1, -20_000), (2, -100))
-    assert [a.id for a in fired(df, new_ids=spark.createDataFrame([("t-1",)], "id string"))] == ["t-1"]
-    assert not fired(df, new_ids=spark.createDataFrame([], "id string"))
+def expected(rows, caps=CAPS, hold=HOLD):
+    """(row, policy, month to date, charge number) of every row over the cap of its first policy."""
+    def matches(cap, name, kind):
+        if cap.pattern:
+            return name.upper().startswith("LANTERN")
+        return kind == (cap.sub_label or "FoodDelivery")
 
+    kept = [(d, i, n, c, k) for i, (d, n, c, k) in enumerate(rows) if not (k == "Uncategorized" and c >= hold)]
+    for place, cap in enumerate(caps):
+        total, charges = defaultdict(int), defaultdict(int)
+        for d, i, name, cents, kind in sorted(kept):
+            if not matches(cap, name, kind):
+                continue
+            total[d[:7]] -= cents
+            charges[d[:7]] += cents < 0
+            first = next(p for p, c in enumerate(caps) if matches(c, name, kind)) == place
+            if first and cents < 0 and total[d[:7]] > cap.cap_monthly_cents:
+                yield f"t-{i}", cap.name, total[d[:7]], charges[d[:7]]
 
-def test_large_unlabelled_inflows_are_held_out(ledger_of):
-    misc = [Policy("misc", 15_000, bucket="Other")]
-    big = ledger_of([("2026-07-01", "X", 50_000, "Uncategorized"), ("2026-07-02", "X", -16_000, "Uncategorized")])
-    small = ledger_of([("2026-07-01", "X", 5_000, "Uncategorized"), ("2026-07-02", "X", -16_000, "Uncategorized")])
-    assert len(fired(big, misc)) == 1 and not fired(small, misc)
-    assert not fired(big, misc, threshold=0)
 
+def fired(df, **options):
+    return rows_of(policy.policy_alerts(df, CAPS, threshold=HOLD, **options), "id", "policy", "mtd_cents", "charge_number")
 
-def test_future_dated_rows_of_the_month_count(ledger_of):
-    assert len(fired(food(ledger_of, (31, -20_000)), as_of=date(2026, 7, 30))) == 1
 
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("cut", [{}, {"block_rows": 3, "hot_rows": 2}])
+def test_alerts_equal_the_definition(ledger_of, seed, cut):
+    rows = drawn(seed)
+    want = sorted(expected(rows), key=repr)
+    assert fired(ledger_of(rows), **cut) == want and len(want) > 10
 
-def test_backdated_row_fires_in_its_own_month(ledger_of):
-    df = ledger_of([("2026-06-30", "BIKE FOOD", -20_000, "FoodDelivery"), ("2026-07-01", "BIKE FOOD", -1, "FoodDelivery")])
-    assert [a.month for a in fired(df)] == ["2026-06"]
-    assert not fired(df, as_of=date(2026, 7, 2))
 
+def test_one_month_and_new_rows_only(ledger_of, spark):
+    rows = drawn(3)
+    df, everything = ledger_of(rows), sorted(expected(rows), key=repr)
+    assert fired(df, as_of=date(2032, 2, 3)) == [a for a in everything if rows[int(a[0][2:])][0].startswith("2032-02")]
+    some = {a[0] for a in everything[::3]} | {"t-0"}
+    got = fired(df, new_ids=spark.createDataFrame([(i,) for i in some], "id string"))
+    assert got == [a for a in everything if a[0] in some]
 
-def test_first_match_decides_but_every_match_counts(ledger_of):
-    both = [Policy("bike", 100_000, pattern="^BIKE"), Policy("food", 5_000, bucket="FoodDelivery")]
-    df = ledger_of([("2026-07-01", "BIKE FOOD", -6_000, "FoodDelivery"), ("2026-07-02", "VAN FOOD", -10, "FoodDelivery")])
-    alerts = fired(df, both)
-    assert [(a.id, a.policy, a.mtd_cents) for a in alerts] == [("t-1", "food", 6_010)]
-    matched = policy.match_policies(df, both)
-    assert rows_of(matched, "id", "ord", "is_first") == [("t-0", 0, True), ("t-0", 1, False), ("t-1", 1, True)]
 
+def test_alert_text_names_the_amounts(ledger_of):
+    row = policy.policy_alerts(ledger_of([("2032-02-02", "Lantern Inn { x }", -2_100_050, "Other")]), CAPS).first()
+    assert row.text == ("Lantern Inn: €21,000.50, 1st charge this month. lanterns stands at €21,000.50 against a cap of "
+                        "€210.00; that is €252,006.00 a year.")
 
-def test_same_day_rows_keep_their_insertion_order(ledger_of):
-    df = food(ledger_of, (1, -8_000), (1, -8_000), (1, -8_000))
-    assert [(a.id, a.charge_number) for a in fired(df)] == [("t-1", 2), ("t-2", 3)]
 
+# ── running totals ──
 
 @pytest.mark.parametrize(("block_rows", "hot_rows"), [(1, 0), (7, 0), (7, 110), (7, 1_000), (1_000_000, 0)])
 def test_running_totals_do_not_depend_on_the_cut(spark, block_rows, hot_rows):
@@ -85,69 +90,97 @@ def test_running_totals_do_not_depend_on_the_cut(spark, block_rows, hot_rows):
     assert rows_of(got, "pos", "s", "n") == rows_of(want)
 
 
-def test_block_size_does_not_change_alerts(ledger_of):
-    df = food(ledger_of, *[(1 + i // 10, -700) for i in range(60)])
-    assert [tuple(a) for a in fired(df, block_rows=3, hot_rows=5)] == [tuple(a) for a in fired(df)]
+@pytest.mark.parametrize("column", ["account_id", "batch_id", "booking_date", "merchant_raw", "batch_ord"])
+def test_a_null_in_any_column_changes_nothing_when_groups_are_cut(ledger_of, column):
+    """Alerts and ids of rows of which a third, or all, lack the column: the cut form equals the plain one."""
+    base = ledger_of([("2032-02-02", "LANTERN INN", -700, "Other")] * 120)
+    for missing in (F.lit(True), F.col("batch_ord") % 3 == 0):
+        df = base.withColumn(column, F.when(~missing, F.col(column)))
+        assert fired(df, block_rows=8, hot_rows=5) == fired(df)
+        bare = df.withColumn("id", F.lit(None).cast("string"))
+        cut, plain = (ingest.assign_ids(bare, **o).select("id") for o in ({"block_rows": 8, "hot_rows": 5}, {}))
+        assert rows_of(cut) == rows_of(plain)
+        if column != "batch_ord":
+            assert ingest.assign_ids(bare, block_rows=8, hot_rows=5).count() == 120
+    everyone = base.withColumn("batch_id", F.lit(None).cast("string")).withColumn("id", F.lit(None).cast("string"))
+    assert ingest.assign_ids(everyone, block_rows=8, hot_rows=5).select("id").distinct().count() == 120
 
 
-def test_watermark_and_log(ledger_of, spark):
-    df = ledger_of([("2026-07-01", "A", -1, "Other")]).withColumn("batch_id", F.lit("2026-07-02T00/f"))
-    assert policy.new_since(df, None).count() == 0
-    assert policy.new_since(df, "2026-07-01").count() == 1 and policy.new_since(df, "2026-07-03").count() == 0
-    alerts = spark.createDataFrame([("p", "1"), ("p", "2")], "kind string, subject_id string")
-    log = spark.createDataFrame([("p", "1"), ("p", "1")], "kind string, subject_id string")
-    assert rows_of(policy.unsent(alerts, log)) == [("p", "2")]
+# ── what is new, what was sent ──
 
+def test_batches_are_new_by_load_time_whatever_their_files_are_called(spark, ledger_of):
+    early = ingest.to_ledger(_stored(ledger_of, "z-last.json"), F.lit("2032-03-01 08:00:00").cast("timestamp"))
+    late = ingest.to_ledger(_stored(ledger_of, "a-first.json"), F.lit("2032-03-02 08:00:00").cast("timestamp"))
+    both, mark = early.unionByName(late), early.first().batch_id
+    assert rows_of(policy.new_since(both, mark), "batch_id") == [(late.first().batch_id,)]
+    assert policy.new_since(both, None).count() == 0
 
-# ── bills ──
-
-BROADBAND = [Bill("Broadband", "VIRTUAL MEDIA", 15, 8_000, 10)]
-RENT = [Bill("Rent", "^LANDLORD", 28, 120_000, 5)]
-
-
-def checked(df, known, as_of, **options):
-    return bills.bill_alerts(bills.bill_state(df, known, as_of, **options)).collect()
 
+def _stored(ledger_of, file):
+    names = "value_date date, currency string, description string, source string"
+    extra = {part.split()[0]: F.lit(None).cast(part.split()[1]) for part in names.split(", ")}
+    return ledger_of([("2032-02-28", "TIDE", -5, "Other")]).withColumns(extra | {"batch_id": F.lit(file)})
 
-def test_late_after_grace_only(ledger_of):
-    df = ledger_of([("2026-01-01", "OTHER", -5, "Other")])
-    assert not checked(df, BROADBAND, date(2026, 7, 16))
-    late = checked(df, BROADBAND, date(2026, 7, 20))
-    assert [(a.kind, a.days_past_due, a.period_key) for a in late] == [("late", 5, "Broadband|2026-07-15|late")]
 
+def test_only_what_the_log_lacks_is_sent(spark):
+    kind = "kind string, subject_id string, note string"
+    alerts = spark.createDataFrame([("cap", "7", "x"), ("cap", "8", "y"), ("bill", "7", "z")], kind)
+    log = spark.createDataFrame([("cap", "7", "old"), ("cap", "7", "older"), ("cap", "99", "q")], kind)
+    assert rows_of(policy.unsent(alerts, log)) == [("bill", "7", "z"), ("cap", "8", "y")]
 
-def test_month_end_bill_is_late_across_the_month(ledger_of):
-    df = ledger_of([("2026-01-01", "OTHER", -5, "Other")])
-    assert not checked(df, RENT, date(2026, 3, 2))
-    assert checked(df, RENT, date(2026, 3, 4))[0].due == date(2026, 2, 28)
-    paid = ledger_of([("2026-02-28", "LANDLORD SO", -120_000, "Rent")])
-    assert not checked(paid, RENT, date(2026, 3, 4))
 
+def test_a_large_store_is_not_shuffled_for_a_small_batch(spark, tmp_path):
+    spark.range(50_000).selectExpr("cast(id AS string) AS id", "id AS other").write.parquet(str(tmp_path / "s"))
+    spark.createDataFrame([("7",), ("new",)], "id string").write.parquet(str(tmp_path / "n"))
+    new = spark.read.parquet(str(tmp_path / "n"))
+    df = not_stored(new, spark.read.parquet(str(tmp_path / "s")), ["id"])
+    assert rows_of(df) == [("new",)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index(f"{tmp_path}/s]")]
+    assert above.rindex("LeftSemi") > above.rindex("Exchange hashpartitioning")
 
-def test_drift_and_tolerance(ledger_of):
-    exact = ledger_of([("2026-07-15", "VDP-VIRTUAL MEDIA IRELAND", -8_800, "Utilities")])
-    dear = ledger_of([("2026-07-15", "VIRTUAL MEDIA", -9_500, "Utilities")])
-    assert not checked(exact, BROADBAND, date(2026, 7, 20))
-    assert [(a.kind, a.paid_cents) for a in checked(dear, BROADBAND, date(2026, 7, 20))] == [("drift", 9_500)]
-
-
-def test_early_window_latest_match_and_checklist(ledger_of):
-    df = ledger_of([("2026-07-11", "VIRTUAL MEDIA", -8_000, "Utilities"), ("2026-07-15", "VIRTUAL MEDIA", 8_000, "Utilities")])
-    assert not checked(df, BROADBAND, date(2026, 7, 20))
-    assert checked(df, BROADBAND, date(2026, 7, 20), early_days=2)[0].kind == "late"
-    two = ledger_of([("2026-07-14", "VIRTUAL MEDIA", -1, "Utilities"), ("2026-07-16", "VIRTUAL MEDIA", -8_000, "Utilities")])
-    state = bills.bill_state(two, [*BROADBAND, *RENT, Bill("Gym", "GYM", 19, 1, 0)], date(2026, 7, 20))
-    assert rows_of(bills.bill_checklist(state), "bill", "status", "paid_cents") == [
-        ("Broadband", "paid", 8_000), ("Gym", "pending", None), ("Rent", "overdue", None)]
 
+# ── bills ──
 
-def test_annotation_text_cannot_fake_a_payment(ledger_of):
-    df = ledger_of([("2026-07-15", "SHOP { NOTE : VIRTUAL MEDIA }", -8_000, "Other")])
-    assert checked(df, BROADBAND, date(2026, 7, 20))[0].kind == "late"
+BILLS = [Bill("Water", "^TIDE", 9, 6_000, 10), Bill("Light", "LANTERN", 31, 2_500, 0)]
+
+
+def plain_state(rows, bill, as_of, early, grace):
+    """Due date, latest payment in time, and what is to be said about it."""
+    month_end = (as_of.replace(day=28) + timedelta(days=4)).replace(day=1) - timedelta(days=1)
+    due = as_of.replace(day=min(bill.due_day, month_end.day))
+    if due > as_of:
+        last = as_of.replace(day=1) - timedelta(days=1)
+        due = last.replace(day=min(bill.due_day, last.day))
+    word = bill.pattern.lstrip("^")
+    paid = [(date.fromisoformat(d), i, -c) for i, (d, n, c, _) in enumerate(rows)
+            if c < 0 and due - timedelta(days=early) <= date.fromisoformat(d) <= as_of
+            and (n.upper().startswith(word) if bill.pattern[0] == "^" else word in n.upper())]
+    if not paid:
+        return due, None, "late" if (as_of - due).days > grace else None
+    cents = max(paid)[2]
+    return due, cents, "drift" if abs(cents - bill.expected_cents) * 100 > bill.tolerance_pct * bill.expected_cents else None
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bill_alerts_equal_the_definition(ledger_of, seed):
+    rng = random.Random(40 + seed)
+    rows = [((date(2032, 1, 20) + timedelta(days=rng.randrange(60))).isoformat(), rng.choice(["TIDE WATER", "LANTERN INN", "MOSS"]),
+             -rng.choice([2_500, 6_000, 6_600, 6_601, 2_501]), "Utilities") for _ in range(12)]
+    df = ledger_of(rows)
+    for as_of in (date(2032, 2, 14), date(2032, 3, 2), date(2032, 3, 20)):
+        got = {(a.bill, a.due, a.kind) for a in bills.bill_alerts(bills.bill_state(df, BILLS, as_of, early_days=5, grace_days=3)).collect()}
+        want = set()
+        for bill in BILLS:
+            due, _, kind = plain_state(rows, bill, as_of, 5, 3)
+            if kind:
+                want.add((bill.name, due, kind))
+        assert got == want
 
 
 def test_due_dates_agree_in_both_forms(spark):
-    days = [date(2026, 3, 1), date(2026, 2, 28), date(2024, 2, 29), date(2026, 12, 31), date(2026, 1, 1)]
-    df = spark.createDataFrame([(d, n) for d in days for n in (1, 15, 28, 30, 31)], "d date, n int")
+    rng = random.Random(8)
+    cases = [(date(2030, 1, 1) + timedelta(days=rng.randrange(1_500)), rng.randint(1, 31)) for _ in range(200)]
+    df = spark.createDataFrame(cases, "d date, n int")
     for r in df.select("d", "n", bills.current_due(F.col("d"), F.col("n")).alias("due")).collect():
         assert r.due == bills.due_on_or_before(r.d, r.n)

@@ -1,4 +1,7 @@
-from datetime import date, datetime
+"""Pay cycles: properties of the calendar, and budgets recomputed from drawn bookings."""
+
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from conftest import rows_of
@@ -6,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import cycle
 
-POOL = 120_000
+POOL = 345_600
 
 
 @pytest.fixture(scope="module")
@@ -14,91 +17,110 @@ def accounts(spark):
     return spark.createDataFrame([("a1",)], "account_id string")
 
 
-def logged(spark, *days, as_of=date(2026, 7, 21), payday=23):
-    rows = [("a1", d, datetime(2026, 7, 21, 9, i)) for i, d in enumerate(days)]
+def reported(spark, texts, as_of, payday):
+    rows = [("a1", text, datetime(2031, 1, 1, 6, i)) for i, text in enumerate(texts)]
     return cycle.log_paydays(spark.createDataFrame(rows, "account_id string, text string, ts timestamp"), as_of, payday)
 
 
-def now(accounts, as_of, day=23, overrides=None):
-    r = cycle.cycles_around(accounts, as_of, day, overrides).collect()
-    assert len(r) == 1
-    return (r[0].cycle_start, r[0].next_payday, r[0].days_left, r[0].cycle_source)
-
-
-def test_scheduled_cycle(accounts):
-    assert now(accounts, date(2026, 7, 18)) == (date(2026, 6, 23), date(2026, 7, 23), 5, "scheduled")
-    assert now(accounts, date(2026, 7, 23)) == (date(2026, 7, 23), date(2026, 8, 23), 31, "scheduled")
-    assert now(accounts, date(2026, 2, 28), 31) == (date(2026, 2, 28), date(2026, 3, 31), 31, "scheduled")
-
-
-def test_logged_payday_moves_the_cycle(spark, accounts):
-    early = logged(spark, "", "2026-07-21")
-    assert now(accounts, date(2026, 7, 22), overrides=early) == (date(2026, 7, 21), date(2026, 8, 23), 32, "logged")
-    assert now(accounts, date(2026, 7, 20), overrides=early)[1:3] == (date(2026, 7, 21), 1)
-
+def around(accounts, as_of, payday, overrides=None):
+    row, = cycle.cycles_around(accounts, as_of, payday, overrides).collect()
+    return row
 
-def test_unreadable_reports_change_nothing(spark, accounts):
-    assert logged(spark, "not-a-date", "2026-13-01", "21/07/2026").count() == 0
 
+@pytest.mark.parametrize("payday", [1, 9, 28, 30, 31])
+def test_every_day_lies_in_its_own_scheduled_cycle(accounts, payday):
+    rng = random.Random(payday)
+    for _ in range(6):
+        day = date(2031, 1, 1) + timedelta(days=rng.randrange(800))
+        got = around(accounts, day, payday)
+        assert got.cycle_start <= day < got.next_payday and got.cycle_source == "scheduled"
+        assert got.days_left == (got.next_payday - day).days
+        for edge in (got.cycle_start, got.next_payday):
+            assert edge.day == payday or (edge + timedelta(days=1)).day == 1 and edge.day < payday
+        assert 28 <= (got.next_payday - got.cycle_start).days <= 31
 
-def test_latest_report_wins(spark, accounts):
-    twice = logged(spark, "2026-07-20", "2026-07-22")
-    assert now(accounts, date(2026, 7, 22), overrides=twice)[0] == date(2026, 7, 22)
 
+def test_a_report_moves_its_month_only(spark, accounts):
+    paid = date(2031, 10, 7)
+    log = reported(spark, [paid.isoformat()], date(2031, 10, 8), 9)
+    for day, start, end, source in (
+            (date(2031, 10, 7), paid, date(2031, 11, 9), "logged"), (date(2031, 10, 6), date(2031, 9, 9), paid, "scheduled"),
+            (date(2031, 11, 9), date(2031, 11, 9), date(2031, 12, 9), "scheduled")):
+        got = around(accounts, day, 9, log)
+        assert (got.cycle_start, got.next_payday, got.cycle_source) == (start, end, source)
 
-def test_first_of_month_payday_logged_a_day_early_or_late(spark, accounts):
-    early = logged(spark, "2026-06-30", payday=1)
-    assert rows_of(early, "cycle_month") == [(date(2026, 7, 1),)]
-    assert now(accounts, date(2026, 6, 30), 1, early) == (date(2026, 6, 30), date(2026, 8, 1), 32, "logged")
-    late = logged(spark, "2026-06-05", payday=1)
-    assert now(accounts, date(2026, 6, 1), 1, late)[:2] == (date(2026, 5, 1), date(2026, 6, 5))
 
+def test_the_latest_report_counts_and_nonsense_does_not(spark, accounts):
+    texts = ["2031-10-05", "soon", "2031-10-41", "07.10.2031", "2031-10-12"]
+    log = reported(spark, texts, date(2031, 10, 20), 9)
+    assert around(accounts, date(2031, 10, 20), 9, log).cycle_start == date(2031, 10, 12)
+    assert reported(spark, texts[1:4], date(2031, 10, 20), 9).count() == 0
 
-def test_nearest_month(spark):
-    days = [date(2026, 7, 21), date(2026, 7, 24), date(2026, 1, 2), date(2026, 4, 8)]
-    df = spark.createDataFrame([(d,) for d in days], "d date")
-    got = [r[0] for r in df.select(cycle.cycle_month_of(F.col("d"), 23)).collect()]
-    assert got == [date(2026, 7, 1), date(2026, 7, 1), date(2025, 12, 1), date(2026, 4, 1)]
-    even = spark.createDataFrame([(date(2026, 7, 8),)], "d date")  # 15 days from 23 June and from 23 July
-    assert even.select(cycle.cycle_month_of(F.col("d"), 23)).first()[0] == date(2026, 6, 1)
 
+def test_a_report_belongs_to_the_nearest_payday(spark):
+    rng = random.Random(6)
+    for payday in (1, 9, 23, 31):
+        days = [date(2031, 1, 1) + timedelta(days=rng.randrange(700)) for _ in range(40)]
+        df = spark.createDataFrame([(d,) for d in days], "d date")
+        got = df.select("d", cycle.cycle_month_of(F.col("d"), payday).alias("m")).collect()
+        for r in got:
+            first = r.d.replace(day=1)
+            firsts = [(first - timedelta(days=1)).replace(day=1), first, (first + timedelta(days=32)).replace(day=1)]
 
-def test_safe_to_spend(spark, ledger_of, accounts):
-    df = ledger_of([("2026-07-10", "MARKET", -60_000, "Groceries"), ("2026-07-22", "GROCER", -10_000, "Groceries"),
-                    ("2026-07-22", "LANDLORD", -90_000, "Rent"), ("2026-07-22", "X", 20_000, "Uncategorized"),
-                    ("2026-07-22", "GROCER", 1_000, "Groceries")])
-    before = cycle.account_status(df, date(2026, 7, 22), POOL).first()
-    assert (before.discretionary_cents, before.remaining_cents, before.safe_today_cents) == (69_000, 51_000, 51_000)
-    assert (before.inflow_count, before.inflow_cents, before.net_fixed_cents) == (1, 20_000, 90_000)
-    after = cycle.account_status(df, date(2026, 7, 22), POOL, overrides=logged(spark, "2026-07-21")).first()
-    assert (after.discretionary_cents, after.days_left, after.safe_today_cents) == (9_000, 32, 111_000 // 32)
-    reset = cycle.safe_to_spend(df, date(2026, 7, 23), POOL).first()
-    assert reset.discretionary_cents == 0 and reset.remaining_cents == POOL
-    whole = cycle.safe_to_spend(df, date(2026, 7, 22), POOL, keys=[]).first()
-    assert whole.remaining_cents == 51_000
+            def planned(first):
+                last = (first + timedelta(days=31)).replace(day=1) - timedelta(days=1)
+                return first.replace(day=min(payday, last.day))
 
-
-def test_overspent_is_zero_and_silent_accounts_show(ledger_of, spark):
-    df = ledger_of([("2026-07-10", "MARKET", -150_000, "Groceries")])
-    both = spark.createDataFrame([("a1",), ("quiet",)], "account_id string")
-    got = {r.account_id: r for r in cycle.account_status(df, date(2026, 7, 20), POOL, accounts=both).collect()}
-    assert got["a1"].safe_today_cents == 0 and got["a1"].remaining_cents == -30_000 and got["a1"].light == "red"
-    assert got["quiet"].remaining_cents == POOL and got["quiet"].light == "green"
-    plan = {r.account_id: r for r in cycle.weekly_plan(
-        cycle.account_status(df, date(2026, 7, 8), POOL, accounts=both)).collect()}
-    assert plan["quiet"].weeks_left == 3 and plan["quiet"].week_budget_cents == 40_000
-    assert plan["quiet"].weekly_rail_cents == POOL * 12 // 52
-
-
-def test_light_is_strict(spark):
-    df = spark.createDataFrame([(2_501,), (2_500,), (1_000,), (999,)], "c long")
-    assert [r[0] for r in df.select(cycle.status_light(F.col("c"))).collect()] == ["green", "amber", "amber", "red"]
+            assert abs((planned(r.m) - r.d).days) == min(abs((planned(f) - r.d).days) for f in firsts)
 
 
 def test_every_day_has_one_cycle(spark, accounts):
-    calendar = cycle.payday_calendar(accounts, date(2025, 12, 1), date(2026, 12, 1), 31)
-    table = cycle.cycles(cycle.apply_overrides(calendar, logged(spark, "2026-03-02", "2026-05-29", payday=31)))
+    calendar = cycle.payday_calendar(accounts, date(2030, 12, 1), date(2031, 12, 1), 31)
+    log = reported(spark, ["2031-03-02", "2031-08-29"], date(2031, 9, 1), 31)
+    table = cycle.cycles(cycle.apply_overrides(calendar, log))
     days = accounts.select("account_id", F.explode(F.sequence(
-        F.lit(date(2026, 1, 1)), F.lit(date(2026, 11, 30)), F.expr("interval 1 day"))).alias("day"))
+        F.lit(date(2031, 1, 1)), F.lit(date(2031, 11, 30)), F.expr("interval 1 day"))).alias("day"))
     placed = cycle.cycle_for(days, "day", table)
     assert placed.count() == days.count() == placed.select("day").distinct().count()
+
+
+def test_budget_is_the_pool_less_what_the_cycle_took(spark, ledger_of, accounts):
+    rng = random.Random(77)
+    kinds = ["Groceries", "FoodDelivery", "Gifts", "Rent", "Income", "Transfers", "Uncategorized"]
+    rows = [((date(2031, 9, 20) + timedelta(days=rng.randrange(40))).isoformat(), "QUAY", rng.choice([-1, -1, 1]) * rng.randrange(1, 30_000),
+             rng.choice(kinds)) for _ in range(150)]
+    df = ledger_of(rows)
+    log = reported(spark, ["2031-10-07"], date(2031, 10, 8), 9)
+    for as_of, overrides in ((date(2031, 10, 20), None), (date(2031, 10, 20), log), (date(2031, 10, 9), None), (date(2031, 9, 30), None)):
+        for keys in (["account_id"], []):
+            got = cycle.account_status(df, as_of, POOL, 9, overrides if keys else None, keys=keys, threshold=20_000).first()
+            mine = [(c, k) for d, _, c, k in rows if got.cycle_start.isoformat() <= d <= as_of.isoformat()]
+            held = [c for c, k in mine if k == "Uncategorized" and c >= 20_000]
+            took = -sum(c for c, k in mine if k in ("Groceries", "FoodDelivery", "Gifts") or k == "Uncategorized" and c < 20_000)
+            assert (got.discretionary_cents, got.remaining_cents) == (took, POOL - took)
+            assert got.safe_today_cents == max(0, (POOL - took) // got.days_left)
+            assert (got.inflow_count, got.inflow_cents) == (len(held), sum(held))
+            assert got.net_fixed_cents == -sum(c for c, k in mine if k == "Rent")
+
+
+def test_silent_accounts_keep_the_whole_pool(spark, ledger_of):
+    two = spark.createDataFrame([("a1",), ("hush",)], "account_id string")
+    df = ledger_of([("2031-10-10", "QUAY", -POOL - 1, "Groceries")])
+    status = cycle.account_status(df, date(2031, 10, 12), POOL, 9, accounts=two)
+    got = {r.account_id: r for r in cycle.weekly_plan(status).collect()}
+    assert (got["a1"].safe_today_cents, got["a1"].remaining_cents, got["a1"].light) == (0, -1, "red")
+    hush = got["hush"]
+    assert (hush.remaining_cents, hush.weeks_left, hush.light) == (POOL, -(-hush.days_left // 7), "green")
+    assert hush.week_budget_cents == POOL // hush.weeks_left and hush.weekly_rail_cents == POOL * 12 // 52
+
+
+def test_light_changes_beyond_its_limits(spark):
+    df = spark.createDataFrame([(c,) for c in (71, 70, 40, 39)], "c long")
+    assert [r[0] for r in df.select(cycle.status_light(F.col("c"), 70, 40)).collect()] == ["green", "amber", "amber", "red"]
+
+
+def test_reports_are_kept_by_account(spark):
+    rows = [("p", "2031-10-05", datetime(2031, 10, 5)), ("q", "2031-10-11", datetime(2031, 10, 11))]
+    log = cycle.log_paydays(spark.createDataFrame(rows, "account_id string, text string, ts timestamp"), date(2031, 10, 12), 9)
+    assert rows_of(log, "account_id", "cycle_month", "actual_date") == [
+        ("p", date(2031, 10, 1), date(2031, 10, 5)), ("q", date(2031, 10, 1), date(2031, 10, 11))]

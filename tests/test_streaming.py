@@ -145,3 +145,47 @@ def test_once_per_period(spark):
     assert windows.once_per(due, "plan", "day", log).count() == 2
     with pytest.raises(ValueError):
         windows.period_key(F.lit(None), "year")
+
+
+# ── complete loads ──
+
+def test_statements_load_once_beside_the_feed(spark, tmp_path):
+    """A statement file that overlaps the feed: clipped, stored, quarantined and audited in one load, and again."""
+    from ledgerloom import schema
+    from ledgerloom.sources.tables import read_table
+
+    paths = jobs.Paths(str(tmp_path / "db"))
+    (tmp_path / "feed").mkdir()
+    record = {"account_id": "P9", "booking_date": "2031-05-10", "transaction_amount": {"amount": "3.00"}, "credit_debit_indicator": "DBIT"}
+    (tmp_path / "feed" / "a.json").write_text(json.dumps(record) + "\n" + json.dumps(record | {"account_id": None}) + '\n{"account_id": "P9", "boo')
+    jobs.start_ingest(spark, str(tmp_path / "feed"), paths).awaitTermination()
+    cursor = jobs.source_cursor(spark, paths).first()
+    assert (cursor.account_id, str(cursor.high_water), str(cursor.coverage_start)) == ("P9", "2031-05-10", "2031-05-10")
+    held = read_table(spark, paths.quarantine, schema.QUARANTINE)
+    assert sorted(r.reason for r in held.collect()) == ["no_account", "unreadable"]
+    (tmp_path / "statements").mkdir()
+    (tmp_path / "statements" / "s.csv").write_text(
+        "Account,Date,Debit,Credit,Description\n" + "".join(f"P9,2031-05-{d},4.00,,MILL\n" for d in ("08", "08", "09", "10", "11", "xx")))
+    for new, duplicate in ((3, 0), (0, 3)):
+        jobs.load_statements(spark, str(tmp_path / "statements"), paths)
+        audit = read_table(spark, paths.ingest_audit, schema.INGEST_AUDIT).orderBy("loaded_at", ascending=False).first()
+        assert (audit.submitted, audit.new, audit.duplicate, audit.clipped, audit.quarantined) == (3, new, duplicate, 2, 1)
+    assert read_table(spark, paths.ledger, schema.LEDGER).count() == 4
+    assert read_table(spark, paths.quarantine, schema.QUARANTINE).count() == 3
+
+
+def test_bill_alerts_are_written_once_for_bill_due_and_kind(spark, ledger_of, tmp_path):
+    from datetime import date
+
+    from ledgerloom import schema
+    from ledgerloom.config import Bill
+    from ledgerloom.sources.tables import read_table
+
+    paths = jobs.Paths(str(tmp_path / "db"))
+    ledger, accounts = ledger_of([("2031-01-01", "MOSS", -5, "Other")]), spark.createDataFrame([("a1",), ("b2",)], "account_id string")
+    bills = [Bill("Water", "^TIDE", 9, 6_000, 10)]
+    for day in (date(2031, 5, 20), date(2031, 5, 21), date(2031, 5, 21), date(2031, 6, 20)):
+        jobs.send_bill_alerts(ledger, bills, day, paths, accounts)
+    log = read_table(spark, paths.bill_log, schema.ALERT_LOG)
+    assert sorted((r.account_id, r.kind, r.period_key) for r in log.collect()) == sorted(
+        (a, "bill_late", f"Water|{due}|late") for a in ("a1", "b2") for due in ("2031-05-09", "2031-06-09"))
