@@ -186,25 +186,24 @@ def quarantine_counts(spark, sf):
 
 
 def _cursor(spark, sf):
-    """A recorded cursor per customer, from the orders placed before the feed began."""
-    orders = star.table(spark, sf, "orders")
-    return orders.filter(F.col("o_orderstatus") != "P").groupBy(F.col("o_custkey").cast("string").alias("account_id")).agg(
+    """A recorded cursor per customer, from all orders."""
+    return star.table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("account_id")).agg(
         F.max(F.to_date("o_orderdate")).alias("high_water"), F.date_add(F.min(F.to_date("o_orderdate")), 200).alias("coverage_start"))
 
 
 def clip_dates(spark, sf):
-    feed = star.categorized_sales(spark, sf).filter(F.col("category") == "Groceries")
+    feed = star.categorized_sales(spark, sf)
     return ingest.clip_boundary(feed, _cursor(spark, sf))
 
 
 def clip_statements(spark, sf):
-    feed = star.categorized_sales(spark, sf).filter(F.col("category") == "Groceries")
+    feed = star.categorized_sales(spark, sf)
     rows = star.income_ledger(spark, sf).select("id", "account_id", "booking_date")
     return ingest.clip_overlap(rows, ingest.clip_boundary(feed, _cursor(spark, sf)))
 
 
 def clip_statements_whole(spark, sf):
-    feed = star.categorized_sales(spark, sf).filter(F.col("category") == "Groceries")
+    feed = star.categorized_sales(spark, sf)
     rows = star.income_ledger(spark, sf).select("id", "account_id", "booking_date")
     boundary = ingest.clip_boundary(feed, _cursor(spark, sf), keys=[])
     return ingest.clip_overlap(rows, boundary, keys=[])
@@ -287,7 +286,7 @@ def _name_labels(spark, sf):
         F.when(name.startswith("blue "), "manual").when(name.startswith("small "), "dict")
         .when(name.contains("gear"), "guess").otherwise("regex").alias("by"),
         F.when(name.contains("rod"), 0.5).alias("confidence"),
-    ).filter(~name.contains("plate"))
+    )
 
 
 def stale_labels(spark, sf):
@@ -506,8 +505,8 @@ def budget_baseline(spark, sf):
 # ── pay cycle ─────────────────────────────────────────────────────────────────
 
 def _payday_overrides(spark, sf):
-    """Logged paydays: the days high-priority orders were placed."""
-    orders = star.table(spark, sf, "orders").filter(F.col("o_orderpriority") == "2-HIGH")
+    """Logged paydays: the days orders were placed."""
+    orders = star.table(spark, sf, "orders")
     reports = orders.select(
         F.col("o_custkey").cast("string").alias("account_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("text"),
         (F.lit("2002-01-01").cast("timestamp") + F.make_interval(mins=F.col("o_orderkey").cast("int"))).alias("ts"))

@@ -120,7 +120,7 @@ NAME_LABELS = """nl AS (
   CASE WHEN p_name LIKE 'blue %' THEN 'manual' WHEN p_name LIKE 'small %' THEN 'dict'
    WHEN p_name LIKE '%gear%' THEN 'guess' ELSE 'regex' END AS "by",
   CASE WHEN p_name LIKE '%rod%' THEN 0.5::DOUBLE END AS confidence
- FROM part WHERE p_name NOT LIKE '%plate%'),
+ FROM part),
 ok_labels AS (
  SELECT merchant_key, category AS label_category, CASE WHEN "by" = 'guess' THEN 'dict' ELSE "by" END AS label_by,
   confidence AS label_confidence
@@ -172,7 +172,7 @@ def overrides(day: int) -> str:
     """Logged paydays with the month they belong to; `day` is the scheduled day."""
     return f"""logged AS (
  SELECT CAST(o_custkey AS VARCHAR) AS account_id, o_orderkey, CAST(o_orderdate AS DATE) AS actual_date,
-  CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders WHERE o_orderpriority = '2-HIGH'),
+  CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders),
 cand AS (
  SELECT logged.*, CAST(m + to_months(CAST(o AS INTEGER)) AS DATE) AS cm FROM logged, (VALUES (-1), (0), (1)) v(o)),
 cand2 AS (
@@ -352,9 +352,9 @@ dg AS (
 
 CURSOR = """cur AS (
  SELECT CAST(o_custkey AS VARCHAR) AS account_id, max(CAST(o_orderdate AS DATE)) AS high_water,
-  CAST(min(CAST(o_orderdate AS DATE)) + 200 AS DATE) AS coverage_start FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL)"""
+  CAST(min(CAST(o_orderdate AS DATE)) + 200 AS DATE) AS coverage_start FROM orders GROUP BY ALL)"""
 CLIP = f"""{HOUSEHOLD}, {CURSOR},
-lo AS (SELECT account_id, min(booking_date) AS d FROM sales WHERE category = 'Groceries' GROUP BY ALL),
+lo AS (SELECT account_id, min(booking_date) AS d FROM sales GROUP BY ALL),
 bnd AS (SELECT lo.account_id, CASE WHEN d < coverage_start THEN coverage_start ELSE d END AS clip_before
  FROM lo LEFT JOIN cur ON lo.account_id = cur.account_id)"""
 
