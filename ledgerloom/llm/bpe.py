@@ -21,15 +21,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from ledgerloom.llm.decontam import BACK_STEP, GRAM_STEP, SPREAD, mixed
 from ledgerloom.llm.shared import chunked, in_tasks, list_array, text_buffer
 
 # The pattern of byte-level pre-tokenizers of this family.
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
-CACHED_PIECES = 300_000
+CACHED_PIECES = 1_000_000
 CACHED_FRAGMENTS = 50_000
 NAIVE_BYTES = 48
 DECODED_ROWS = 256
+ENCODED_BYTES = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -179,51 +181,168 @@ def certain_cuts(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return places[~inside[data[places - 1], data[places]]]
 
 
-class Encoder:
-    """Encodes chunks of texts piece by piece; `fill` turns unseen pieces into little-endian id bytes.
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, `sizes` many, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Grown:
+    """An array that doubles as it fills; only the first `size` values count."""
+
+    def __init__(self, kind: type):
+        self.values, self.size = np.zeros(1024, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        need = self.size + len(more)
+        if need > len(self.values):
+            wider = np.zeros(max(need, 2 * len(self.values)), self.values.dtype)
+            wider[: self.size] = self.values[: self.size]
+            self.values = wider
+        self.values[self.size: need] = more
+        self.size = need
 
-    Known pieces live in two generations: when the younger is full it becomes the older, and pieces met
-    again move up, so rare pieces are forgotten and frequent ones stay.
+
+class PieceTable:
+    """Ids of known pieces by the hash of their bytes; all lookups are numpy gathers.
+
+    Slots are probed linearly. When the table is full, the entries used longest ago make room.
     """
 
-    def __init__(self, inside: np.ndarray, fill: Callable[[list[bytes]], Iterable[bytes]]):
-        self.inside, self.fill = inside, fill
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _learn(self, pieces: set[bytes]) -> None:
-        if len(self.known) + len(pieces) > CACHED_PIECES:
-            self.known, self.older = {}, self.known
-        missing = []
-        for piece in pieces:
-            ids = self.older.get(piece)
-            if ids is None:
-                missing.append(piece)
-            else:
-                self.known[piece] = ids
-        self.known.update(zip(missing, self.fill(missing)))
+    def __init__(self, entries: int):
+        self.limit = entries
+        self.slot_bits = max(4, (2 * entries - 1).bit_length())
+        self.clock = 0
+        self._reset()
+
+    def _reset(self) -> None:
+        self.slots = np.full(1 << self.slot_bits, -1, np.int32)
+        self.count = 0
+        self._hashes, self._used = Grown(np.uint64), Grown(np.int32)
+        self._ids, self._id_starts, self._id_sizes = Grown(np.uint32), Grown(np.int64), Grown(np.int64)
+        self._bytes, self._byte_starts, self._byte_sizes = Grown(np.uint8), Grown(np.int64), Grown(np.int64)
+        self._bind()
+
+    def _bind(self) -> None:
+        self.hashes, self.used = self._hashes.values, self._used.values
+        self.ids, self.id_starts, self.id_sizes = self._ids.values, self._id_starts.values, self._id_sizes.values
+        self.bytes, self.byte_starts, self.byte_sizes = self._bytes.values, self._byte_starts.values, self._byte_sizes.values
+
+    def _home(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of every hash, or -1; entries found count as used."""
+        self.clock += 1
+        found = np.full(len(hashes), -1, np.int64)
+        if not self.count:
+            return found
+        asked, slot = np.arange(len(hashes)), self._home(hashes)
+        while len(asked):
+            entry = self.slots[slot]
+            taken = entry >= 0
+            right = taken & (self.hashes[entry] == hashes[asked])
+            found[asked[right]] = entry[right]
+            onward = taken & ~right
+            asked, slot = asked[onward], (slot[onward] + 1) & (len(self.slots) - 1)
+        self.used[found[found >= 0]] = self.clock
+        return found
+
+    def _place(self, entries: np.ndarray) -> None:
+        slot = self._home(self.hashes[entries])
+        while len(entries):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            mine = free[first]
+            self.slots[slot[mine]] = entries[mine]
+            left = np.ones(len(entries), bool)
+            left[mine] = False
+            entries, slot = entries[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def _append(self, hashes, used, ids, id_sizes, data, byte_sizes) -> None:
+        first = self.count
+        self._id_starts.extend(self._ids.size + np.cumsum(id_sizes) - id_sizes)
+        self._byte_starts.extend(self._bytes.size + np.cumsum(byte_sizes) - byte_sizes)
+        for grown, more in ((self._hashes, hashes), (self._used, used), (self._ids, ids), (self._id_sizes, id_sizes),
+                            (self._bytes, data), (self._byte_sizes, byte_sizes)):
+            grown.extend(more)
+        self.count += len(hashes)
+        self._bind()
+        self._place(np.arange(first, self.count))
+
+    def add(self, hashes: np.ndarray, pieces: list[bytes], ids: list[bytes]) -> None:
+        """Add pieces that are not in the table."""
+        if self.count + len(hashes) > self.limit and self.count:
+            used = self.used[: self.count]
+            stay = np.flatnonzero(used > np.median(used))
+            kept = (self.hashes[stay], self.used[stay], self.ids[ranges(self.id_starts[stay], self.id_sizes[stay])],
+                    self.id_sizes[stay], self.bytes[ranges(self.byte_starts[stay], self.byte_sizes[stay])], self.byte_sizes[stay])
+            self._reset()
+            self._append(*kept)
+        while 2 * (self.count + len(hashes)) > len(self.slots):
+            self.slot_bits += 1
+            self.slots = np.full(1 << self.slot_bits, -1, np.int32)
+            self._place(np.arange(self.count))
+        self._append(hashes, np.full(len(hashes), self.clock, np.int32), np.frombuffer(b"".join(ids), np.uint32),
+                     np.fromiter(map(len, ids), np.int64, len(ids)) >> 2, np.frombuffer(b"".join(pieces), np.uint8),
+                     np.fromiter(map(len, pieces), np.int64, len(pieces)))
+
+
+class Encoder:
+    """Encodes chunks of texts piece by piece; `fill` turns unseen pieces into little-endian id bytes."""
+
+    def __init__(self, inside: np.ndarray, fill: Callable[[list[bytes]], Iterable[bytes]], entries: int = CACHED_PIECES):
+        self.inside, self.fill, self.known = inside, fill, PieceTable(entries)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the offsets of each text's ids."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         mark = np.zeros(len(data) + 1, bool)
         if len(data) > 2:
             mark[certain_cuts(data, self.inside)] = True
         mark[offsets] = True
         mark[-1] = True
         bounds = np.flatnonzero(mark)
-        # 0xFF is in no UTF-8 text, so it can part the pieces.
-        pieces = np.insert(data, bounds[1:-1], 0xFF).tobytes().split(b"\xff") if len(data) else []
-        done = list(map(self.known.get, pieces))
-        if None in done:
-            unseen = {piece for piece, ids in zip(pieces, done) if ids is None}
-            if len(self.known) + len(unseen) > CACHED_PIECES:
-                unseen = set(pieces)
-            self._learn(unseen)
-            done = list(map(self.known.__getitem__, pieces))
-        places = np.searchsorted(bounds, offsets).tolist()
-        texts = [b"".join(done[a:b]) for a, b in zip(places, places[1:])]
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) >> 2
-        return np.frombuffer(b"".join(texts), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+        starts, stops, sizes = bounds[:-1], bounds[1:], np.diff(bounds)
+        hashes = piece_hashes(data, starts, stops)
+        entries = self.known.find(hashes)
+        if (entries < 0).any():
+            raw, unseen = data.tobytes(), np.flatnonzero(entries < 0)
+            fresh, first = np.unique(hashes[unseen], return_index=True)
+            first = unseen[first]
+            pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())]
+            self.known.add(fresh, pieces, list(self.fill(pieces)))
+            entries = self.known.find(hashes)
+        known = self.known
+        if (entries < 0).any() or not (known.byte_sizes[entries] == sizes).all() \
+                or not (known.bytes[ranges(known.byte_starts[entries], sizes)] == data).all():
+            # A chunk with more pieces than the table holds, or two pieces with one hash: without the table.
+            raw = data.tobytes()
+            done = list(self.fill([raw[a:b] for a, b in zip(starts.tolist(), stops.tolist())]))
+            counts, ids = np.fromiter(map(len, done), np.int64, len(done)) >> 2, np.frombuffer(b"".join(done), np.uint32)
+        else:
+            counts = known.id_sizes[entries]
+            ids = known.ids[ranges(known.id_starts[entries], counts)]
+        totals = np.concatenate([[0], np.cumsum(counts)])
+        return ids, totals[np.searchsorted(bounds, offsets)]
+
+
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the hash step and of its inverse, 2**bits of each."""
+    def powers(step: np.uint64) -> np.ndarray:
+        return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full((1 << bits) - 1, step, np.uint64))])
+
+    return powers(GRAM_STEP), powers(BACK_STEP)
+
+
+def piece_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of every piece, from one running sum over the chunk."""
+    ahead, back = _powers(max(20, len(data).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(SPREAD[data] * ahead[: len(data)], out=sums[1:])
+    return mixed((sums[stops] - sums[starts]) * back[starts] + (stops - starts).astype(np.uint64))
 
 
 @cache
@@ -267,7 +386,7 @@ def _decoder(path: str) -> Decoder:
 
 def _encode_batches(path: str, text: str, ids: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(path)
-    for piece in chunked(batches, text):
+    for piece in chunked(batches, text, ENCODED_BYTES):
         values, bounds = encoder.encode(*text_buffer(piece.column(text)))
         yield pa.RecordBatch.from_arrays([*piece.columns, list_array(values.astype(np.int32), bounds)],
                                          [*piece.schema.names, ids])

@@ -16,9 +16,9 @@ import zlib
 
 import numpy as np
 
-LANES = 4096
+LANES = 1 << 14
 LANE_IDS = 128
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 21
 TOTAL_BITS = 26
 BASE_BITS = 20
 PAIR_BITS = 18

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.buckets import bucket_links
 from ledgerloom.llm.components import components
-from ledgerloom.llm.decontam import GRAM_STEP, mixed, word_hashes, words_of
+from ledgerloom.llm.decontam import BACK_STEP, GRAM_STEP, mixed, word_hashes, words_of
 from ledgerloom.llm.shared import chunked, in_tasks, saved, text_buffer
 
 SHINGLE = 5
@@ -39,7 +39,6 @@ ROWS_PER_BAND = 2
 RECALL = 0.95
 EXTRA_STARTS = 8
 FILTER_BITS = 26
-BACK_STEP = np.uint64(pow(int(GRAM_STEP), -1, 1 << 64))
 SENTENCE_ENDS = np.frombuffer(b".!?", np.uint8)
 FACTORS = np.random.Generator(np.random.PCG64(23)).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.bpe import Encoder, certain_cuts, vocabulary
+from ledgerloom.llm.bpe import ENCODED_BYTES, Encoder, certain_cuts, vocabulary
 from ledgerloom.llm.mixcoder import BLOCK_IDS, HEADER, decode_block, encode_block
 from ledgerloom.llm.shared import in_tasks, saved, slices, text_buffer, work_folder
 
@@ -102,7 +102,7 @@ def _write_file(tokenizer: str, folder: str, batches: Iterator[pa.RecordBatch])
             yield from batches
 
         for batch in rest():
-            for piece in slices(batch, "text", 1 << 21):
+            for piece in slices(batch, "text", ENCODED_BYTES):
                 ids, bounds = encoder.encode(*text_buffer(piece.column("text")))
                 ended = np.insert(ids, bounds[1:], END_ID)
                 waiting.append(ended)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -104,3 +105,25 @@ def test_damage_is_noticed(spark):
         file.write(bytes([byte[0] ^ 255]))
     with pytest.raises(Exception, match="damaged"):
         tokenfiles.read_tokens(manifest, folder).count()
+
+
+def test_a_small_table_of_pieces_gives_the_same_ids():
+    """Pieces are forgotten and learned again, also where one chunk has more than the table holds."""
+    rng, vocab, words = random.Random(1), bpe.vocabulary(PATH), {}
+    small = bpe.Encoder(vocab.inside, lambda pieces: (
+        np.array(vocab.encoded(piece.decode(), words), np.uint32).tobytes() for piece in pieces), 50)
+    made = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5))) for _ in range(400)]
+    for n in (5, 30, 200, 1, 0, 100):
+        chunk = text_buffer(pa.array([" ".join(rng.choices(made, k=n)) for _ in range(3)]))
+        for left, right in zip(small.encode(*chunk), bpe._encoder(PATH).encode(*chunk)):
+            assert left.tolist() == right.tolist()
+
+
+def test_pieces_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(bpe, "piece_hashes", lambda data, starts, stops: (stops - starts).astype(np.uint64))
+    vocab = bpe.vocabulary(PATH)
+    encoder = bpe.Encoder(vocab.inside, lambda pieces: (
+        np.array(vocab.encoded(piece.decode(), {}), np.uint32).tobytes() for piece in pieces))
+    chunk = text_buffer(pa.array(["one two six", "ten two"]))
+    for left, right in zip(encoder.encode(*chunk), tokenfiles._library_encoder(PATH)[0].encode(*chunk)):
+        assert left.tolist() == right.tolist()
