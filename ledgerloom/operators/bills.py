@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import EARLY_MATCH_DAYS, GRACE_DAYS, Bill
 from ledgerloom.functions.dates import clamp_day, day_in_month, month_bounds, month_start, shift_month
 from ledgerloom.functions.money import format_eur
-from ledgerloom.operators.spend import KEYS, dated, spent
+from ledgerloom.operators.spend import KEYS, dated
 
 
 def due_on_or_before(as_of: date, due_day: int) -> date:

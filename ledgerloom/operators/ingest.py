@@ -210,8 +210,8 @@ def append_new(ledger: DataFrame, batch: DataFrame, hashed_months: list[str] | N
     """Rows of `batch` whose id the ledger does not hold; of repeats in the batch the first one.
 
     Copies of an id are pruned to one per task before the shuffle. Of the ledger only ids are read, and
-    only those the batch asks for are kept (see `not_stored`). When all ids are hashes the date is part of them, so passing the batch's months lets the scan
-    skip every other partition.
+    only those the batch asks for are kept (see `not_stored`). When all ids are hashes the date is part of
+    them, so passing the batch's months lets the scan skip every other partition.
     """
     held = ledger
     if hashed_months is not None:
