@@ -36,18 +36,23 @@ def prepared_ledger(ledger: DataFrame, labels: DataFrame | None, overrides: Data
 def monthly_report(ledger: DataFrame, as_of: date, keys: list[str] = spend.KEYS,
                    window_days: int = REPORT_WINDOW_DAYS, budget_cents: int | None = None,
                    limits: recurring.RecurringLimits = recurring.RecurringLimits(),
-                   threshold: int = INFLOW_EXCLUDE_CENTS,
-                   taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> dict[str, DataFrame]:
-    """All tables of the monthly report over a categorized ledger."""
+                   threshold: int = INFLOW_EXCLUDE_CENTS, taxonomy: Taxonomy = DEFAULT_TAXONOMY,
+                   accounts: DataFrame | None = None, work: str | None = None) -> dict[str, DataFrame]:
+    """All tables of the monthly report over a categorized ledger, with zeros for silent `accounts`.
+
+    With a folder `work`, the two tables that others build on are written there once and not computed again.
+    """
     start, end = trailing(as_of, window_days)
     months = recon.reconciliation(ledger, start, end, keys, taxonomy=taxonomy)
     found = recurring.detect_recurring(ledger, as_of, limits, keys)
+    if work is not None:
+        months, found = keep(months, "reconciliation", work), keep(found, "recurring", work)
     return {
-        "spend_total": spend.spend_total(ledger, start, end, keys, taxonomy),
+        "spend_total": spend.spend_total(ledger, start, end, keys, taxonomy, accounts),
         "category_pareto": spend.category_pareto(ledger, start, end, keys, taxonomy),
         "merchant_pareto": spend.merchant_pareto(ledger, start, end, keys, taxonomy=taxonomy),
-        "size_bands": spend.size_bands(ledger, start, end, keys, taxonomy=taxonomy),
-        "weekday_profile": spend.weekday_profile(ledger, start, end, keys, taxonomy),
+        "size_bands": spend.size_bands(ledger, start, end, keys, taxonomy=taxonomy, accounts=accounts),
+        "weekday_profile": spend.weekday_profile(ledger, start, end, keys, taxonomy, accounts),
         "daily_spend": spend.daily_spend(ledger, start, end, keys, taxonomy),
         "burn_rate": spend.burn_rate(ledger, start, end, budget_cents or 0, keys, taxonomy=taxonomy),
         "reconciliation": months,
@@ -62,22 +67,24 @@ def monthly_report(ledger: DataFrame, as_of: date, keys: list[str] = spend.KEYS,
 def weekly_digest(ledger: DataFrame, as_of: date, pool_cents: int, bills: list[Bill] = (),
                   grace_days: int = GRACE_DAYS, payday_day: int = PAYDAY_DAY,
                   overrides: DataFrame | None = None, keys: list[str] = spend.KEYS,
-                  threshold: int = INFLOW_EXCLUDE_CENTS,
-                  taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> dict[str, DataFrame]:
+                  threshold: int = INFLOW_EXCLUDE_CENTS, taxonomy: Taxonomy = DEFAULT_TAXONOMY,
+                  accounts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of the weekly digest; `accounts` brings in those without recent rows."""
     buckets = spend.weekly_digest(ledger, as_of, keys, threshold, taxonomy)
     status = cycle.account_status(ledger, as_of, pool_cents, payday_day, overrides, keys=keys,
-                                  threshold=threshold, taxonomy=taxonomy)
+                                  accounts=accounts, threshold=threshold, taxonomy=taxonomy)
     tables = {
         "digest": buckets,
         "top_movers": spend.top_movers(buckets, keys),
         "top_spends": spend.top_spends(ledger, as_of, keys, taxonomy=taxonomy),
         "status": status,
         "weekly_plan": cycle.weekly_plan(status),
-        "surplus": spend.surplus_vs_target(ledger, as_of, keys, threshold=threshold, taxonomy=taxonomy),
+        "surplus": spend.surplus_vs_target(ledger, as_of, keys, threshold=threshold, taxonomy=taxonomy,
+                                                 accounts=accounts),
     }
     if bills:
         tables["bill_checklist"] = bill_ops.bill_checklist(
-            bill_ops.bill_state(ledger, bills, as_of, grace_days, keys=keys), keys)
+            bill_ops.bill_state(ledger, bills, as_of, grace_days, keys=keys, accounts=accounts), keys)
     return tables
 
 
