@@ -5,11 +5,11 @@ threshold. Paragraphs with the same words are one class; classes that share a ba
 exact Jaccard index of their five-word shingles, and linked classes form components. The document with
 the smallest id keeps a component's passage.
 
-A passage may also be set into a longer line. Lines over INSET_WORDS words therefore have inner paragraphs as
-well: stretches of at least MIN_WORDS words from one sentence start to a later sentence end (the hash of a word may
-also end a sentence, so text without marks is cut too). They overlap, one beginning at every sentence, so a
-passage has whole ones wherever it stands. Inner paragraphs match by equal words; their one band is
-their content.
+A passage may also be set into other text, in one line or over several. Texts therefore have inner paragraphs as
+well, cut over their words whatever the line breaks: of every WINDOW neighbouring stretches of MIN_WORDS words the
+one with the smallest hash. Texts that share MIN_WORDS + WINDOW - 1 words so share an inner paragraph at the same
+place in them. Inner paragraphs match by equal words; their one band is their content. Each has the hashes
+of the words on both sides of it, by which a hit is extended word by word to its true ends.
 
 Bands met once are dropped by a count that combines before the shuffle; the texts are then read again for
 the paragraphs that remain, which spares storing all of them.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.buckets import bucket_links
@@ -33,13 +33,12 @@ from ledgerloom.llm.shared import chunked, in_tasks, saved, text_buffer
 SHINGLE = 5
 THRESHOLD = 0.8
 MIN_WORDS = 25
-INSET_WORDS = 40
+WINDOW = 6
+REACH = WINDOW - 1
 MIN_PASSAGE = 30
 ROWS_PER_BAND = 2
 RECALL = 0.95
-EXTRA_STARTS = 8
 FILTER_BITS = 26
-SENTENCE_ENDS = np.frombuffer(b".!?", np.uint8)
 FACTORS = np.random.Generator(np.random.PCG64(23)).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -61,7 +60,7 @@ class Paragraphs:
         data, offsets = text_buffer(texts)
         lower, self.begin, self.end, self.firsts = words_of(data, offsets)
         self.offsets = offsets
-        words = word_hashes(lower, self.begin, self.end)
+        self.words = words = word_hashes(lower, self.begin, self.end)
         n = len(words)
         line = np.concatenate([[0], np.cumsum(data == 0x0A)])[self.begin]
         last = np.ones(n, bool)
@@ -71,11 +70,11 @@ class Paragraphs:
         line_starts = np.concatenate([[0], line_ends[:-1]])[: len(line_ends)]
         long = line_ends - line_starts >= MIN_WORDS
         self._hash(words)
-        closing = last | np.isin(np.append(data, 0)[self.end], SENTENCE_ENDS) | (words % np.uint64(EXTRA_STARTS) == 0)
-        inner = self._inner(np.flatnonzero(closing) + 1, line_ends)
-        self.starts = np.concatenate([line_starts[long], inner[0]])
-        self.stops = np.concatenate([line_ends[long], inner[1]])
-        self._bands(int(long.sum()))
+        inner = self._inner()
+        self.lines = int(long.sum())
+        self.starts = np.concatenate([line_starts[long], inner])
+        self.stops = np.concatenate([line_ends[long], inner + MIN_WORDS])
+        self._bands(self.lines)
 
     def _hash(self, words: np.ndarray) -> None:
         """Hashes of the shingles, and running sums from which a stretch of words gets its hash."""
@@ -88,18 +87,16 @@ class Paragraphs:
         self.back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, BACK_STEP, np.uint64))])
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * powers, dtype=np.uint64)])
 
-    def _inner(self, ends: np.ndarray, line_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
-        place = np.searchsorted(line_ends, starts, "right")
-        bounds = np.concatenate([[0], line_ends])
-        line_end = bounds[place + 1] if len(starts) else starts
-        fits = (line_end - starts >= MIN_WORDS) & (line_end - bounds[place] > INSET_WORDS)
-        starts, line_end = starts[fits], line_end[fits]
-        stops = ends[np.searchsorted(ends, starts + MIN_WORDS)] if len(starts) else starts
-        same_line = line_end[1:] == line_end[:-1]
-        final = np.append(~same_line, True)[: len(starts)]
-        stops = np.where(final, line_end, stops)
-        return starts, stops
+    def _inner(self) -> np.ndarray:
+        """Where the window minima of the stretches of MIN_WORDS words begin, leftmost among equals."""
+        n = len(self.words) - MIN_WORDS - WINDOW + 2
+        if n < 1:
+            return np.zeros(0, np.int64)
+        starts = np.arange(n + WINDOW - 1)
+        hashes = self._contents(starts, starts + MIN_WORDS)
+        at = np.arange(n) + np.argmin(np.lib.stride_tricks.sliding_window_view(hashes, WINDOW), axis=1)
+        room = np.repeat(self.firsts[1:], np.diff(self.firsts))[:n] - np.arange(n)
+        return np.unique(at[room >= MIN_WORDS + WINDOW - 1])
 
     def _bands(self, lines: int) -> None:
         """Keys of all paragraphs; inner ones have a single key."""
@@ -122,10 +119,31 @@ class Paragraphs:
         return np.minimum.reduceat(spread, bounds)[::2]
 
     def contents(self, which: np.ndarray) -> np.ndarray:
-        """A hash of the words of the chosen paragraphs in their order."""
-        starts, stops = self.starts[which], self.stops[which]
+        """A hash of the words of the chosen paragraphs in their order; lines and inner paragraphs are apart."""
+        hashes = self._contents(self.starts[which], self.stops[which])
+        return np.where(which < self.lines, hashes, mixed(hashes + np.uint64(1)))
+
+    def _contents(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         return mixed((self.sums[stops] - self.sums[starts]) * self.back[starts] + (stops - starts).astype(np.uint64))
 
+    def sides(self, which: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Up to REACH words before and after each chosen inner paragraph, nearest first; null for lines.
+
+        A word is 32 bits of its hash, and above them the bytes from the paragraph to its far end.
+        """
+        rows, inner = self.rows(which), which >= self.lines
+        starts, stops = self.starts[which], self.stops[which]
+        both = []
+        for step, edge, ends, limit in ((-1, starts, self.begin, self.firsts[rows]), (1, stops - 1, self.end, self.firsts[rows + 1] - 1)):
+            sizes = np.where(inner, np.minimum(np.abs(limit - edge), REACH), 0)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            base = np.repeat(edge, sizes)
+            place = base + step * (np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes) + 1)
+            values = np.abs(ends[place] - ends[base]).astype(np.int64) << 32 | (self.words[place] >> np.uint64(32)).astype(np.int64)
+            bounds = pa.array(offsets.astype(np.int32), mask=np.append(~inner, False))
+            both.append(pa.ListArray.from_arrays(bounds, pa.array(values)))
+        return both[0], both[1]
+
     def rows(self, which: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.firsts, self.starts[which], "right") - 1
 
@@ -169,20 +187,20 @@ def _units(shared: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
             pa.array((found.starts[which] - firsts).astype(np.int32)), pa.array((found.stops[which] - firsts).astype(np.int32)),
             pa.array((found.begin[found.starts[which]] - offsets).astype(np.int32)),
             pa.array((found.end[found.stops[which] - 1] - offsets).astype(np.int32)),
-            pa.array(found.contents(which).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-            ["row_no", "doc_id", "start", "stop", "start_byte", "stop_byte", "content", "keys"])
+            pa.array(found.contents(which).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), *found.sides(which)],
+            ["row_no", "doc_id", "start", "stop", "start_byte", "stop_byte", "content", "keys", "before", "after"])
         row_base += piece.num_rows
 
 
 UNITS = ("row_no long, doc_id long, start int, stop int, start_byte int, stop_byte int, content long, "
-         "keys array<long>")
+         "keys array<long>, before array<long>, after array<long>")
 
 
 def _shingles(shared: np.ndarray, wanted: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """content and sorted distinct shingles of the paragraphs whose content is in `wanted`, once per chunk."""
+    """content and sorted distinct shingles of the lines whose content is in `wanted`, once per chunk."""
     for piece in chunked(batches, "text", 1 << 20):
         found = Paragraphs(piece.column("text"))
-        which = np.flatnonzero((in_bitmap(found.keys, shared) & found.valid).any(axis=1))
+        which = np.flatnonzero((in_bitmap(found.keys, shared) & found.valid)[:found.lines].any(axis=1))
         contents = found.contents(which)
         contents, places = np.unique(contents, return_index=True)
         mine = in_bitmap(contents, wanted)
@@ -232,12 +250,42 @@ def paragraph_components(units: DataFrame, docs: DataFrame, shared: np.ndarray)
     return components(bucket_links(joined, similar, (THRESHOLD,)))
 
 
+def _agreeing(side: str) -> Column:
+    """How many words of a side agree with those of the first occurrence, and their bytes."""
+    same = F.zip_with(side, f"first.{side}", lambda x, y: F.coalesce(
+        x.bitwiseAND(0xFFFFFFFF) == y.bitwiseAND(0xFFFFFFFF), F.lit(False)))
+    n = F.coalesce(F.array_position(F.array_append(same, F.lit(False)), F.lit(False)) - 1, F.lit(0)).cast("int")
+    return F.struct(n.alias("words"), F.coalesce(F.shiftright(F.get(F.col(side), n - 1), 32), F.lit(0)).cast("int").alias("bytes"))
+
+
+def extended(gone: DataFrame) -> DataFrame:
+    """Paragraphs with the words beside them that agree with the first occurrence, and where they stand in it."""
+    sides = gone.withColumns({"left": _agreeing("before"), "right": _agreeing("after")})
+    return sides.select(
+        "row_no", "doc_id", (F.col("start") - F.col("left.words")).alias("start"), (F.col("stop") + F.col("right.words")).alias("stop"),
+        (F.col("start_byte") - F.col("left.bytes")).alias("start_byte"), (F.col("stop_byte") + F.col("right.bytes")).alias("stop_byte"),
+        F.col("first.place").alias("keep"), (F.col("first.start") - F.col("left.words")).alias("keep_start"),
+        (F.col("first.stop") + F.col("right.words")).alias("keep_stop"))
+
+
+def joined_runs(hits: DataFrame) -> DataFrame:
+    """Overlapping and touching hits of a text as one run each."""
+    by_text = Window.partitionBy("row_no").orderBy("start", "stop")
+    reached = F.max("stop").over(by_text.rowsBetween(Window.unboundedPreceding, -1))
+    islands = hits.withColumn("fresh", (F.coalesce(reached, F.lit(-1)) < F.col("start")).cast("int")) \
+        .withColumn("island", F.sum("fresh").over(by_text.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy("row_no", "island").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"),
+        F.min("start_byte").alias("start_byte"), F.max("stop_byte").alias("stop_byte"),
+        F.min("keep")["doc_id"].alias("keep_id"))
+
+
 def repeated_passages(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFrame:
     """One row per passage to remove: doc_id, start and stop (words), start_byte and stop_byte, n_words, keep_id.
 
     A paragraph goes where its component occurs in a document before, by doc_id (a missing id last, rows that
-    share an id by their place). Overlapping and touching paragraphs of a document make one passage; passages under
-    `min_passage` words stay. keep_id is the first document that keeps a paragraph of the passage.
+    share an id by their place). Hits are extended to the ends of what agrees; overlapping and touching ones of a
+    document make one passage; passages under `min_passage` words stay. keep_id is the first document that keeps a paragraph of the passage.
     Repeats inside one document, null and short texts give no rows.
     """
     texts = docs.select("doc_id", "text")
@@ -245,23 +293,20 @@ def repeated_passages(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFr
                    .filter("count > 1").select("key"), "shared")
     bitmap = bitmap_of(shared, "key")
     units = saved(texts.mapInArrow(in_tasks(_units, bitmap), UNITS), "units")
-    linked = paragraph_components(units, texts, bitmap).withColumnRenamed("node", "content")
-    contents = units.select("content").distinct().join(linked, "content", "left") \
+    lines, inner = units.filter("before IS NULL"), units.filter("before IS NOT NULL")
+    linked = paragraph_components(lines, texts, bitmap).withColumnRenamed("node", "content")
+    contents = lines.select("content").distinct().join(linked, "content", "left") \
         .select("content", F.coalesce("component", "content").alias("component"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")
-    grouped = saved(units.select("content", "row_no", "doc_id", "start", "stop", "start_byte", "stop_byte",
-                                 place.alias("place")).join(saved(contents, "classes"), "content"), "grouped")
-    first = saved(grouped.groupBy("component").agg(F.min("place").alias("keep"), F.max("place").alias("last"))
-                  .filter("keep <> last").select("component", "keep"), "first")
-    gone = grouped.join(first, "component").filter(F.col("place") > F.col("keep"))
-    by_text = Window.partitionBy("row_no").orderBy("start", "stop")
-    reached = F.max("stop").over(by_text.rowsBetween(Window.unboundedPreceding, -1))
-    islands = gone.withColumn("fresh", (F.coalesce(reached, F.lit(-1)) < F.col("start")).cast("int")) \
-        .withColumn("island", F.sum("fresh").over(by_text.rowsBetween(Window.unboundedPreceding, 0)))
-    passages = islands.groupBy("row_no", "island").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"),
-        F.min("start_byte").alias("start_byte"), F.max("stop_byte").alias("stop_byte"),
-        F.min("keep")["doc_id"].alias("keep_id"))
+    fields = ["row_no", "doc_id", "start", "stop", "start_byte", "stop_byte", "before", "after"]
+    grouped = saved(lines.join(saved(contents, "classes"), "content").select("component", *fields)
+                    .unionByName(inner.select(F.col("content").alias("component"), *fields))
+                    .withColumn("place", place), "grouped")
+    origin = F.struct("place", "start", "stop", "before", "after")
+    first = saved(grouped.groupBy("component").agg(F.min(origin).alias("first"), F.max("place").alias("last"))
+                  .filter("first.place <> last").drop("last"), "first")
+    gone = grouped.join(first, "component").filter(F.col("place") > F.col("first.place"))
+    passages = joined_runs(extended(gone))
     return passages.withColumn("n_words", (F.col("stop") - F.col("start")).cast("long")) \
         .filter(F.col("n_words") >= min_passage) \
         .select("doc_id", "start", "stop", "start_byte", "stop_byte", "n_words", "keep_id")

@@ -74,3 +74,24 @@ def test_paragraphs_do_not_depend_on_the_chunk():
     assert len(whole.starts) == sum(len(p.starts) for p in apart)
     content = whole.contents(np.arange(len(whole.starts)))
     assert set(content.tolist()) == {c for p in apart for c in p.contents(np.arange(len(p.starts))).tolist()}
+
+
+def own_words(name, n):
+    """Words that no other text has."""
+    return [f"{name}x{i}" for i in range(n)]
+
+
+def test_runs_over_line_breaks_are_found_to_their_ends(spark):
+    """Every shared run of MIN_PASSAGE words or more, by brute force, whatever the lines; a run of one word less stays."""
+    sizes = [30, 31, 37, 51, 80, 29]
+    run = {n: own_words(f"run{n}", n) for n in sizes}
+    rows = []
+    for place, n in enumerate(sizes):
+        for doc, width in ((2 * place, 13), (2 * place + 1, 7)):
+            words = own_words(f"a{doc}", 40) + run[n] + own_words(f"b{doc}", 40)
+            rows.append((doc, "\n".join(" ".join(words[i:i + width]) for i in range(0, len(words), width))))
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    got = {(r.doc_id, r.keep_id): texts[r.doc_id].encode()[r.start_byte:r.stop_byte].decode().split() for r in found}
+    assert got == {(2 * place + 1, 2 * place): run[n] for place, n in enumerate(sizes[:-1])}
+    assert {(r.start, r.stop, r.n_words) for r in found} == {(40, 40 + n, n) for n in sizes[:-1]}
