@@ -1,6 +1,8 @@
 """Repeated passages across documents by MinHash banding of paragraphs.
 
-A paragraph is a line of at least MIN_WORDS words. Bands of MinHash values are tuned for a recall at the
+A paragraph is a line of at least MIN_WORDS words, or a block: texts are also cut, across line breaks and inside long
+lines, before every word whose hash is the smallest among CUT_RADIUS words to either side. Blocks between two
+cuts are over CUT_RADIUS words, so one changed word leaves them above the threshold. Bands of MinHash values are tuned for a recall at the
 threshold. Paragraphs with the same words are one class; classes that share a band are verified by the
 exact Jaccard index of their five-word shingles, and linked classes form components. The document with
 the smallest id keeps a component's passage.
@@ -9,7 +11,8 @@ A passage may also be set into other text, in one line or over several. Texts th
 well, cut over their words whatever the line breaks: of every WINDOW neighbouring stretches of MIN_WORDS words the
 one with the smallest hash. Texts that share MIN_WORDS + WINDOW - 1 words so share an inner paragraph at the same
 place in them. Inner paragraphs match by equal words; their one band is their content. Each has the hashes
-of the words on both sides of it, by which a hit is extended word by word to its true ends.
+of the words on both sides of it, by which a hit is extended word by word to its true ends. Two runs of hits
+that lie at most MAX_GAP words apart in both texts are one passage if their shingles make the threshold.
 
 Bands met once are dropped by a count that combines before the shuffle; the texts are then read again for
 the paragraphs that remain, which spares storing all of them.
@@ -35,6 +38,8 @@ THRESHOLD = 0.8
 MIN_WORDS = 25
 WINDOW = 6
 REACH = WINDOW - 1
+CUT_RADIUS = 49
+MAX_GAP = 5
 MIN_PASSAGE = 30
 ROWS_PER_BAND = 2
 RECALL = 0.95
@@ -54,7 +59,7 @@ BANDS = bands_for(THRESHOLD, RECALL)
 
 
 class Paragraphs:
-    """All paragraphs of a chunk of texts: whole lines first, then the inner ones."""
+    """All paragraphs of a chunk of texts: whole lines and blocks (`lines` of them) first, then the inner ones."""
 
     def __init__(self, texts: pa.Array):
         data, offsets = text_buffer(texts)
@@ -70,10 +75,12 @@ class Paragraphs:
         line_starts = np.concatenate([[0], line_ends[:-1]])[: len(line_ends)]
         long = line_ends - line_starts >= MIN_WORDS
         self._hash(words)
+        blocks = self._blocks()
+        spans = np.unique(np.concatenate([np.stack([line_starts[long], line_ends[long]], axis=1), blocks]), axis=0)
         inner = self._inner()
-        self.lines = int(long.sum())
-        self.starts = np.concatenate([line_starts[long], inner])
-        self.stops = np.concatenate([line_ends[long], inner + MIN_WORDS])
+        self.lines = len(spans)
+        self.starts = np.concatenate([spans[:, 0], inner])
+        self.stops = np.concatenate([spans[:, 1], inner + MIN_WORDS])
         self._bands(self.lines)
 
     def _hash(self, words: np.ndarray) -> None:
@@ -87,6 +94,22 @@ class Paragraphs:
         self.back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, BACK_STEP, np.uint64))])
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * powers, dtype=np.uint64)])
 
+    def _blocks(self) -> np.ndarray:
+        """Start and stop of the stretches of at least MIN_WORDS words between two cuts of a text."""
+        n, sizes = len(self.words), np.diff(self.firsts)
+        place = np.arange(n) + (np.repeat(np.arange(len(sizes)), sizes) + 1) * CUT_RADIUS
+        least = np.full(n + (len(sizes) + 2) * CUT_RADIUS, np.uint64(2**64 - 1))
+        least[place] = self.words
+        width = 1
+        while width < CUT_RADIUS:
+            step = min(width, CUT_RADIUS - width)
+            least[:-step] = np.minimum(least[:-step], least[step:])
+            width += step
+        cuts = np.flatnonzero((self.words < least[place - CUT_RADIUS]) & (self.words <= least[place + 1]))
+        bounds = np.unique(np.concatenate([cuts, self.firsts]))
+        spans = np.stack([bounds[:-1], bounds[1:]], axis=1).astype(np.int64)
+        return spans[spans[:, 1] - spans[:, 0] >= MIN_WORDS]
+
     def _inner(self) -> np.ndarray:
         """Where the window minima of the stretches of MIN_WORDS words begin, leftmost among equals."""
         n = len(self.words) - MIN_WORDS - WINDOW + 2
@@ -276,8 +299,30 @@ def joined_runs(hits: DataFrame) -> DataFrame:
         .withColumn("island", F.sum("fresh").over(by_text.rowsBetween(Window.unboundedPreceding, 0)))
     return islands.groupBy("row_no", "island").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"),
-        F.min("start_byte").alias("start_byte"), F.max("stop_byte").alias("stop_byte"),
-        F.min("keep")["doc_id"].alias("keep_id"))
+        F.min("start_byte").alias("start_byte"), F.max("stop_byte").alias("stop_byte"), F.min("keep").alias("keep"),
+        F.min(F.struct("start", F.col("keep.row_no").alias("row_no"), "keep_start")).alias("head"),
+        F.max(F.struct("stop", F.col("keep.row_no").alias("row_no"), "keep_stop")).alias("tail"))
+
+
+def passages_of(runs: DataFrame) -> DataFrame:
+    """Passages of runs: neighbours with the threshold's share of shingles and MAX_GAP words or less between become one.
+
+    Both must go on in the same earlier text. The shingles of the runs are the common ones, those over the gap are not.
+    """
+    by_text = Window.partitionBy("row_no").orderBy("start")
+    before = F.lag(F.struct("start", "stop", "tail")).over(by_text)
+    gap = F.col("start") - F.col("before.stop")
+    keep_gap = F.col("head.keep_start") - F.col("before.tail.keep_stop")
+    words = F.col("stop") - F.col("before.start")
+    common = words - gap - 2 * (SHINGLE - 1)
+    total = 2 * words - gap + keep_gap - 2 * (SHINGLE - 1)
+    near = ((F.col("head.row_no") == F.col("before.tail.row_no")) & (gap <= MAX_GAP) & keep_gap.between(0, MAX_GAP)
+            & (common >= THRESHOLD * (total - common)))
+    chains = runs.withColumn("before", before).withColumn("fresh", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)) \
+        .withColumn("chain", F.sum("fresh").over(by_text.rowsBetween(Window.unboundedPreceding, 0)))
+    return chains.groupBy("row_no", "chain").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"),
+        F.min("start_byte").alias("start_byte"), F.max("stop_byte").alias("stop_byte"), F.min("keep")["doc_id"].alias("keep_id"))
 
 
 def repeated_passages(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFrame:
@@ -285,7 +330,7 @@ def repeated_passages(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFr
 
     A paragraph goes where its component occurs in a document before, by doc_id (a missing id last, rows that
     share an id by their place). Hits are extended to the ends of what agrees; overlapping and touching ones of a
-    document make one passage; passages under `min_passage` words stay. keep_id is the first document that keeps a paragraph of the passage.
+    document make one passage, also over a gap of changed words; passages under `min_passage` words stay. keep_id is the first document that keeps a paragraph of the passage.
     Repeats inside one document, null and short texts give no rows.
     """
     texts = docs.select("doc_id", "text")
@@ -306,7 +351,7 @@ def repeated_passages(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFr
     first = saved(grouped.groupBy("component").agg(F.min(origin).alias("first"), F.max("place").alias("last"))
                   .filter("first.place <> last").drop("last"), "first")
     gone = grouped.join(first, "component").filter(F.col("place") > F.col("first.place"))
-    passages = joined_runs(extended(gone))
+    passages = passages_of(joined_runs(extended(gone)))
     return passages.withColumn("n_words", (F.col("stop") - F.col("start")).cast("long")) \
         .filter(F.col("n_words") >= min_passage) \
         .select("doc_id", "start", "stop", "start_byte", "stop_byte", "n_words", "keep_id")

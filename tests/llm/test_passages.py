@@ -95,3 +95,31 @@ def test_runs_over_line_breaks_are_found_to_their_ends(spark):
     got = {(r.doc_id, r.keep_id): texts[r.doc_id].encode()[r.start_byte:r.stop_byte].decode().split() for r in found}
     assert got == {(2 * place + 1, 2 * place): run[n] for place, n in enumerate(sizes[:-1])}
     assert {(r.start, r.stop, r.n_words) for r in found} == {(40, 40 + n, n) for n in sizes[:-1]}
+
+
+def test_near_copies_inside_a_longer_line_are_found(spark):
+    """One changed word: the middle one of 60 and of 61, the fortieth of 120, and blocks of a text of one line."""
+    rows, want = [], {}
+    for place, (n, at) in enumerate([(60, 29), (61, 30), (120, 39)]):
+        words = own_words(f"p{place}w", n)
+        for doc in (2 * place, 2 * place + 1):
+            words = words[:at] + [f"other{doc}"] + words[at + 1:]
+            rows.append((doc, " ".join(own_words(f"a{doc}", 45) + words + own_words(f"b{doc}", 45))))
+        want[2 * place + 1] = 2 * place
+    texts = dict(rows)
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.keep_id for r in found} == want
+    for r in found:
+        cut = texts[r.doc_id].encode()[r.start_byte:r.stop_byte].decode().split()
+        assert len(cut) == r.n_words and cut[0] in texts[r.keep_id].split() and cut[-1] in texts[r.keep_id].split()
+    whole = {r.doc_id: r.n_words for r in found}
+    assert whole[1] >= 30 and whole[3] == 61 and whole[5] == 120
+
+
+def test_blocks_do_not_depend_on_the_text_around_them():
+    words = own_words("w", 1500)
+    a = passages.Paragraphs(pa.array([" ".join(own_words("a", 200) + words)]))
+    b = passages.Paragraphs(pa.array(["\n".join(own_words("b", 333) + words)]))
+    blocks = [set(p.contents(np.arange(p.lines)).tolist()) for p in (a, b)]
+    sizes = (a.stops - a.starts)[:a.lines]
+    assert len(blocks[0] & blocks[1]) >= 8 and sorted(sizes)[2] > passages.CUT_RADIUS
