@@ -42,7 +42,7 @@ CUT_RADIUS = 49
 MAX_GAP = 5
 MIN_PASSAGE = 30
 ROWS_PER_BAND = 2
-RECALL = 0.95
+RECALL = 0.999
 FILTER_BITS = 26
 FACTORS = np.random.Generator(np.random.PCG64(23)).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 

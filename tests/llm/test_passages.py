@@ -123,3 +123,31 @@ def test_blocks_do_not_depend_on_the_text_around_them():
     blocks = [set(p.contents(np.arange(p.lines)).tolist()) for p in (a, b)]
     sizes = (a.stops - a.starts)[:a.lines]
     assert len(blocks[0] & blocks[1]) >= 8 and sorted(sizes)[2] > passages.CUT_RADIUS
+
+
+def shingles(words):
+    return {tuple(words[i:i + passages.SHINGLE]) for i in range(len(words) - passages.SHINGLE + 1)}
+
+
+def band_recall(n_pairs):
+    """Share of pairs with a Jaccard index of 0.80 to 0.82, by brute force, that share a band, and the number of pairs."""
+    rng = random.Random(5)
+    met = pairs = 0
+    for pair in range(n_pairs):
+        words = own_words(f"p{pair}w", 100)
+        other = list(words)
+        for at in (rng.randint(5, 45), rng.randint(55, 94)):
+            other[at] = f"other{pair}x{at}"
+        a, b = shingles(words), shingles(other)
+        if not passages.THRESHOLD <= len(a & b) / len(a | b) <= 0.82:
+            continue
+        found = [passages.Paragraphs(pa.array([" ".join(w)])) for w in (words, other)]
+        keys = [p.keys[np.flatnonzero(p.stops - p.starts == 100)[0]] for p in found]
+        met += bool((keys[0] == keys[1]).any())
+        pairs += 1
+    return met / pairs, pairs
+
+
+def test_pairs_at_the_threshold_are_compared():
+    recall, pairs = band_recall(1000)
+    assert pairs > 900 and recall >= 0.998
