@@ -76,11 +76,11 @@ class Paragraphs:
         long = line_ends - line_starts >= MIN_WORDS
         self._hash(words)
         blocks = self._blocks()
-        spans = np.unique(np.concatenate([np.stack([line_starts[long], line_ends[long]], axis=1), blocks]), axis=0)
         inner = self._inner()
-        self.lines = len(spans)
-        self.starts = np.concatenate([spans[:, 0], inner])
-        self.stops = np.concatenate([spans[:, 1], inner + MIN_WORDS])
+        self.whole = int(long.sum())
+        self.lines = self.whole + len(blocks)
+        self.starts = np.concatenate([line_starts[long], blocks[:, 0], inner])
+        self.stops = np.concatenate([line_ends[long], blocks[:, 1], inner + MIN_WORDS])
         self._bands(self.lines)
 
     def _hash(self, words: np.ndarray) -> None:
@@ -122,14 +122,19 @@ class Paragraphs:
         return np.unique(at[room >= MIN_WORDS + WINDOW - 1])
 
     def _bands(self, lines: int) -> None:
-        """Keys of all paragraphs; inner ones have a single key."""
+        """Keys of all paragraphs; inner ones have a single key.
+
+        Lines and blocks have bands of their own, or the two that overlap in a text would fill each other's buckets.
+        """
         n = len(self.starts)
         self.keys, self.valid = np.zeros((n, BANDS), np.uint64), np.zeros((n, BANDS), bool)
         self.valid[:lines], self.valid[lines:, 0] = True, True
         for band in range(BANDS):
-            key = np.full(lines, band + 1, np.uint64)
+            key = np.where(np.arange(lines) < self.whole, band + 1, BANDS + band + 2).astype(np.uint64)
             for row in range(ROWS_PER_BAND):
-                smallest = self._smallest(band * ROWS_PER_BAND + row, self.starts[:lines], self.stops[:lines])
+                number = band * ROWS_PER_BAND + row
+                smallest = np.concatenate([self._smallest(number, self.starts[a:b], self.stops[a:b])
+                                           for a, b in ((0, self.whole), (self.whole, lines))])
                 key = mixed(key * GRAM_STEP + smallest)
             self.keys[:lines, band] = key
         self.keys[lines:, 0] = mixed(self.contents(np.arange(lines, n)) + np.uint64(BANDS + 1))
@@ -334,9 +339,8 @@ def repeated_passages(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFr
     Repeats inside one document, null and short texts give no rows.
     """
     texts = docs.select("doc_id", "text")
-    shared = saved(texts.select("text").mapInArrow(in_tasks(_keys), "key long").groupBy("key").count()
-                   .filter("count > 1").select("key"), "shared")
-    bitmap = bitmap_of(shared, "key")
+    bitmap = bitmap_of(texts.select("text").mapInArrow(in_tasks(_keys), "key long").groupBy("key").count()
+                       .filter("count > 1").select("key"), "key")
     units = saved(texts.mapInArrow(in_tasks(_units, bitmap), UNITS), "units")
     lines, inner = units.filter("before IS NULL"), units.filter("before IS NOT NULL")
     linked = paragraph_components(lines, texts, bitmap).withColumnRenamed("node", "content")
