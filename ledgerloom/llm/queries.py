@@ -20,7 +20,7 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf: str) -> DataFrame:
-    return sharding.assign_shards(_table(spark, sf, "documents")).drop("row_no")
+    return sharding.written_shards(_table(spark, sf, "documents"))
 
 
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import saved
+from ledgerloom.llm.shared import saved, work_folder
 
 HASH_BITS = 60
 ROUND_BITS = 12
@@ -58,15 +58,15 @@ def _round(alive: DataFrame, depth: int, limit: int) -> DataFrame:
     return saved(leaves.select(*KEYS).join(found, KEYS, "left"), "directory")
 
 
-def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
+def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, place: str | None = None) -> DataFrame:
     """row_no, doc_id, shard (its bits as a string), depth, shard_bytes and shard_docs of every row.
 
     Bytes are those of the UTF-8 text; null counts as empty. Every shard keeps to the limit unless it is a single
     document. Rows equal in id and text share their first 60 bits and are parted by 60 more, drawn
-    from their place in the table. An empty table has no shards.
+    from their place in the table: the column named by `place`, or else their row number. An empty table has no shards.
     """
     rows = saved(docs.select(
-        F.monotonically_increasing_id().alias("row_no"), "doc_id",
+        (F.col(place) if place else F.monotonically_increasing_id()).alias("row_no"), "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         content_bits(F.col("doc_id"), F.col("text")).alias("h1")), "addresses")
     rows = rows.withColumn("h2", F.shiftrightunsigned(F.xxhash64("row_no"), 64 - HASH_BITS))
@@ -87,14 +87,29 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, folder: str, limit: int = SHARD_BYTES) -> None:
-    """Write the documents as one folder of Parquet files per shard. Extra columns are kept, but for one named shard."""
+    """Write the documents as one folder of Parquet files per shard. Extra columns are kept, but for one named shard.
+
+    Shards are those of `assign_shards`, whatever the partitions of the table.
+    """
     fields = [c for c in docs.columns if c != "shard"]
-    kept = saved(docs.select(F.struct(*fields).alias("doc"), "text", F.monotonically_increasing_id().alias("place")), "documents")
-    shards = assign_shards(kept.select(F.col("place").alias("doc_id"), "text"), limit)
-    joined = kept.join(shards.select(F.col("doc_id").alias("place"), F.concat(F.lit("s"), "shard").alias("shard")), "place")
+    kept = saved(docs.select(F.struct(*fields).alias("doc"), F.monotonically_increasing_id().alias("row_no")), "documents")
+    shards = assign_shards(kept.select("row_no", "doc.doc_id", "doc.text"), limit, "row_no")
+    joined = kept.join(shards.select("row_no", F.concat(F.lit("s"), "shard").alias("shard")), "row_no")
     joined.select("doc.*", "shard").repartition("shard").write.partitionBy("shard").parquet(folder)
 
 
+def written_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
+    """Write the shards to a new work folder; doc_id, shard, depth, shard_bytes and shard_docs as the files have them."""
+    spark, folder = docs.sparkSession, work_folder(docs.sparkSession, "shards")
+    write_shards(docs.select("doc_id", "text"), folder, limit)
+    files = spark.read.schema(docs.select("doc_id", "text").withColumn("shard", F.lit("")).schema).parquet(folder) \
+        .withColumn("shard", F.substring("shard", 2, 2 * HASH_BITS))
+    sizes = files.groupBy("shard").agg(
+        F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("shard_bytes"), F.count("*").alias("shard_docs"))
+    return files.select("doc_id", "shard").join(sizes, "shard").select(
+        "doc_id", "shard", F.length("shard").cast("long").alias("depth"), "shard_bytes", "shard_docs")
+
+
 ORACLE = f"""
 WITH rows AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes,
   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h

@@ -99,3 +99,23 @@ def test_written_shards_hold_everything(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert counted(back.select("doc_id", "text").collect()) == counted(docs.select("doc_id", "text").collect())
     assert set(back.columns) == set(docs.columns)
+
+
+def test_written_shards_are_the_assigned_ones_whatever_the_partitions(spark, tmp_path):
+    docs = documents(spark).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    want = {(r.doc_id, r.shard) for r in sharding.assign_shards(docs, 5_000).collect()}
+    for parts in (1, 7):
+        folder = str(tmp_path / f"shards{parts}")
+        sharding.write_shards(docs.repartition(parts), folder, 5_000)
+        assert {(r.doc_id, r.shard[1:]) for r in spark.read.parquet(folder).collect()} == want
+
+
+def test_the_sharding_query_reports_files(spark):
+    from ledgerloom.llm.queries import op3_sharding
+
+    sf = "/root/testdata/sf0.001"
+    rows = op3_sharding(spark, sf)
+    columns = ["doc_id", "shard", "depth", "shard_bytes", "shard_docs"]
+    want = sharding.assign_shards(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert counted(rows.select(columns).collect()) == counted(want.select(columns).collect())
+    assert any("/shards-" in f and "/shard=s" in f for f in rows.inputFiles())
