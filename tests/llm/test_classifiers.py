@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from llm_cases import documents, empty_like, prose
+from llm_cases import counted, documents, empty_like, prose
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import quality, toxicity
@@ -127,3 +127,19 @@ def test_statistics_of_a_text(spark):
     assert quality.FEATURES == row.__fields__
     assert (row.upper, row.digits, row.symbols, row.exclaims, row.stops) == pytest.approx([2 / 13, 1 / 13, 1 / 13, 1 / 13, 1 / 13])
     assert (row.distinct_words, row.distinct_lines, row.line_words, row.same_next) == (1.0, 1.0, 2.0, 0.0)
+
+
+def test_the_learning_sample_is_bounded(spark, labelled):
+    """An id that repeats gives one text whatever the order, and the words have a bound as well as the rows."""
+    docs, labels = labelled
+    learned = next(r.doc_id for r in labels.orderBy("doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2)
+    again = spark.range(400).selectExpr(
+        f"cast({learned} AS long) AS doc_id", "if(id = 0, null, concat('copy ', id)) AS text", "'en' AS lang", "'s' AS source")
+    repeated = docs.unionByName(again)
+    samples = [counted(toxicity.learning_sample(d, labels).select("label", "lang", "words").collect())
+               for d in (repeated, repeated.repartition(7), again.unionByName(docs))]
+    n = toxicity.learning_sample(docs, labels).count()
+    assert samples[0] == samples[1] == samples[2] and sum(samples[0].values()) == n > 400
+    few = toxicity.learning_sample(docs, labels, n_words=4_000).collect()
+    words = [len(r.words) // (4 * toxicity.KINDS) for r in few]
+    assert 3_000 < sum(words) <= 4_000 and max(words) <= 4_000 / toxicity.LONGEST_SHARE
