@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, contentsort, decontam, linerun, passages, quality, sharding, simhash, tokenfiles, toxicity
+from ledgerloom.llm import (
+    bpe, contentsort, decontam, linerun, passages, phrases, quality, secretscan, sharding, simhash, tokenfiles, toxicity, turnrepair)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -51,12 +52,25 @@ def op10_passages(spark: SparkSession, sf: str) -> DataFrame:
     return passages.repeated_passages(_table(spark, sf, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf, "documents"))
+
+
+def op12_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secretscan.secret_digests(_table(spark, sf, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return turnrepair.repair_digests(_table(spark, sf, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_bpe, op3_sharding, op4_simhash, op5_quality, op6_line_dedup, op7_exact_dedup,
-    op8_toxicity, op9_token_files, op10_passages)}
+    op8_toxicity, op9_token_files, op10_passages, op11_phrases, op12_secrets, op13_conversation_repair)}
 ORACLES: dict[str, str] = {
     "op3_sharding": sharding.ORACLE,
     "op6_line_dedup": linerun.ORACLE,
+    "op11_phrases": phrases.ORACLE,
     "op7_exact_dedup": """
 WITH rows AS (SELECT doc_id, coalesce(length(text), 0) AS n_chars,
   regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
