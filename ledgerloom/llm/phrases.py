@@ -24,6 +24,7 @@ TOP = 2000
 ABSORBED_PERCENT = 80
 #: Counters that a task holds before it hands its filter on, and that a merged cut may expect.
 FILTER_ENTRIES = 1 << 21
+BLOCK_BYTES, HELD_BYTES = 1 << 22, 1 << 24
 LEAST_CUT_BITS = 5
 LEAST_ID_BITS, MOST_ID_BITS = 8, 32
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -43,43 +44,51 @@ ROUNDS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB8
 # ── blocks of word numbers ────────────────────────────────────────────────────
 
 def word_numbers(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words, their counts, and the words of all texts as numbers into them, -1 between pieces."""
+    """Distinct words, their counts, and the words of all texts as numbers into them from 1, 0 between pieces."""
     data = b"\n".join(texts).translate(LOWER_AND_BREAK).replace(b"\n", b" \n ")
     coded = pa.array(data.split(b" "), pa.binary()).dictionary_encode()
     words, numbers = coded.dictionary, coded.indices.to_numpy()
-    place = np.empty(len(words), np.int32)
-    place[:] = np.arange(len(words))
-    skip = [words.index(mark).as_py() for mark in (b"", b"\n")]
-    empty, stop = skip
-    if empty >= 0:
-        numbers = numbers[numbers != empty]
-    gone = sorted(i for i in skip if i >= 0)
-    for shift, i in enumerate(gone):
-        place[i:] -= 1
-        place[i] = -1
-    numbers = place[numbers] if len(numbers) else np.zeros(0, np.int32)
-    kept = words.take(pa.array(np.setdiff1d(np.arange(len(words)), gone)))
-    counts = np.bincount(numbers[numbers >= 0], minlength=len(kept)).astype(np.int64)
-    return kept, counts, numbers.astype(np.int32)
-
-
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    empty, stop = (words.index(mark).as_py() for mark in (b"", b"\n"))
+    kept = np.setdiff1d(np.arange(len(words)), (empty, stop))
+    place = np.zeros(len(words), np.int64)
+    place[kept] = np.arange(1, len(kept) + 1)
+    numbers = place[numbers[numbers != empty]]
+    counts = np.bincount(numbers, minlength=len(kept) + 1)[1:].astype(np.int64)
+    return words.take(pa.array(kept)), counts, numbers.astype("<u2" if len(kept) < 1 << 16 else "<u4")
+
+
+def blocks_of(block_bytes: int, held_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of texts of one language; the largest is closed when a task holds more than `held_bytes` of all languages."""
     from pyspark import TaskContext
 
     block = TaskContext.get().partitionId() << 32
+    held: dict[str, list[bytes]] = {}
+    sizes: dict[str, int] = {}
+
+    def close(lang: str) -> Iterator[pa.RecordBatch]:
+        nonlocal block
+        words, counts, numbers = word_numbers(held.pop(lang))
+        sizes.pop(lang)
+        block += 1
+        if len(words):
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array([block], pa.int64()), "lang": [lang],
+                "words": list_array(words.cast(pa.string()), np.array([0, len(words)])),
+                "counts": list_array(counts, np.array([0, len(counts)])),
+                "numbers": pa.array([numbers.tobytes()], pa.binary()), "n": pa.array([int(counts.sum())], pa.int64())})
+
     for batch in chunked(batches, "text"):
-        langs = np.array(batch.column("lang").to_pylist(), object)
         texts = batch.column("text").cast(pa.binary())
-        for lang in sorted(set(langs)):
-            mine = texts.filter(pa.array(langs == lang)).to_pylist()
-            words, counts, numbers = word_numbers(mine)
-            if len(words):
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([block], pa.int64()), "lang": [lang],
-                    "words": list_array(words.cast(pa.string()), np.array([0, len(words)])),
-                    "counts": list_array(counts, np.array([0, len(counts)])),
-                    "numbers": pa.array([numbers.tobytes()], pa.binary()), "n": pa.array([int(counts.sum())], pa.int64())})
-            block += 1
+        for lang, text in zip(batch.column("lang").to_pylist(), texts):
+            text = text.as_py()
+            held.setdefault(lang, []).append(text)
+            sizes[lang] = sizes.get(lang, 0) + len(text)
+            if sizes[lang] >= block_bytes:
+                yield from close(lang)
+        while sum(sizes.values()) > held_bytes:
+            yield from close(max(sizes, key=sizes.get))
+    for lang in sorted(held):
+        yield from close(lang)
 
 
 # ── counting quotient filters ─────────────────────────────────────────────────
@@ -141,7 +150,7 @@ def from_bytes(data: memoryview, n: int, width: int) -> np.ndarray:
 def packed_filter(left: np.ndarray, right: np.ndarray, counts: np.ndarray, bits: int, cut_bits: int) -> bytes:
     """A filter of one cut from sorted keys: which quotients occur, where runs of a quotient end, remainders, counters.
 
-    Counters are one byte; those of 255 and more are told in full behind them.
+    Of a key that occurs once a bit says so; other counters are one byte, and those of 255 and more are told in full at the end.
     """
     n = len(left)
     q = max(0, min(int(n).bit_length(), bits - cut_bits, 30))
@@ -151,11 +160,11 @@ def packed_filter(left: np.ndarray, right: np.ndarray, counts: np.ndarray, bits:
     occupied = np.zeros(1 << q, bool)
     occupied[quotient] = True
     ends = np.concatenate((quotient[1:] != quotient[:-1], [True]))
-    many = counts >= 255
+    again = counts[counts > 1]
     return b"".join((
-        np.array([n, q], "<u4").tobytes(), np.packbits(occupied).tobytes(), np.packbits(ends).tobytes(),
+        np.array([n, q], "<u4").tobytes(), np.packbits(occupied).tobytes(), np.packbits(ends).tobytes(), np.packbits(counts > 1).tobytes(),
         to_bytes(inside & np.uint64((1 << rest) - 1), (rest + 7) // 8), to_bytes(right, (bits + 7) // 8),
-        np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[many].astype("<i8").tobytes()))
+        np.minimum(again, 255).astype(np.uint8).tobytes(), again[again >= 255].astype("<i8").tobytes()))
 
 
 def unpacked_filter(data: bytes, bits: int, cut_bits: int, cut: int):
@@ -173,68 +182,104 @@ def unpacked_filter(data: bytes, bits: int, cut_bits: int, cut: int):
     occupied = np.flatnonzero(np.unpackbits(np.frombuffer(take(((1 << q) + 7) // 8), np.uint8))[: 1 << q])
     ends = np.unpackbits(np.frombuffer(take((n + 7) // 8), np.uint8))[:n]
     run = np.concatenate(([0], np.cumsum(ends)[:-1])).astype(np.int64)
+    repeated = np.unpackbits(np.frombuffer(take((n + 7) // 8), np.uint8))[:n] == 1
     low = from_bytes(take(n * ((rest + 7) // 8)), n, (rest + 7) // 8)
     right = from_bytes(take(n * ((bits + 7) // 8)), n, (bits + 7) // 8)
-    counts = np.frombuffer(take(n), np.uint8).astype(np.int64)
-    many = counts == 255
-    counts[many] = np.frombuffer(view[at:], "<i8")
+    again = np.frombuffer(take(int(repeated.sum())), np.uint8).astype(np.int64)
+    again[again == 255] = np.frombuffer(view[at:], "<i8")
+    counts = np.ones(n, np.int64)
+    counts[repeated] = again
     high = np.uint64(cut << (bits - cut_bits)) if cut_bits else np.uint64(0)
     left = high | (occupied[run].astype(np.uint64) << np.uint64(rest)) | low
     return left, right, counts
 
 
+def half_bits(length: int, id_bits: int) -> int:
+    """Bits of each half of a packed phrase of `length` words."""
+    return (length * id_bits + 1) // 2
+
+
 def n_grams(ids: np.ndarray, id_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Halves of the packed ids of all phrases of two, three and four words; id 0 is a break."""
     shift = np.uint64(id_bits)
     ids = np.concatenate((ids, np.zeros(3, np.uint64)))
     one, two, three, four = ids[:-3], ids[1:-2], ids[2:-1], ids[3:]
-    pairs = np.flatnonzero((one > 0) & (two > 0))
-    left = (one[pairs] << shift) | two[pairs]
-    yield left, np.zeros(len(left), np.uint64)
-    longer = three[pairs] > 0
-    pairs, left = pairs[longer], left[longer]
-    right = three[pairs] << shift
-    yield left, right
-    longer = four[pairs] > 0
-    yield left[longer], right[longer] | four[pairs[longer]]
+    at = np.flatnonzero((one > 0) & (two > 0))
+    yield one[at], two[at]
+    at = at[three[at] > 0]
+    over = half_bits(3, id_bits) - id_bits  # bits of the second of three words that belong to the right half
+    right = (two[at] & np.uint64((1 << over) - 1)) << shift | three[at]
+    yield one[at] << np.uint64(id_bits - over) | two[at] >> np.uint64(over), right
+    at = at[four[at] > 0]
+    yield one[at] << shift | two[at], three[at] << shift | four[at]
+
+
+def wide_ids(length: int, left: np.ndarray, right: np.ndarray, id_bits: int) -> list[np.ndarray]:
+    """The ids of packed phrases, two to a number of 64 bits."""
+    shift, mask = np.uint64(id_bits), np.uint64((1 << id_bits) - 1)
+    none = np.zeros(len(left), np.uint64)
+    if length == 2:
+        ids = (left, right, none, none)
+    elif length == 3:
+        over = half_bits(3, id_bits) - id_bits
+        second = (left & np.uint64((1 << (id_bits - over)) - 1)) << np.uint64(over) | right >> shift
+        ids = (left >> np.uint64(id_bits - over), second, right & mask, none)
+    else:
+        ids = (left >> shift, left & mask, right >> shift, right & mask)
+    return [(ids[i] << np.uint64(32) | ids[i + 1]).view(np.int64) for i in (0, 2)]
+
+
+class Filter:
+    """Counters of phrases of one length, as sorted runs that are merged when they have grown."""
+
+    def __init__(self, length: int, id_bits: int):
+        self.bits, self.parts, self.size = half_bits(length, id_bits), [], 0
+
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        self.parts.append(tally(*permuted(left, right, self.bits), None, self.bits))
+        self.size += len(self.parts[-1][0])
+
+    def merge(self) -> int:
+        if len(self.parts) > 1:
+            self.parts = [merged(self.parts, self.bits)]
+            self.size = len(self.parts[0][0])
+        return self.size
 
 
 def filters_of(id_bits: int, cut_bits: int, entries: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts of the filters that a task fills from its blocks."""
-    bits = 2 * id_bits
-    held, size = [], 0
+    def fresh() -> dict[int, Filter]:
+        return {length: Filter(length, id_bits) for length in (2, 3, 4)}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        left, right, counts = merged(held, bits)
-        cuts = (left >> np.uint64(bits - cut_bits)).astype(np.int64)
-        names = np.unique(cuts)
-        bounds = np.append(np.searchsorted(cuts, names), len(cuts))
-        for i in range(0, len(names), 64):
-            some = range(i, min(i + 64, len(names)))
-            yield pa.RecordBatch.from_pydict({
-                "cut": pa.array(names[i:i + 64], pa.int64()),
-                "filter": pa.array([packed_filter(*(x[bounds[j]:bounds[j + 1]] for x in (left, right, counts)), bits, cut_bits)
-                                    for j in some], pa.binary())})
+        for length, counters in held.items():
+            if not counters.merge():
+                continue
+            bits, (left, right, counts) = counters.bits, counters.parts[0]
+            cuts = (left >> np.uint64(bits - cut_bits)).astype(np.int64)
+            names = np.unique(cuts)
+            bounds = np.append(np.searchsorted(cuts, names), len(cuts))
+            for i in range(0, len(names), 64):
+                yield pa.RecordBatch.from_pydict({
+                    "cut": pa.array(names[i:i + 64] << 3 | length, pa.int64()),
+                    "filter": pa.array([packed_filter(*(x[bounds[j]:bounds[j + 1]] for x in (left, right, counts)), bits, cut_bits)
+                                        for j in range(i, min(i + 64, len(names)))], pa.binary())})
 
+    held = fresh()
     for batch in batches:
         for row in range(batch.num_rows):
-            numbers = np.frombuffer(batch.column("numbers")[row].as_py(), np.int32)
+            width = batch.column("width")[row].as_py()
+            numbers = np.frombuffer(batch.column("numbers")[row].as_py(), f"<u{width}")
             known = batch.column("ids")[row].values
-            places, ids = known.field("place").to_numpy(), known.field("id").to_numpy()
-            table = np.zeros(max(int(places.max(initial=-1)), int(numbers.max(initial=-1))) + 2, np.uint64)
-            table[places + 1] = ids
-            lefts, rights = zip(*n_grams(table[numbers + 1], id_bits))
-            left, right = permuted(np.concatenate(lefts), np.concatenate(rights), bits)
-            held.append(tally(left, right, None, bits))
-            size += len(held[-1][0])
-            if size >= 2 * entries:
-                held[:] = [merged(held, bits)]
-                size = len(held[0][0])
-                if size >= entries:
-                    yield from flush()
-                    held, size = [], 0
-    if size:
-        yield from flush()
+            places = known.field("place").to_numpy()
+            table = np.zeros(max(int(places.max(initial=0)), int(numbers.max(initial=0))) + 2, np.uint64)
+            table[places + 1] = known.field("id").to_numpy()
+            for counters, halves in zip(held.values(), n_grams(table[numbers], id_bits)):
+                counters.add(*halves)
+            if sum(c.size for c in held.values()) >= 2 * entries and sum(c.merge() for c in held.values()) >= entries:
+                yield from flush()
+                held = fresh()
+    yield from flush()
 
 
 def merged(parts: list, bits: int):
@@ -245,28 +290,25 @@ def merged(parts: list, bits: int):
 
 def frequent_of(id_bits: int, cut_bits: int, least: int, entries: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge the filters of each cut, which arrive one after the other, and turn frequent n-grams back into ids."""
-    bits = 2 * id_bits
-    now, held, size = None, [], 0
+    now, held = None, None
 
     def out() -> pa.RecordBatch:
-        left, right, counts = merged(held, bits)
+        held.merge()
+        left, right, counts = held.parts[0]
         often = counts >= least
-        left, right = restored(left[often], right[often], bits)
-        mask, shift = np.uint64((1 << id_bits) - 1), np.uint64(id_bits)
-        wide = [((half >> shift) << np.uint64(32) | (half & mask)).view(np.int64) for half in (left, right)]
+        wide = wide_ids(now & 7, *restored(left[often], right[often], held.bits), id_bits)
         return pa.RecordBatch.from_pydict({"hi": wide[0], "lo": wide[1], "a": counts[often]})
 
     for batch in batches:
         for cut, data in zip(batch.column("cut").to_pylist(), batch.column("filter")):
-            if cut != now and held:
-                yield out()
-                held, size = [], 0
-            now = cut
-            held.append(unpacked_filter(data.as_py(), bits, cut_bits, cut))
-            size += len(held[-1][0])
-            if size >= 2 * entries and len(held) > 1:
-                held = [merged(held, bits)]
-                size = len(held[0][0])
+            if cut != now:
+                if held:
+                    yield out()
+                now, held = cut, Filter(cut & 7, id_bits)
+            held.parts.append(unpacked_filter(data.as_py(), held.bits, cut_bits, cut >> 3))
+            held.size += len(held.parts[-1][0])
+            if held.size >= 2 * entries:
+                held.merge()
     if held:
         yield out()
 
@@ -292,10 +334,11 @@ def frequent_phrases(blocks: DataFrame, vocabulary: DataFrame, least: int, entri
     id_bits = id_bits or max(LEAST_ID_BITS, int(size.top).bit_length())
     if id_bits > MOST_ID_BITS:
         raise ValueError(f"{size.top} words occur {least} times or more; ids have {MOST_ID_BITS} bits")
-    cut_bits = min(max(LEAST_CUT_BITS, (3 * int(size.n) // entries).bit_length()), 2 * id_bits)
+    cut_bits = min(max(LEAST_CUT_BITS, (int(size.n) // entries).bit_length()), id_bits)
     coded = blocks.select("block", "lang", F.posexplode("words").alias("place", "word")).join(vocabulary, ["lang", "word"]) \
         .groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("ids"))
-    filters = blocks.select("block", "numbers").join(coded, "block").select("numbers", "ids").mapInArrow(
+    width = F.when(F.size("words") < 1 << 16, 2).otherwise(4).alias("width")
+    filters = blocks.select("block", "numbers", width).join(coded, "block").select("numbers", "width", "ids").mapInArrow(
         in_tasks(filters_of, id_bits, cut_bits, entries), "cut long, filter binary")
     return filters.repartition("cut").sortWithinPartitions("cut").mapInArrow(
         in_tasks(frequent_of, id_bits, cut_bits, least, entries), "hi long, lo long, a long")
@@ -359,7 +402,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = MIN_COUNT, entrie
     """
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     blocks = saved(rows.mapInArrow(
-        in_tasks(blocks_of), "block long, lang string, words array<string>, counts array<long>, numbers binary, n long"), "blocks")
+        in_tasks(blocks_of, BLOCK_BYTES, HELD_BYTES), "block long, lang string, words array<string>, counts array<long>, numbers binary, n long"), "blocks")
     vocabulary = saved(word_ids(blocks, least), "vocabulary")
     phrases = saved(frequent_phrases(blocks, vocabulary, least, entries, id_bits), "phrases")
 
