@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import EARLY_MATCH_DAYS, GRACE_DAYS, Bill
 from ledgerloom.functions.dates import clamp_day, day_in_month, month_bounds, month_start, shift_month
 from ledgerloom.functions.money import format_eur
+from ledgerloom.operators.patterns import matches
 from ledgerloom.operators.spend import KEYS, dated
 
 
@@ -79,6 +80,58 @@ def bill_state(ledger: DataFrame, bills: list[Bill], as_of: date, grace_days: in
     })
 
 
+def bill_windows(bills: DataFrame, as_of: date | None = None, early_days: int = EARLY_MATCH_DAYS) -> DataFrame:
+    """A table of bills with the window in which each is looked for: due and start dates, and the tolerated amounts.
+
+    Every bill has its own `as_of` day, or all have the one given.
+    """
+    day = F.col("as_of") if as_of is None else F.lit(as_of)
+    expected, tolerance = F.col("expected_cents"), F.col("tolerance_pct")
+    return bills.withColumns({"as_of": day, "due": current_due(day, F.col("due_day"))}).withColumns({
+        "start": F.date_sub("due", early_days),
+        "low_cents": F.call_function("div", expected * (100 - tolerance), F.lit(100)),
+        "high_cents": F.call_function("div", expected * (100 + tolerance), F.lit(100))})
+
+
+def match_own_bills(ledger: DataFrame, windows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Latest outflow paying each bill of a table of windows (keys, bill, pattern, as_of, start).
+
+    The ledger is first cut to the days that any window covers and reduced, map-side, to the last outflow of a merchant
+    and day. Patterns are matched with an account's distinct merchants. A window is listed under every month it
+    touches, so days meet it by an equal month and are then held against its borders.
+    """
+    span = windows.agg(F.min("start").alias("first"), F.max("as_of").alias("last"))
+    day = F.col("booking_date")
+    rows = ledger.filter((F.col("amount_cents") < 0) & (day >= span.select("first").scalar()) & (day <= span.select("last").scalar()))
+    latest = rows.groupBy(*keys, "merchant_key", "booking_date").agg(
+        F.max(F.struct("batch_id", "batch_ord", "id", "amount_cents")).alias("_last"))
+    asked = windows.select(*keys, F.col("bill").alias("number"), "pattern").distinct()
+    payers = matches(latest, asked, keys).withColumnRenamed("number", "bill")
+    months = F.sequence(month_start(F.col("start")), month_start(F.col("as_of")), F.make_ym_interval(F.lit(0), F.lit(1)))
+    binned = windows.select(*keys, "bill", "as_of", "start", F.explode(months).alias("_month"))
+    return (
+        latest.withColumn("_month", month_start(day)).join(payers, [*keys, "merchant_key"])
+        .join(binned, [*keys, "bill", "_month"]).filter(day.between(F.col("start"), F.col("as_of")))
+        .groupBy(*keys, "bill", "as_of").agg(F.max(F.struct("booking_date", "_last")).alias("_paid"))
+        .select(*keys, "bill", "as_of", F.col("_paid.booking_date").alias("paid_on"),
+                (-F.col("_paid._last.amount_cents")).alias("paid_cents"))
+    )
+
+
+def own_bill_state(ledger: DataFrame, bills: DataFrame, as_of: date | None = None, grace_days: int = GRACE_DAYS,
+                   early_days: int = EARLY_MATCH_DAYS, keys: list[str] = KEYS) -> DataFrame:
+    """Every bill of a table with each account's own, with its due date and, where found, its payment.
+
+    `bills` has the keys, bill (a name that the account uses once), pattern, due_day, expected_cents, tolerance_pct and,
+    unless all are looked at on the day given, as_of: one bill may so be looked at on many days.
+    """
+    windows = bill_windows(bills, as_of, early_days)
+    state = windows.select(*keys, "bill", "as_of", "due", "expected_cents", "low_cents", "high_cents").join(
+        match_own_bills(ledger, windows, keys), [*keys, "bill", "as_of"], "left")
+    late = F.datediff("as_of", "due")
+    return state.withColumns({"days_past_due": late, "overdue": F.col("paid_on").isNull() & (late > grace_days)})
+
+
 def bill_alerts(state: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Unpaid bills past their grace, and payments outside the tolerated amount."""
     drift = F.col("paid_on").isNotNull() & ~F.col("paid_cents").between(F.col("low_cents"), F.col("high_cents"))

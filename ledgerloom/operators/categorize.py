@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import COVERAGE_WINDOW_DAYS, DEFAULT_TAXONOMY, Rule, Taxonomy
+from ledgerloom.operators.patterns import first_rules
 from ledgerloom.plans.shapes import with_accounts
 
 # How a label came about.
@@ -45,7 +46,14 @@ def usable_labels(labels: DataFrame, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> D
     )
 
 
-def categorize(merchants: DataFrame, labels: DataFrame | None, rules: list[Rule],
+def with_rule(merchants: DataFrame, rules: list[Rule] | DataFrame) -> DataFrame:
+    """Add `rule_category`. A list of rules becomes one expression, a table of them an indexed join."""
+    if isinstance(rules, DataFrame):
+        return merchants.join(first_rules(merchants, rules), "merchant_key", "left")
+    return merchants.withColumn("rule_category", match_rules(F.col("merchant_key"), rules))
+
+
+def categorize(merchants: DataFrame, labels: DataFrame | None, rules: list[Rule] | DataFrame,
                taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
     """Category and provenance per merchant. Recomputed from scratch, so a relink is the same call.
 
@@ -62,7 +70,7 @@ def categorize(merchants: DataFrame, labels: DataFrame | None, rules: list[Rule]
     labelled = F.col("label_category").isNotNull()
     ruled = F.col("rule_category").isNotNull()
     return (
-        joined.withColumn("rule_category", match_rules(F.col("merchant_key"), rules))
+        with_rule(joined, rules)
         .select(
             *merchants.columns,
             F.coalesce("label_category", "rule_category", F.lit(taxonomy.uncategorized)).alias("category"),

@@ -11,9 +11,10 @@ from ledgerloom.config import DEFAULT_TAXONOMY, INFLOW_EXCLUDE_CENTS, Policy, Ta
 from ledgerloom.functions.dates import month_bounds, month_key, month_start
 from ledgerloom.functions.money import format_eur, ordinal
 from ledgerloom.functions.names import display_name
-from ledgerloom.operators.categorize import bucket_of
+from ledgerloom.operators.categorize import bucket_of, with_bucket
+from ledgerloom.operators.patterns import matches
 from ledgerloom.operators.spend import KEYS, dated, is_held_out, spent
-from ledgerloom.plans.shapes import BLOCK_ROWS, HOT_ROWS, block_of, not_stored, running_totals
+from ledgerloom.plans.shapes import BLOCK_ROWS, HOT_ROWS, block_of, not_stored, running_totals, same
 
 
 def policy_condition(policy: Policy, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> Column:
@@ -25,12 +26,41 @@ def policy_condition(policy: Policy, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> C
     return F.coalesce(F.col("merchant_key").rlike(policy.pattern), F.lit(False))
 
 
-def match_policies(ledger: DataFrame, policies: list[Policy],
-                   taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
+def match_own_policies(ledger: DataFrame, policies: DataFrame, keys: list[str] = KEYS,
+                       taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
+    """The same as `match_policies` for a table with each account's own policies.
+
+    `policies` has the keys, ord, policy, cap_cents and one of bucket, sub_label and pattern. They are matched with what an
+    account's rows are about, its distinct categories and merchants, by equal bucket, label or index entry; the
+    ledger then meets one row for each of those, which lists its policies in order.
+    """
+    about = [*keys, "category", "merchant_key"]
+    kinds = with_bucket(ledger.select(*about).distinct(), taxonomy)
+    hit = F.struct("ord", "policy", F.col("cap_cents").cast("long").alias("cap_cents")).alias("_hit")
+
+    def equal(what: str, to: str) -> DataFrame:
+        asked = policies.filter(F.col(what).isNotNull()).select(*keys, F.col(what).alias(to), hit)
+        return kinds.join(asked, [*keys, to]).select(*about, "_hit")
+
+    found = matches(kinds, policies.select(*keys, hit.alias("number"), "pattern"), keys)
+    by_name = kinds.join(found.withColumnRenamed("number", "_hit"), [*keys, "merchant_key"]).select(*about, "_hit")
+    hits = equal("bucket", "bucket").unionByName(equal("sub_label", "category")).unionByName(by_name) \
+        .groupBy(*about).agg(F.array_sort(F.collect_list("_hit")).alias("_hits")) \
+        .select("_hits", *[F.col(c).alias(f"{c}__of") for c in about])
+    rows = ledger.join(hits, same(ledger, hits, {c: f"{c}__of" for c in about}))
+    return rows.select(*ledger.columns, F.inline("_hits"), F.col("_hits")[0]["ord"].alias("_first")) \
+        .withColumn("is_first", F.col("ord") == F.col("_first")).drop("_first")
+
+
+def match_policies(ledger: DataFrame, policies: list[Policy] | DataFrame,
+                   taxonomy: Taxonomy = DEFAULT_TAXONOMY, keys: list[str] = KEYS) -> DataFrame:
     """One row per ledger row and policy it matches, marking which policy comes first for the row.
 
-    The first match is known before the rows fan out, so picking it later needs no window per row.
+    The first match is known before the rows fan out, so picking it later needs no window per row. `policies` is
+    one list for all accounts or a table with each account's own.
     """
+    if isinstance(policies, DataFrame):
+        return match_own_policies(ledger, policies, keys, taxonomy)
     hits = F.array(*[
         F.when(policy_condition(p, taxonomy), F.struct(
             F.lit(i).alias("ord"), F.lit(p.name).alias("policy"),
@@ -43,7 +73,7 @@ def match_policies(ledger: DataFrame, policies: list[Policy],
     ).withColumn("is_first", F.col("ord") == F.col("_first")).drop("_first")
 
 
-def policy_progress(ledger: DataFrame, policies: list[Policy], keys: list[str] = KEYS,
+def policy_progress(ledger: DataFrame, policies: list[Policy] | DataFrame, keys: list[str] = KEYS,
                     threshold: int = INFLOW_EXCLUDE_CENTS, block_rows: int = BLOCK_ROWS,
                     hot_rows: int = HOT_ROWS, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
     """Month-to-date net spend and charge number of every matching row, the row included.
@@ -54,7 +84,7 @@ def policy_progress(ledger: DataFrame, policies: list[Policy], keys: list[str] =
     kept = ledger.filter(~is_held_out(threshold, taxonomy)).select(
         "id", *keys, "booking_date", "batch_id", "batch_ord", "amount_cents", "merchant_raw",
         "merchant_key", "category")
-    matched = match_policies(kept, policies, taxonomy).withColumns({
+    matched = match_policies(kept, policies, taxonomy, keys).withColumns({
         "month": month_start(F.col("booking_date")),
         "block": block_of(F.col("batch_ord"), block_rows),
     })
@@ -66,7 +96,7 @@ def policy_progress(ledger: DataFrame, policies: list[Policy], keys: list[str] =
     ).drop("block")
 
 
-def policy_alerts(ledger: DataFrame, policies: list[Policy], as_of: date | None = None,
+def policy_alerts(ledger: DataFrame, policies: list[Policy] | DataFrame, as_of: date | None = None,
                   new_ids: DataFrame | None = None, keys: list[str] = KEYS,
                   threshold: int = INFLOW_EXCLUDE_CENTS, block_rows: int = BLOCK_ROWS,
                   hot_rows: int = HOT_ROWS, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:

@@ -13,7 +13,7 @@ from ledgerloom.functions.money import format_eur, ordinal, parse_cents, plain_a
 from ledgerloom.functions.names import display_name, identity_name, merchant_key
 from ledgerloom.operators import bills as bill_ops
 from ledgerloom.operators import categorize as cat
-from ledgerloom.operators import cycle, ingest, labels, merchants, policy, recon, recurring, scan, spend
+from ledgerloom.operators import cycle, ingest, labels, merchants, patterns, policy, recon, recurring, scan, spend
 from ledgerloom.sources import star
 from ledgerloom.streaming import windows
 
@@ -298,6 +298,40 @@ def rule_matches(spark, sf):
     return keys.withColumn("category", cat.match_rules(F.col("merchant_key"), star.SALES_RULES))
 
 
+def _rule_rows(spark, sf):
+    """A table with a rule for every word of the benchmark, in several forms, some of them without an index entry."""
+    words = star.table(spark, sf, "benchmark").select(
+        F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("word"))
+    word, ord_ = F.col("word"), F.col("ord")
+    pattern = (
+        F.when(ord_ % 16 == 5, F.concat(F.substring(word, 1, 2), F.lit("[.]?$")))
+        .when(ord_ % 4 == 0, F.concat(F.lit("(^| )"), word, F.lit("( |[.,])")))
+        .when(ord_ % 4 == 1, word)
+        .when(ord_ % 4 == 2, F.concat(F.lit("^"), word, F.lit("|"), word, F.lit(" ?$")))
+        .otherwise(F.concat(F.lit("("), word, F.lit("|XYZ"), word, F.lit(")E?[.,]"))))
+    return words.select(F.upper("word").alias("word")).distinct().withColumn(
+        "ord", F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long")).select(
+            "ord", pattern.alias("pattern"), F.when(ord_ % 3 == 0, "Gifts").when(ord_ % 3 == 1, "Travel").otherwise("Cash").alias("category"))
+
+
+def _spoken_names(spark, sf):
+    """Whole conversation turns taken as merchant keys."""
+    small, large = "abcdefghijklmnopqrstuvwxyz\n", "ABCDEFGHIJKLMNOPQRSTUVWXYZ "
+    return star.table(spark, sf, "conversations").select(F.translate("text", small, large).alias("merchant_key")).distinct()
+
+
+def rule_table_matches(spark, sf):
+    """Categories by a table of rules that grows with the data, instead of a list in the plan."""
+    found = cat.categorize(_spoken_names(spark, sf), None, _rule_rows(spark, sf))
+    return found.select(F.md5("merchant_key").alias("key_md5"), "category", "categorized_by")
+
+
+def rule_table_pairs(spark, sf):
+    """How many names each rule of the table is found in."""
+    numbered = _rule_rows(spark, sf).select(F.col("ord").alias("number"), "pattern")
+    return patterns.matches(_spoken_names(spark, sf), numbered).groupBy(F.col("number").alias("ord")).agg(F.count("*").alias("names"))
+
+
 def label_validity(spark, sf):
     return cat.usable_labels(_name_labels(spark, sf))
 
@@ -589,6 +623,35 @@ def policy_alerts_whole(spark, sf):
     return policy.policy_alerts(star.event_ledger(spark, sf), POLICIES, EVENTS_AS_OF, keys=[], threshold=1_000).drop("text")
 
 
+def _own_policies(spark, sf):
+    """A table of caps in which accounts differ in what they cap, how often and at what."""
+    key = F.col("c_custkey")
+    none = F.lit(None).cast("string")
+
+    def row(ord_, name, cap, when, bucket=none, sub_label=none, pattern=none):
+        return F.when(when, F.struct(
+            F.lit(ord_).cast("long").alias("ord"), F.lit(name).alias("policy"), cap.cast("long").alias("cap_cents"),
+            bucket.alias("bucket"), sub_label.alias("sub_label"), pattern.alias("pattern")))
+
+    labels_ = F.when(key % 3 == 0, "Groceries").when(key % 3 == 1, "FoodDelivery").otherwise("Coffee/Snacks")
+    names = F.when(key % 2 == 0, "^(VIEW|PURCHASE) HOUSE$").otherwise("CLICK|SIGNUP HOUSE$")
+    rows = F.array_compact(F.array(
+        row(0, "label-cap", 500 + key % 7 * 300, F.lit(True), sub_label=labels_),
+        row(1, "name-cap", 1_000 + key % 5 * 500, F.lit(True), pattern=names),
+        row(2, "bucket-cap", F.lit(2_000), key % 4 != 1, bucket=F.lit("Other")),
+        row(3, "tail-cap", F.lit(1_500), key % 5 == 0, pattern=F.lit("E$"))))
+    return star.table(spark, sf, "customer").select(key.cast("string").alias("account_id"), F.inline(rows))
+
+
+def own_policy_matches(spark, sf):
+    rows = policy.match_policies(star.event_ledger(spark, sf), _own_policies(spark, sf))
+    return rows.select("batch_ord", "ord", "policy", "cap_cents", "is_first")
+
+
+def own_policy_alerts(spark, sf):
+    return policy.policy_alerts(star.event_ledger(spark, sf), _own_policies(spark, sf), threshold=1_000)
+
+
 def alerts_unsent(spark, sf):
     events = star.event_ledger(spark, sf)
     fresh = events.filter(F.col("booking_date") >= F.lit(date(2024, 1, 20)))
@@ -636,6 +699,32 @@ def bill_checklist(spark, sf):
     return bill_ops.bill_checklist(_bill_state(spark, sf))
 
 
+def _own_bills(spark, sf):
+    """A table of bills in which accounts differ, each looked at on three days."""
+    key = F.col("c_custkey")
+
+    def row(name, pattern, due_day, expected, tolerance, when):
+        return F.when(when, F.struct(
+            F.lit(name).alias("bill"), F.lit(pattern).alias("pattern"), due_day.cast("int").alias("due_day"),
+            expected.cast("long").alias("expected_cents"), F.lit(tolerance).alias("tolerance_pct")))
+
+    rows = F.array_compact(F.array(
+        row("Box", "^PURCHASE", key % 31 + 1, 900 + key % 10 * 50, 20, F.lit(True)),
+        row("View", r"\bHOUSE$", F.lit(31), F.lit(500), 50, key % 2 == 0),
+        row("Any", "[KW] HOUS?E$", F.lit(5), F.lit(1_000), 10, key % 3 == 0)))
+    days = F.array(*[F.lit(date(2024, 1, d)) for d in (10, 25, 31)])
+    return star.table(spark, sf, "customer").select("c_custkey", F.explode(days).alias("as_of")).select(
+        key.cast("string").alias("account_id"), "as_of", F.inline(rows))
+
+
+def own_bill_states(spark, sf):
+    return bill_ops.own_bill_state(star.event_ledger(spark, sf), _own_bills(spark, sf))
+
+
+def own_bill_alerts(spark, sf):
+    return bill_ops.bill_alerts(own_bill_states(spark, sf), ["account_id", "as_of"])
+
+
 def charge_gaps(spark, sf):
     return recurring.charge_gaps(star.event_ledger(spark, sf))
 
@@ -696,7 +785,7 @@ QUERIES = {
         money_parse, date_parse, statement_map, feed_map, booked_rows, row_contract, currency_gate, account_labels,
         row_ids, append_once, quarantine_rows, quarantine_counts, clip_dates, clip_statements,
         clip_statements_whole, row_ids_hot, feed_rejects, long_names, cursor_advance, next_pull, ingest_counts, combined_sources,
-        merchant_names, merchant_dimension, name_collisions, stale_labels, rule_matches, label_validity, cascade,
+        merchant_names, merchant_dimension, name_collisions, stale_labels, rule_matches, rule_table_matches, rule_table_pairs, label_validity, cascade,
         cascade_counts, effective_categories, bucket_rollup, category_coverage, category_coverage_whole,
         relabel_requests, relabel_events, latest_labels, latest_overrides, single_overrides, name_lookup,
         gross_spend, net_scope, trailing_rows, category_pareto, category_pareto_whole, merchant_pareto,
@@ -705,6 +794,7 @@ QUERIES = {
         top_spends, latest_in_category, reconciliation, reconciliation_whole, gate_verdict, budget_baseline,
         payday_months, payday_calendar, pay_cycles, cycle_spend, safe_to_spend, account_status,
         account_status_whole, weekly_plan, policy_matches, policy_progress, policy_progress_hot, policy_alerts, policy_alerts_whole,
+        own_policy_matches, own_policy_alerts, own_bill_states, own_bill_alerts,
         alerts_unsent, rows_since_mark, current_dues, bill_matches, bill_alerts, bill_alerts_unsent, bill_checklist, charge_gaps,
         recurring_charges, recurring_totals, daily_windows, weekly_windows, deduped_events, emitted_once,
         secret_shapes, secret_flags, pattern_hits, redacted_texts,

@@ -359,6 +359,48 @@ bnd AS (SELECT lo.account_id, CASE WHEN d < coverage_start THEN coverage_start E
  FROM lo LEFT JOIN cur ON lo.account_id = cur.account_id)"""
 
 
+RULE_TABLE = """words AS (
+ SELECT DISTINCT upper(unnest(regexp_extract_all(text, '[A-Za-z]{4,}'))) AS word FROM benchmark),
+numbered AS (SELECT word, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) AS ord FROM words),
+rules AS (SELECT ord, CASE WHEN ord % 16 = 5 THEN substr(word, 1, 2) || '[.]?$'
+  WHEN ord % 4 = 0 THEN '(^| )' || word || '( |[.,])' WHEN ord % 4 = 1 THEN word
+  WHEN ord % 4 = 2 THEN '^' || word || '|' || word || ' ?$' ELSE '(' || word || '|XYZ' || word || ')E?[.,]' END AS pattern,
+  CASE ord % 3 WHEN 0 THEN 'Gifts' WHEN 1 THEN 'Travel' ELSE 'Cash' END AS category FROM numbered),
+spoken AS (SELECT DISTINCT translate(text, 'abcdefghijklmnopqrstuvwxyz' || chr(10), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ ') AS k FROM conversations),
+pairs AS (SELECT k, rules.* FROM spoken JOIN rules ON regexp_matches(k, pattern))"""
+
+OWN_POLICIES = f"""{EVENT}, own AS (
+ SELECT CAST(c_custkey AS VARCHAR) AS account_id, ord, policy, CASE ord WHEN 0 THEN 500 + c_custkey % 7 * 300
+   WHEN 1 THEN 1000 + c_custkey % 5 * 500 WHEN 2 THEN 2000 ELSE 1500 END AS cap_cents,
+  CASE c_custkey % 3 WHEN 0 THEN 'Groceries' WHEN 1 THEN 'FoodDelivery' ELSE 'Coffee/Snacks' END AS own_label,
+  CASE WHEN ord = 3 THEN 'E$' WHEN c_custkey % 2 = 0 THEN '^(VIEW|PURCHASE) HOUSE$' ELSE 'CLICK|SIGNUP HOUSE$' END AS own_pattern
+ FROM customer, (VALUES (0, 'label-cap'), (1, 'name-cap'), (2, 'bucket-cap'), (3, 'tail-cap')) p(ord, policy)
+ WHERE ord < 2 OR (ord = 2 AND c_custkey % 4 <> 1) OR (ord = 3 AND c_custkey % 5 = 0)),
+kept AS (SELECT *, CAST(date_trunc('month', booking_date) AS DATE) AS month FROM ev
+ WHERE NOT (amount_cents >= {{threshold}} AND category = 'Uncategorized')),
+hits AS (SELECT e.*, ord, policy, cap_cents FROM kept e JOIN own USING (account_id) WHERE CASE ord WHEN 0 THEN category = own_label
+  WHEN 2 THEN {BUCKET} = 'Other' ELSE regexp_matches(merchant_key, own_pattern) END)"""
+
+OWN_BILLS = f"""{EVENT}, days AS (SELECT * FROM (VALUES (DATE '2024-01-10'), (DATE '2024-01-25'), (DATE '2024-01-31')) d(as_of)),
+own AS (SELECT CAST(c_custkey AS VARCHAR) AS account_id, bill, as_of,
+  CASE bill WHEN 'Box' THEN '^PURCHASE' WHEN 'View' THEN '\\bHOUSE$' ELSE '[KW] HOUS?E$' END AS pattern,
+  CASE bill WHEN 'Box' THEN c_custkey % 31 + 1 WHEN 'View' THEN 31 ELSE 5 END AS due_day,
+  CASE bill WHEN 'Box' THEN 900 + c_custkey % 10 * 50 WHEN 'View' THEN 500 ELSE 1000 END AS expected_cents,
+  CASE bill WHEN 'Box' THEN 20 WHEN 'View' THEN 50 ELSE 10 END AS tolerance
+ FROM customer, days, (VALUES ('Box'), ('View'), ('Any')) b(bill)
+ WHERE bill = 'Box' OR (bill = 'View' AND c_custkey % 2 = 0) OR (bill = 'Any' AND c_custkey % 3 = 0)),
+dated AS (SELECT *, CAST(date_trunc('month', as_of) AS DATE) AS first, CAST(date_trunc('month', as_of) - INTERVAL 1 MONTH AS DATE) AS earlier FROM own),
+dued AS (SELECT *, first + CAST(least(due_day, day(last_day(first))) AS INTEGER) - 1 AS this,
+  earlier + CAST(least(due_day, day(last_day(earlier))) AS INTEGER) - 1 AS prior FROM dated),
+own_due AS (SELECT *, CASE WHEN this <= as_of THEN this ELSE prior END AS due FROM dued),
+paid AS (SELECT o.account_id, bill, as_of, booking_date AS paid_on, -amount_cents AS paid_cents FROM own_due o JOIN ev
+  ON ev.account_id = o.account_id AND amount_cents < 0 AND booking_date BETWEEN due - 5 AND as_of AND regexp_matches(merchant_key, pattern)
+ QUALIFY row_number() OVER (PARTITION BY o.account_id, bill, as_of ORDER BY booking_date DESC, batch_ord DESC) = 1),
+state AS (SELECT o.account_id, bill, as_of, due, CAST(expected_cents AS BIGINT) AS expected_cents,
+  CAST(expected_cents * (100 - tolerance) // 100 AS BIGINT) AS low_cents, CAST(expected_cents * (100 + tolerance) // 100 AS BIGINT) AS high_cents,
+  paid_on, paid_cents, CAST(date_diff('day', due, as_of) AS INTEGER) AS days_past_due, paid_on IS NULL AND date_diff('day', due, as_of) > 3 AS overdue
+ FROM own_due o LEFT JOIN paid USING (account_id, bill, as_of))"""
+
 ORACLES = {
     # ── ingest ──
     "money_parse": f"""WITH {STATEMENT},
@@ -474,6 +516,10 @@ SELECT key AS merchant_key, min(booking_date) AS first_seen FROM keyed WHERE key
 i AS (SELECT DISTINCT key AS merchant_key, trim(regexp_replace(upper(trim(split_part(merchant_raw, '{{', 1))), '\\s+', ' ', 'g')) AS name FROM keyed WHERE key <> '')
 SELECT merchant_key, count(*) AS names, min(name) AS first_name, max(name) AS last_name FROM i GROUP BY ALL HAVING count(*) > 1""",
     "stale_labels": f"WITH {NAME_LABELS} SELECT * FROM nl WHERE merchant_key <> upper(merchant_key)",
+    "rule_table_matches": f"""WITH {RULE_TABLE} SELECT md5(k) AS key_md5,
+ coalesce(min_by(category, (ord, pattern)), 'Uncategorized') AS category, CASE WHEN count(ord) > 0 THEN 'regex' END AS categorized_by
+ FROM spoken LEFT JOIN pairs USING (k) GROUP BY k""",
+    "rule_table_pairs": f"WITH {RULE_TABLE} SELECT ord, count(*) AS names FROM pairs GROUP BY ord",
     "rule_matches": f"SELECT k AS merchant_key, {RULES} AS category FROM (SELECT DISTINCT upper(p_name) AS k FROM part)",
     "label_validity": f"WITH {NAME_LABELS} SELECT * FROM ok_labels",
     "cascade": f"WITH {CASCADE} SELECT * FROM casc",
@@ -630,6 +676,19 @@ WHERE booking_date >= DATE '2024-01-20' AND merchant_key <> 'PURCHASE HOUSE'""",
     "current_dues": """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, CAST(o_orderkey % 31 AS INTEGER) AS k FROM orders),
 t AS (SELECT *, least(CAST(m + k AS DATE), last_day(m)) AS this_month, CAST(m - INTERVAL 1 MONTH AS DATE) AS pm FROM o)
 SELECT o_orderkey, CASE WHEN this_month <= d THEN this_month ELSE least(CAST(pm + k AS DATE), last_day(pm)) END AS due, this_month, strftime(d, '%G-W%V') AS iso_week FROM t""",
+    "own_policy_matches": f"""WITH {OWN_POLICIES.format(threshold=10 ** 12)}
+SELECT batch_ord, CAST(ord AS BIGINT) AS ord, policy, CAST(cap_cents AS BIGINT) AS cap_cents, ord = min(ord) OVER (PARTITION BY id) AS is_first FROM hits""",
+    "own_policy_alerts": f"""WITH {OWN_POLICIES.format(threshold=1000)}, {progress()} SELECT id, account_id, booking_date, strftime(month, '%Y-%m') AS month, policy,
+ CAST(cap_cents AS BIGINT) AS cap_cents,
+ amount_cents, mtd_cents, charge_number, merchant_raw || ': ' || {EUR.format("(-amount_cents)")} || ', ' || {ORDINAL.format("charge_number")} || ' charge this month. '
+ || policy || ' stands at ' || {EUR.format("mtd_cents")} || ' against a cap of ' || {EUR.format("cap_cents")} || '; that is ' || {EUR.format("(mtd_cents * 12)")} || ' a year.' AS text FROM al""",
+    "own_bill_states": f"WITH {OWN_BILLS} SELECT * FROM state",
+    "own_bill_alerts": f"""WITH {OWN_BILLS},
+x AS (SELECT *, CASE WHEN paid_on IS NOT NULL AND NOT paid_cents BETWEEN low_cents AND high_cents THEN 'drift' WHEN overdue THEN 'late' END AS kind FROM state)
+SELECT account_id, as_of, bill, kind, due, paid_on, paid_cents, expected_cents, CAST(days_past_due AS INTEGER) AS days_past_due,
+ CASE kind WHEN 'drift' THEN bill || ' came to ' || {EUR.format("paid_cents")} || ' instead of about ' || {EUR.format("expected_cents")}
+  ELSE bill || ' has not been paid, ' || days_past_due || ' days after ' || due END AS text, bill || '|' || due || '|' || kind AS period_key
+FROM x WHERE kind IS NOT NULL""",
     "bill_matches": f"WITH {BILLS} SELECT * FROM paid",
     "bill_alerts": f"""WITH {BILLS},
 x AS (SELECT *, CASE WHEN paid_on IS NOT NULL AND NOT paid_cents BETWEEN low_cents AND high_cents THEN 'drift' WHEN overdue THEN 'late' END AS kind FROM state)

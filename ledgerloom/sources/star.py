@@ -31,6 +31,7 @@ SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "benchmark": "item_id string, text string",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
