@@ -23,8 +23,8 @@ MIN_COUNT = 30
 TOP = 2000
 ABSORBED_PERCENT = 80
 #: Counters that a task holds before it hands its filter on, and that a merged cut may expect.
-FILTER_ENTRIES = 1 << 21
-BLOCK_BYTES, HELD_BYTES = 1 << 22, 1 << 24
+FILTER_ENTRIES = 1 << 20
+BLOCK_BYTES, HELD_BYTES = 1 << 21, 1 << 23
 LEAST_CUT_BITS = 5
 LEAST_ID_BITS, MOST_ID_BITS = 8, 32
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -115,19 +115,21 @@ def restored(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray
 
 
 def tally(left: np.ndarray, right: np.ndarray, counts: np.ndarray | None, bits: int):
-    """Sorted distinct keys and the sums of their counts (each one, where none are given)."""
+    """Sorted distinct keys and the sums of their counts (each one, where none are given); short halves come as 32 bits."""
     total = len(left)
     if not total:
         return left, right, np.zeros(0, np.int64)
     if 2 * bits <= 64:
-        key = (left << np.uint64(bits)) | right
+        key = left.astype(np.uint64) << np.uint64(bits)
+        key |= right
         if counts is None:
             key.sort()
         else:
             order = np.argsort(key, kind="stable")
             key, counts = key[order], counts[order]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        left, right = key[starts] >> np.uint64(bits), key[starts] & np.uint64((1 << bits) - 1)
+        key = key[starts]
+        left, right = (key >> np.uint64(bits)).astype(np.uint32), (key & np.uint64((1 << bits) - 1)).astype(np.uint32)
     else:
         order = np.lexsort((right, left))
         left, right, counts = left[order], right[order], None if counts is None else counts[order]
@@ -155,6 +157,7 @@ def packed_filter(left: np.ndarray, right: np.ndarray, counts: np.ndarray, bits:
     n = len(left)
     q = max(0, min(int(n).bit_length(), bits - cut_bits, 30))
     rest = bits - cut_bits - q
+    left, right = left.astype(np.uint64), right.astype(np.uint64)
     inside = left & np.uint64((1 << (bits - cut_bits)) - 1)
     quotient = (inside >> np.uint64(rest)).astype(np.int64)
     occupied = np.zeros(1 << q, bool)
@@ -256,7 +259,7 @@ def filters_of(id_bits: int, cut_bits: int, entries: int, batches: Iterator[pa.R
             if not counters.merge():
                 continue
             bits, (left, right, counts) = counters.bits, counters.parts[0]
-            cuts = (left >> np.uint64(bits - cut_bits)).astype(np.int64)
+            cuts = (left.astype(np.uint64) >> np.uint64(bits - cut_bits)).astype(np.int64)
             names = np.unique(cuts)
             bounds = np.append(np.searchsorted(cuts, names), len(cuts))
             for i in range(0, len(names), 64):
@@ -296,7 +299,8 @@ def frequent_of(id_bits: int, cut_bits: int, least: int, entries: int, batches:
         held.merge()
         left, right, counts = held.parts[0]
         often = counts >= least
-        wide = wide_ids(now & 7, *restored(left[often], right[often], held.bits), id_bits)
+        halves = (half[often].astype(np.uint64) for half in (left, right))
+        wide = wide_ids(now & 7, *restored(*halves, held.bits), id_bits)
         return pa.RecordBatch.from_pydict({"hi": wide[0], "lo": wide[1], "a": counts[often]})
 
     for batch in batches:
