@@ -73,6 +73,15 @@ def match_policies(ledger: DataFrame, policies: list[Policy] | DataFrame,
     ).withColumn("is_first", F.col("ord") == F.col("_first")).drop("_first")
 
 
+def matched_months(ledger: DataFrame, policies: list[Policy] | DataFrame, keys: list[str] = KEYS,
+                   threshold: int = INFLOW_EXCLUDE_CENTS, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
+    """Rows that count towards caps, one for each cap they match, with the first of their month."""
+    kept = ledger.filter(~is_held_out(threshold, taxonomy)).select(
+        "id", *keys, "booking_date", "batch_id", "batch_ord", "amount_cents", "merchant_raw",
+        "merchant_key", "category")
+    return match_policies(kept, policies, taxonomy, keys).withColumn("month", month_start(F.col("booking_date")))
+
+
 def policy_progress(ledger: DataFrame, policies: list[Policy] | DataFrame, keys: list[str] = KEYS,
                     threshold: int = INFLOW_EXCLUDE_CENTS, block_rows: int = BLOCK_ROWS,
                     hot_rows: int = HOT_ROWS, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
@@ -81,13 +90,8 @@ def policy_progress(ledger: DataFrame, policies: list[Policy] | DataFrame, keys:
     Order is booking date, then insertion. The month of a very busy account is cut by day, batch and
     block of rows, so no task holds all of it.
     """
-    kept = ledger.filter(~is_held_out(threshold, taxonomy)).select(
-        "id", *keys, "booking_date", "batch_id", "batch_ord", "amount_cents", "merchant_raw",
-        "merchant_key", "category")
-    matched = match_policies(kept, policies, taxonomy, keys).withColumns({
-        "month": month_start(F.col("booking_date")),
-        "block": block_of(F.col("batch_ord"), block_rows),
-    })
+    matched = matched_months(ledger, policies, keys, threshold, taxonomy).withColumn(
+        "block", block_of(F.col("batch_ord"), block_rows))
     return running_totals(
         matched, by=[*keys, "ord", "month"], block=["booking_date", "batch_id", "block"],
         order=["batch_ord", "id"],

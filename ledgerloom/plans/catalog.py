@@ -13,7 +13,7 @@ from ledgerloom.functions.money import format_eur, ordinal, parse_cents, plain_a
 from ledgerloom.functions.names import display_name, identity_name, merchant_key
 from ledgerloom.operators import bills as bill_ops
 from ledgerloom.operators import categorize as cat
-from ledgerloom.operators import cycle, ingest, labels, merchants, patterns, policy, recon, recurring, scan, spend
+from ledgerloom.operators import cycle, ingest, labels, merchants, patterns, policy, progress, recon, recurring, scan, spend
 from ledgerloom.sources import star
 from ledgerloom.streaming import windows
 
@@ -619,6 +619,24 @@ def policy_alerts(spark, sf):
     return policy.policy_alerts(star.event_ledger(spark, sf), POLICIES, threshold=1_000)
 
 
+def _loads(spark, sf):
+    """Events as two loads; the second holds late rows of every day."""
+    late = F.col("batch_ord") % 4 == 0
+    events = star.event_ledger(spark, sf).withColumn("batch_id", F.when(late, "load-2").otherwise("load-1"))
+    return events.filter(~late), events.filter(late)
+
+
+def kept_alerts(spark, sf):
+    """Alerts of the second load from the kept sums of the first."""
+    before, late = _loads(spark, sf)
+    return progress.alerts_from_state(late, progress.progress_sums(before, POLICIES, threshold=1_000), POLICIES, threshold=1_000)
+
+
+def kept_sums(spark, sf):
+    """The state after both loads."""
+    return progress.merged_sums(*[progress.progress_sums(load, POLICIES, threshold=1_000) for load in _loads(spark, sf)]).drop("month")
+
+
 def policy_alerts_whole(spark, sf):
     return policy.policy_alerts(star.event_ledger(spark, sf), POLICIES, EVENTS_AS_OF, keys=[], threshold=1_000).drop("text")
 
@@ -794,7 +812,7 @@ QUERIES = {
         top_spends, latest_in_category, reconciliation, reconciliation_whole, gate_verdict, budget_baseline,
         payday_months, payday_calendar, pay_cycles, cycle_spend, safe_to_spend, account_status,
         account_status_whole, weekly_plan, policy_matches, policy_progress, policy_progress_hot, policy_alerts, policy_alerts_whole,
-        own_policy_matches, own_policy_alerts, own_bill_states, own_bill_alerts,
+        own_policy_matches, own_policy_alerts, kept_alerts, kept_sums, own_bill_states, own_bill_alerts,
         alerts_unsent, rows_since_mark, current_dues, bill_matches, bill_alerts, bill_alerts_unsent, bill_checklist, charge_gaps,
         recurring_charges, recurring_totals, daily_windows, weekly_windows, deduped_events, emitted_once,
         secret_shapes, secret_flags, pattern_hits, redacted_texts,

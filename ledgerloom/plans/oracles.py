@@ -668,6 +668,13 @@ SELECT batch_ord, account_id, ord, mtd_cents, charge_number FROM prog""",
     "policy_alerts": f"""WITH {POLICIES}, {progress()} SELECT id, account_id, booking_date, strftime(month, '%Y-%m') AS month, policy, CAST(cap_cents AS BIGINT) AS cap_cents,
  amount_cents, mtd_cents, charge_number, merchant_raw || ': ' || {EUR.format("(-amount_cents)")} || ', ' || {ORDINAL.format("charge_number")} || ' charge this month. '
  || policy || ' stands at ' || {EUR.format("mtd_cents")} || ' against a cap of ' || {EUR.format("cap_cents")} || '; that is ' || {EUR.format("(mtd_cents * 12)")} || ' a year.' AS text FROM al""",
+    "kept_alerts": f"""WITH {POLICIES}, {progress().replace("ORDER BY booking_date, batch_ord", "ORDER BY booking_date, batch_ord % 4 = 0, batch_ord")}
+SELECT id, account_id, booking_date, strftime(month, '%Y-%m') AS month, policy, CAST(cap_cents AS BIGINT) AS cap_cents,
+ amount_cents, mtd_cents, charge_number, merchant_raw || ': ' || {EUR.format("(-amount_cents)")} || ', ' || {ORDINAL.format("charge_number")} || ' charge this month. '
+ || policy || ' stands at ' || {EUR.format("mtd_cents")} || ' against a cap of ' || {EUR.format("cap_cents")} || '; that is ' || {EUR.format("(mtd_cents * 12)")} || ' a year.' AS text
+FROM al WHERE batch_ord % 4 = 0""",
+    "kept_sums": f"""WITH {POLICIES} SELECT account_id, CAST(ord AS INTEGER) AS ord, booking_date, CASE WHEN batch_ord % 4 = 0 THEN 'load-2' ELSE 'load-1' END AS batch_id,
+ CAST(sum(-amount_cents) AS BIGINT) AS cents, count(*) FILTER (amount_cents < 0) AS charges FROM hits GROUP BY ALL""",
     "policy_alerts_whole": f"""WITH {POLICIES}, {progress("")} SELECT id, booking_date, strftime(month, '%Y-%m') AS month, policy, CAST(cap_cents AS BIGINT) AS cap_cents,
  amount_cents, mtd_cents, charge_number FROM al""",
     "alerts_unsent": f"""WITH {POLICIES}, {progress()} SELECT 'policy_alert' AS kind, id AS subject_id, account_id, policy, mtd_cents FROM al

@@ -24,6 +24,9 @@ LABEL_EVENTS = _schema(
 ALERT_LOG = _schema(
     kind=_S, account_id=_S, subject_id=_S, policy=_S, period_key=_S, text=_S, created_at=_TS, stream_batch=_L
 )
+POLICY_SUMS = _schema(
+    account_id=_S, ord=_L, month=_D, booking_date=_D, batch_id=_S, cents=_L, charges=_L, booking_month=_S, stream_batch=_L
+)
 PAYDAY_OVERRIDE = _schema(account_id=_S, cycle_month=_D, actual_date=_D, ts=_TS)
 SOURCE_CURSOR = _schema(account_id=_S, high_water=_D, coverage_start=_D)
 CURSOR_LOG = _schema(account_id=_S, high_water=_D, coverage_start=_D, stream_batch=_L)

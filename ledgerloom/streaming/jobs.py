@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom import schema
 from ledgerloom.config import DEFAULT_TAXONOMY, INFLOW_EXCLUDE_CENTS, Bill, Policy, Taxonomy
+from ledgerloom.functions.dates import month_key
 from ledgerloom.functions.names import DEFAULT_NAME_RULES, NameRules
 from ledgerloom.operators.bills import bill_alerts, bill_state
 from ledgerloom.operators.ingest import (
@@ -24,6 +25,7 @@ from ledgerloom.operators.ingest import (
 )
 from ledgerloom.operators.labels import authorized
 from ledgerloom.operators.policy import policy_alerts, unsent
+from ledgerloom.operators.progress import TOTALS, alerts_from_state, progress_sums
 from ledgerloom.operators.spend import KEYS
 from ledgerloom.plans.shapes import first_per_key, not_stored
 from ledgerloom.sources.feed import numbered, stream_feed
@@ -150,15 +152,77 @@ def alert_batch(fresh: DataFrame, batch_id: int, paths: Paths, categorize: Calla
     around = read_table(spark, paths.ledger, schema.LEDGER).join(touched, [*keys, "booking_month"], "left_semi")
     alerts = policy_alerts(categorize(around), policies, as_of, new_ids=fresh.select("id").distinct(), keys=keys,
                            threshold=threshold, taxonomy=taxonomy)
+    _log_alerts(alerts, batch_id, paths, keys)
+
+
+def _log_alerts(alerts: DataFrame, batch_id: int, paths: Paths, keys: list[str]) -> None:
+    """Write the alerts that no other batch has written, in place of what this batch wrote before."""
     rows = alerts.select(
         F.lit("policy_alert").alias("kind"), *keys, F.col("id").alias("subject_id"), "policy",
         F.col("month").alias("period_key"), "text", F.current_timestamp().alias("created_at"))
-    log = read_table(spark, paths.alert_log, schema.ALERT_LOG)
+    log = read_table(alerts.sparkSession, paths.alert_log, schema.ALERT_LOG)
     earlier = log.filter(F.col("stream_batch") != batch_id)
     write_table(unsent(rows, earlier).withColumn("stream_batch", F.lit(batch_id).cast("long")),
                 paths.alert_log, "overwrite", ["stream_batch"])
 
 
+def _sums_before(spark: SparkSession, paths: Paths, batch_id: int, keys: list[str]) -> DataFrame:
+    fields = [f for f in schema.POLICY_SUMS if f.name in keys or f.name != "account_id"]
+    log = read_table(spark, paths.policy_sums, schema.T.StructType(fields))
+    return log.filter(F.col("stream_batch") != batch_id)
+
+
+def kept_alert_batch(fresh: DataFrame, batch_id: int, paths: Paths, categorize: Callable[[DataFrame], DataFrame],
+                     policies: list[Policy] | DataFrame, keys: list[str] = KEYS, threshold: int = INFLOW_EXCLUDE_CENTS,
+                     taxonomy: Taxonomy = DEFAULT_TAXONOMY, silent: bool = False) -> None:
+    """Alerts for newly stored rows from kept sums (see `operators.progress`); the ledger is not read.
+
+    The sums of this batch are written last and under its number, and read without it, so a batch that runs again
+    finds what it found before. Sums are partitioned by month, of which a batch reads those that it touches. With
+    `silent` rows only count and nothing is sent, as before alerts run for the first time.
+    """
+    spark = fresh.sparkSession
+    rows = categorize(fresh).persist()
+    try:
+        if not silent:
+            months = rows.select("booking_month").distinct()
+            state = _sums_before(spark, paths, batch_id, keys).join(months, "booking_month", "left_semi")
+            alerts = alerts_from_state(rows, state, policies, keys, threshold, taxonomy=taxonomy)
+            _log_alerts(alerts, batch_id, paths, keys)
+        sums = progress_sums(rows, policies, keys, threshold, taxonomy)
+        write_table(sums.withColumns({"booking_month": month_key(F.col("month")), "stream_batch": F.lit(batch_id).cast("long")}),
+                    paths.policy_sums, "overwrite", ["booking_month", "stream_batch"])
+    finally:
+        rows.unpersist()
+
+
+def rebuild_sums(spark: SparkSession, paths: Paths, categorize: Callable[[DataFrame], DataFrame], policies: list[Policy] | DataFrame,
+                 months: list[str], keys: list[str] = KEYS, threshold: int = INFLOW_EXCLUDE_CENTS,
+                 taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> None:
+    """Count months anew from the ledger, after corrections or new caps. Batches that run later add to the result.
+
+    To be run while no alert stream runs: all rows stored by then must have been seen.
+    """
+    ledger = read_table(spark, paths.ledger, schema.LEDGER).filter(F.col("booking_month").isin(*months))
+    sums = progress_sums(categorize(ledger), policies, keys, threshold, taxonomy).withColumns({
+        "booking_month": month_key(F.col("month")), "stream_batch": F.lit(-1).cast("long")})
+    fresh = keep(sums, "policy-sums", paths.work)
+    held = read_table(spark, paths.policy_sums, schema.POLICY_SUMS).select("booking_month", "stream_batch").filter(
+        F.col("booking_month").isin(*months) & (F.col("stream_batch") >= 0)).distinct()
+    nothing = [F.lit(None).cast(fresh.schema[c].dataType).alias(c) for c in fresh.columns if c not in ("booking_month", "stream_batch", *TOTALS)]
+    zeros = held.select(*nothing, *[F.lit(0).cast("long").alias(c) for c in TOTALS], "booking_month", "stream_batch")
+    write_table(fresh.unionByName(zeros), paths.policy_sums, "overwrite", ["booking_month", "stream_batch"])
+
+
+def start_kept_alerts(spark: SparkSession, paths: Paths, categorize: Callable[[DataFrame], DataFrame],
+                      policies: list[Policy] | DataFrame, keys: list[str] = KEYS, threshold: int = INFLOW_EXCLUDE_CENTS,
+                      taxonomy: Taxonomy = DEFAULT_TAXONOMY, silent: bool = False) -> StreamingQuery:
+    """`start_alerts` at the cost of the new rows alone. `categorize` gets only those."""
+    stream = spark.readStream.schema(schema.LEDGER).parquet(paths.ledger)
+    return _run(stream, lambda df, n: kept_alert_batch(df, n, paths, categorize, policies, keys, threshold, taxonomy, silent),
+                paths.checkpoint_alerts)
+
+
 def start_alerts(spark: SparkSession, paths: Paths, categorize: Callable[[DataFrame], DataFrame],
                  policies: list[Policy], keys: list[str] = KEYS,
                  threshold: int = INFLOW_EXCLUDE_CENTS, taxonomy: Taxonomy = DEFAULT_TAXONOMY,
