@@ -29,7 +29,7 @@ class RecurringLimits:
             raise ValueError("bands start at one day or more")
 
 
-def _charges(ledger: DataFrame, until: date | None) -> DataFrame:
+def charges_of(ledger: DataFrame, until: date | None) -> DataFrame:
     rows = ledger.filter((F.col("amount_cents") < 0) & F.col("merchant_key").isNotNull())
     return rows if until is None else rows.filter(F.col("booking_date") <= F.lit(until))
 
@@ -40,7 +40,7 @@ def charge_gaps(ledger: DataFrame, keys: list[str] = KEYS, until: date | None =
     Charges are first counted per day, so the window sees at most one row per merchant and day; the
     other charges of a day have a gap of zero.
     """
-    days = _charges(ledger, until).groupBy(*keys, "merchant_key", "booking_date").agg(
+    days = charges_of(ledger, until).groupBy(*keys, "merchant_key", "booking_date").agg(
         F.count("*").alias("charges"))
     before = F.lag("booking_date").over(Window.partitionBy(*keys, "merchant_key").orderBy("booking_date"))
     gaps = days.withColumn("gap_days", F.datediff("booking_date", before))
@@ -60,6 +60,27 @@ def _day_gaps() -> Column:
         follow, F.slice("_days", 1, F.greatest(F.size("_days") - 1, F.lit(0))), lambda b, a: F.datediff(b, a)))
 
 
+def rhythm(stats: DataFrame, as_of: date, limits: RecurringLimits, keep: list[str]) -> DataFrame:
+    """Of merchants with occurrences, _mean, _sd, _last and their sorted distinct _days those that are steady and live."""
+    stats = stats.filter((F.col("occurrences") >= limits.min_occurrences) & (F.col("_sd") / F.col("_mean") < limits.amount_cv_max))
+    repeats = F.col("occurrences") - F.size("_days")
+    rank = F.call_function("div", F.col("occurrences"), F.lit(2)).cast("int")
+    gaps = stats.withColumns({"_gaps": _day_gaps(), "_repeats": repeats.cast("int"), "_rank": rank})
+    gaps = gaps.withColumn("interval_days", at_rank_with_repeats(
+        F.col("_gaps"), F.lit(0), F.col("_repeats"), F.col("_rank")))
+    off = F.array_sort(F.transform("_gaps", lambda g: F.abs(g - F.col("interval_days"))))
+    gaps = gaps.withColumn("_mad", at_rank_with_repeats(
+        off, F.col("interval_days"), F.col("_repeats"), F.col("_rank")))
+    steady = F.col("_mad") <= limits.mad_max_days
+    period = F.when(F.col("interval_days").between(*limits.monthly_days) & steady, "monthly").when(
+        F.col("interval_days").between(*limits.weekly_days) & steady, "weekly")
+    live = gaps.withColumns({
+        "period": period, "next_expected": F.date_add("_last", F.col("interval_days")),
+    }).filter(F.col("period").isNotNull()
+              & (F.col("next_expected") >= F.date_sub(F.lit(as_of), F.col("interval_days"))))
+    return live.select(*keep, "period", "interval_days", "next_expected", "occurrences")
+
+
 def detect_recurring(ledger: DataFrame, as_of: date, limits: RecurringLimits = RecurringLimits(),
                      keys: list[str] = KEYS, until: date | None = None,
                      merchants: DataFrame | None = None) -> DataFrame:
@@ -75,30 +96,14 @@ def detect_recurring(ledger: DataFrame, as_of: date, limits: RecurringLimits = R
     `merchants` (merchant_key, first_seen) where one is passed, else from the ledger's rows of the
     merchants that are left.
     """
-    charges = _charges(ledger, until)
+    charges = charges_of(ledger, until)
     by = [*keys, "merchant_key"]
     stats = charges.groupBy(*by).agg(
         F.count("*").alias("occurrences"), F.avg(spent()).alias("_mean"), F.stddev_pop(spent()).alias("_sd"),
         F.max("booking_date").alias("_last"),
         F.array_sort(F.collect_set("booking_date")).alias("_days"),
-    ).filter((F.col("occurrences") >= limits.min_occurrences)
-             & (F.col("_sd") / F.col("_mean") < limits.amount_cv_max))
-    repeats = F.col("occurrences") - F.size("_days")
-    rank = F.call_function("div", F.col("occurrences"), F.lit(2)).cast("int")
-    gaps = stats.withColumns({"_gaps": _day_gaps(), "_repeats": repeats.cast("int"), "_rank": rank})
-    gaps = gaps.withColumn("interval_days", at_rank_with_repeats(
-        F.col("_gaps"), F.lit(0), F.col("_repeats"), F.col("_rank")))
-    off = F.array_sort(F.transform("_gaps", lambda g: F.abs(g - F.col("interval_days"))))
-    gaps = gaps.withColumn("_mad", at_rank_with_repeats(
-        off, F.col("interval_days"), F.col("_repeats"), F.col("_rank")))
-    steady = F.col("_mad") <= limits.mad_max_days
-    period = F.when(F.col("interval_days").between(*limits.monthly_days) & steady, "monthly").when(
-        F.col("interval_days").between(*limits.weekly_days) & steady, "weekly")
-    live = gaps.withColumns({
-        "period": period, "next_expected": F.date_add("_last", F.col("interval_days")),
-    }).filter(F.col("period").isNotNull()
-              & (F.col("next_expected") >= F.date_sub(F.lit(as_of), F.col("interval_days"))))
-    live = live.select(*by, "period", "interval_days", "next_expected", "occurrences")
+    )
+    live = rhythm(stats, as_of, limits, by)
     amounts = (
         charges.select(*by, spent().alias("_spend")).join(live.select(*by), by)
         .groupBy(*by).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _spend)").cast("long")

@@ -7,13 +7,14 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.config import Bill, Policy
+from ledgerloom.config import Bill, Policy, Rule
 from ledgerloom.functions.dates import day_in_month, iso_week_key, month_start, parse_date
 from ledgerloom.functions.money import format_eur, ordinal, parse_cents, plain_amount
 from ledgerloom.functions.names import display_name, identity_name, merchant_key
 from ledgerloom.operators import bills as bill_ops
 from ledgerloom.operators import categorize as cat
-from ledgerloom.operators import cycle, ingest, labels, merchants, patterns, policy, progress, recon, recurring, scan, spend
+from ledgerloom.operators import cycle, ingest, labels, merchants, patterns, policy, progress, recon, recurring, rhythm, scan, spend
+from ledgerloom.plans import refresh
 from ledgerloom.sources import star
 from ledgerloom.streaming import windows
 
@@ -415,6 +416,24 @@ def latest_overrides(spark, sf):
     return labels.latest_overrides(_label_events(spark, sf))
 
 
+EVENT_RULES = [Rule("^VIEW", "FoodDelivery"), Rule("^PURCHASE", "Groceries"), Rule("HOUSE$", "Shopping")]
+
+
+def _dated_events(spark, sf):
+    """Label events of all turns; the later ones are about single bookings only."""
+    events = _label_events(spark, sf)
+    late = F.col("ts") >= F.lit("2024-02-01 00:03:00").cast("timestamp")
+    return events.filter(~late | (F.col("scope") == "txn")), events.filter(late & (F.col("scope") == "txn")), events.filter(~late)
+
+
+def corrected_months(spark, sf):
+    """A stored month cube after corrections, of which only the touched months and slots are counted anew."""
+    ledger = star.event_ledger(spark, sf).drop("category")
+    events, fresh, before = _dated_events(spark, sf)
+    stored = refresh.month_cube(ledger, before, EVENT_RULES, slots=16)
+    return refresh.corrected_cube(stored, ledger, events, fresh, EVENT_RULES, slots=16).drop("slot")
+
+
 def single_overrides(spark, sf):
     return labels.override_one(_requests(spark, sf), star.event_ledger(spark, sf)).drop("ts")
 
@@ -751,6 +770,26 @@ def recurring_charges(spark, sf):
     return recurring.detect_recurring(star.event_ledger(spark, sf), EVENTS_AS_OF, EVENT_LIMITS)
 
 
+def _event_loads(spark, sf):
+    events = star.event_ledger(spark, sf)
+    late = F.col("batch_ord") % 3 == 1
+    return events.filter(~late), events.filter(late)
+
+
+def recurring_kept(spark, sf):
+    """Recurring charges from the merged states of two loads."""
+    first, second = _event_loads(spark, sf)
+    maps = rhythm.merged_maps(rhythm.month_maps(first), rhythm.month_maps(second))
+    amounts = rhythm.merged_amounts(rhythm.month_amounts(first), rhythm.month_amounts(second))
+    return rhythm.recurring_from_maps(maps, amounts, EVENTS_AS_OF, EVENT_LIMITS)
+
+
+def charge_maps(spark, sf):
+    """The state itself: days as bits, and sums that merge."""
+    first, second = _event_loads(spark, sf)
+    return rhythm.merged_maps(rhythm.month_maps(first), rhythm.month_maps(second)).withColumn("squares", F.col("squares").cast("long"))
+
+
 def recurring_totals(spark, sf):
     return recurring.recurring_summary(recurring_charges(spark, sf))
 
@@ -805,7 +844,7 @@ QUERIES = {
         clip_statements_whole, row_ids_hot, feed_rejects, long_names, cursor_advance, next_pull, ingest_counts, combined_sources,
         merchant_names, merchant_dimension, name_collisions, stale_labels, rule_matches, rule_table_matches, rule_table_pairs, label_validity, cascade,
         cascade_counts, effective_categories, bucket_rollup, category_coverage, category_coverage_whole,
-        relabel_requests, relabel_events, latest_labels, latest_overrides, single_overrides, name_lookup,
+        relabel_requests, relabel_events, latest_labels, latest_overrides, single_overrides, corrected_months, name_lookup,
         gross_spend, net_scope, trailing_rows, category_pareto, category_pareto_whole, merchant_pareto,
         merchant_pareto_whole, size_bands, weekday_profile, daily_spend, burn_rate, spend_totals, bucket_spend,
         held_inflows, month_over_month, month_surplus, surplus_target, bucket_breakdown, weekly_digest, top_movers,
@@ -814,7 +853,7 @@ QUERIES = {
         account_status_whole, weekly_plan, policy_matches, policy_progress, policy_progress_hot, policy_alerts, policy_alerts_whole,
         own_policy_matches, own_policy_alerts, kept_alerts, kept_sums, own_bill_states, own_bill_alerts,
         alerts_unsent, rows_since_mark, current_dues, bill_matches, bill_alerts, bill_alerts_unsent, bill_checklist, charge_gaps,
-        recurring_charges, recurring_totals, daily_windows, weekly_windows, deduped_events, emitted_once,
+        recurring_charges, recurring_totals, recurring_kept, charge_maps, daily_windows, weekly_windows, deduped_events, emitted_once,
         secret_shapes, secret_flags, pattern_hits, redacted_texts,
     )
 }

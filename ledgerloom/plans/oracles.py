@@ -544,6 +544,16 @@ FROM hh WHERE booking_date >= DATE '2001-06-30' - 3650""",
 QUALIFY row_number() OVER (PARTITION BY merchant_key ORDER BY turn DESC, event_id DESC) = 1""",
     "latest_overrides": f"""WITH {REQUESTS} SELECT txn_id, category FROM events_out WHERE scope = 'txn'
 QUALIFY row_number() OVER (PARTITION BY txn_id ORDER BY turn DESC, event_id DESC) = 1""",
+    "corrected_months": f"""WITH {REQUESTS},
+named AS (SELECT merchant_key, category AS label FROM events_out WHERE scope = 'merchant' AND turn < 3
+ QUALIFY row_number() OVER (PARTITION BY merchant_key ORDER BY turn DESC, event_id DESC) = 1),
+own AS (SELECT txn_id AS id, category AS override FROM events_out WHERE scope = 'txn'
+ QUALIFY row_number() OVER (PARTITION BY txn_id ORDER BY turn DESC, event_id DESC) = 1),
+sorted AS (SELECT account_id, strftime(booking_date, '%Y-%m') AS booking_month, amount_cents, coalesce(override, label,
+  CASE WHEN merchant_key LIKE 'VIEW%' THEN 'FoodDelivery' WHEN merchant_key LIKE 'PURCHASE%' THEN 'Groceries' ELSE 'Shopping' END) AS category
+ FROM ev LEFT JOIN named USING (merchant_key) LEFT JOIN own USING (id))
+SELECT account_id, booking_month, category, count(*) AS bookings, CAST(sum(amount_cents) AS BIGINT) AS cents,
+ count(*) FILTER (amount_cents < 0) AS charges, CAST(coalesce(sum(-amount_cents) FILTER (amount_cents < 0), 0) AS BIGINT) AS charged_cents FROM sorted GROUP BY ALL""",
     "single_overrides": f"""WITH {REQUESTS} SELECT request_id || '|txn' AS event_id, actor_id, 'txn' AS scope, txn_id, NULL::VARCHAR AS merchant_key, 'Dates' AS category
 FROM resolved WHERE length(ref) >= 6 AND txn_id IS NOT NULL AND ref IN (SELECT ref FROM found WHERE hits = 1)""",
     "name_lookup": """SELECT event_id, CASE event_type WHEN 'view' THEN ' MISC. ' WHEN 'click' THEN 'coffee/SNACKS' WHEN 'error' THEN 'food delivery'
@@ -709,6 +719,11 @@ SELECT account_id, bill, kind, due, bill || '|' || due || '|' || kind AS period_
     "bill_checklist": f"""WITH {BILLS} SELECT account_id, bill, due, CASE WHEN paid_on IS NOT NULL THEN 'paid' WHEN overdue THEN 'overdue' ELSE 'pending' END AS status,
  paid_on, paid_cents FROM state""",
     "charge_gaps": f"WITH {RECURRING} SELECT account_id, merchant_key, CAST(gap AS INTEGER) AS gap_days, count(*) AS times FROM ch WHERE gap IS NOT NULL GROUP BY ALL",
+    "recurring_kept": f"WITH {RECURRING} SELECT * FROM rec",
+    "charge_maps": f"""WITH {EVENT} SELECT account_id, merchant_key, CAST(date_trunc('month', booking_date) AS DATE) AS month,
+ CAST(coalesce(bit_or(CASE WHEN amount_cents < 0 THEN 1::INTEGER << (day(booking_date) - 1)::INTEGER END), 0) AS INTEGER) AS days, count(*) FILTER (amount_cents < 0) AS charges,
+ CAST(coalesce(sum(-amount_cents) FILTER (amount_cents < 0), 0) AS BIGINT) AS cents,
+ CAST(coalesce(sum(amount_cents * amount_cents) FILTER (amount_cents < 0), 0) AS BIGINT) AS squares, min(booking_date) AS first_seen FROM ev GROUP BY ALL""",
     "recurring_charges": f"WITH {RECURRING} SELECT * FROM rec",
     "recurring_totals": f"WITH {RECURRING} SELECT account_id, count(*) AS merchants, CAST(sum(annualized_cents) AS BIGINT) AS annualized_cents FROM rec GROUP BY ALL",
     # ── stream transformations on tables ──

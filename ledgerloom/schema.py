@@ -21,6 +21,7 @@ MERCHANTS = _schema(
 LABEL_EVENTS = _schema(
     event_id=_S, actor_id=_S, scope=_S, txn_id=_S, merchant_key=_S, category=_S, ts=_TS
 )
+LABEL_LOG = T.StructType([*LABEL_EVENTS.fields, T.StructField("stream_batch", _L)])
 ALERT_LOG = _schema(
     kind=_S, account_id=_S, subject_id=_S, policy=_S, period_key=_S, text=_S, created_at=_TS, stream_batch=_L
 )

@@ -7,7 +7,7 @@ about single files reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.feed import numbered
@@ -25,10 +25,8 @@ ALIASES = {
 DESCRIPTIONS = ("description1", "description2", "description3", "description")
 REQUIRED = ("account", "date", "debit", "credit")
 
-# A cell is quoted, with quotes doubled inside, or plain, up to the next comma; a record ends at a line break
-# outside quotes. Possessive, so long cells need no stack.
+# A cell is quoted, with quotes doubled inside, or plain, up to the next comma. Possessive, so long cells need no stack.
 CELL = r'("(?:[^"]|"")*+"|[^,]*+),'
-RECORD = r'((?:[^"\n]|"(?:[^"]|"")*+")++)'
 
 
 def cells_of(line: Column) -> Column:
@@ -47,13 +45,39 @@ def from_latin1(text: Column) -> Column:
 def _records(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
     """Records as text with their file and order."""
     meta = [F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_path").alias("batch_id")]
+    lines = spark.read.text(path, lineSep="\n" if multi_line else None).select(
+        F.col("value").alias("line"), *meta, F.col("_metadata.file_block_start").alias("block_start"))
     if not multi_line:
-        return numbered(spark.read.text(path).select(
-            F.col("value").alias("line"), *meta, F.col("_metadata.file_block_start").alias("block_start")))
-    files = spark.read.text(path, wholetext=True).select("value", *meta)
-    return files.select(
-        "file_path", "batch_id", F.posexplode(F.regexp_extract_all("value", F.lit(RECORD), F.lit(1))).alias("batch_ord", "line")
-    ).withColumn("batch_ord", F.col("batch_ord").cast("long"))
+        return numbered(lines)
+    return joined_lines(numbered(lines.withColumn("split", F.col("block_start")))).filter(F.rtrim("line") != "")
+
+
+def joined_lines(lines: DataFrame) -> DataFrame:
+    """Records of lines: a line break inside quotes ends none.
+
+    `lines` has line, file_path, batch_id, split (the part of the file that a task has read) and batch_ord. A line lies inside quotes
+    if the number of quotes before it in its file is odd. Quotes are counted for each split, of which a file has few, and then
+    from line to line within a split, so a file of any size is read by many tasks. A record begins at the last line that is not
+    inside quotes, be it in an earlier split. A quote that is never closed makes one record of the rest of the file.
+    """
+    by_split = Window.partitionBy("file_path", "split").orderBy("batch_ord")
+    before_line = by_split.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = by_split.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("file_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    quotes = F.regexp_count("line", F.lit('"'))
+
+    splits = lines.groupBy("file_path", "split").agg(F.sum(quotes).alias("_quotes")).select(
+        "file_path", "split", F.coalesce(F.sum("_quotes").over(earlier), F.lit(0)).alias("_ahead"))
+    inside = (F.col("_ahead") + F.coalesce(F.sum(quotes).over(before_line), F.lit(0))) % 2 == 1
+    marked = lines.join(splits, ["file_path", "split"]).withColumn("_begins", F.when(~inside, F.col("batch_ord")))
+    last = marked.groupBy("file_path", "split").agg(F.max("_begins").alias("_last")).select(
+        "file_path", "split", F.max("_last").over(earlier).alias("_carried"))
+    placed = marked.withColumn("_own", F.max("_begins").over(so_far)).join(last, ["file_path", "split"])
+    record = F.coalesce("_own", "_carried")
+    return placed.groupBy("file_path", "batch_id", record.alias("_record")).agg(
+        F.array_sort(F.collect_list(F.struct("batch_ord", "line"))).alias("_lines")).select(
+            "file_path", "batch_id", F.col("_record").alias("batch_ord"),
+            F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias("line"))
 
 
 def file_profiles(records: DataFrame) -> DataFrame:
@@ -76,8 +100,8 @@ def read_statements(spark: SparkSession, path: str | list[str], multi_line: bool
     """All statement files under `path` as text columns with file and row order.
 
     A file that is not UTF-8 throughout is read as Windows-1252 throughout. A header that lacks a required
-    field fails the read and is shown. Set `multi_line` when quoted fields contain line breaks; each such file is
-    then one row of the scan, so its size is bounded by what a task can hold. Empty files give no rows.
+    field fails the read and is shown. Set `multi_line` when quoted fields contain line breaks (see `joined_lines`); files are
+    split over tasks either way. Empty files give no rows.
     """
     records = _records(spark, path, multi_line)
     profiles = file_profiles(records)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -246,6 +246,33 @@ def label_batch(batch: DataFrame, actors: DataFrame, paths: Paths) -> None:
     write_table(not_stored(once, known, ["event_id"]).select(*known.columns), paths.label_events, "append")
 
 
+def start_bounded_labels(spark: SparkSession, source: str, actors: DataFrame, paths: Paths, delay: str = "7 days",
+                         arrived: Column | None = None) -> StreamingQuery:
+    """`start_labels` without holding each batch against all events stored so far.
+
+    The stream keeps the ids that arrived within `delay` and drops their repeats; a batch writes under its own number, so running it
+    again changes nothing. Time is that of arrival, which never runs back, so an event is not lost however old its own `ts`.
+    A repeat that comes later than the delay is stored once more and changes no reading: `stored_labels` takes the first
+    of each id. `arrived` may name another time that does not run back.
+    """
+    stream = authorized(spark.readStream.schema(schema.LABEL_EVENTS).json(source), actors)
+    timed = stream.withColumn("_arrived", F.current_timestamp() if arrived is None else arrived)
+    once = timed.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(["event_id"]).drop("_arrived")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        write_table(batch.withColumn("stream_batch", F.lit(batch_id).cast("long")), paths.label_log, "overwrite", ["stream_batch"])
+
+    return _run(once, store, paths.checkpoint_label_log)
+
+
+def stored_labels(spark: SparkSession, paths: Paths) -> DataFrame:
+    """The events that `start_bounded_labels` stored, each id once: as it came first."""
+    log = read_table(spark, paths.label_log, schema.LABEL_LOG)
+    order = F.struct("stream_batch", *[c for c in schema.LABEL_EVENTS.fieldNames() if c != "event_id"])
+    first = log.groupBy("event_id").agg(F.min(order).alias("_first"))
+    return first.select(*[F.col(c if c == "event_id" else f"_first.{c}").alias(c) for c in schema.LABEL_EVENTS.fieldNames()])
+
+
 def start_labels(spark: SparkSession, source: str, actors: DataFrame, paths: Paths) -> StreamingQuery:
     stream = spark.readStream.schema(schema.LABEL_EVENTS).json(source)
     return _run(stream, lambda df, _: label_batch(df, actors, paths), paths.checkpoint_labels)

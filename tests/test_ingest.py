@@ -110,6 +110,36 @@ def test_quoted_line_breaks(spark, tmp_path):
     assert rows_of(ingest.map_statements(read), "amount_cents", "status") == [(-100, "ok"), (-1000, "ok")]
 
 
+def test_quoted_line_breaks_over_splits(spark, tmp_path):
+    """Files cut in the middle of quoted fields, against the csv module; no task reads more than a split."""
+    import csv
+    import random
+
+    rng = random.Random(8)
+    pieces = ["A", "B, C", 'say ""so""', "\n", "\r\n", "\n\n", "été", " ", "x" * 50]
+    for name in ("a.csv", "b.csv"):
+        rows = "".join('S1,01/07/26,"' + "".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) + f'",{i + 1}.00,,,Debit\n' for i in range(700))
+        (tmp_path / name).write_text(HEADER + rows, newline="")
+    (tmp_path / "c.csv").write_text(HEADER + 'S1,01/07/26,"' + "long\n" * 9_000 + '",1.00,,,Debit\nS1,01/07/26,LAST,2.00,,,Debit', newline="")
+    want = []
+    for name in ("a.csv", "b.csv", "c.csv"):
+        with open(tmp_path / name, newline="") as file:
+            want += [(name, row[2], row[3]) for row in list(csv.reader(file))[1:]]
+    for limit in ("7000", "134217728"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            read = statements.read_statements(spark, str(tmp_path), multi_line=True)
+            got = read.select(F.substring_index("file_path", "/", -1).alias("f"), F.col("descriptions")[0].alias("d"), "debit", "batch_ord").collect()
+            assert limit != "7000" or statements._records(spark, str(tmp_path), False).rdd.getNumPartitions() > 10
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert sorted((r.f, r.d, r.debit) for r in got) == sorted(want)
+        for name in ("a.csv", "b.csv"):
+            assert [r.debit for r in sorted((r for r in got if r.f == name), key=lambda r: r.batch_ord)] == [f"{i + 1}.00" for i in range(700)]
+
+
 def test_row_order_over_splits(spark, tmp_path):
     lines = "".join(f"S1,01/07/26,SHOP {i:05d},{i + 1}.00,,,Debit\n" for i in range(4_000))
     (tmp_path / "x.csv").write_text(HEADER + lines)

@@ -109,6 +109,41 @@ def test_label_stream(spark, home):
     assert labels.latest_labels(events).first().category == "Travel"
 
 
+def test_label_events_with_bounded_state(spark, home):
+    """Over restarts: each id once, the latest event decides, replays change nothing, and old ids leave the state."""
+    def event(n, actor, category, minute, day=1):
+        return dict(event_id=n, actor_id=actor, scope="merchant", merchant_key="SHOP", category=category, ts=f"2026-07-{day:02d}T09:{minute:02d}:00")
+
+    actors = spark.createDataFrame([("owner",)], "actor_id string")
+
+    def run():
+        query = jobs.start_bounded_labels(spark, str(home[1]), actors, home[0], "1 day", F.col("ts"))
+        query.awaitTermination()
+        return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+    drop(home[1], "a.json", [event("1", "owner", "Gifts", 1), event("1", "owner", "Gifts", 1), event("2", "guest", "Cash", 5)])
+    run()
+    drop(home[1], "b.json", [event("1", "owner", "Fees", 9), event("3", "owner", "Travel", 4)])
+    run()
+    raw = read_table(spark, home[0].label_log, schema.LABEL_LOG)
+    assert rows_of(raw, "event_id") == [("1",), ("3",)]
+    batch = spark.createDataFrame(raw.filter("event_id = '3'").collect(), raw.schema)
+    for _ in range(2):  # the last batch once more, after a crash
+        jobs.write_table(batch, home[0].label_log, "overwrite", ["stream_batch"])
+    events = jobs.stored_labels(spark, home[0])
+    assert rows_of(events, "event_id", "category") == [("1", "Gifts"), ("3", "Travel")]
+    assert labels.latest_labels(events).first().category == "Travel"
+    sizes = []
+    for day in range(4, 16, 2):
+        drop(home[1], f"d{day}.json", [event(f"{day}-{i}", "owner", "Cash", i, day) for i in range(20)])
+        sizes += run()
+    assert max(sizes) <= 60 and jobs.stored_labels(spark, home[0]).count() == 2 + 6 * 20
+    drop(home[1], "z.json", [event("15-late", "owner", "Rent", 1, 15), event("14-3", "owner", "Rent", 59, 15)])
+    run()
+    events = jobs.stored_labels(spark, home[0])
+    assert events.filter("event_id = '14-3'").first().category == "Cash" and events.count() == 2 + 6 * 20 + 1
+
+
 def test_stream_windows_equal_the_batch_form(spark, tmp_path):
     rows = [("u", datetime(2026, 7, d, 12), -100 * d, "Other", f"i{d}") for d in range(1, 11)]
     df = spark.createDataFrame(rows, "account_id string, booking_ts timestamp, amount_cents long, category string, id string")
