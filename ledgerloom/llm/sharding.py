@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import saved, work_folder
+from ledgerloom.llm.shared import row_of, saved, work_folder
 
 HASH_BITS = 60
 ROUND_BITS = 12
@@ -45,8 +45,8 @@ def _cut(depth: Column, known: int) -> list[Column]:
 def _round(alive: DataFrame, depth: int, limit: int) -> DataFrame:
     """For every prefix ROUND_BITS deeper: depth, bytes and rows of its shard; nulls where it is still too large."""
     deep = depth + ROUND_BITS
-    leaves = saved(alive.select(*_prefix(deep), "n_bytes").groupBy(*KEYS)
-                   .agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_docs")), "prefixes")
+    leaves = saved(alive.select(*_prefix(deep), "n_bytes", "n_docs").groupBy(*KEYS)
+                   .agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_docs").alias("n_docs")), "prefixes")
     depths = F.sequence(F.lit(0 if depth == 0 else depth + 1), F.lit(deep))
     laid = leaves.select("*", F.explode(depths).alias("depth")).select("*", *_cut(F.col("depth"), deep))
     sizes = laid.groupBy("depth", "q1", "q2").agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n_docs").alias("shard_docs"))
@@ -68,7 +68,7 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, place: str | None =
     rows = saved(docs.select(
         (F.col(place) if place else F.monotonically_increasing_id()).alias("row_no"), "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        content_bits(F.col("doc_id"), F.col("text")).alias("h1")), "addresses")
+        content_bits(F.col("doc_id"), F.col("text")).alias("h1"), F.lit(1).cast("long").alias("n_docs")), "addresses")
     rows = rows.withColumn("h2", F.shiftrightunsigned(F.xxhash64("row_no"), 64 - HASH_BITS))
     alive, depth, done = rows, 0, []
     while depth + ROUND_BITS <= 2 * HASH_BITS:
@@ -86,16 +86,48 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, place: str | None =
         F.col("shard.shard_docs").alias("shard_docs"))
 
 
+def _directories(alive: DataFrame, first: int, last: int, limit: int) -> tuple[list[tuple[int, DataFrame]], DataFrame | None]:
+    """The directory of every round between two depths, and the addresses whose shard is too large even then."""
+    found, depth = [], first
+    while depth + ROUND_BITS <= last:
+        directory = _round(alive, depth, limit)
+        depth += ROUND_BITS
+        found.append((depth, directory.withColumnRenamed("shard", f"shard{depth}")))
+        oversized = directory.filter("shard IS NULL")
+        if oversized.isEmpty():
+            return found, None
+        alive = saved(alive.select("*", *_prefix(depth)).join(oversized.select(*KEYS), KEYS).drop(*KEYS), "oversized")
+    return found, alive
+
+
+def _placed(rows: DataFrame, directories: list[tuple[int, DataFrame]]) -> DataFrame:
+    """Add `shard`, the bits of the shard of every row. A directory has a row for a prefix and is joined by Spark's size check."""
+    for depth, directory in directories:
+        rows = rows.select("*", *_prefix(depth)).join(directory, KEYS, "left").drop(*KEYS)
+    depth = F.coalesce(*[F.col(f"shard{d}.depth") for d, _ in directories]) if directories else F.lit(0)
+    bits = F.concat(*(F.lpad(F.bin(h), HASH_BITS, "0") for h in ("h1", "h2")))
+    return rows.withColumn("shard", F.substring(bits, F.lit(1), depth))
+
+
 def write_shards(docs: DataFrame, folder: str, limit: int = SHARD_BYTES) -> None:
     """Write the documents as one folder of Parquet files per shard. Extra columns are kept, but for one named shard.
 
-    Shards are those of `assign_shards`, whatever the partitions of the table.
+    Shards are those of `assign_shards`, whatever the partitions of the table. Addresses are counted without the texts; the
+    texts are then read once more and shuffled once, by shard. Only rows whose equals in id and text fill
+    more than a shard are numbered, for which they are written in between.
     """
-    fields = [c for c in docs.columns if c != "shard"]
-    kept = saved(docs.select(F.struct(*fields).alias("doc"), F.monotonically_increasing_id().alias("row_no")), "documents")
-    shards = assign_shards(kept.select("row_no", "doc.doc_id", "doc.text"), limit, "row_no")
-    joined = kept.join(shards.select("row_no", F.concat(F.lit("s"), "shard").alias("shard")), "row_no")
-    joined.select("doc.*", "shard").repartition("shard").write.partitionBy("shard").parquet(folder)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    kept = docs.select(row_of(docs.drop("shard")).alias("doc"), size, content_bits(F.col("doc_id"), F.col("text")).alias("h1"),
+                       F.lit(0).cast("long").alias("h2"))
+    addresses = saved(kept.groupBy("h1", "h2").agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_docs")), "addresses")
+    directories, repeated = _directories(addresses, 0, HASH_BITS, limit)
+    rows = _placed(kept, directories).filter("shard IS NOT NULL")
+    if repeated is not None:
+        equal = saved(kept.join(repeated.select("h1"), "h1", "left_semi").withColumn("row_no", F.monotonically_increasing_id()), "repeated") \
+            .withColumn("h2", F.shiftrightunsigned(F.xxhash64("row_no"), 64 - HASH_BITS))
+        more, _ = _directories(equal.select("h1", "h2", "n_bytes", F.lit(1).cast("long").alias("n_docs")), HASH_BITS, 2 * HASH_BITS, limit)
+        rows = rows.select("doc", "shard").unionByName(_placed(equal, more).select("doc", "shard"))
+    rows.select("doc.*", F.concat(F.lit("s"), "shard").alias("shard")).repartition("shard").write.partitionBy("shard").parquet(folder)
 
 
 def written_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:

@@ -10,7 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 21
@@ -55,6 +55,11 @@ def numbered(docs: DataFrame, columns: list[str], row: str = "row_no") -> DataFr
     return docs.select(F.monotonically_increasing_id().alias(row), *[F.col(c) for c in columns])
 
 
+def row_of(docs: DataFrame) -> Column:
+    """All columns of a table as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + name.replace("`", "``") + "`") for name in docs.columns])
+
+
 def in_tasks(function: Callable, *args) -> Callable:
     """A function of a batch iterator that imports `function` where it runs and calls it with `args`.
 

@@ -4,6 +4,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 from llm_cases import counted, documents, empty_like
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import linerun, sharding
 
@@ -110,6 +111,17 @@ def test_written_shards_are_the_assigned_ones_whatever_the_partitions(spark, tmp
         assert {(r.doc_id, r.shard[1:]) for r in spark.read.parquet(folder).collect()} == want
 
 
+def test_a_third_of_all_rows_equal_and_odd_column_names(spark, tmp_path):
+    rows = [(i % 200 if i % 3 else None, f"text {i} " + "y" * (i % 90) if i % 3 else "x" * 100, i, "s") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, shard string").repartition(3)
+    sharding.write_shards(docs, str(tmp_path / "shards"), 2_000)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert counted(back.select("doc_id", "text", "`a.b`").collect()) == counted(docs.select("doc_id", "text", "`a.b`").collect())
+    sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n"), F.max(F.length("shard")).alias("depth")).collect()
+    assert max(r.n for r in sizes) <= 2_000 and max(r.depth for r in sizes) > sharding.HASH_BITS
+    sharding.write_shards(empty_like(docs), str(tmp_path / "none"), 2_000)
+
+
 def test_the_sharding_query_reports_files(spark):
     from ledgerloom.llm.queries import op3_sharding
 
