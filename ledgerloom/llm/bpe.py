@@ -27,11 +27,11 @@ from ledgerloom.llm.shared import chunked, in_tasks, list_array, text_buffer
 # The pattern of byte-level pre-tokenizers of this family.
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
-CACHED_PIECES = 1_000_000
+CACHED_PIECES = 250_000
 CACHED_FRAGMENTS = 50_000
 NAIVE_BYTES = 48
 DECODED_ROWS = 256
-ENCODED_BYTES = 1 << 20
+ENCODED_BYTES = 1 << 19
 
 
 def byte_letters() -> dict[str, int]:
@@ -339,7 +339,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def piece_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """A hash of the bytes of every piece, from one running sum over the chunk."""
-    ahead, back = _powers(max(20, len(data).bit_length()))
+    ahead, back = _powers(max(19, len(data).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(SPREAD[data] * ahead[: len(data)], out=sums[1:])
     return mixed((sums[stops] - sums[starts]) * back[starts] + (stops - starts).astype(np.uint64))
@@ -426,10 +426,21 @@ def ids_text(ids: Column) -> Column:
     return F.concat_ws(",", ids.cast("array<string>"))
 
 
+def _round_trips(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encoder, decoder = _encoder(path), _decoder(path)
+    for piece in chunked(batches, "text", ENCODED_BYTES):
+        values, bounds = encoder.encode(*text_buffer(piece.column("text")))
+        texts = pa.array(decoder.decode(values.astype(np.int64), bounds), pa.string())
+        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), list_array(values.astype(np.int32), bounds), texts], ["doc_id", "ids", "decoded"])
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Encode and decode every text; return digests of the ids and of the decoded text by document."""
-    slim = encode(docs.select("doc_id", "text"), path).select("doc_id", "ids")
-    return decode(slim, path).select(
+    """Encode and decode every text; return digests of the ids and of the decoded text by document.
+
+    Both steps are one visit to Python, as `encode` and `decode` would do one after the other.
+    """
+    schema = StructType([docs.schema["doc_id"]]).add("ids", ArrayType(IntegerType())).add("decoded", StringType())
+    return docs.select("doc_id", "text").mapInArrow(in_tasks(_round_trips, path), schema).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(ids_text(F.col("ids")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

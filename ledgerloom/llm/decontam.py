@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import chunked, in_tasks, numbered, saved, text_buffer
+from ledgerloom.llm.shared import chunked, in_tasks, numbered, row_of, saved, text_buffer
 
 SPAN = 13
 GRAM = 5
@@ -237,7 +237,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, with their own columns, that are not contaminated."""
-    kept = saved(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*docs.columns).alias("doc")), "documents")
+    kept = saved(docs.select(F.monotonically_increasing_id().alias("row_no"), row_of(docs).alias("doc")), "documents")
     counts, spans = hit_spans(kept.select("row_no", "doc.doc_id", "doc.text"), benchmark)
     bad = counts.join(covered(spans), "row_no").filter(_verdict(F.col("n_hit"))).select("row_no")
     return kept.join(bad, "row_no", "left_anti").select("doc.*")

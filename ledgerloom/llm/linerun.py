@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import saved
+from ledgerloom.llm.shared import row_of, saved
 
 GRAM = 2
 WINDOW = 2
@@ -77,7 +77,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     without an id comes after all others. A text that repeats another as a whole becomes empty if it has RUN lines or more.
     """
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = saved(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*docs.columns).alias("doc"),
+    kept = saved(docs.select(F.monotonically_increasing_id().alias("row_no"), row_of(docs).alias("doc"),
                              fingerprints(lines).alias("runs")), "lines")
     deleted = repeated_lines(kept.select("row_no", F.col("doc.doc_id").alias("doc_id"), "runs"))
     joined = kept.select("row_no", "doc").join(deleted, "row_no", "left")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.buckets import bucket_links
 from ledgerloom.llm.components import components
-from ledgerloom.llm.shared import chunked, in_tasks, numbered, saved, text_buffer
+from ledgerloom.llm.shared import chunked, in_tasks, numbered, row_of, saved, text_buffer
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -151,7 +151,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     First is the smallest doc_id, rows without an id last and rows that share an id by their place. All texts
     without words are one group.
     """
-    kept = saved(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*docs.columns).alias("doc")), "documents")
+    kept = saved(docs.select(F.monotonically_increasing_id().alias("row_no"), row_of(docs).alias("doc")), "documents")
     rows = saved(fingerprints(kept.select("row_no", "doc.doc_id", "doc.text")), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")
     stay = print_components(rows, place).select(F.col("lowest.row_no").alias("row_no")).distinct()
