@@ -21,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without runs of lines that occur earlier (operator 6); n_chars follows the text."""
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return linerun.without_repeats(docs).withColumn("n_chars", n_chars).select(*docs.columns)
+    return linerun.without_repeats(docs).withColumn("n_chars", n_chars).select(
+        *[f"`{name}`" for name in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
