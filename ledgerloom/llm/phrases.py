@@ -22,6 +22,8 @@ from ledgerloom.llm.shared import chunked, in_tasks, list_array, saved
 MIN_COUNT = 30
 TOP = 2000
 ABSORBED_PERCENT = 80
+#: A language's phrases are ranked in so many parts first, so that its one last ranking is of bounded size.
+RANKED_PARTS = 64
 #: Counters that a task holds before it hands its filter on, and that a merged cut may expect.
 FILTER_ENTRIES = 1 << 20
 BLOCK_BYTES, HELD_BYTES = 1 << 21, 1 << 23
@@ -413,7 +415,9 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = MIN_COUNT, entrie
     langs = vocabulary.select(F.col("id").alias("_id"), "lang")
     ranked = scored(phrases, vocabulary).join(not_absorbed(phrases), ["hi", "lo"]).withColumn("_id", _word(1)).join(langs, "_id").drop("_id")
     order = [F.col("score").desc(), F.col("a").desc()]
-    near = ranked.withColumn("_rank", F.rank().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("_rank") <= top)
+    near = ranked.withColumn("_part", F.pmod(F.xxhash64("hi", "lo"), F.lit(RANKED_PARTS)))
+    for by in (["lang", "_part"], ["lang"]):
+        near = near.withColumn("_rank", F.rank().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rank") <= top)
     for place in (1, 2, 3, 4):
         words = vocabulary.select(F.col("id").alias(f"_id{place}"), F.col("word").alias(f"_word{place}"))
         near = near.withColumn(f"_id{place}", _word(place)).join(words, f"_id{place}", "left" if place > 2 else "inner")
