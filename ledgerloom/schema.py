@@ -28,6 +28,7 @@ ALERT_LOG = _schema(
 POLICY_SUMS = _schema(
     account_id=_S, ord=_L, month=_D, booking_date=_D, batch_id=_S, cents=_L, charges=_L, booking_month=_S, stream_batch=_L
 )
+STORED_IDS = _schema(id=_S, stream_batch=_L, slot=_I)
 PAYDAY_OVERRIDE = _schema(account_id=_S, cycle_month=_D, actual_date=_D, ts=_TS)
 SOURCE_CURSOR = _schema(account_id=_S, high_water=_D, coverage_start=_D)
 CURSOR_LOG = _schema(account_id=_S, high_water=_D, coverage_start=_D, stream_batch=_L)

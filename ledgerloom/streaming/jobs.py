@@ -29,6 +29,7 @@ from ledgerloom.operators.progress import TOTALS, alerts_from_state, progress_su
 from ledgerloom.operators.spend import KEYS
 from ledgerloom.plans.shapes import first_per_key, not_stored
 from ledgerloom.sources.feed import numbered, stream_feed
+from ledgerloom.sources.idstore import unstored, write_ids
 from ledgerloom.sources.statements import read_statements
 from ledgerloom.sources.tables import keep, read_table, write_table
 
@@ -63,15 +64,25 @@ def _log_cursor(rows: DataFrame, batch_id: int, paths: Paths) -> None:
 
 
 def ingest_batch(batch: DataFrame, paths: Paths, currency: str = "EUR",
-                 names: NameRules = DEFAULT_NAME_RULES, batch_id: int = 0) -> None:
-    """Map, check, number, dedupe and store one micro-batch; bad rows go to quarantine, the cursor moves on."""
+                 names: NameRules = DEFAULT_NAME_RULES, batch_id: int = 0, id_slots: int | None = None) -> None:
+    """Map, check, number, dedupe and store one micro-batch; bad rows go to quarantine, the cursor moves on.
+
+    With `id_slots` stored ids are kept in so many slots of their hash (`sources.idstore`), and a batch reads those it
+    asks for instead of the ids of the ledger. The store must then have been kept from the first batch on.
+    """
     spark = batch.sparkSession
     mapped = checked(map_feed(batch, currency), currency).persist()
     good = to_ledger(assign_ids(accepted(mapped)), F.current_timestamp(), names).persist()
     try:
         good.count()  # so that Spark knows how little a batch asks of the ledger
         stored = read_table(spark, paths.ledger, schema.LEDGER)
-        write_table(append_new(stored, good), paths.ledger, "append", ["booking_month"])
+        if id_slots is None:
+            write_table(append_new(stored, good), paths.ledger, "append", ["booking_month"])
+        else:
+            fresh = first_per_key(good, ["id"], [F.col("batch_id"), F.col("batch_ord")])
+            new = keep(unstored(fresh, paths.ids, stored, batch_id, id_slots), "fresh", paths.work)
+            write_ids(new, paths.ids, batch_id, id_slots)
+            write_table(new, paths.ledger, "append", ["booking_month"])
         held = read_table(spark, paths.quarantine, schema.QUARANTINE)
         bad = quarantine(rejected(mapped), held, seen_at=F.current_timestamp())
         write_table(bad, paths.quarantine, "append")
@@ -89,12 +100,12 @@ def _run(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint:
 
 
 def start_ingest(spark: SparkSession, source: str, paths: Paths, currency: str = "EUR",
-                 names: NameRules = DEFAULT_NAME_RULES) -> StreamingQuery:
+                 names: NameRules = DEFAULT_NAME_RULES, id_slots: int | None = None) -> StreamingQuery:
     """Ingest the files that arrived since the last run.
 
     A file is never split over micro-batches, so numbering repeats per file is stable over replays.
     """
-    return _run(stream_feed(spark, source), lambda df, n: ingest_batch(numbered(df), paths, currency, names, n),
+    return _run(stream_feed(spark, source), lambda df, n: ingest_batch(numbered(df), paths, currency, names, n, id_slots),
                 paths.checkpoint_ingest)
 
 
