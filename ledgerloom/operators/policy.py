@@ -84,7 +84,7 @@ def matched_months(ledger: DataFrame, policies: list[Policy] | DataFrame, keys:
 
 def policy_progress(ledger: DataFrame, policies: list[Policy] | DataFrame, keys: list[str] = KEYS,
                     threshold: int = INFLOW_EXCLUDE_CENTS, block_rows: int = BLOCK_ROWS,
-                    hot_rows: int = HOT_ROWS, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
+                    hot_rows: int | None = HOT_ROWS, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
     """Month-to-date net spend and charge number of every matching row, the row included.
 
     Order is booking date, then insertion. The month of a very busy account is cut by day, batch and
@@ -103,7 +103,7 @@ def policy_progress(ledger: DataFrame, policies: list[Policy] | DataFrame, keys:
 def policy_alerts(ledger: DataFrame, policies: list[Policy] | DataFrame, as_of: date | None = None,
                   new_ids: DataFrame | None = None, keys: list[str] = KEYS,
                   threshold: int = INFLOW_EXCLUDE_CENTS, block_rows: int = BLOCK_ROWS,
-                  hot_rows: int = HOT_ROWS, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
+                  hot_rows: int | None = HOT_ROWS, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
     """New outflows whose first matching policy is over its cap at that point of the month.
 
     The first match alone decides; a later policy never fires for the row, though its running total

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from ledgerloom.operators import categorize as cat
 from ledgerloom.operators import cycle, ingest, labels, merchants, patterns, policy, progress, recon, recurring, rhythm, scan, spend
 from ledgerloom.plans import refresh
 from ledgerloom.sources import star
+from ledgerloom.sources.tables import keep_bucketed
 from ledgerloom.streaming import windows
 
 AS_OF = date(2001, 6, 30)
@@ -625,6 +627,20 @@ def policy_progress(spark, sf):
         "batch_ord", "account_id", "ord", "mtd_cents", "charge_number")
 
 
+def _bucketed_events(spark, sf):
+    return keep_bucketed(star.event_ledger(spark, sf), "events", tempfile.gettempdir(), ["account_id"], 8)
+
+
+def bucketed_progress(spark, sf):
+    """The running totals of `policy_progress` over a copy in buckets by account."""
+    return policy.policy_progress(_bucketed_events(spark, sf), POLICIES, threshold=1_000, hot_rows=None).select(
+        "batch_ord", "account_id", "ord", "mtd_cents", "charge_number")
+
+
+def bucketed_recurring(spark, sf):
+    return recurring.detect_recurring(_bucketed_events(spark, sf), EVENTS_AS_OF, EVENT_LIMITS)
+
+
 def policy_progress_hot(spark, sf):
     """The running totals of `policy_progress` with every group cut, and rows without an account or a batch."""
     rows = star.event_ledger(spark, sf).withColumns({
@@ -850,7 +866,7 @@ QUERIES = {
         held_inflows, month_over_month, month_surplus, surplus_target, bucket_breakdown, weekly_digest, top_movers,
         top_spends, latest_in_category, reconciliation, reconciliation_whole, gate_verdict, budget_baseline,
         payday_months, payday_calendar, pay_cycles, cycle_spend, safe_to_spend, account_status,
-        account_status_whole, weekly_plan, policy_matches, policy_progress, policy_progress_hot, policy_alerts, policy_alerts_whole,
+        account_status_whole, weekly_plan, policy_matches, policy_progress, policy_progress_hot, bucketed_progress, bucketed_recurring, policy_alerts, policy_alerts_whole,
         own_policy_matches, own_policy_alerts, kept_alerts, kept_sums, own_bill_states, own_bill_alerts,
         alerts_unsent, rows_since_mark, current_dues, bill_matches, bill_alerts, bill_alerts_unsent, bill_checklist, charge_gaps,
         recurring_charges, recurring_totals, recurring_kept, charge_maps, daily_windows, weekly_windows, deduped_events, emitted_once,

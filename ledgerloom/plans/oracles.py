@@ -674,6 +674,7 @@ SELECT *, ord = min(ord) OVER (PARTITION BY batch_ord) AS is_first FROM h""",
     "policy_progress_hot": f"""WITH {POLICIES.replace("pol AS (", "ev2 AS (SELECT * REPLACE (CASE WHEN batch_ord % 3 <> 0 THEN account_id END AS account_id), batch_ord % 2 = 0 AS batched FROM ev), pol AS (", 1).replace("FROM ev ", "FROM ev2 ", 1).replace("month FROM ev", "month FROM ev2", 1)},
 {progress().replace("ORDER BY booking_date, batch_ord", "ORDER BY booking_date, batched, batch_ord")}
 SELECT batch_ord, account_id, ord, mtd_cents, charge_number FROM prog""",
+    "bucketed_progress": f"WITH {POLICIES}, {progress()} SELECT batch_ord, account_id, ord, mtd_cents, charge_number FROM prog",
     "policy_progress": f"WITH {POLICIES}, {progress()} SELECT batch_ord, account_id, ord, mtd_cents, charge_number FROM prog",
     "policy_alerts": f"""WITH {POLICIES}, {progress()} SELECT id, account_id, booking_date, strftime(month, '%Y-%m') AS month, policy, CAST(cap_cents AS BIGINT) AS cap_cents,
  amount_cents, mtd_cents, charge_number, merchant_raw || ': ' || {EUR.format("(-amount_cents)")} || ', ' || {ORDINAL.format("charge_number")} || ' charge this month. '
@@ -719,6 +720,7 @@ SELECT account_id, bill, kind, due, bill || '|' || due || '|' || kind AS period_
     "bill_checklist": f"""WITH {BILLS} SELECT account_id, bill, due, CASE WHEN paid_on IS NOT NULL THEN 'paid' WHEN overdue THEN 'overdue' ELSE 'pending' END AS status,
  paid_on, paid_cents FROM state""",
     "charge_gaps": f"WITH {RECURRING} SELECT account_id, merchant_key, CAST(gap AS INTEGER) AS gap_days, count(*) AS times FROM ch WHERE gap IS NOT NULL GROUP BY ALL",
+    "bucketed_recurring": f"WITH {RECURRING} SELECT * FROM rec",
     "recurring_kept": f"WITH {RECURRING} SELECT * FROM rec",
     "charge_maps": f"""WITH {EVENT} SELECT account_id, merchant_key, CAST(date_trunc('month', booking_date) AS DATE) AS month,
  CAST(coalesce(bit_or(CASE WHEN amount_cents < 0 THEN 1::INTEGER << (day(booking_date) - 1)::INTEGER END), 0) AS INTEGER) AS days, count(*) FILTER (amount_cents < 0) AS charges,

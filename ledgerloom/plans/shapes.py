@@ -22,7 +22,7 @@ def block_of(position: Column, rows: int = BLOCK_ROWS) -> Column:
 
 
 def running_totals(df: DataFrame, by: list[str], block: list[str], order: list[str],
-                   totals: Mapping[str, Column], hot_rows: int = HOT_ROWS) -> DataFrame:
+                   totals: Mapping[str, Column], hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Running sums inside `by`, row included, without sending a hot group to one task.
 
     Groups are hashed to a fixed number of slots and the rows per slot counted, mostly map-side. That
@@ -32,8 +32,12 @@ def running_totals(df: DataFrame, by: list[str], block: list[str], order: list[s
     window of its own, and the sums of the pieces before it, one aggregated row per piece, are joined
     back on the partitioning the rows already have. Without hot groups that side is empty and the
     adaptive planner drops the join. Nulls in `by` and `block` are values like any other: they group, sort
-    first and are joined null-safe.
+    first and are joined null-safe. With `hot_rows` None no group is cut, as for a table whose buckets hold whole groups
+    already: it is then one window, for which such a table needs no exchange.
     """
+    if hot_rows is None:
+        whole = Window.partitionBy(*by).orderBy(*block, *order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(value).over(whole).alias(name) for name, value in totals.items()])
     slotted = df.withColumn("_slot", F.pmod(F.xxhash64(*by), F.lit(SLOTS)))
     hot = (
         slotted.groupBy("_slot").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)

@@ -48,3 +48,16 @@ def keep(df: DataFrame, name: str, fallback: str | Path) -> DataFrame:
     path = f"{shared_folder(df.sparkSession, fallback)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_bucketed(df: DataFrame, name: str, fallback: str | Path, keys: list[str], buckets: int) -> DataFrame:
+    """A written table in hash buckets of its keys, sorted by key and day within them.
+
+    Aggregations, windows and joins whose keys begin with these need no exchange of its rows: all rows of an account lie in one
+    bucket. A bucket is one task, so it serves where no account alone is too large for one. Joins on more columns than the
+    keys go without an exchange if spark.sql.requireAllClusterKeysForCoPartition is false.
+    """
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession, fallback)}/{table}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys, "booking_date").option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
