@@ -4,7 +4,8 @@ The lines of a text that are not blank form a sequence. GRAM neighbouring lines
 WINDOW neighbouring hashes the smallest is kept as a fingerprint, and every run of RUN = GRAM + WINDOW - 1 lines
 so holds one. Fingerprints met at one place only are dropped; around the others the runs are laid open to
 both sides and compared. A run that occurs earlier, by doc_id and then by line, is deleted where it occurs
-later; longer repeats are deleted whole because their runs overlap.
+later; longer repeats are deleted whole because their runs overlap. A line of LONG_WORDS words or more is a run by
+itself: its own hash is its fingerprint. So every repeat of RUN lines goes, however short, and every long line, however few.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from ledgerloom.llm.shared import row_of, saved
 GRAM = 2
 WINDOW = 2
 RUN = GRAM + WINDOW - 1
+LONG_WORDS = 20
 BLANKS = " \t\r"
 
 
@@ -40,13 +42,20 @@ def fingerprints(lines: Column) -> Column:
     """
     marked = F.filter(F.transform(lines, lambda line, i: F.struct(
         i.alias("line"), F.trim(line, F.lit(BLANKS)).alias("text"))), lambda x: x["text"] != "")
-    hashed = F.transform(marked, lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["text"]).alias("h")))
+    hashed = F.transform(marked, lambda x: F.struct(
+        x["line"].alias("line"), F.xxhash64(x["text"]).alias("h"),
+        (F.regexp_count(x["text"], F.lit(f"[^{BLANKS}]+")) >= LONG_WORDS).alias("long")))
+
+    def long_lines(seq: Column) -> Column:
+        return F.transform(F.filter(seq, lambda x: x["long"]), lambda x: F.struct(
+            F.xxhash64(x["h"], F.lit(2)).alias("fp"), x["line"].cast("long").alias("at"), x["h"].alias("content"),
+            F.array(x["line"]).alias("lines")))
 
     def runs(seq: Column, hashes: Column, grams: Column) -> Column:
-        return F.transform(_starts(hashes, RUN), lambda i: once(F.slice(grams, i, WINDOW), lambda window: F.struct(
+        return F.concat(long_lines(seq), F.transform(_starts(hashes, RUN), lambda i: once(F.slice(grams, i, WINDOW), lambda window: F.struct(
             F.array_min(window).alias("fp"), (i + F.array_position(window, F.array_min(window)) - 1).alias("at"),
             F.xxhash64(F.slice(hashes, i, RUN), F.lit(1)).alias("content"),
-            F.transform(F.slice(seq, i, RUN), lambda x: x["line"]).alias("lines"))))
+            F.transform(F.slice(seq, i, RUN), lambda x: x["line"]).alias("lines")))))
 
     def grams_of(hashes: Column) -> Column:
         return F.transform(_starts(hashes, GRAM), lambda i: F.xxhash64(F.slice(hashes, i, GRAM)))
@@ -74,7 +83,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     Adds n_lines and n_removed. Blank lines neither match nor are deleted. Null stays null (no lines), empty
     stays empty (one blank line). Rows that share an id are told apart by their place in the table; a row
-    without an id comes after all others. A text that repeats another as a whole becomes empty if it has RUN lines or more.
+    without an id comes after all others. A text that repeats another as a whole becomes empty if it has RUN lines or more, or only long ones.
     """
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     kept = saved(docs.select(F.monotonically_increasing_id().alias("row_no"), row_of(docs).alias("doc"),
@@ -105,12 +114,14 @@ ORACLE = f"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i, text IS NULL AS missing FROM documents),
 seq AS (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(13)) AS norm,
-  row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM lines WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+  len(regexp_extract_all(line, '[^ \\t\\r]+')) >= {LONG_WORDS} AS long, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM lines WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
 runs AS (SELECT doc_id, s, norm || chr(10) || lead(norm, 1) OVER d || chr(10) || lead(norm, {RUN - 1}) OVER d AS content
   FROM seq WINDOW d AS (PARTITION BY doc_id ORDER BY s)),
 later AS (SELECT doc_id, s, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS place FROM runs
   WHERE content IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, s + k AS s FROM later, generate_series(0, {RUN - 1}) g(k) WHERE place > 1),
+long_later AS (SELECT doc_id, s, row_number() OVER (PARTITION BY norm ORDER BY doc_id, s) AS place FROM seq WHERE long),
+gone AS (SELECT doc_id, s + k AS s FROM later, generate_series(0, {RUN - 1}) g(k) WHERE place > 1
+ UNION SELECT doc_id, s FROM long_later WHERE place > 1),
 deleted AS (SELECT doc_id, i FROM gone JOIN seq USING (doc_id, s))
 SELECT l.doc_id, CASE WHEN bool_or(missing) THEN 0 ELSE count(*) END AS n_lines, count(d.i) AS n_removed,
  sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (d.i IS NULL), '')) AS text_sha256

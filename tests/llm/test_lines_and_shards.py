@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import defaultdict
 
 import duckdb
@@ -10,7 +11,7 @@ from ledgerloom.llm import linerun, sharding
 
 
 def brute_lines(rows):
-    """The definition: a line goes if it lies in RUN lines that occur before, in order of doc_id and line."""
+    """The definition: a line goes if it, or RUN lines that it lies in, occur before, in order of doc_id and line; alone only if long."""
     seen, gone = set(), defaultdict(set)
     order = sorted(range(len(rows)), key=lambda i: (rows[i].doc_id is None, rows[i].doc_id or 0, i))
     for i in order:
@@ -21,6 +22,12 @@ def brute_lines(rows):
             if run in seen:
                 gone[i].update(kept[s:s + linerun.RUN])
             seen.add(run)
+        for n in kept:
+            line = lines[n].strip(" \t\r")
+            if len(re.findall("[^ \t\r]+", line)) >= linerun.LONG_WORDS:
+                if line in seen:
+                    gone[i].add(n)
+                seen.add(line)
     for i, r in enumerate(rows):
         lines = (r.text or "").split("\n")
         left = "\n".join(line for n, line in enumerate(lines) if n not in gone[i])
@@ -33,6 +40,8 @@ def lined(spark):
     block = "first line\nsecond line \n\n third line\nfourth line"
     rows = [(50, "a\nb\n" + block + "\nc"), (51, block), (52, "second line\nthird line\nfourth line\nz"), (53, "first line\nsecond line"),
             (54, "q\r\n" + block.replace("\n", "\r\n")), (None, block + "\nown"), (49, "third line\nfourth line\n\n"), (55, "\n\n\n\n")]
+    long = "  " + "long words " * 25 + "\r"
+    rows += [(60, "own\n" + long), (61, long + "\nother\n" + "long  words " * 25), (62, long + "\n" + long), (63, "few words " * 9 + "x"), (64, "few words " * 9 + "x")]
     extra = spark.createDataFrame([(i, t, "en", "s", 0, "r", "d", 1, "z") for i, t in rows], documents(spark).schema)
     return documents(spark).unionByName(extra)
 
