@@ -87,7 +87,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
     Of texts that are equal without white space, the row with the most code points stays, then the one with the smallest
     doc_id (a row without an id after all others). Null counts as empty, and all empty texts are one group. Of rows
-    that repeat an id and a text exactly, one stays.
+    that repeat an id and a text exactly, one stays. doc_id is a long; other columns are not read, whatever their names. A text
+    is sorted and compared whole, whatever its length.
     """
     runs = sorted_runs(docs)
     first = F.row_number().over(Window.partitionBy("part", "run").orderBy(F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last()))
@@ -95,14 +96,16 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     sizes = saved(placed.groupBy("part", "run").agg(
         F.count("*").alias("size"), F.first(F.when(F.col("place") == 1, F.struct("doc_id")), ignorenulls=True).alias("best")),
         "groups")
-    # One row per range and end, however many documents there are.
+    # One row of three numbers per range comes together in one task; the texts at the borders meet two by two.
     borders = runs.filter("border is not null")
-    ends = borders.groupBy("part").agg(F.min_by("border", "run").alias("head"), F.max_by("border", "run").alias("tail"),
-                                       F.max("run").alias("last"))
+    ends = borders.groupBy("part").agg(F.min_by("border", "run").alias("head"), F.max_by("border", "run").alias("tail"))
     order = Window.orderBy("part")
-    starts = ends.select(
-        "part", (F.lag("tail").over(order) == F.col("head")).alias("joined"), (F.lag("last").over(order) == 0).alias("whole"),
-        F.lag(F.struct("part", F.col("last").alias("run"))).over(order).alias("before"))
+    ranges = saved(borders.groupBy("part").agg(F.max("run").alias("last")).select(
+        "part", F.lag("part").over(order).alias("earlier"), F.lag("last").over(order).alias("run")), "ranges")
+    met = ranges.join(ends.select("part", "head"), "part").join(ends.select(F.col("part").alias("earlier"), "tail"), "earlier") \
+        .select("part", (F.col("head") == F.col("tail")).alias("joined"))
+    starts = ranges.join(met, "part", "left").select(
+        "part", "joined", (F.col("run") == 0).alias("whole"), F.struct(F.col("earlier").alias("part"), "run").alias("before"))
     # A range that is one single run passes on the origin of its own start.
     own = F.struct("part", F.lit(0).cast("long").alias("run"))
     origin = F.when(~F.coalesce("joined", F.lit(False)), own).when(~F.col("whole"), F.col("before"))
