@@ -138,7 +138,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id it is linked to.
 
     Rows with equal fingerprints are one node, so copies cost nothing. Texts without words have fingerprint
-    zero. A row without an id takes part; its component_id is null only if no linked row has an id.
+    zero. A row without an id takes part; its component_id is null only if no linked row has an id. doc_id is a long. A text is
+    held whole by one task, whatever its length. Other columns are not read, whatever their names.
     """
     rows = saved(fingerprints(numbered(docs, ["doc_id", "text"])), "fingerprints")
     return rows.join(print_components(rows, F.col("doc_id")), "fp").select(
