@@ -17,7 +17,7 @@ from ledgerloom.operators import categorize as cat
 from ledgerloom.operators import cycle, ingest, labels, merchants, patterns, policy, progress, recon, recurring, rhythm, scan, spend
 from ledgerloom.plans import refresh
 from ledgerloom.sources import star
-from ledgerloom.sources.tables import keep_bucketed
+from ledgerloom.sources.tables import keep, keep_bucketed
 from ledgerloom.streaming import windows
 
 AS_OF = date(2001, 6, 30)
@@ -176,7 +176,8 @@ def _rejected_rows(spark, sf):
 
 
 def quarantine_rows(spark, sf):
-    bad = _rejected_rows(spark, sf)
+    """The rejected rows of a load, staged once as the load job does, against a store of some of them."""
+    bad = keep(_rejected_rows(spark, sf), "rejected", tempfile.gettempdir())
     stored = ingest.quarantine(bad.filter(F.col("type") == "Debit").filter(F.col("currency") == "usd"), None,
                                ["account", "date", "debit", "credit"])
     return ingest.quarantine(bad, stored, ["account", "date", "debit", "credit"]).select(
