@@ -80,6 +80,24 @@ def test_predictions_shrink_repeats():
     assert len(mixcoder.encode_block(ids, 50_257)) < len(ids)
 
 
+def test_contexts_gain_over_order_0(library):
+    """The first full block of a table of prose: fewer bits than its order-0 entropy, by what the contexts tell."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id").column("text").to_pylist()
+    ids: list[int] = []
+    for text in texts:
+        ids += [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        if len(ids) >= mixcoder.BLOCK_IDS:
+            break
+    block = np.array(ids[:mixcoder.BLOCK_IDS], np.int32)
+    share = np.bincount(block)
+    share = share[share > 0] / len(block)
+    order_0 = -(share * np.log2(share)).sum()
+    bits = 8 * len(mixcoder.encode_block(block, 50_257)) / len(block)
+    assert bits < 7.6 and bits < 0.93 * order_0
+
+
 def test_files_hold_all_documents_in_order(spark, library):
     docs = documents(spark)
     got = tokenfiles.token_digests(docs, PATH).collect()
