@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from llm_cases import documents, empty_like, prose
+from llm_cases import documents, empty_like, item_words, prose
 
 from ledgerloom.llm import passages
+from ledgerloom.llm.queries import QUERIES
 
 
 def text_of(rng, n):
@@ -151,3 +152,38 @@ def band_recall(n_pairs):
 def test_pairs_at_the_threshold_are_compared():
     recall, pairs = band_recall(1000)
     assert pairs > 900 and recall >= 0.998
+
+
+def test_no_shared_run_of_a_whole_table_is_lost(spark):
+    """Every stretch of MIN_PASSAGE words that an earlier document holds, by brute force over all of sf0.01.
+
+    A run of under 40 words may be told shorter than it is, where an earlier text than the one that has it whole has a part of it.
+    """
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r.doc_id: item_words(r.text) for r in docs.select("doc_id", "text").collect()}
+    first: dict[int, int] = {}
+    shared = {}
+    for doc in sorted(texts):
+        words = texts[doc]
+        hashes = [hash(tuple(words[i:i + passages.MIN_PASSAGE])) for i in range(len(words) - passages.MIN_PASSAGE + 1)]
+        shared[doc] = [i for i, h in enumerate(hashes) if first.get(h, doc) < doc]
+        for h in hashes:
+            first.setdefault(h, doc)
+    gone = {}
+    for r in QUERIES["op10_passages"](spark, folder).collect():
+        assert r.keep_id < r.doc_id and r.n_words >= passages.MIN_PASSAGE
+        gone.setdefault(r.doc_id, set()).update(range(r.start, r.stop))
+    total = sum(map(len, shared.values()))
+    lost = [(doc, i) for doc, places in shared.items() for i in places if not gone.get(doc, set()) & set(range(i, i + passages.MIN_PASSAGE))]
+    partly = [1 for doc, places in shared.items() for i in places if not set(range(i, i + passages.MIN_PASSAGE)) <= gone.get(doc, set())]
+    run_of = {}
+    for doc, places in shared.items():
+        for i in reversed(places):
+            run_of[doc, i] = run_of.get((doc, i + 1), passages.MIN_PASSAGE - 1) + 1
+    length = {(doc, i): n if (doc, i - 1) not in run_of else 0 for (doc, i), n in run_of.items()}
+    whole = {}
+    for doc, i in sorted(run_of):
+        whole[doc, i] = length[doc, i] or whole[doc, i - 1]
+    assert total > 10_000 and len(lost) <= total / 1000 and len(partly) <= total / 100
+    assert all(whole[spot] < 40 for spot in lost)
