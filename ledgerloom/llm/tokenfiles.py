@@ -16,14 +16,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bpe import ENCODED_BYTES, Encoder, certain_cuts, vocabulary
 from ledgerloom.llm.mixcoder import BLOCK_IDS, HEADER, decode_block, encode_block
-from ledgerloom.llm.shared import in_tasks, saved, slices, text_buffer, work_folder
+from ledgerloom.llm.shared import in_tasks, opened, saved, slices, text_buffer, work_folder
 
 INDEX = struct.Struct("<4sQQI")
 FOOTER = struct.Struct("<Q4s")
@@ -35,10 +34,6 @@ MANIFEST = "part int, file string, n_docs long, n_tokens long, n_bytes long"
 TOKENS = "doc_id long, start long, n_tokens long, ids binary"
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
-
-
 @cache
 def _library_encoder(path: str) -> tuple[Encoder, int]:
     """Encodes unseen pieces with the tokenizers library, laid end to end as one text.
@@ -84,7 +79,7 @@ def _write_file(tokenizer: str, folder: str, batches: Iterator[pa.RecordBatch])
         return
     encoder, alphabet = _library_encoder(tokenizer)
     part = TaskContext.get().partitionId()
-    system, root = _opened(folder)
+    system, root = opened(folder)
     name = f"part-{part:06d}-{uuid.uuid4().hex}.mxt"
     waiting, held, n_tokens = [], 0, 0
     doc_ids, nulls, lengths = [], [], []
@@ -135,7 +130,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
     dealt to several tasks. `folder` must be one that every executor can write and read through pyarrow's file
     systems. An empty table writes no file. Columns other than doc_id and text are not stored.
     """
-    system, root = _opened(folder)
+    system, root = opened(folder)
     system.create_dir(root, recursive=True)
     keys = [F.col("doc_id").asc_nulls_first(), F.col("row_no")]
     dealt = (
@@ -146,7 +141,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
 
 
 def _read_file(folder: str, name: str, base: int) -> Iterator[pa.RecordBatch]:
-    system, root = _opened(folder)
+    system, root = opened(folder)
     with system.open_input_file(f"{root}/{name}") as file:
         file.seek(file.size() - FOOTER.size)
         place, magic = FOOTER.unpack(file.read(FOOTER.size))

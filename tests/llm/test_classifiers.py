@@ -143,3 +143,42 @@ def test_the_learning_sample_is_bounded(spark, labelled):
     few = toxicity.learning_sample(docs, labels, n_words=4_000).collect()
     words = [len(r.words) // (4 * toxicity.KINDS) for r in few]
     assert 3_000 < sum(words) <= 4_000 and max(words) <= 4_000 / toxicity.LONGEST_SHARE
+
+
+def test_everything_labelled_is_learned_from(spark):
+    """More rows than a sample had, over several shards, and a text longer than a sample took: all counted, none left out."""
+    docs = spark.range(12_000).selectExpr(
+        "id AS doc_id", "concat('w', id div 3, ' v', id % 50, if(id % 7 = 0, ' nitwit', '')) AS text", "'en' AS lang")
+    docs = docs.unionByName(spark.range(12_000, 12_002).selectExpr("id AS doc_id", "repeat('long text ', 80000) AS text", "'en' AS lang"))
+    labels = docs.selectExpr("doc_id", "1 AS quality", "cast(doc_id % 7 = 0 AS int) AS toxic")
+    folder, shards = toxicity.learning_rows(docs, labels)
+    learned = spark.read.parquet(folder)
+    assert learned.select("doc_id").distinct().count() == learned.count() == labels.filter("crc32(cast(doc_id AS string)) % 4 <> 2").count() > 8_900
+    assert shards == learned.select("shard").distinct().count() == 2 and learned.filter("size(words) = 160000").count() >= 1
+    met = [np.unique(toxicity._unpacked(np.array(r.words))) for r in learned.filter("NOT aside").collect()]
+    buckets, times = np.unique(np.concatenate(met), return_counts=True)
+    assert toxicity.fit(docs, labels)[0].buckets.tolist() == buckets[times >= 2].tolist()
+
+
+def test_shards_learn_as_well(labelled, monkeypatch):
+    """Networks averaged over many shards tell as much, and the same whatever order rows come in."""
+    docs, labels = labelled
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    rows = toxicity.toxicity(docs, labels).collect()
+    assert accuracy(rows, labels, "toxic") > 0.85
+    again = toxicity.toxicity(docs.repartition(7), labels.repartition(5)).collect()
+    assert {r.doc_id: r.score for r in rows} == pytest.approx({r.doc_id: r.score for r in again})
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [rng.integers(1, 1 << toxicity.BUCKET_BITS, (n, toxicity.KINDS)).astype(np.int32) for n in [0, 70, 2, 41, 20, 1, 22, 19]]
+    net = toxicity._initial([*words, *words], np.array([0, 1] * 8), rng)
+    net.out = rng.normal(0, 1, net.out.shape)
+    laid, firsts = toxicity._laid(words, net.row_numbers(), np.arange(len(words)))
+    whole = net.logits(laid, firsts), *net.pooled(laid, firsts)
+    monkeypatch.setattr(toxicity, "SPAN_WORDS", 20)
+    assert max(stop - start for _, _, start, stop in toxicity.spans(firsts)) == 20
+    assert np.allclose(whole[0], net.logits(laid, firsts), atol=1e-5)
+    best, place = net.pooled(laid, firsts)
+    assert np.allclose(whole[1], best, atol=1e-5) and (whole[2] == place)[best > 0].all()
