@@ -16,7 +16,7 @@ true ends. Two runs that lie at most MAX_GAP words apart in both texts are one p
 the threshold.
 
 Of an inner paragraph only its hash, text and place are stored. Hashes and bands met once are dropped by counts that combine
-before the shuffle.
+before the shuffle. Tables that nothing reads any more are deleted on the way.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.buckets import bucket_links
 from ledgerloom.llm.components import components
 from ledgerloom.llm.decontam import BACK_STEP, GRAM_STEP, mixed, word_hashes, words_of
-from ledgerloom.llm.shared import chunked, in_tasks, saved, text_buffer
+from ledgerloom.llm.shared import chunked, dropped, in_tasks, saved, text_buffer
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -291,7 +291,9 @@ def paragraph_components(lines: DataFrame, docs: DataFrame) -> DataFrame:
         in_tasks(_shingles, bitmap_of(members.select("content").distinct(), "content")), "content long, shingles array<long>")
     sets = saved(sets.groupBy("content").agg(F.any_value("shingles").alias("shingles")), "shingles")
     joined = members.join(sets, "content").select("key", "n", F.col("content").alias("member"), "shingles")
-    return components(bucket_links(joined, similar, (THRESHOLD,)))
+    linked = components(bucket_links(joined, similar, (THRESHOLD,)))  # its first step has written the links
+    dropped(shared, met, members, sets)
+    return linked
 
 
 def _agreeing(own: Column, other: Column) -> Column:
@@ -399,8 +401,8 @@ def repeated_passages(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFr
     """
     docs = docs.select("doc_id", "text")
     units = saved(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(in_tasks(_units), UNITS), "units")
-    texts = units.filter("start IS NULL").select(
-        "row_no", F.when(F.col("keys")[2] == 0, F.col("keys")[1]).alias("doc_id"), F.col("keys")[0].alias("text_key"))
+    texts = saved(units.filter("start IS NULL").select(
+        "row_no", F.when(F.col("keys")[2] == 0, F.col("keys")[1]).alias("doc_id"), F.col("keys")[0].alias("text_key")), "texts")
     lines, inner = units.filter("stop IS NOT NULL"), units.filter("stop IS NULL AND start IS NOT NULL")
     linked = paragraph_components(lines, docs).withColumnRenamed("node", "content")
 
@@ -413,6 +415,7 @@ def repeated_passages(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFr
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")
     grouped = saved(every.join(twice, "component").join(texts.select("row_no", "doc_id"), "row_no")
                     .select("component", place.alias("place"), "start", "stop", "inner"), "grouped")
+    dropped(units)
     first = saved(grouped.groupBy("component").agg(F.min(F.struct("place", "start", "stop")).alias("first"), F.max("place").alias("last"))
                   .filter("first.place <> last").drop("last"), "first")
     gone = grouped.join(first, "component").filter(F.col("place") > F.col("first.place")).select(

@@ -1,10 +1,13 @@
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from llm_cases import documents, empty_like, item_words, prose
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import passages
+from ledgerloom.llm import passages, shared
 from ledgerloom.llm.queries import QUERIES
 
 
@@ -187,3 +190,27 @@ def test_no_shared_run_of_a_whole_table_is_lost(spark):
         whole[doc, i] = length[doc, i] or whole[doc, i - 1]
     assert total > 10_000 and len(lost) <= total / 1000 and len(partly) <= total / 100
     assert all(whole[spot] < 40 for spot in lost)
+
+
+def test_tables_and_shuffle_files_go_when_nothing_reads_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "_own_folder", lambda: str(tmp_path))
+    blocks = spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    before = spark.conf.get(shared.SHUFFLE_CLEANUP, None)
+
+    def shuffled():
+        return {path for folder in blocks for path in Path(folder).rglob("shuffle_*.data")}
+
+    old = shuffled()
+    table = shared.saved(spark.range(10_000).groupBy((F.col("id") % 100).alias("key")).count().orderBy("key"), "table")
+    until = time.monotonic() + 20
+    while shuffled() - old and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not shuffled() - old and spark.conf.get(shared.SHUFFLE_CLEANUP, None) == before
+    assert table.count() == 100
+    shared.dropped(table)
+    assert not list(tmp_path.iterdir())
+
+    found = passages.repeated_passages(documents(spark))
+    left = {path.name.rsplit("-", 1)[0] for path in tmp_path.iterdir()}
+    assert not left & {"units", "shared", "bands", "members", "shingles"}
+    assert {r.doc_id for r in found.collect()} >= {7 * i for i in range(1, 8)}
