@@ -30,25 +30,36 @@ MAGIC = b"MXB2"
 WORDS_AT_END = 2
 LOW48 = (1 << 48) - 1
 RANGE_FLOOR = 1 << 32
-PAIR_A, PAIR_B, PAIR_SHIFT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(32 - PAIR_BITS)
+PAIR_A, PAIR_B, PAIR_SHIFT = 0x9E3779B1, 0x85EBCA77, 32 - PAIR_BITS
+BINS = (SURE + 1) ** 2
+# By which guesses are right (1: by two ids, 2: by one, 3: both): the mark at which the id's interval starts, and the outcome.
+MARK = np.array([3, 0, 1, 0])
+OUTCOME = np.array([0, 1, 2, 1]) * BINS
+# What is added to an entry by `sure`, and 16 more if its guess was right; a guess that was wrong at 1 or less is replaced.
+CHANGE = np.array([(sure >> 1) - sure for sure in range(SURE + 1)] + [int(sure < SURE) for sure in range(SURE + 1)], np.int32)
 
 
 class Model:
     """What the lanes of a block have shown so far; the same in the coder and the decoder.
 
-    A table entry packs a guess and how often it was right in a row (`sure`, four bits).
+    A table entry packs a guess and how often it was right in a row (`sure`, four bits). Both tables are one array, by two
+    ids first, and what is looked up in them has two rows. `marks` are the bounds of the intervals of every lane: 0, the
+    end of the guess by two ids, the end of the guess by one, and start and end of the id if it is not guessed.
     """
 
     def __init__(self, alphabet: int, lanes: int):
-        self.alphabet = alphabet
+        self.alphabet, self.lanes = alphabet, lanes
         self.counts = np.zeros(alphabet, np.int64)
         self.waiting: list[np.ndarray] = []
-        self.after_one = np.zeros(alphabet, np.int32)
-        self.after_two = np.zeros(1 << PAIR_BITS, np.int32)
-        bins = (SURE + 1) ** 2
-        self.outcomes = np.zeros((bins, 4)) + [0.6, 0.2, 0.2, 0.0]
-        self.last = np.zeros(lanes, np.int32)
-        self.previous = np.zeros(lanes, np.int32)
+        self.table = np.zeros((1 << PAIR_BITS) + alphabet, np.int32)
+        self.outcomes = np.repeat([[0.6], [0.2], [0.2]], BINS, axis=1)
+        self.last = np.zeros(lanes, np.int64)
+        self.previous = np.zeros(lanes, np.int64)
+        self.place = np.zeros((2, lanes), np.int64)
+        self.marks = np.zeros((5, lanes), np.int64)
+        self.flat_marks = self.marks.reshape(-1)
+        self.every = np.arange(lanes)
+        self.mark_places = MARK * lanes
         self.step, self.rebuild_at = 0, 0
 
     def _rebuild(self) -> None:
@@ -72,50 +83,49 @@ class Model:
         """
         if self.step == self.rebuild_at:
             self._rebuild()
-        self.pair = (((self.previous.view(np.uint32) * PAIR_A) ^ (self.last.view(np.uint32) * PAIR_B)) >> PAIR_SHIFT).view(np.int32)
-        self.one, self.two = self.after_one.take(self.last), self.after_two.take(self.pair)
-        self.guess_one, self.guess_two = self.one >> 4, self.two >> 4
-        self.sure_one, self.sure_two = self.one & SURE, self.two & SURE
-        self.bin = (self.sure_two << 4) | self.sure_one
-        share = self.outcomes / self.outcomes.sum(axis=1, keepdims=True)
-        mass = (share[:, 1:3].T * ((1 << TOTAL_BITS) - (1 << BASE_BITS))).astype(np.int64)
-        self.mass_two, self.guessed = mass[0].take(self.bin), mass.sum(axis=0).take(self.bin)
-        self.rest = (1 << TOTAL_BITS) - self.guessed
+        pair = ((self.previous * PAIR_A) ^ (self.last * PAIR_B)) >> PAIR_SHIFT
+        np.bitwise_and(pair, (1 << PAIR_BITS) - 1, out=self.place[0])
+        np.add(self.last, 1 << PAIR_BITS, out=self.place[1])
+        self.entry = self.table.take(self.place)
+        self.guess, self.sure = self.entry >> 4, self.entry & SURE
+        self.bin = ((self.sure[0] << 4) | self.sure[1]).astype(np.int64)
+        none, two, one = self.outcomes
+        total = none + two + one
+        scale = (1 << TOTAL_BITS) - (1 << BASE_BITS)
+        mass_two, mass_one = (two / total * scale).astype(np.int64), (one / total * scale).astype(np.int64)
+        np.take(mass_two, self.bin, out=self.marks[1], mode="clip")
+        np.take(mass_two + mass_one, self.bin, out=self.marks[2], mode="clip")
+        self.rest = (1 << TOTAL_BITS) - self.marks[2]
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of the ids within the total."""
-        self.right_two, self.right_one = ids == self.guess_two, ids == self.guess_one
-        start = (self.rest * self.base.take(ids)) >> BASE_BITS
-        width = ((self.rest * self.base.take(ids + 1)) >> BASE_BITS) - start
-        start += self.guessed
-        np.copyto(start, self.mass_two, where=self.right_one)
-        np.copyto(width, self.guessed - self.mass_two, where=self.right_one)
-        np.copyto(start, 0, where=self.right_two)
-        np.copyto(width, self.mass_two, where=self.right_two)
-        return start, width
+        self.ids, marks = ids.astype(np.int64), self.marks
+        self.right = (self.guess == ids).view(np.uint8)
+        self.kind = self.right[0] | (self.right[1] << 1)
+        np.multiply(self.rest, self.base.take(self.ids), out=marks[3])
+        np.multiply(self.rest, self.base.take(self.ids + 1), out=marks[4])
+        marks[3:] >>= BASE_BITS
+        marks[3:] += marks[2]
+        at = self.mark_places.take(self.kind) + self.every
+        start = self.flat_marks.take(at)
+        at += self.lanes
+        return start, self.flat_marks.take(at) - start
 
     def find(self, place: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold the places. The quotient is exact: it has under 53 bits."""
-        over = place - self.guessed
-        base = ((np.maximum(over, 0) + 1) << BASE_BITS) - 1
+        guessed = self.marks[2]
+        base = ((np.maximum(place - guessed, 0) + 1) << BASE_BITS) - 1
         found = self.inverse.take((base / self.rest).astype(np.int64))
-        np.copyto(found, self.guess_one, where=over < 0)
-        np.copyto(found, self.guess_two, where=place < self.mass_two)
-        return found
+        found = np.where(place < guessed, self.guess[1], found)
+        return np.where(place < self.marks[1], self.guess[0], found)
 
     def learn(self, ids: np.ndarray) -> None:
         """Take in the ids of one step; `interval` has compared them with the guesses."""
         self.waiting.append(ids)
-        two, one = self.right_two, self.right_one
-        outcome = np.maximum(two * np.int32(1), one * np.int32(2) * ~two)
-        self.outcomes += np.bincount((self.bin << 2) | outcome, minlength=self.outcomes.size).reshape(-1, 4)
-        fresh = (ids << 4) | 1
-        for table, place, entry, sure, right in (
-                (self.after_two, self.pair, self.two, self.sure_two, two),
-                (self.after_one, self.last, self.one, self.sure_one, one)):
-            halved = np.where(sure > 1, entry - sure + (sure >> 1), fresh)
-            table[place] = np.where(right, entry + (sure < SURE), halved)
-        self.previous, self.last = self.last, ids
+        self.outcomes += np.bincount(OUTCOME.take(self.kind) + self.bin, minlength=3 * BINS).reshape(3, BINS)
+        case = self.sure + (self.right << 4)
+        self.table[self.place] = np.where(case < 2, (ids << 4) | 1, self.entry + CHANGE.take(case))
+        self.previous, self.last = self.last, self.ids
         self.step += 1
 
 
@@ -133,7 +143,9 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     laid = np.ascontiguousarray(laid.reshape(lanes, steps).T)
     model = Model(alphabet, lanes)
     words = np.zeros((2 * steps + 3, lanes), np.uint32)
-    used = np.zeros(lanes, np.int64)
+    flat = words.reshape(-1)
+    every = np.arange(lanes)
+    at = every.copy()  # where in `flat` the next word of each lane goes
     low = np.zeros(lanes, np.int64)
     width = np.full(lanes, LOW48, np.int64)
     for row in laid:
@@ -144,17 +156,23 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
         width = unit * size
         over = np.flatnonzero(low > LOW48)
         if len(over):
-            words[used[over] - 1, over] += 1
+            flat[at[over] - lanes] += 1
             low[over] &= LOW48
+        short = (width < RANGE_FLOOR).astype(np.int64)
+        flat[at] = low >> 32  # lanes that are not short write too; their next word replaces it
+        at += short * lanes
+        short <<= 4
+        low = (low << short) & LOW48
+        width <<= short
         short = np.flatnonzero(width < RANGE_FLOOR)
         while len(short):
-            words[used[short], short] = low[short] >> 32
-            used[short] += 1
+            flat[at[short]] = low[short] >> 32
+            at[short] += lanes
             low[short] = (low[short] << 16) & LOW48
             width[short] <<= 16
             short = short[width[short] < RANGE_FLOOR]
         model.learn(row)
-    every = np.arange(lanes)
+    used = at // lanes
     low = (low | 0xFFFF) + 1  # the first number in the interval that two words tell, whatever follows them
     over = np.flatnonzero(low > LOW48)
     words[used[over] - 1, over] += 1
@@ -196,6 +214,12 @@ def decode_block(header: bytes, payload: bytes) -> np.ndarray:
         start, size = model.interval(found)
         code -= unit * start
         width = unit * size
+        short = (width < RANGE_FLOOR).astype(np.int64)
+        word = stream.take(place) * short
+        place += short
+        short <<= 4
+        code = (code << short) | word
+        width <<= short
         short = np.flatnonzero(width < RANGE_FLOOR)
         while len(short):
             code[short] = (code[short] << 16) | stream[place[short]]

@@ -80,6 +80,88 @@ def test_predictions_shrink_repeats():
     assert len(mixcoder.encode_block(ids, 50_257)) < len(ids)
 
 
+class PlainModel:
+    """The model of the coder as its description says it, one table and one choice after the other."""
+
+    def __init__(self, alphabet, lanes):
+        self.alphabet, self.seen, self.step, self.rebuild_at = alphabet, [], 0, 0
+        self.after_one, self.after_two = np.zeros(alphabet, np.int32), np.zeros(1 << mixcoder.PAIR_BITS, np.int32)
+        self.outcomes = np.zeros((256, 4)) + [0.6, 0.2, 0.2, 0.0]
+        self.last, self.previous = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+
+    def interval(self, ids):
+        if self.step == self.rebuild_at:
+            counts = np.bincount(np.concatenate(self.seen or [np.zeros(0, np.int32)]), minlength=self.alphabet)
+            share = counts * ((1 << mixcoder.BASE_BITS) - self.alphabet) // max(1, int(counts.sum())) + 1
+            share[int(np.argmax(share))] += (1 << mixcoder.BASE_BITS) - int(share.sum())
+            self.base = np.concatenate([[0], np.cumsum(share)])
+            self.rebuild_at = self.step * 2 if 0 < self.step < 64 else self.step + (64 if self.step else 1)
+        first, second = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+        self.pair = ((self.previous.view(np.uint32) * first) ^ (self.last.view(np.uint32) * second)) >> np.uint32(32 - mixcoder.PAIR_BITS)
+        self.one, self.two = self.after_one[self.last], self.after_two[self.pair]
+        self.bin = ((self.two & 15) << 4) | (self.one & 15)
+        share = self.outcomes / self.outcomes.sum(axis=1, keepdims=True)
+        mass = (share[:, 1:3] * ((1 << mixcoder.TOTAL_BITS) - (1 << mixcoder.BASE_BITS))).astype(np.int64)
+        two, both = mass[self.bin, 0], mass[self.bin].sum(axis=1)
+        rest = (1 << mixcoder.TOTAL_BITS) - both
+        start, stop = ((rest * self.base[ids + more] >> mixcoder.BASE_BITS) + both for more in (0, 1))
+        self.right_two, self.right_one = ids == self.two >> 4, ids == self.one >> 4
+        start = np.where(self.right_two, 0, np.where(self.right_one, two, start))
+        return start, np.where(self.right_two, two, np.where(self.right_one, both, stop)) - start
+
+    def learn(self, ids):
+        self.seen.append(ids)
+        np.add.at(self.outcomes, (self.bin, np.where(self.right_two, 1, np.where(self.right_one, 2, 0))), 1)
+        for table, place, entry, right in ((self.after_two, self.pair, self.two, self.right_two), (self.after_one, self.last, self.one, self.right_one)):
+            sure = entry & 15
+            wrong = np.where(sure > 1, entry - sure + (sure >> 1), (ids << 4) | 1)
+            table[place] = np.where(right, entry + (sure < 15), wrong)
+        self.previous, self.last, self.step = self.last, ids, self.step + 1
+
+
+def test_predictions_are_those_of_the_plain_model():
+    rng, lanes, alphabet = np.random.default_rng(5), 200, 3000
+    ids = np.where(rng.random((150, lanes)) < 0.4, np.arange(150)[:, None] % 7, rng.zipf(1.3, (150, lanes)) % alphabet).astype(np.int32)
+    model, plain, kinds = mixcoder.Model(alphabet, lanes), PlainModel(alphabet, lanes), set()
+    for row in ids:
+        model.predict()
+        start, size = model.interval(row)
+        wanted = plain.interval(row)
+        assert start.tolist() == wanted[0].tolist() and size.tolist() == wanted[1].tolist()
+        assert (size > 0).all() and model.find(start).tolist() == model.find(start + size - 1).tolist() == row.tolist()
+        kinds |= set(zip(plain.right_two.tolist(), plain.right_one.tolist()))
+        model.learn(row)
+        plain.learn(row)
+    assert len(kinds) == 4
+
+
+def test_both_contexts_are_looked_up_at_once(monkeypatch):
+    """The coder's time is that of its passes over the lanes: one lookup for both tables, and no lane by lane selection."""
+    made = []
+
+    class Table(np.ndarray):
+        def take(self, *args, **kwargs):
+            made.append("take")
+            return np.asarray(self).take(*args, **kwargs)
+
+        def __setitem__(self, place, entries):
+            made.append("set")
+            np.asarray(self)[place] = entries
+
+    class Counted(mixcoder.Model):
+        def __init__(self, *args):
+            super().__init__(*args)
+            for name in ("table", "after_one", "after_two"):
+                if hasattr(self, name):
+                    setattr(self, name, getattr(self, name).view(Table))
+
+    monkeypatch.setattr(mixcoder, "Model", Counted)
+    ids = np.arange(64 * mixcoder.LANE_IDS, dtype=np.int32) % 500
+    block = mixcoder.encode_block(ids, 500)
+    assert made == ["take", "set"] * mixcoder.LANE_IDS
+    assert mixcoder.decode_block(block[:mixcoder.HEADER.size], block[mixcoder.HEADER.size:]).tolist() == ids.tolist()
+
+
 def test_contexts_gain_over_order_0(library):
     """The first full block of a table of prose: fewer bits than its order-0 entropy, by what the contexts tell."""
     import pyarrow.parquet as pq
