@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, decontam, linerun, simhash, toxicity
-from ledgerloom.llm.shared import work_folder
+from ledgerloom.llm.shared import shuffles_removed, work_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -53,6 +53,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = work_folder(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        result = stage(spark, docs, sf_dir)
+        with shuffles_removed(spark):
+            result.write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -22,12 +22,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import dataset, fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.decontam import STEP, mixed, word_hashes, words_of
 from ledgerloom.llm.labelled import held_out, training_labels
-from ledgerloom.llm.shared import chunked, in_tasks, opened, saved, text_buffer, work_folder
+from ledgerloom.llm.shared import chunked, in_tasks, opened, removed, saved, shuffles_removed, text_buffer, work_folder
 from ledgerloom.plans.shapes import running_totals
 
 #: There are as many shards as give each about so many labelled documents and bytes of them; none is left out.
@@ -218,7 +218,7 @@ def _step(net: Network, words: np.ndarray, firsts: np.ndarray, labels: np.ndarra
     net.embeddings[seen] -= (RATE * total / np.sqrt(memory["embeddings"][seen] + 1e-6)[:, None]).astype(np.float32)
 
 
-def _laid(words: list[np.ndarray], rows: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _laid(words: list[np.ndarray] | dict[int, np.ndarray], rows: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     firsts = np.concatenate([[0], np.cumsum([len(words[i]) for i in picked])]).astype(np.int64)
     flat = np.concatenate([words[i] for i in picked]) if len(picked) else np.zeros((0, KINDS), np.int32)
     return rows[flat], firsts
@@ -275,9 +275,10 @@ def learning_rows(docs: DataFrame, labels: DataFrame) -> tuple[str, int]:
         .filter("doc IS NOT NULL AND label IS NOT NULL")
     aside = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(CALIBRATION_SHARE)) == 0
     folder = work_folder(docs.sparkSession, "learned")
-    dealt.select("doc_id", "label", "doc.lang", "doc.text", aside.alias("aside"), "shard") \
-        .mapInArrow(in_tasks(_packed), LEARNED).write.partitionBy("shard") \
-        .option("parquet.dictionary.page.size", 1 << 23).parquet(folder)
+    with shuffles_removed(docs.sparkSession):
+        dealt.select("doc_id", "label", "doc.lang", "doc.text", aside.alias("aside"), "shard") \
+            .mapInArrow(in_tasks(_packed), LEARNED).write.partitionBy("shard") \
+            .option("parquet.dictionary.page.size", 1 << 23).parquet(folder)
     return folder, shards
 
 
@@ -330,14 +331,14 @@ def _learn(folder: str, epoch: int, batches: Iterator[pa.RecordBatch]) -> Iterat
         before = memory["embeddings"].copy()
         rows, labels = net.row_numbers(), found["label"].to_numpy()
         lists = found["words"].chunk(0)
-        flat, bounds = _unpacked(lists.flatten().to_numpy()), np.asarray(lists.offsets)
+        packed, bounds = lists.flatten().to_numpy(), np.asarray(lists.offsets)
         bounds = bounds - bounds[0]
-        words = [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+        words = [packed[a:b] for a, b in zip(bounds, bounds[1:])]
         order = np.random.default_rng([SEED, shard, epoch]).permutation(np.argsort(found["doc_id"].to_numpy()))
         del found, lists
-        for start in range(0, len(order), BATCH):
+        for start in range(0, len(order), BATCH):  # unpacked by batch: all of a shard would take half as much again as packed
             picked = order[start: start + BATCH]
-            _step(net, *_laid(words, rows, picked), labels[picked], memory)
+            _step(net, *_laid({i: _unpacked(words[i]) for i in picked}, rows, picked), labels[picked], memory)
         moved = np.flatnonzero(memory["embeddings"] != before)
         dense = np.concatenate([part.ravel() for part in _dense(net, memory)])
         dense = np.pad(dense, (0, -len(dense) % (SIZE + 1))).reshape(-1, SIZE + 1)
@@ -449,10 +450,17 @@ def learning_sample(docs: DataFrame, labels: DataFrame, rows: int = LEARNED_ROWS
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Network, dict[str, float]]:
     """A network learned from all labelled documents that are not held out, and a rejection threshold per language.
 
-    With a single class the score is its smoothed share.
+    With a single class the score is its smoothed share. The words learned from grow with the documents that have labels;
+    they are deleted once the network is learned.
     """
-    spark = docs.sparkSession
     folder, shards = learning_rows(docs, labels)
+    try:
+        return _fitted(docs.sparkSession, folder, shards)
+    finally:
+        removed(docs.sparkSession, folder)
+
+
+def _fitted(spark: SparkSession, folder: str, shards: int) -> tuple[Network, dict[str, float]]:
     rows = spark.read.schema(LEARNED).parquet(folder)
     n, toxic, least, most, share = rows.agg(
         F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0)), *[f(F.when(~F.col("aside"), F.col("label"))) for f in (F.min, F.max, F.avg)]).first()

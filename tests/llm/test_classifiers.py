@@ -1,5 +1,6 @@
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -160,6 +161,23 @@ def test_everything_labelled_is_learned_from(spark):
     assert toxicity.fit(docs, labels)[0].buckets.tolist() == buckets[times >= 2].tolist()
 
 
+def test_what_is_learned_from_goes_once_it_is_learned(spark, labelled, monkeypatch):
+    """The words of all labelled rows take disk in proportion to the documents; no later stage has to make room for them."""
+    docs, labels = labelled
+    made, plain = [], toxicity.work_folder
+
+    def noted(session, name):
+        made.append(plain(session, name))
+        return made[-1]
+
+    monkeypatch.setattr(toxicity, "work_folder", noted)
+    for some in (labels, labels.filter("toxic = 0")):
+        kept = toxicity.without_toxic(docs, some)
+        assert not Path(made[-1]).exists()
+        assert 0 < kept.count() <= docs.count()
+    assert len(made) == 2
+
+
 def test_shards_learn_as_well(labelled, monkeypatch):
     """Networks averaged over many shards tell as much, and the same whatever order rows come in."""
     docs, labels = labelled
