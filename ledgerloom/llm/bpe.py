@@ -187,16 +187,36 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+#: A word's first so many bytes.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def same_pieces(data: np.ndarray, starts: np.ndarray, other: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether all pieces of `data` are those of `other`, compared by words of eight bytes.
+
+    Both arrays have seven bytes or more behind the last piece. What pieces have beyond 64 bytes is compared byte by byte.
+    """
+    left, right = (np.ndarray((len(a) - 7,), "<u8", a, 0, (1,)) for a in (data, other))
+    for _ in range(8):
+        if ((left[starts] ^ right[places]) & FIRST_BYTES[np.minimum(sizes, 8)]).any():
+            return False
+        more = np.flatnonzero(sizes > 8)
+        starts, places, sizes = starts[more] + 8, places[more] + 8, sizes[more] - 8
+        if not len(sizes):
+            return True
+    return bool((data[ranges(starts, sizes)] == other[ranges(places, sizes)]).all())
+
+
 class Grown:
-    """An array that doubles as it fills; only the first `size` values count."""
+    """An array that doubles as it fills; only the first `size` values count, and seven or more follow them."""
 
     def __init__(self, kind: type):
         self.values, self.size = np.zeros(1024, kind), 0
 
     def extend(self, more: np.ndarray) -> None:
         need = self.size + len(more)
-        if need > len(self.values):
-            wider = np.zeros(max(need, 2 * len(self.values)), self.values.dtype)
+        if need + 7 > len(self.values):
+            wider = np.zeros(max(need + 7, 2 * len(self.values)), self.values.dtype)
             wider[: self.size] = self.values[: self.size]
             self.values = wider
         self.values[self.size: need] = more
@@ -206,13 +226,13 @@ class Grown:
 class PieceTable:
     """Ids of known pieces by the hash of their bytes; all lookups are numpy gathers.
 
-    Slots are probed linearly. When the table is full, the entries used longest ago make room.
+    Slots are probed linearly. `used` is how many calls have asked for an entry, halved whenever the table is full; then
+    the half asked for least makes room, so pieces met once, however late, do not drive out those met again and again.
     """
 
     def __init__(self, entries: int):
         self.limit = entries
         self.slot_bits = max(4, (2 * entries - 1).bit_length())
-        self.clock = 0
         self._reset()
 
     def _reset(self) -> None:
@@ -232,8 +252,7 @@ class PieceTable:
         return (hashes >> np.uint64(64 - self.slot_bits)).astype(np.int64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The entry of every hash, or -1; entries found count as used."""
-        self.clock += 1
+        """The entry of every hash, or -1; entries found count as used once."""
         found = np.full(len(hashes), -1, np.int64)
         if not self.count:
             return found
@@ -245,7 +264,7 @@ class PieceTable:
             found[asked[right]] = entry[right]
             onward = taken & ~right
             asked, slot = asked[onward], (slot[onward] + 1) & (len(self.slots) - 1)
-        self.used[found[found >= 0]] = self.clock
+        self.used[found[found >= 0]] += 1
         return found
 
     def _place(self, entries: np.ndarray) -> None:
@@ -270,12 +289,13 @@ class PieceTable:
         self._bind()
         self._place(np.arange(first, self.count))
 
-    def add(self, hashes: np.ndarray, pieces: list[bytes], ids: list[bytes]) -> None:
-        """Add pieces that are not in the table."""
-        if self.count + len(hashes) > self.limit and self.count:
+    def add(self, hashes: np.ndarray, pieces: list[bytes], ids: list[bytes]) -> bool:
+        """Add pieces that are not in the table as its last entries; whether the entries before are where they were."""
+        full = bool(self.count + len(hashes) > self.limit and self.count)
+        if full:
             used = self.used[: self.count]
             stay = np.flatnonzero(used > np.median(used))
-            kept = (self.hashes[stay], self.used[stay], self.ids[ranges(self.id_starts[stay], self.id_sizes[stay])],
+            kept = (self.hashes[stay], self.used[stay] >> 1, self.ids[ranges(self.id_starts[stay], self.id_sizes[stay])],
                     self.id_sizes[stay], self.bytes[ranges(self.byte_starts[stay], self.byte_sizes[stay])], self.byte_sizes[stay])
             self._reset()
             self._append(*kept)
@@ -283,9 +303,10 @@ class PieceTable:
             self.slot_bits += 1
             self.slots = np.full(1 << self.slot_bits, -1, np.int32)
             self._place(np.arange(self.count))
-        self._append(hashes, np.full(len(hashes), self.clock, np.int32), np.frombuffer(b"".join(ids), np.uint32),
+        self._append(hashes, np.ones(len(hashes), np.int32), np.frombuffer(b"".join(ids), np.uint32),
                      np.fromiter(map(len, ids), np.int64, len(ids)) >> 2, np.frombuffer(b"".join(pieces), np.uint8),
                      np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        return not full
 
 
 class Encoder:
@@ -307,16 +328,19 @@ class Encoder:
         starts, stops, sizes = bounds[:-1], bounds[1:], np.diff(bounds)
         hashes = piece_hashes(data, starts, stops)
         entries = self.known.find(hashes)
-        if (entries < 0).any():
-            raw, unseen = data.tobytes(), np.flatnonzero(entries < 0)
-            fresh, first = np.unique(hashes[unseen], return_index=True)
+        unseen = np.flatnonzero(entries < 0)
+        if len(unseen):
+            raw = data.tobytes()
+            fresh, first, which = np.unique(hashes[unseen], return_index=True, return_inverse=True)
             first = unseen[first]
             pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())]
-            self.known.add(fresh, pieces, list(self.fill(pieces)))
-            entries = self.known.find(hashes)
+            if self.known.add(fresh, pieces, list(self.fill(pieces))):
+                entries[unseen] = self.known.count - len(fresh) + which
+            else:
+                entries = self.known.find(hashes)
         known = self.known
         if (entries < 0).any() or not (known.byte_sizes[entries] == sizes).all() \
-                or not (known.bytes[ranges(known.byte_starts[entries], sizes)] == data).all():
+                or not same_pieces(np.concatenate([data, np.zeros(7, np.uint8)]), starts, known.bytes, known.byte_starts[entries], sizes):
             # A chunk with more pieces than the table holds, or two pieces with one hash: without the table.
             raw = data.tobytes()
             done = list(self.fill([raw[a:b] for a, b in zip(starts.tolist(), stops.tolist())]))

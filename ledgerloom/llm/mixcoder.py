@@ -30,7 +30,8 @@ MAGIC = b"MXB2"
 WORDS_AT_END = 2
 LOW48 = (1 << 48) - 1
 RANGE_FLOOR = 1 << 32
-PAIR_A, PAIR_B, PAIR_SHIFT = 0x9E3779B1, 0x85EBCA77, 32 - PAIR_BITS
+PAIR_A, PAIR_B, PAIR_SHIFT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(32 - PAIR_BITS)
+STRIPE = 64
 BINS = (SURE + 1) ** 2
 # By which guesses are right (1: by two ids, 2: by one, 3: both): the mark at which the id's interval starts, and the outcome.
 MARK = np.array([3, 0, 1, 0])
@@ -53,8 +54,8 @@ class Model:
         self.waiting: list[np.ndarray] = []
         self.table = np.zeros((1 << PAIR_BITS) + alphabet, np.int32)
         self.outcomes = np.repeat([[0.6], [0.2], [0.2]], BINS, axis=1)
-        self.last = np.zeros(lanes, np.int64)
-        self.previous = np.zeros(lanes, np.int64)
+        self.last = np.zeros(lanes, np.uint32)
+        self.previous = np.zeros(lanes, np.uint32)
         self.place = np.zeros((2, lanes), np.int64)
         self.marks = np.zeros((5, lanes), np.int64)
         self.flat_marks = self.marks.reshape(-1)
@@ -72,7 +73,7 @@ class Model:
         share += 1
         share[int(np.argmax(share))] += (1 << BASE_BITS) - int(share.sum())
         self.base = np.concatenate([[0], np.cumsum(share)])
-        self.inverse = np.repeat(np.arange(self.alphabet, dtype=np.int32), share)
+        self.share, self.inverse = share, None
         self.rebuild_at = self.step * 2 if 0 < self.step < 64 else self.step + (64 if self.step else 1)
 
     def predict(self) -> None:
@@ -83,8 +84,7 @@ class Model:
         """
         if self.step == self.rebuild_at:
             self._rebuild()
-        pair = ((self.previous * PAIR_A) ^ (self.last * PAIR_B)) >> PAIR_SHIFT
-        np.bitwise_and(pair, (1 << PAIR_BITS) - 1, out=self.place[0])
+        self.place[0] = ((self.previous * PAIR_A) ^ (self.last * PAIR_B)) >> PAIR_SHIFT
         np.add(self.last, 1 << PAIR_BITS, out=self.place[1])
         self.entry = self.table.take(self.place)
         self.guess, self.sure = self.entry >> 4, self.entry & SURE
@@ -113,6 +113,8 @@ class Model:
 
     def find(self, place: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold the places. The quotient is exact: it has under 53 bits."""
+        if self.inverse is None:  # only the decoder asks
+            self.inverse = np.repeat(np.arange(self.alphabet, dtype=np.int32), self.share)
         guessed = self.marks[2]
         base = ((np.maximum(place - guessed, 0) + 1) << BASE_BITS) - 1
         found = self.inverse.take((base / self.rest).astype(np.int64))
@@ -125,7 +127,7 @@ class Model:
         self.outcomes += np.bincount(OUTCOME.take(self.kind) + self.bin, minlength=3 * BINS).reshape(3, BINS)
         case = self.sure + (self.right << 4)
         self.table[self.place] = np.where(case < 2, (ids << 4) | 1, self.entry + CHANGE.take(case))
-        self.previous, self.last = self.last, self.ids
+        self.previous, self.last = self.last, ids.view(np.uint32)
         self.step += 1
 
 
@@ -133,6 +135,24 @@ def lanes_for(n: int) -> int:
     return max(1, min(LANES, n // LANE_IDS))
 
 
+def turned(rows: np.ndarray) -> np.ndarray:
+    """The transpose as an array of its own, copied in stripes that stay in the cache."""
+    out = np.empty(rows.shape[::-1], rows.dtype)
+    for low in range(0, len(rows), STRIPE):
+        out[:, low: low + STRIPE] = rows[low: low + STRIPE].T
+    return out
+
+
+def carried(flat: np.ndarray) -> None:
+    """Take what is over 16 bits in a word to the word before it."""
+    over = np.flatnonzero(flat > 0xFFFF)
+    while len(over):
+        flat[over] &= 0xFFFF
+        over -= 1
+        flat[over] += 1
+        over = over[flat[over] > 0xFFFF]
+
+
 def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     """Header and payload of one block. `alphabet` is more than every id, at most 2**19."""
     n = len(ids)
@@ -140,12 +160,13 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     steps = -(-n // lanes)
     laid = np.zeros(lanes * steps, np.int32)
     laid[:n] = ids
-    laid = np.ascontiguousarray(laid.reshape(lanes, steps).T)
+    laid = turned(laid.reshape(lanes, steps))
     model = Model(alphabet, lanes)
-    words = np.zeros((2 * steps + 3, lanes), np.uint32)
+    room = 2 * steps + 3
+    words = np.zeros((lanes, room), np.uint32)
     flat = words.reshape(-1)
     every = np.arange(lanes)
-    at = every.copy()  # where in `flat` the next word of each lane goes
+    at = every * room  # where in `flat` the next word of each lane goes
     low = np.zeros(lanes, np.int64)
     width = np.full(lanes, LOW48, np.int64)
     for row in laid:
@@ -156,37 +177,35 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
         width = unit * size
         over = np.flatnonzero(low > LOW48)
         if len(over):
-            flat[at[over] - lanes] += 1
+            flat[at[over] - 1] += 1
             low[over] &= LOW48
         short = (width < RANGE_FLOOR).astype(np.int64)
         flat[at] = low >> 32  # lanes that are not short write too; their next word replaces it
-        at += short * lanes
+        at += short
         short <<= 4
         low = (low << short) & LOW48
         width <<= short
         short = np.flatnonzero(width < RANGE_FLOOR)
         while len(short):
             flat[at[short]] = low[short] >> 32
-            at[short] += lanes
+            at[short] += 1
             low[short] = (low[short] << 16) & LOW48
             width[short] <<= 16
             short = short[width[short] < RANGE_FLOOR]
         model.learn(row)
-    used = at // lanes
+    used = at - every * room
     low = (low | 0xFFFF) + 1  # the first number in the interval that two words tell, whatever follows them
     over = np.flatnonzero(low > LOW48)
-    words[used[over] - 1, over] += 1
+    words[over, used[over] - 1] += 1
     low[over] &= LOW48
     for _ in range(WORDS_AT_END):
-        words[used, every] = low >> 32
+        words[every, used] = low >> 32
         used += 1
         low = (low << 16) & LOW48
-    for place in range(len(words) - 1, 0, -1):
-        words[place - 1] += words[place] >> 16
-        words[place] &= 0xFFFF
-    taken = np.arange(len(words))[:, None] < used
+    carried(flat)
+    taken = np.arange(room) < used[:, None]
     kind = "<u2" if int(used.max()) < 1 << 16 else "<u4"
-    payload = struct.pack("<B", int(kind[2])) + used.astype(kind).tobytes() + words.T[taken.T].astype("<u2").tobytes()
+    payload = struct.pack("<B", int(kind[2])) + used.astype(kind).tobytes() + words[taken].astype("<u2").tobytes()
     return HEADER.pack(MAGIC, n, lanes, alphabet, len(payload), zlib.crc32(payload),
                        zlib.crc32(ids.astype("<u4").tobytes())) + payload
 
@@ -198,10 +217,11 @@ def decode_block(header: bytes, payload: bytes) -> np.ndarray:
         raise ValueError("damaged block")
     steps = -(-n // lanes)
     used = np.frombuffer(payload, f"<u{payload[0]}", lanes, 1).astype(np.int64)
-    stream = np.frombuffer(payload, "<u2", offset=1 + payload[0] * lanes).astype(np.int64)
-    stream = np.concatenate([stream, np.zeros(4, np.int64)])
+    stream = np.frombuffer(payload, "<u2", offset=1 + payload[0] * lanes)
+    stream = np.concatenate([stream, np.zeros(4, np.uint16)])
     place = np.cumsum(used) - used
-    code = (stream[place] << 32) | (stream[place + 1] << 16) | stream[place + 2]
+    first = [stream[place + more].astype(np.int64) for more in range(3)]
+    code = (first[0] << 32) | (first[1] << 16) | first[2]
     place = place + 3
     width = np.full(lanes, LOW48, np.int64)
     model = Model(alphabet, lanes)
@@ -228,7 +248,7 @@ def decode_block(header: bytes, payload: bytes) -> np.ndarray:
             short = short[width[short] < RANGE_FLOOR]
         row[:] = found
         model.learn(found)
-    ids = rows.T.reshape(-1)[:n]
+    ids = turned(rows).reshape(-1)[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != ids_check:
         raise ValueError("a block decodes to other ids than were written")
     return ids

@@ -162,6 +162,38 @@ def test_both_contexts_are_looked_up_at_once(monkeypatch):
     assert mixcoder.decode_block(block[:mixcoder.HEADER.size], block[mixcoder.HEADER.size:]).tolist() == ids.tolist()
 
 
+def test_the_coder_makes_nothing_that_only_the_decoder_asks_for(monkeypatch):
+    made = []
+
+    class Noted(mixcoder.Model):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(mixcoder, "Model", Noted)
+    ids = np.arange(3 * mixcoder.LANE_IDS, dtype=np.int32) % 50
+    block = mixcoder.encode_block(ids, 50)
+    assert made[0].inverse is None
+    assert mixcoder.decode_block(block[:mixcoder.HEADER.size], block[mixcoder.HEADER.size:]).tolist() == ids.tolist()
+    assert made[1].inverse is not None
+
+
+def test_carries_and_turned_lanes():
+    rng = np.random.default_rng(8)
+    words = rng.choice([0, 7, 0xFFFF, 0x10000], (40, 30)).astype(np.uint32)
+    words[:, 0] = 0
+    wanted = words.astype(np.int64)
+    for at in range(29, 0, -1):
+        wanted[:, at - 1] += wanted[:, at] >> 16
+        wanted[:, at] &= 0xFFFF
+    mixcoder.carried(words.reshape(-1))
+    assert words.tolist() == wanted.tolist()
+    for shape in ((1, 1), (1, 300), (200, 3), (130, 64)):
+        rows = rng.integers(0, 99, shape).astype(np.int32)
+        made = mixcoder.turned(rows)
+        assert made.tolist() == rows.T.tolist() and made.flags.c_contiguous
+
+
 def test_contexts_gain_over_order_0(library):
     """The first full block of a table of prose: fewer bits than its order-0 entropy, by what the contexts tell."""
     import pyarrow.parquet as pq
@@ -219,6 +251,57 @@ def test_a_small_table_of_pieces_gives_the_same_ids():
             assert left.tolist() == right.tolist()
 
 
+def test_pieces_met_again_and_again_stay_known():
+    """A full table forgets what was asked for least, not what was asked for longest ago."""
+    asked = []
+
+    def fill(pieces):
+        asked.extend(pieces)
+        return [b"\x01\x00\x00\x00"] * len(pieces)
+
+    encoder = bpe.Encoder(bpe.vocabulary(PATH).inside, fill, 40)
+
+    def encode(words):
+        encoder.encode(*text_buffer(pa.array([" ".join(words)])))
+
+    often = [f"often{i}" for i in range(10)]
+    for _ in range(6):
+        encode(often)
+    for i in range(200):
+        encode([f"once{i}a", f"once{i}b", f"once{i}c"])
+        if i % 8 == 7:
+            encode(often)
+    assert max(asked.count(b" " + word.encode()) for word in often[1:]) == 1
+
+
+def test_a_chunk_is_looked_up_once(monkeypatch):
+    """Pieces just learned are known by their place; only a table that has made room is asked again."""
+    vocab, words, calls = bpe.vocabulary(PATH), {}, []
+    encoder = bpe.Encoder(vocab.inside, lambda pieces: [
+        np.array(vocab.encoded(piece.decode(), words), np.uint32).tobytes() for piece in pieces])
+    chunks = [text_buffer(pa.array([text, None, text + " five"])) for text in ("one two one three", "three four one four", "one two")]
+    wanted = [bpe._encoder(PATH).encode(*chunk) for chunk in chunks]
+    find = bpe.PieceTable.find
+    monkeypatch.setattr(bpe.PieceTable, "find", lambda self, hashes: (calls.append(len(hashes)), find(self, hashes))[1])
+    for chunk, (ids, bounds) in zip(chunks, wanted):
+        found = encoder.encode(*chunk)
+        assert found[0].tolist() == ids.tolist() and found[1].tolist() == bounds.tolist()
+    assert len(calls) == len(chunks)
+
+
+def test_pieces_are_compared_to_their_last_byte():
+    rng = np.random.default_rng(3)
+    for size in (1, 7, 8, 9, 16, 63, 64, 65, 200):
+        data = np.concatenate([rng.integers(0, 256, 3 * size).astype(np.uint8), np.zeros(7, np.uint8)])
+        other = np.concatenate([data[size: 2 * size], rng.integers(0, 256, 9).astype(np.uint8)])
+        starts, places, sizes = np.array([size]), np.array([0]), np.array([size])
+        assert bpe.same_pieces(data, starts, other, places, sizes)
+        for at in {0, size // 2, size - 1}:
+            other[at] ^= 1
+            assert not bpe.same_pieces(data, starts, other, places, sizes)
+            other[at] ^= 1
+
+
 def test_pieces_with_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(bpe, "piece_hashes", lambda data, starts, stops: (stops - starts).astype(np.uint64))
     vocab = bpe.vocabulary(PATH)
