@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import COVERAGE_WINDOW_DAYS, DEFAULT_TAXONOMY, Rule, Taxonomy
-from ledgerloom.operators.patterns import first_rules
+from ledgerloom.operators.patterns import with_first_rule
 from ledgerloom.plans.shapes import with_accounts
 
 # How a label came about.
@@ -49,7 +49,7 @@ def usable_labels(labels: DataFrame, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> D
 def with_rule(merchants: DataFrame, rules: list[Rule] | DataFrame) -> DataFrame:
     """Add `rule_category`. A list of rules becomes one expression, a table of them an indexed join."""
     if isinstance(rules, DataFrame):
-        return merchants.join(first_rules(merchants, rules), "merchant_key", "left")
+        return with_first_rule(merchants, rules)
     return merchants.withColumn("rule_category", match_rules(F.col("merchant_key"), rules))
 
 

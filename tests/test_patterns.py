@@ -84,6 +84,35 @@ def test_rules_of_one_account_leave_others_alone(spark):
         ("a", "TEA ROOM", "Cash"), ("b", "SHOP", "Tools"), ("b", "TEA ROOM", "Travel")]
 
 
+def broadcasts(df):
+    """Joins of the plan that send a whole table to every task by way of the driver, but for those of the bounded slot tables."""
+    return [line for line in plan_of(df).splitlines() if re.search("BroadcastHashJoin|NestedLoop", line) and "_slot" not in line]
+
+
+def test_rules_move_a_name_once_however_many_letters_it_has(spark):
+    """Names with a row for each letter went to tasks and, as their size was taken for small, to the driver."""
+    names = spark.createDataFrame([("TEA ROOM " * 20 + "CAFE",), ("SHOP",)], "merchant_key string")
+    rules = patterns.rules_table(spark, [Rule("CAFE$", "Gifts"), Rule("ROOM", "Cash"), Rule("P$", "Tools")])
+    found = categorize.categorize(names, None, rules)
+    assert broadcasts(found) == []
+    counted = patterns.matches(names, rules.select(F.col("ord").alias("number"), "pattern")).groupBy("number").count()
+    assert broadcasts(counted) == []
+    for df in (found, counted):
+        plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = re.findall(r"Exchange\nInput \[\d+\]: (\[.*\])\nArguments: hashpartitioning\(.*gram", plan)
+        assert moved and not any("merchant_key" in columns for columns in moved)
+    assert sorted(r.category for r in found.collect()) == ["Gifts", "Tools"] and rows_of(counted) == [(0, 1), (1, 1), (2, 1)]
+
+
+def test_names_that_repeat_and_patterns_that_repeat(spark):
+    names = spark.createDataFrame([("a", "TEA ROOM")] * 2 + [("a", None), (None, "TEA")], "account_id string, merchant_key string")
+    table = spark.createDataFrame([("a", 1, "ROOM"), ("a", 1, "ROOM"), ("a", 1, "TEA|ROOM"), ("a", 2, "M$"), ("a", 2, "M$"), ("a", 3, "GYM"),
+                                   (None, 4, "TEA")], "account_id string, number long, pattern string")
+    assert rows_of(patterns.matches(names, table, ["account_id"])) == [("a", "TEA ROOM", 1), ("a", "TEA ROOM", 2), ("a", "TEA ROOM", 2)]
+    rules = table.select(F.col("number").alias("ord"), "pattern", F.lit("Gifts").alias("category"))
+    assert len(rows_of(categorize.categorize(names, None, rules))) == 4
+
+
 POLICIES = [Policy("house", 900, pattern="VIEW HOUSE|^PURCHASE"), Policy("food", 1_500, bucket="FoodDelivery"),
             Policy("end", 700, pattern="E$"), Policy("sweet", 400, sub_label="Coffee/Snacks")]
 
