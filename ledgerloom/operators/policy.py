@@ -12,7 +12,7 @@ from ledgerloom.functions.dates import month_bounds, month_key, month_start
 from ledgerloom.functions.money import format_eur, ordinal
 from ledgerloom.functions.names import display_name
 from ledgerloom.operators.categorize import bucket_of, with_bucket
-from ledgerloom.operators.patterns import matches
+from ledgerloom.operators.patterns import with_numbers
 from ledgerloom.operators.spend import KEYS, dated, is_held_out, spent
 from ledgerloom.plans.shapes import BLOCK_ROWS, HOT_ROWS, block_of, not_stored, running_totals, same
 
@@ -32,7 +32,8 @@ def match_own_policies(ledger: DataFrame, policies: DataFrame, keys: list[str] =
 
     `policies` has the keys, ord, policy, cap_cents and one of bucket, sub_label and pattern. They are matched with what an
     account's rows are about, its distinct categories and merchants, by equal bucket, label or index entry; the
-    ledger then meets one row for each of those, which lists its policies in order.
+    ledger then meets one row for each of those, which lists its policies in order. The planner takes rows that were listed in a
+    row of the accounts for few, so these joins are sort-merge: a broadcast of them would have to fit into the driver.
     """
     about = [*keys, "category", "merchant_key"]
     kinds = with_bucket(ledger.select(*about).distinct(), taxonomy)
@@ -40,13 +41,13 @@ def match_own_policies(ledger: DataFrame, policies: DataFrame, keys: list[str] =
 
     def equal(what: str, to: str) -> DataFrame:
         asked = policies.filter(F.col(what).isNotNull()).select(*keys, F.col(what).alias(to), hit)
-        return kinds.join(asked, [*keys, to]).select(*about, "_hit")
+        return kinds.join(asked.hint("merge"), [*keys, to]).select(*about, "_hit")
 
-    found = matches(kinds, policies.select(*keys, hit.alias("number"), "pattern"), keys)
-    by_name = kinds.join(found.withColumnRenamed("number", "_hit"), [*keys, "merchant_key"]).select(*about, "_hit")
+    by_name = with_numbers(kinds, policies.select(*keys, hit.alias("number"), "pattern"), keys).select(
+        *about, F.explode("numbers").alias("_hit"))
     hits = equal("bucket", "bucket").unionByName(equal("sub_label", "category")).unionByName(by_name) \
         .groupBy(*about).agg(F.array_sort(F.collect_list("_hit")).alias("_hits")) \
-        .select("_hits", *[F.col(c).alias(f"{c}__of") for c in about])
+        .select("_hits", *[F.col(c).alias(f"{c}__of") for c in about]).hint("merge")
     rows = ledger.join(hits, same(ledger, hits, {c: f"{c}__of" for c in about}))
     return rows.select(*ledger.columns, F.inline("_hits"), F.col("_hits")[0]["ord"].alias("_first")) \
         .withColumn("is_first", F.col("ord") == F.col("_first")).drop("_first")

@@ -142,6 +142,14 @@ def test_own_caps_differ_and_the_first_one_decides(spark, ledger_of):
         ("cap", 1_100, False), ("cap", 500, False), ("wide", 1_100, True), ("wide", 500, True)]
 
 
+def test_own_caps_are_not_broadcast(spark):
+    """Rows listed in a row of the accounts are more than the planner takes them for."""
+    events = star.event_ledger(spark, FOLDER)
+    table = patterns.policies_table(spark, POLICIES, events.select("account_id").distinct())
+    for df in (policy.match_policies(events, table), policy.policy_alerts(events, table)):
+        assert broadcasts(df) == []
+
+
 BILLS = [Bill("one", "^PURCHASE", 20, 900, 20), Bill("two", r"\bHOUSE$", 31, 500, 50), Bill("three", "K HOUSE", 3, 700, 0)]
 
 
