@@ -98,7 +98,8 @@ def match_own_bills(ledger: DataFrame, windows: DataFrame, keys: list[str] = KEY
 
     The ledger is first cut to the days that any window covers and reduced, map-side, to the last outflow of a merchant
     and day. Patterns are matched with an account's distinct merchants. A window is listed under every month it
-    touches, so days meet it by an equal month and are then held against its borders.
+    touches, so days meet it by an equal month and are then held against its borders. Joins are sort-merge: the planner takes
+    bills that were listed in a row for few, and a broadcast of them would have to fit into the driver.
     """
     span = windows.agg(F.min("start").alias("first"), F.max("as_of").alias("last"))
     day = F.col("booking_date")
@@ -110,8 +111,8 @@ def match_own_bills(ledger: DataFrame, windows: DataFrame, keys: list[str] = KEY
     months = F.sequence(month_start(F.col("start")), month_start(F.col("as_of")), F.make_ym_interval(F.lit(0), F.lit(1)))
     binned = windows.select(*keys, "bill", "as_of", "start", F.explode(months).alias("_month"))
     return (
-        latest.withColumn("_month", month_start(day)).join(payers, [*keys, "merchant_key"])
-        .join(binned, [*keys, "bill", "_month"]).filter(day.between(F.col("start"), F.col("as_of")))
+        latest.withColumn("_month", month_start(day)).join(payers.hint("merge"), [*keys, "merchant_key"])
+        .join(binned.hint("merge"), [*keys, "bill", "_month"]).filter(day.between(F.col("start"), F.col("as_of")))
         .groupBy(*keys, "bill", "as_of").agg(F.max(F.struct("booking_date", "_last")).alias("_paid"))
         .select(*keys, "bill", "as_of", F.col("_paid.booking_date").alias("paid_on"),
                 (-F.col("_paid._last.amount_cents")).alias("paid_cents"))
@@ -127,7 +128,7 @@ def own_bill_state(ledger: DataFrame, bills: DataFrame, as_of: date | None = Non
     """
     windows = bill_windows(bills, as_of, early_days)
     state = windows.select(*keys, "bill", "as_of", "due", "expected_cents", "low_cents", "high_cents").join(
-        match_own_bills(ledger, windows, keys), [*keys, "bill", "as_of"], "left")
+        match_own_bills(ledger, windows, keys).hint("merge"), [*keys, "bill", "as_of"], "left")
     late = F.datediff("as_of", "due")
     return state.withColumns({"days_past_due": late, "overdue": F.col("paid_on").isNull() & (late > grace_days)})
 

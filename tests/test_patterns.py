@@ -176,3 +176,9 @@ def test_own_bills_on_several_days(spark, ledger_of):
         ("a", "2026-01-26", "2025-12-31", None, None, True), ("a", "2026-01-31", "2026-01-31", "2026-01-27", 900, False),
         ("a", "2026-02-27", "2026-01-31", "2026-02-26", 1_200, False), ("a", "2026-03-01", "2026-02-28", "2026-02-26", 1_200, False),
         ("a", "2026-03-31", "2026-03-31", None, None, False), ("b", "2026-03-31", "2026-03-05", None, None, True)], key=repr)
+
+
+def test_own_bills_are_not_broadcast(spark):
+    events = star.event_ledger(spark, FOLDER)
+    state = bills.own_bill_state(events, patterns.bills_table(spark, BILLS, events.select("account_id").distinct()), date(2024, 1, 25))
+    assert broadcasts(state) == [] and broadcasts(bills.bill_alerts(state)) == []
