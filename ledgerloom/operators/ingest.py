@@ -193,17 +193,17 @@ def assign_ids(df: DataFrame, batch: str = "batch_id", position: str = "batch_or
     """Bank reference, else a hash of the booking; identical rows of one batch are numbered.
 
     Numbers restart per batch, so reading a file again gives the same ids. One booking repeated a
-    huge number of times is numbered block by block (see `running_totals`).
+    huge number of times is numbered block by block (see `running_totals`). Bookings meet by their text and are hashed
+    after that, since a hash takes more room in a shuffle than the text.
     """
     text = booking_text(*(F.col(c) for c in ("booking_date", "amount_cents", "merchant_raw", "account_id")))
     referenced = F.nullif(F.col("id"), F.lit(""))
     rows = df.withColumns({
-        "_booking": F.coalesce(F.concat(F.lit("ref|"), referenced), F.sha2(text, 256)),
+        "_booking": F.coalesce(F.concat(F.lit("ref|"), referenced), F.concat(F.lit("row|"), text)),
         "_block": block_of(F.col(position), block_rows),
     })
     numbered = running_totals(rows, ["_booking", batch], ["_block"], [position], {"_nth": F.lit(1)}, hot_rows)
-    given = F.when(F.col("_nth") == 1, F.col("_booking")).otherwise(booking_id(text, F.col("_nth") - 1))
-    return numbered.withColumn("id", F.coalesce(referenced, given)).select(*df.columns)
+    return numbered.withColumn("id", F.coalesce(referenced, booking_id(text, F.col("_nth") - 1))).select(*df.columns)
 
 
 def append_new(ledger: DataFrame, batch: DataFrame, hashed_months: list[str] | None = None) -> DataFrame:

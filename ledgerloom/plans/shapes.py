@@ -29,10 +29,10 @@ def running_totals(df: DataFrame, by: list[str], block: list[str], order: list[s
     table has at most SLOTS rows however large the data, so it is safe to broadcast. Groups in a slot
     of up to `hot_rows` rows are summed by one window over one shuffle. Groups in a fuller slot are cut
     along `block`, columns that divide a group into consecutive pieces along `order`: each piece is a
-    window of its own, and the sums of the pieces before it, one aggregated row per piece, are joined
-    back on the partitioning the rows already have. Without hot groups that side is empty and the
-    adaptive planner drops the join. Nulls in `by` and `block` are values like any other: they group, sort
-    first and are joined null-safe. With `hot_rows` None no group is cut, as for a table whose buckets hold whole groups
+    window of its own, and the sums of the pieces before it, one aggregated row per piece, go through the
+    same shuffle as the rows and come first in the window of their piece, so rows are shuffled once and joined with nothing.
+    Without hot groups that side is empty and the adaptive planner drops it. Nulls in `by` and `block` are values like any
+    other: they group and sort first. With `hot_rows` None no group is cut, as for a table whose buckets hold whole groups
     already: it is then one window, for which such a table needs no exchange.
     """
     if hot_rows is None:
@@ -51,19 +51,20 @@ def running_totals(df: DataFrame, by: list[str], block: list[str], order: list[s
     offsets = (
         rows.filter("_hot").groupBy(*by, *pieces)
         .agg(*[F.sum(value).alias(name) for name, value in totals.items()])
-        .select(*[F.col(c).alias(f"{c}__at") for c in (*by, *pieces)],
-                *[F.sum(n).over(earlier).alias(b) for n, b in before.items()])
+        .select(*by, *pieces, *[F.sum(n).over(earlier).alias(b) for n, b in before.items()])
+        .filter(reduce(Column.__or__, (F.col(b).isNotNull() for b in before.values())))
     )
     within = (
-        Window.partitionBy(*by, *pieces).orderBy(*block, *order)
+        Window.partitionBy(*by, *pieces).orderBy("_is_row", *block, *order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    summed = rows.select("*", *[F.sum(value).over(within).alias(name) for name, value in totals.items()])
-    return (
-        summed.join(offsets, same(summed, offsets, {c: f"{c}__at" for c in (*by, *pieces)}), "left")
-        .withColumns({name: F.col(name) + F.coalesce(F.col(b), F.lit(0)) for name, b in before.items()})
-        .select(*df.columns, *totals)
-    )
+    both = rows.select(*df.columns, *pieces, F.lit(True).alias("_is_row")).unionByName(
+        offsets.withColumn("_is_row", F.lit(False)), allowMissingColumns=True)
+    return both.select("*", *[
+        (F.sum(F.when(F.col("_is_row"), value)).over(within)
+         + F.coalesce(F.first(before[name], ignorenulls=True).over(within), F.lit(0))).alias(name)
+        for name, value in totals.items()
+    ]).filter("_is_row").select(*df.columns, *totals)
 
 
 def same(left: DataFrame, right: DataFrame, columns: Mapping[str, str]) -> Column:
